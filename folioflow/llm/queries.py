@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, tokens
+from . import licences, pii, tokens, toxicity
 from ._store import work_dir
 
 
@@ -38,8 +38,38 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licence_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    of = lambda c: F.transform(c, lambda x: x["label"])
+    text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    starts = F.transform("places", lambda x: x["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        text(of("places")).alias("base_labels"),
+        text(F.concat(of("places"), of("covers"))).alias("labels"),
+        F.greatest("best_share", F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
+#: Rows whose crc32 of the id leaves this remainder are held out of the fit.
+TOXIC_FOLDS, TOXIC_HELD = 4, 2
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(TOXIC_FOLDS)) == TOXIC_HELD
+    model = toxicity.fit_model(docs, _table(spark, sf_dir, "labels"), fold=~held)
+    return toxicity.score(docs, model, ["doc_id"], lang="lang").select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic"
+    )
+
+
 def queries() -> dict:
-    return {"op2_pii": op2_pii, "op5_token_counts": op5_token_counts}
+    return {"op2_pii": op2_pii, "op5_token_counts": op5_token_counts, "op7_licences": op7_licences, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
