@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, pii, tokens, toxicity
+from . import decontam, licences, minhash, oracles, pii, tokens, toxicity
 from ._store import work_dir
 
 
@@ -68,9 +68,33 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_hits(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
+
+
 def queries() -> dict:
-    return {"op2_pii": op2_pii, "op5_token_counts": op5_token_counts, "op7_licences": op7_licences, "op8_toxicity": op8_toxicity}
+    return {
+        "op2_pii": op2_pii,
+        "op5_token_counts": op5_token_counts,
+        "op7_licences": op7_licences,
+        "op8_toxicity": op8_toxicity,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_near_duplicates": op10_near_duplicates,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
