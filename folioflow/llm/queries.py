@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences, minhash, oracles, pii, tokens, toxicity
+from . import decontam, licences, minhash, mixing, oracles, pii, tokens, topk, toxicity
 from ._store import work_dir
 
 
@@ -25,6 +25,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target weights of the mixture: named sources get more than their share of 1, all others 1.
+WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, order=("doc_id",))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_due")
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 #: Texts with more tokens than this are marked.
 TOKEN_LIMIT = 2048
 
@@ -88,6 +102,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_pii": op2_pii,
+        "op3_mix": op3_mix,
+        "op4_top_k": op4_top_k,
         "op5_token_counts": op5_token_counts,
         "op7_licences": op7_licences,
         "op8_toxicity": op8_toxicity,
