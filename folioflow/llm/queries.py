@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences, minhash, mixing, oracles, pii, tokens, topk, toxicity
+from . import decontam, licences, minhash, mixing, ngrams, oracles, pii, tokens, topk, toxicity
 from ._store import work_dir
 
 
@@ -52,6 +52,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+#: Rows whose crc32 of the id leaves this remainder are not learned from.
+LM_FOLDS, LM_HELD = 5, 1
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(LM_FOLDS)) == LM_HELD
+    model = ngrams.train(docs, ~held)
+    scored = ngrams.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.licence_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     of = lambda c: F.transform(c, lambda x: x["label"])
@@ -105,6 +117,7 @@ def queries() -> dict:
         "op3_mix": op3_mix,
         "op4_top_k": op4_top_k,
         "op5_token_counts": op5_token_counts,
+        "op6_lm_score": op6_lm_score,
         "op7_licences": op7_licences,
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
