@@ -167,7 +167,7 @@ def _search(docs: DataFrame, phrases, keys: list[str], text: str, schema: T.Stru
                 items.append(sorted({str(i) for h in hits for i in p.items[h[2]]}))
         return [*(batch.column(k) for k in range(len(keys))), sizes, spans, items]
 
-    return map_arrow(docs.select(*keys, F.col(text).cast("string")), run, schema)
+    return map_arrow(docs.select(*keys, F.col(text).cast("string").alias("_text")), run, schema)
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")

@@ -234,4 +234,4 @@ def licence_scan(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
             shares.append(share)
         return [*(batch.column(k) for k in range(len(keys))), sizes, places, covers, shares]
 
-    return map_arrow(df.select(*keys, F.col(text).cast("string")), run, schema)
+    return map_arrow(df.select(*keys, F.col(text).cast("string").alias("_text")), run, schema)

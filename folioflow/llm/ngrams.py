@@ -480,4 +480,4 @@ def score(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> D
             out.append(opened[0].score(texts))
         return [*(batch.column(k) for k in range(len(keys))), *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))]
 
-    return map_arrow(df.select(*keys, F.col(text).cast("string")), run, schema)
+    return map_arrow(df.select(*keys, F.col(text).cast("string").alias("_text")), run, schema)

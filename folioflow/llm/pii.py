@@ -153,7 +153,7 @@ def pii_spans(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t or "")] for t in batch.column(len(keys)).to_pylist()]
         return [*(batch.column(k) for k in range(len(keys))), spans]
 
-    return map_arrow(df.select(*keys, F.col(text).cast("string")), run, schema)
+    return map_arrow(df.select(*keys, F.col(text).cast("string").alias("_text")), run, schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int, float]]) -> str:

@@ -81,7 +81,7 @@ def digests(df: DataFrame, keys: list[str], text: str, collapse: bool) -> DataFr
             out.append(hashlib.sha256(normalised(t, collapse)).digest())
         return [*(batch.column(k) for k in range(len(keys))), sizes, out]
 
-    return map_arrow(df.select(*keys, F.col(text).cast("string")), run, schema)
+    return map_arrow(df.select(*keys, F.col(text).cast("string").alias("_text")), run, schema)
 
 
 def contents(df: DataFrame, text: str, collapse: bool) -> DataFrame:
