@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences, minhash, mixing, ngrams, oracles, pii, tokens, topk, toxicity
+from . import decontam, licences, minhash, mixing, ngrams, oracles, pii, substrings, tokens, topk, toxicity
 from ._store import work_dir
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -113,6 +118,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_repeated_substrings": op1_repeated_substrings,
         "op2_pii": op2_pii,
         "op3_mix": op3_mix,
         "op4_top_k": op4_top_k,
