@@ -1 +1 @@
-"""See README.md for the operators of this subpackage."""
+"""Registered queries: what each operator does on the standard tables, and the same in SQL."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import record_queries, search_queries  # record_queries adds its own to the same tables
+
 
 def queries() -> dict:
-    return {}
+    assert record_queries
+    return dict(search_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(search_queries.SQL)
