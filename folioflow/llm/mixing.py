@@ -17,7 +17,7 @@ Defined results: a null source is a source of its own, named ""; a source withou
 ``default``; sources with a weight of 0 follow at the end in order of their names, as phases of their own;
 documents are ordered by a hash of the ``order`` columns, nulls and repeated ids too, and rows that are
 equal in them may change places; an
-empty table gives an empty result; all other columns are passed on, the four new ones must not clash.
+empty table gives an empty result; all other columns are passed on, but for such with the new ones' names.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from ._text import map_arrow
 #: Weights are rounded to multiples of 1/UNITS.
 UNITS = 1000
 BLOCK_ROWS = 16
+#: Columns that the operator adds; columns of the input with these names are replaced.
+NEW = ("mix_block", "mix_slot", "mix_release", "mix_due")
 #: Rows that one ranking cell holds on average.
 CELL_ROWS = 20_000
 
@@ -162,21 +164,20 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     counts = counts.select(F.col("s"), F.col("cell"), F.coalesce(before, F.lit(0)).alias("before"))
     phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, weights or {}, default)
     sent = spark.sparkContext.broadcast(phases)  # periods of at most max(UNITS, sources) slots
-    rank = F.row_number().over(Window.partitionBy("_s", "_cell").orderBy("_h"))
-    rows = df.withColumns({"_s": name, "_h": key}).withColumn("_cell", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
-    rows = rows.withColumn("_rank", rank)
-    rows = rows.join(counts.select(F.col("s").alias("_s"), F.col("cell").alias("_cell"), "before"), ["_s", "_cell"])
-    rows = rows.withColumn("_block", F.floor((F.col("before") + F.col("_rank") - 1) / block_rows).cast("long")).select(*df.columns, "_s", "_block")
-    n = len(df.columns)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), *(T.StructField(c, T.LongType()) for c in ("mix_block", "mix_slot", "mix_release", "mix_due"))])
+    # the whole row travels in one column, so no column of df can clash with these
+    rows = df.select(F.struct(*df.columns).alias("row"), name.alias("s"), key.alias("h"))
+    rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "cell").orderBy("h")))
+    rows = rows.join(counts, ["s", "cell"]).select("row", "s", F.floor((F.col("before") + F.col("rank") - 1) / block_rows).cast("long").alias("block"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in NEW)])
 
     def run(batch: pa.RecordBatch):
-        blocks = batch.column(n + 1).to_numpy()
-        names = np.array(batch.column(n).to_pylist(), object)
+        blocks = batch.column(2).to_numpy()
+        names = np.array(batch.column(1).to_pylist(), object)
         out = np.empty((3, len(blocks)), np.int64)
         for s in set(names):
             own = names == s
             out[:, own] = place(sent.value, s, blocks[own])
-        return [*(batch.column(k) for k in range(n)), pa.array(blocks), *(pa.array(x) for x in out)]
+        return [batch.column(0), pa.array(blocks), *(pa.array(x) for x in out)]
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema).select(*(F.col("row")[c].alias(c) for c in df.columns if c not in NEW), *NEW)
