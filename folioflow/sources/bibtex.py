@@ -110,7 +110,8 @@ def parse_entries(text: str) -> list[dict]:
                 raise BadEntry(body[k : k + 20])
             at = end
         except BadEntry as e:
-            entry |= {"parse_ok": False, "error": str(e)}
+            key = _KEY.match(text, m.end())
+            entry |= {"parse_ok": False, "error": str(e), "_key": key[1] if key else None}
             nxt = text.find("\n@", m.end())
             at = nxt if nxt >= 0 else len(text)
             end = at
