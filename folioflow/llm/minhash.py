@@ -4,14 +4,17 @@
    full minima make bucket keys; the low ``BITS`` bits of each minimum are packed into the signature.
 2. Documents with equal sets are one class, known by its smallest id, found by an aggregation of
    digests. Only one id per class goes on, so copies cost nothing further.
-3. Classes that share a band's bucket are candidates. A bucket never emits all its pairs: each round
+3. Classes that share a band's bucket are candidates. A bucket never emits all its pairs: each star round
    links its members to one leader, drops candidates whose similarity, estimated from the signatures by
    bit counts and corrected for chance agreement of b bits, is clearly too low, confirms the rest on the
    full sets, and merges what is confirmed. Buckets whose members are then in one component are done.
-4. What star rounds leave open is finished exactly: in each open bucket every member outside the
-   bucket's largest component is held against all members of other components. So a component is
-   missed only if two linked sets share no band, or if the estimate errs by ``SLACK``: for a
-   similarity of 0.8 the first has a probability of 1.2e-7, the second is over six standard deviations.
+4. What star rounds leave open is finished exactly. Open buckets that share members make a cluster; in
+   each, the members outside its largest component are a query set that is held, in blocks, against all
+   members. A block of full sets is searched through an inverted list, and only links that join two
+   components come out, one for each two components of a block pair.
+
+A component is missed only if two linked sets share no band: for a similarity of 0.8 a probability of
+1.2e-7. The estimate spares star rounds work and loses nothing, since step 4 takes up what it drops.
 
 Sets are derived again from the text for candidates alone. Defined results: a null or empty text, or
 one without words, has an empty set and links to nothing; fewer words than a shingle make one shingle
@@ -36,10 +39,12 @@ from .components import components
 BANDS, ROWS, BITS = 40, 5, 4
 #: Minima whose low bits are packed: twelve 64-bit words of sixteen.
 PACKED = 192
-#: Candidates whose estimated similarity is this much below the threshold are dropped.
-SLACK = 0.24
-#: Star rounds before the exact last one, at most.
-STARS = 4
+#: Candidates whose estimated similarity is this much below the threshold wait for the last step.
+SLACK = 0.12
+#: Star rounds before the exact last step, at most.
+STARS = 1
+#: Sets of a block at least, and blocks of a cluster at most.
+BLOCK_SETS, BLOCKS = 64, 32
 
 _R = np.random.default_rng(0x5EED)
 _FLIP = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -47,7 +52,7 @@ _ODD = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose minima are taken at once; the block stays in a core's cache.
-BLOCK = 1 << 14
+HASH_BLOCK = 1 << 14
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -83,8 +88,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     out = np.full((len(sets), BANDS * ROWS), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64)
     flat = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for lo in range(0, len(flat), BLOCK):
-        x, own = flat[lo : lo + BLOCK], of[lo : lo + BLOCK]
+    for lo in range(0, len(flat), HASH_BLOCK):
+        x, own = flat[lo : lo + HASH_BLOCK], of[lo : lo + HASH_BLOCK]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         who = own[starts]
         low = np.empty((BANDS * ROWS, len(starts)), np.uint64)
@@ -196,73 +201,124 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), run, schema)
 
 
+def block_links(asked: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of a query block and of a member block, one for each two components.
+
+    Both hold (node, component, sorted hashes). Intersections are counted through an inverted list."""
+    flat = np.concatenate([m[2] for m in members])
+    of = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    sizes = np.array([len(m[2]) for m in members], np.int64)
+    comps = np.array([m[1] for m in members], np.int64)
+    joined, out = set(), []
+    for node, comp, own in asked:
+        n = len(own)
+        lo = np.searchsorted(flat, own)
+        count = np.searchsorted(flat, own, "right") - lo
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+        both = np.bincount(of[at], minlength=len(members))
+        for k in np.flatnonzero((100 * both >= percent * (n + sizes - both)) & (comps != comp)).tolist():
+            key = (min(comp, members[k][1]), max(comp, members[k][1]))
+            if key not in joined:
+                joined.add(key)
+                out.append((node, members[k][0]))
+    return out
+
+
+def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFrame:
+    """Step 4. live: bucket, node, component c of open buckets; sets_of gives the sets of nodes."""
+    lead = live.groupBy("bucket").agg(F.min("node").alias("v"))
+    clusters = written(components(live.join(lead, "bucket").select(F.col("node").alias("u"), "v")), f"{path}/clusters")
+    nodes = live.select("node", "c").distinct().join(clusters.withColumnRenamed("component", "k"), "node")
+    per = nodes.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("k").agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("all"))
+    size = F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("all") / BLOCKS))
+    top = top.select("k", F.col("t.c").alias("top"), F.ceil(F.col("all") / size).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("t.n")) / size)).cast("int").alias("ob"))
+    nodes = nodes.join(top, "k")
+    cut = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    asked = nodes.where("c != top").select("k", cut("ob").alias("o"), upto("mb").alias("m"), F.lit(0).alias("side"), "node", "c")
+    members = nodes.select("k", upto("ob").alias("o"), cut("mb").alias("m"), F.lit(1).alias("side"), "node", "c")
+    rows = asked.unionByName(members).join(sets_of(nodes.select("node")), "node").select("k", "o", "m", "side", "node", "c", "members")
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+    def run(batches):
+        key, held = None, ([], [])
+
+        def out():
+            links = block_links(*held, percent) if held[0] and held[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            *cols, sets = (batch.column(c) for c in range(7))
+            for (k, o, m, side, node, c), x in zip(zip(*(col.to_pylist() for col in cols), strict=True), sets, strict=True):
+                if (k, o, m) != key:
+                    if key is not None:
+                        yield out()
+                    key, held = (k, o, m), ([], [])
+                held[side].append((node, c, np.frombuffer(x.as_buffer(), np.uint64)))
+        if key is not None:
+            yield out()
+
+    return rows.repartition("k", "o", "m").sortWithinPartitions("k", "o", "m", "side").mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (columns doc_id, text)."""
-    spark = docs.sparkSession
-    path = work_dir(spark, "minhash")
+    path = work_dir(docs.sparkSession, "minhash")
     rows = written(signatures(docs, size, text), f"{path}/rows")
     linked = rows.where("digest is not null and doc_id is not null")
+    # a class of equal sets goes on as its smallest id; an id with several sets stands for each of them
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    # a class's smallest id: several classes may share one if ids repeat
-    nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "digest", "bands", "signature")
-    nodes = nodes.dropDuplicates(["digest"])
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    members = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = written(members.join(shared, "bucket"), f"{path}/members")
-    signed = written(
-        nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "signature"), f"{path}/signed"
-    )
+    signed = nodes.withColumnRenamed("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi")
+    signed = written(signed.select("node", "digest", "signature").dropDuplicates(["node", "digest"]), f"{path}/signed")
+    bits = signed.select("node", "signature")
     # rows of one id with different sets belong together
     same = linked.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w"), F.collect_set("node").alias("all")).where("u != w")
-    links = same.select("u", F.explode("all").alias("v")).where("u != v")
-    least = percent / 100 - SLACK
-    bits = signed.select("node", "signature")  # an id with several sets has several
-    sets, known, number = None, None, 0
-    comp = None
+    links = written(same.select("u", F.explode("all").alias("v")).where("u != v"), f"{path}/same")
+    comp, sets = None, None
 
     def labelled(m: DataFrame) -> DataFrame:
         if comp is None:
             return m.withColumn("c", F.col("node"))
         return m.join(comp.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
-    tested = None
-    for star in range(STARS + 1):
+    def sets_of(ids: DataFrame) -> DataFrame:
+        nonlocal sets
+        ids = ids.distinct()
+        new = ids if sets is None else ids.join(sets, "node", "left_anti")
+        more = full_sets(docs, new, size, text).join(signed.select("node", "digest"), ["node", "digest"], "left_semi")
+        more = written(more.dropDuplicates(["node", "digest"]).select("node", "members"), work_dir(docs.sparkSession, "minhash-sets"))
+        sets = more if sets is None else sets.unionByName(more)
+        return sets
+
+    def open_buckets(star: int) -> DataFrame:
         live = labelled(members)
-        open_ = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        live = written(live.join(open_.select("bucket"), "bucket").select("bucket", "node", "c"), f"{path}/live-{star}")
+        left = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+        return written(live.join(left, "bucket").select("bucket", "node", "c"), f"{path}/live-{star}")
+
+    live = open_buckets(0)
+    for star in range(STARS):
         if live.isEmpty():
             break
-        if star < STARS:
-            # another leader each round: the first by a hash of the round
-            lead = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), "node", "c")).alias("l"))
-            pairs = live.join(lead, "bucket").where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
-        else:
-            sizes = live.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-            top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("t")).select("bucket", F.col("t.c").alias("top"))
-            rest = live.join(top, "bucket").where("c != top").select("bucket", F.col("node").alias("o"), F.col("c").alias("oc"))
-            pairs = live.join(rest, "bucket").where("c != oc").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        # another leader each round: the first by a hash of the round
+        lead = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), "node", "c")).alias("l"))
+        pairs = live.join(lead, "bucket").where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-        pairs = pairs.withColumn("likely", estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b", "likely").distinct()
-        pairs = written(pairs, f"{path}/pairs-{star}")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        likely = pairs.where("likely").select("a", "b")
-        if likely.isEmpty():
-            if pairs.isEmpty() and star == STARS:
-                break
-            continue
-        ids = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        new = ids if known is None else ids.join(known, "node", "left_anti")
-        more = full_sets(docs, new, size, text).join(signed.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "members")
-        more = written(more, f"{path}/sets-{number}")
-        number += 1
-        sets = more if sets is None else sets.unionByName(more)
-        known = sets.select("node")
-        found = written(confirmed(likely, sets, percent), f"{path}/links-{star}")
+        pairs = written(pairs.where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK).select("a", "b").distinct(), f"{path}/pairs-{star}")
+        have = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+        found = written(confirmed(pairs, have, percent), f"{path}/links-{star}")
         links = links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
         comp = written(components(links), f"{path}/comp-{star}")
+        live = open_buckets(star + 1)
+    if not live.isEmpty():
+        links = links.unionByName(written(cluster_links(live, sets_of, percent, path), f"{path}/links"))
+        comp = None
     if comp is None:
         comp = written(components(links), f"{path}/comp")
     of = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
