@@ -54,15 +54,28 @@ def column_bytes(column: pa.Array) -> Iterator[bytes]:
             yield bytes(view[offs[k] : offs[k + 1]])
 
 
+#: Bytes of a batch that an operator's function sees at once.
+SLICE_BYTES = 6 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_arrow(df: DataFrame, fn, schema: T.StructType, barrier: bool = False) -> DataFrame:
-    """``mapInArrow`` with a function that takes a record batch and returns a list of columns in schema order."""
+    """``mapInArrow`` with a function that takes a record batch and returns a list of columns in schema order.
+
+    The function sees slices of about ``SLICE_BYTES``, so a worker's memory doesn't follow the size of Spark's batches."""
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
+            for piece in slices(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) and c.type == f.type else cast(c, f.type) for c, f in zip(fn(batch), arrow, strict=True)],
+                    [c if isinstance(c, pa.Array) and c.type == f.type else cast(c, f.type) for c, f in zip(fn(piece), arrow, strict=True)],
                     schema=arrow,
                 )
 

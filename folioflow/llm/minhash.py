@@ -43,6 +43,8 @@ PACKED = 192
 SLACK = 0.12
 #: Star rounds before the exact last step, at most.
 STARS = 1
+#: Slots of the list that is broadcast to leave out texts without candidates.
+SLOTS = 1 << 18
 #: Sets of a block at least, and blocks of a cluster at most.
 BLOCK_SETS, BLOCKS = 64, 32
 
@@ -173,7 +175,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str = "text")
         return [batch.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets]]
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias(text))
-    found = own.join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = wanted.select(F.col("node").alias("doc_id")).distinct()
+    # most texts are not wanted: a list of hash slots, at most SLOTS of them, keeps them out of the shuffle
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(wanted.select(slot.alias("_slot")).distinct())
+    own = own.withColumn("_slot", slot).join(slots, "_slot", "left_semi").drop("_slot")
+    found = own.join(wanted, "doc_id", "left_semi")
     return map_arrow(found, run, schema)
 
 
