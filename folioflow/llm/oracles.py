@@ -6,6 +6,33 @@ _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 _ALNUM = "regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACE = "regexp_extract_all(" + _FOLD + r", '[^\x20\x09-\x0D]+')"
 
+# texts as two hex digits a byte, so that strings of bytes can be cut
+_OP1 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, k, md5(substr(h, 2 * k + 1, 200)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 99)) AS k FROM d)
+), c AS (
+  SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, k) > 1
+), i AS (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 100 THEN 0 ELSE 1 END AS new FROM c
+), g AS (
+  SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM i
+), spans AS (
+  SELECT doc_id, n, min(k) AS a, max(k) + 100 AS b FROM g GROUP BY doc_id, n
+), cuts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans
+), kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(d.h, CAST(2 * z + 1 AS BIGINT), CAST(2 * (a - z) AS BIGINT)), '' ORDER BY a) AS front
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 _OP4 = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
@@ -78,4 +105,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-SQL = {"op4_top_k": _OP4, "op9_decontaminate": _OP9, "op10_near_duplicates": _OP10}
+SQL = {"op1_repeated_substrings": _OP1, "op4_top_k": _OP4, "op9_decontaminate": _OP9, "op10_near_duplicates": _OP10}
