@@ -64,21 +64,54 @@ def token_hash(token: bytes) -> int:
     return ((high << 32) + low) & 0xFFFFFFFFFFFFFFFF
 
 
-def simhash(text: str | None, memo: dict[bytes, int] | None = None) -> int:
-    """The hash as an unsigned number."""
-    memo = {} if memo is None else memo
-    hashes = []
-    for t in _TOKEN.findall((text or "").encode()):
-        if len(t) > SHORT:
-            h = memo.get(t)
-            if h is None:
-                h = memo[t] = token_hash(t)
-            hashes.append(h)
-    if not hashes:
+def _turned(x: np.ndarray, k: int) -> np.ndarray:
+    return x << np.uint32(k) | x >> np.uint32(32 - k)
+
+
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    """``token_hash`` of many tokens at once: those with as many 12-byte blocks run together."""
+    out = np.empty(len(tokens), np.uint64)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    blocks = np.maximum((size + 11) // 12, 1)
+    for n in np.unique(blocks).tolist():
+        rows = np.flatnonzero(blocks == n)
+        data = np.frombuffer(b"".join(tokens[k].ljust(12 * n, b"\0") for k in rows.tolist()), "<u4").reshape(len(rows), n, 3)
+        start = (np.uint64(0xDEADBEEF + SEED_1) + size[rows].astype(np.uint64)).astype(np.uint32)
+        s = [start.copy(), start.copy(), start + np.uint32(SEED_2)]
+        for block in range(n):
+            for k in range(3):
+                s[k] += data[:, block, k]
+            if block < n - 1:
+                for turn, r in enumerate(MIX):
+                    x, y, z = turn % 3, (turn + 2) % 3, (turn + 1) % 3
+                    s[x] = (s[x] - s[y]) ^ _turned(s[y], r)
+                    s[y] = s[y] + s[z]
+        for turn, r in enumerate(FINAL):
+            x, y = (turn + 2) % 3, (turn + 1) % 3
+            s[x] = (s[x] ^ s[y]) - _turned(s[y], r)
+        hashed = (s[2].astype(np.uint64) << np.uint64(32)) + s[1]
+        out[rows] = np.where(size[rows] > 0, hashed, (np.uint64(0xDEADBEEF + SEED_1 + SEED_2 & _MASK) << np.uint64(32)) + np.uint64(0xDEADBEEF + SEED_1 & _MASK))
+    return out
+
+
+def _votes(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0xFFFFFFFFFFFFFFFF
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    votes = bits.sum(0, dtype=np.int64) - len(hashes) // 2
-    return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big")
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(0, dtype=np.int64) - len(hashes) // 2 >= 0).tobytes(), "big")
+
+
+def simhashes(texts: list[str | None]) -> np.ndarray:
+    """The hashes of texts; each distinct token of the list is hashed once."""
+    numbers: dict[bytes, int] = {}
+    lists = [[numbers.setdefault(t, len(numbers)) for t in _TOKEN.findall((x or "").encode()) if len(t) > SHORT] for x in texts]
+    hashes = token_hashes(list(numbers))
+    return np.array([_votes(hashes[own]) if own else 0xFFFFFFFFFFFFFFFF for own in lists], np.uint64)
+
+
+def simhash(text: str | None) -> int:
+    """The hash as an unsigned number."""
+    return int(simhashes([text])[0])
 
 
 def simhash_wide(text: str | None, k: int = 3) -> int:
@@ -98,8 +131,7 @@ def simhash_wide(text: str | None, k: int = 3) -> int:
 def simhash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The hash as a signed column."""
     for texts in batches:
-        memo: dict[bytes, int] = {}
-        yield pd.Series(np.array([simhash(t, memo) for t in texts], np.uint64).view(np.int64))
+        yield pd.Series(np.concatenate([simhashes(texts[k : k + 2000].tolist()) for k in range(0, len(texts), 2000)] or [np.empty(0, np.uint64)]).view(np.int64))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,11 +6,11 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import names, patterns, simhash, text
+from ..functions import names, patterns, simhash, structured, text
 from ..operators import library, matching, webpages
 from ..operators.search import tokens
 from ..sinks import writers
-from ..sources import bibtex, detect, readers, ris
+from ..sources import bibtex, detect, lifecycle, readers, ris
 from ..streaming import feeds
 from .search_queries import query
 from .tables import PUBLICATIONS_SQL, WORDS_SQL, publications, table
@@ -558,3 +558,71 @@ def event_windows(spark, sf):
     """Hourly counts; a Spark-native extra."""
     e = feeds.windowed_counts(table(spark, sf, "events"), "ts", "1 hour", "1 hour", ["event_type"])
     return e.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+# -- structured values, sources, keys of the whole library ----------------------------------------------------
+
+
+@query("rekey_library", f"WITH s AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) || (1990 + c_nationkey) AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS k FROM s) SELECT c_custkey, base || {_LETTER} AS citekey FROM r")
+def rekey_library(spark, sf):
+    c = table(spark, sf, "customer")
+    key = patterns.format_pattern("[Firstauthor][YYYY]", F.array("c_mktsegment"), F.col("c_name"), (F.col("c_nationkey") + 1990).cast("string"), F.lit(""))
+    return matching.rekeyed(c, key, [F.col("c_custkey")]).select("c_custkey", "citekey")
+
+
+@query("structured_values", """SELECT n_nationkey, '{"name":"' || n_name || '","key":' || n_nationkey || '}' AS json, 'new' AS merged, n_name AS kept, n_name AS thawed, n_name AS decoded FROM nation""")
+def structured_values(spark, sf):
+    """Nested values as text and back; maps over one another."""
+    n = table(spark, sf, "nation")
+    value = F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    m = structured.merged_maps(F.create_map(F.lit("a"), F.col("n_name"), F.lit("b"), F.col("n_name")), F.create_map(F.lit("a"), F.lit("new"), F.lit("b"), F.lit("0")))
+    return n.select(
+        "n_nationkey",
+        structured.json_text(value).alias("json"),
+        F.element_at(m, "a").alias("merged"),
+        F.element_at(m, "b").alias("kept"),
+        F.variant_get(structured.thawed(structured.frozen(value)), "$.name", "string").alias("thawed"),
+        structured.decoded(structured.encoded(F.col("n_name"))).alias("decoded"),
+    )
+
+
+@query("xml_values", "SELECT r_regionkey, r_name FROM region")
+def xml_values(spark, sf):
+    """A record as XML and read again."""
+    r = table(spark, sf, "region").select("r_regionkey", structured.xml_text(F.struct("r_name")).alias("x"))
+    return r.select("r_regionkey", structured.from_xml_text(F.col("x"), "r_name string").alias("y")).select("r_regionkey", "y.r_name")
+
+
+@query("library_source", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND contains(o_orderpriority, 'URGENT') ORDER BY o_orderdate DESC, 'G' || o_orderkey LIMIT 25 OFFSET 50")
+def library_source(spark, sf):
+    """A page of a library source: matches in the live part, newest first."""
+    o = table(spark, sf, "orders")
+    pubs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("guid"), F.col("o_orderdate").alias("created"), F.col("o_orderpriority").alias("p"), (F.col("o_orderstatus") == "P").alias("trashed"))
+    return lifecycle.LibrarySource(spark, pubs, {"text": F.col("p")}, query="urgent", limit=25).page(50).select("id")
+
+
+@query("trash_source", "SELECT count(*) AS total FROM orders WHERE o_orderstatus = 'P' AND contains(o_orderpriority, 'URGENT')")
+def trash_source(spark, sf):
+    o = table(spark, sf, "orders")
+    pubs = o.select(F.col("o_orderkey").cast("string").alias("guid"), F.col("o_orderdate").alias("created"), F.col("o_orderpriority").alias("p"), (F.col("o_orderstatus") == "P").alias("trashed"))
+    return lifecycle.TrashSource(spark, pubs, {"text": F.col("p")}, query="urgent").load().agg(F.count(F.lit(1)).alias("total"))
+
+
+# -- Spark-native extras, without a counterpart in a reference manager ---------------------------------------
+
+
+@query("rollup_priorities", "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
+def rollup_priorities(spark, sf):
+    return table(spark, sf, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("previous_event", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")
+def previous_event(spark, sf):
+    from pyspark.sql.window import Window
+
+    return table(spark, sf, "events").select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+
+
+@query("shared_keys", "SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)")
+def shared_keys(spark, sf):
+    return table(spark, sf, "customer").select("c_nationkey").intersect(table(spark, sf, "supplier").select("s_nationkey")).agg(F.count(F.lit(1)).alias("n"))

@@ -113,3 +113,11 @@ def test_simhash(spark):
     assert simhash.simhash_wide("alpha beta gamma") != simhash.simhash_wide("gamma beta alpha")
     row = spark.createDataFrame([("Significance of nucleotide sequence alignments",)], "t string").select(simhash.simhash64("t").alias("h")).select(simhash.binary_digits(F.col("h")).alias("b"), simhash.hamming(F.col("h"), F.lit(-1).cast("long")).alias("d")).first()
     assert int(row["b"], 2) == 0xBACD7EFEFB39F6F9 and row["d"] == 64 - bin(0xBACD7EFEFB39F6F9).count("1")
+
+
+def test_many_hashes_at_once():
+    import random
+
+    r = random.Random(1)
+    tokens = [bytes(r.randrange(256) for _ in range(n)) for n in [*range(0, 60), 300]]
+    assert simhash.token_hashes(tokens).tolist() == [simhash.token_hash(t) for t in tokens]
