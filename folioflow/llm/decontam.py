@@ -29,7 +29,7 @@ from .fmindex import FMIndex
 
 WINDOW = 10
 #: Benchmark text sent to the executors at once.
-PART_BYTES = 32 << 20
+PART_BYTES = 4 << 20
 #: Indexed words of a shard, and the words that it may read for them.
 SHARD_WORDS, SHARD_READ = 1 << 20, 1 << 22
 
