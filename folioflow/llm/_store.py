@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,12 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where the setting is absent."""
+    """The shared folder of the session; a local one only where the setting is absent, as in tests."""
     found = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{DIR_KEY} must name a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/folioflow-{os.getuid()}"
-        spark.conf.set(DIR_KEY, found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
     return found if "://" in found else f"file://{os.path.abspath(found)}"
 
 

@@ -45,8 +45,8 @@ SLACK = 0.12
 STARS = 1
 #: Slots of the list that is broadcast to leave out texts without candidates.
 SLOTS = 1 << 18
-#: Sets of a block at least, and blocks of a cluster at most.
-BLOCK_SETS, BLOCKS = 64, 32
+#: Sets of a block at least and at most, and blocks of a cluster while blocks may still grow.
+BLOCK_SETS, MOST_SETS, BLOCKS = 64, 2048, 32
 
 _R = np.random.default_rng(0x5EED)
 _FLIP = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -240,7 +240,7 @@ def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFram
     nodes = live.select("node", "c").distinct().join(clusters.withColumnRenamed("component", "k"), "node")
     per = nodes.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
     top = per.groupBy("k").agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("all"))
-    size = F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("all") / BLOCKS))
+    size = F.least(F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("all") / BLOCKS)), F.lit(MOST_SETS))
     top = top.select("k", F.col("t.c").alias("top"), F.ceil(F.col("all") / size).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("t.n")) / size)).cast("int").alias("ob"))
     nodes = nodes.join(top, "k")
     cut = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
