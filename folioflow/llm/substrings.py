@@ -15,7 +15,8 @@ text is its context. This gives three steps:
 2. The texts of those contexts go to shards by anchor. Each shard is sorted by the difference cover
    modulo 3: triples at sampled places are sorted and named, names are sorted recursively until they
    cover LENGTH bytes, the other suffixes are merged in; then adjacent prefixes are compared byte by
-   byte. Of each class of equal strings all but the first are repeats.
+   byte. Of each class of equal strings all but the first are repeats. The contexts of an anchor that has
+   more than ``MOST_CONTEXTS`` of them are cut into their strings, which go to shards by their own hash.
 3. Repeats are merged into spans per document and taken out of its text.
 
 Anchors prefer rare pieces: pieces that recur in a bounded sample of documents (``SAMPLE_DOCS`` of them)
@@ -35,13 +36,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import work_dir, written
-from ._text import column_bytes, fields, map_arrow
+from ._text import column_bytes, fields, map_arrow, settle
 from .dc3 import equal_prefixes, suffix_order
 from .ngrams import _pack, _unpack
 
@@ -51,11 +53,13 @@ PLACE_BITS = 24
 PIECE = 1 << 22
 #: Bytes hashed at once, text bytes per run shard, context bytes per sorting shard, least shards.
 CHUNK, SHARD_BYTES, SORT_BYTES, LEAST_SHARDS = 1 << 18, 8 << 20, 1 << 20, 64
+#: Contexts of one anchor that are sorted together at most.
+MOST_CONTEXTS = 5000
 #: Documents of the sample for common pieces, and pieces in the list.
 SAMPLE_DOCS, COMMON = 4000, 1 << 14
 #: Bits of the table that marks common pieces; a piece that shares its place with one ranks behind, too.
 MARK_BITS = 20
-SPANS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("anchor", T.LongType())])
+SPANS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("single", T.BooleanType())])
 _SENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 _BASE = 0x9E3779B97F4A7C15
@@ -159,10 +163,10 @@ def _first_of(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tu
     return by, new
 
 
-def _span_batch(doc, start, end, anchor=None) -> pa.RecordBatch:
+def _span_batch(doc, start, end, anchor=None, single=None) -> pa.RecordBatch:
     n = len(doc)
-    last = pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, start, end)] + [last], names=SPANS.names)
+    last = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if anchor is None else [pa.array(anchor.view(np.int64)), pa.array(single)]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, start, end)] + last, names=SPANS.names)
 
 
 def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +206,7 @@ def common_pieces(docs: DataFrame) -> np.ndarray:
     return marks
 
 
-def find_runs(docs: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
+def find_runs(docs: DataFrame, shards: int, common: np.ndarray, most: int = MOST_CONTEXTS) -> DataFrame:
     """Step 1: spans that repeat as a whole (anchor null) and contexts to sort (anchor set)."""
     listed = docs.sparkSession.sparkContext.broadcast(common)  # a table of fixed size
 
@@ -243,6 +247,7 @@ def find_runs(docs: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
                     held, size = [], 0
         if held:
             yield out()
+        settle()
 
     def keep(batches):
         by_shard: dict[int, list[bytes]] = {}
@@ -265,8 +270,10 @@ def find_runs(docs: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
             # distinct contexts of an anchor
             a, d, s0, n = a[new], d[new], s0[new], n[new]
             edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-            several = np.repeat(np.diff(np.append(edge, len(a))) > 1, np.diff(np.append(edge, len(a))))
-            yield _span_batch(d[several], s0[several], (s0 + n + LENGTH - 1)[several], a[several])
+            many = np.diff(np.append(edge, len(a)))
+            many = np.repeat(many, many)
+            several = many > 1
+            yield _span_batch(d[several], s0[several], (s0 + n + LENGTH - 1)[several], a[several], (many > most)[several])
 
     return docs.select("doc", "text").mapInArrow(send, _SENT).repartition(shards, "shard").mapInArrow(keep, SPANS)
 
@@ -297,7 +304,7 @@ def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tu
 
 def sort_contexts(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
     """Step 2: the texts of the asked contexts by anchor, and the repeats among them."""
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor")).alias("wanted"))
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor", "single")).alias("wanted"))
     pairs = docs.join(wanted, "doc").select("doc", "text", "wanted")
 
     def send(batches):
@@ -317,9 +324,16 @@ def sort_contexts(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
             lists = batch.column(2)
             cut, values = lists.offsets.to_numpy(), lists.values
             start, end, anchor = (values.field(k).to_numpy() for k in range(3))
+            single = values.field(3).to_numpy(zero_copy_only=False)
             shard = (_mixed(anchor.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
             for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)), strict=True)):
                 for r in range(cut[k], cut[k + 1]):
+                    if single[r]:
+                        for at in range(start[r], end[r] - LENGTH + 1):
+                            string = t[at : at + LENGTH]
+                            held.setdefault(xxhash.xxh64_intdigest(string) % shards, []).append((d, at, LENGTH, string))
+                            size += LENGTH
+                        continue
                     held.setdefault(int(shard[r]), []).append((d, start[r], end[r] - start[r], t[start[r] : end[r]]))
                     size += end[r] - start[r]
                 if size >= 24 << 20:
@@ -327,6 +341,7 @@ def sort_contexts(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
                     held, size = {}, 0
         if held:
             yield out()
+        settle()
 
     def sort(batches):
         by_shard: dict[int, list[bytes]] = {}
@@ -365,14 +380,14 @@ def _numbered(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame
     return keyed, keyed.dropDuplicates(["doc"])
 
 
-def repeated_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
     """Numbered documents, and spans (doc, start, end) in bytes that repeat earlier strings; spans may overlap."""
     spark = df.sparkSession
     path = work_dir(spark, "substrings")
     docs, one = _numbered(df, text, path)
     size = one.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
-    found = written(find_runs(one, shards, common_pieces(one)), f"{path}/runs")
+    found = written(find_runs(one, shards, common_pieces(one), most), f"{path}/runs")
     asked = found.where("anchor is not null")
     size = asked.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
     spans = found.where("anchor is null")
@@ -381,9 +396,9 @@ def repeated_spans(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     return docs, spans.select("doc", "start", "end")
 
 
-def remove_repeats(df: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, text without its repeats, n_bytes, n_removed, n_spans of each row."""
-    docs, spans = repeated_spans(df, text)
+    docs, spans = repeated_spans(df, text, most)
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = T.StructType(
         [*fields(docs, ["doc_id"]), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]

@@ -47,6 +47,7 @@ def test_against_brute_force(spark):
         rows = corpus(seed)
         df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, doc int").repartition(3)
         assert result(substrings.remove_repeats(df)) == sorted(substrings.brute_force(rows), key=str)
+        assert result(substrings.remove_repeats(df, most=1)) == sorted(substrings.brute_force(rows), key=str)  # strings dealt one by one
 
 
 def test_nulls_and_repeated_ids(spark):
