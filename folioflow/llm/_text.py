@@ -7,6 +7,7 @@ translation table turns every byte outside ``[0-9a-z]`` and 0x80-0xFF into a spa
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,14 @@ def column_bytes(column: pa.Array) -> Iterator[bytes]:
 SLICE_BYTES = 6 << 20
 
 
+def settle() -> None:
+    """Give free memory back at a task's end: Spark keeps workers for later tasks, idle ones count, too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if batch.num_rows:
         rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
@@ -78,6 +87,7 @@ def map_arrow(df: DataFrame, fn, schema: T.StructType, barrier: bool = False) ->
                     [c if isinstance(c, pa.Array) and c.type == f.type else cast(c, f.type) for c, f in zip(fn(piece), arrow, strict=True)],
                     schema=arrow,
                 )
+        settle()
 
     def cast(c, kind):
         return c.cast(kind) if isinstance(c, pa.Array) else pa.array(c, type=kind)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import mapped, put, work_dir
-from ._text import column_bytes, fields, map_arrow, space_words
+from ._text import column_bytes, fields, map_arrow, settle, space_words
 
 #: Text of one shard in bytes, and the least number of shards (powers of two).
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
@@ -331,6 +331,7 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
             held = merge(held, texts)
         if len(held[0]):
             yield out(held)
+        settle()
 
     def keep_words(shard, data):
         parts = [_unpack(d, np.uint64, np.uint32) for d in data if d is not None]
@@ -397,6 +398,7 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
             held = merge(held, texts)
         if len(held[0]):
             yield out(held)
+        settle()
 
     high_kind, bits = model._high_kind(), np.uint64(model.bits)
     starts = np.array(model.starts, np.int64)
