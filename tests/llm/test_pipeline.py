@@ -44,6 +44,20 @@ def test_run(spark, tmp_path):
     assert set(out[0 if 0 in out else 1].__fields__) == {"doc_id", "text", "lang", "source", "n_chars", "mix_block", "mix_slot", "mix_release", "mix_due"}
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like those that operators add or use pass through."""
+    from pyspark.sql import functions as F
+
+    path = f"file://{tmp_path}"
+    write_corpus(spark, path)
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    names = ("toxic", "score", "kept", "node", "spans", "row", "s", "component_id", "_text")
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {names}, name
+
+
 def test_stages_keep_columns_and_pass_empty_tables(spark, tmp_path):
     path = f"file://{tmp_path}"
     write_corpus(spark, path)
