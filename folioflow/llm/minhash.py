@@ -46,7 +46,7 @@ STARS = 1
 #: Slots of the list that is broadcast to leave out texts without candidates.
 SLOTS = 1 << 18
 #: Sets of a block at least and at most, and blocks of a cluster while blocks may still grow.
-BLOCK_SETS, MOST_SETS, BLOCKS = 64, 2048, 32
+BLOCK_SETS, MOST_SETS, BLOCKS = 64, 2048, 12
 
 _R = np.random.default_rng(0x5EED)
 _FLIP = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
