@@ -41,7 +41,7 @@ BLOCK_ROWS = 16
 #: Columns that the operator adds; columns of the input with these names are replaced.
 NEW = ("mix_block", "mix_slot", "mix_release", "mix_due")
 #: Rows that one ranking cell holds on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 2000
 
 
 def shares(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
