@@ -7,6 +7,7 @@ workers map the files in place, elsewhere they copy them to their own temporary
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -40,6 +41,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between steps of a long operator: what no plan refers to any more goes, so that Spark's cleaner drops
+    the shuffle files and broadcasts of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Drop a working folder through Spark's own file-system layer."""
     jvm = spark.sparkContext._jvm

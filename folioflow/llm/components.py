@@ -9,22 +9,25 @@ row in the join, and each round is written to the shared folder, so lost executo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._store import remove, work_dir, written
+from ._store import remove, tidy, work_dir, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _step(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """The written links, and their number and the sum of their hashes, seen while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), path)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: columns u, v (longs). Returns node, component (the smallest id reachable), for nodes with a link to another."""
     spark = edges.sparkSession
     path = work_dir(spark, "components")
-    now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/0")
-    state, k = _state(now), 0
+    now, state = _step(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{path}/0")
+    k = 0
     while state[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,10 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         k += 1
-        now = written(small.distinct(), f"{path}/{k}")
+        before = state
+        now, state = _step(small.distinct(), f"{path}/{k}")
         remove(spark, f"{path}/{k - 1}")
-        before, state = state, _state(now)
         if state == before:
             break
+    tidy(spark)
     tops = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import work_dir, written
+from ._store import tidy, work_dir, written
 from ._text import column_bytes, map_arrow, space_words
 from .components import components
 
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         left = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
         return written(live.join(left, "bucket").select("bucket", "node", "c"), f"{path}/live-{star}")
 
+    tidy(docs.sparkSession)
     live = open_buckets(0)
     for star in range(STARS):
         if live.isEmpty():

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import work_dir, written
+from ._store import tidy, work_dir, written
 from ._text import column_bytes, fields, map_arrow, settle
 from .dc3 import equal_prefixes, suffix_order
 from .ngrams import _pack, _unpack
@@ -388,6 +388,7 @@ def repeated_spans(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS)
     size = one.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
     found = written(find_runs(one, shards, common_pieces(one), most), f"{path}/runs")
+    tidy(spark)
     asked = found.where("anchor is not null")
     size = asked.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
     spans = found.where("anchor is null")
