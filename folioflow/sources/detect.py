@@ -30,7 +30,9 @@ def text_format(content: Column) -> Column:
             out = out.when(line.rlike(pattern) | near.rlike(pattern), F.lit(name))
         return out
 
-    return F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), 0)
+    # what a line shows stands in all lines together, too: most texts need no look at single lines
+    some = F.array_join(lines, "").rlike(r"(?is)@\w+\{|TY\s+-\s+|xml.*rss")
+    return F.when(some, F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), 0))
 
 
 def legacy_format(content: Column) -> Column:
