@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by a distributed difference-cover suffix sort.
+"""Removal of repeated substrings: hashed runs, then a distributed difference-cover suffix sort of the rest.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts earlier: in a document with
 a smaller id, or earlier in the same one. Strings are judged on the input and never cross documents.
@@ -23,7 +23,8 @@ Anchors prefer rare pieces: pieces that recur in a bounded sample of documents (
 rank behind all others. That list only steers the choice of anchors, which any fixed order makes right;
 it keeps strings that lie partly in a very common passage out of that passage's shard.
 
-Context hashes have 64 bits within an anchor of 64 bits; step 2 compares the bytes themselves.
+Step 1 decides by hashes, 64 bits of context within 63 bits of anchor, and finds most repeats; the
+difference cover of step 2 decides the rest and compares the bytes themselves. README.md has the shares.
 
 Defined results: a null or empty text has no bytes; rows with equal text: the smallest id comes first;
 rows with the same id but different texts come in order of their texts' digests, null ids come last;
