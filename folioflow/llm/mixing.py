@@ -4,10 +4,12 @@ A source's documents are ordered by a hash of their ids and cut into blocks. Wit
 block of a source (from 0) is released at floor(k / w) and due at ceil((k + 1) / w); each slot takes the
 released block with the earliest deadline. On one "processor" (the output sequence) that meets every
 deadline, so after any number of slots each source has got its weight's share to within less than one
-block. Weights are multiples of 1/UNITS, so the schedule repeats after at most UNITS slots: the driver
-works out one period, whose size does not depend on the data, and every block finds its slot by
-arithmetic. When a source runs out, the others' weights are scaled up and a new phase begins; its
-first slot continues the sequence. There are at most as many phases as sources.
+block. Weights count as they are written (7.3 is 73/10) and are scaled to the smallest whole numbers of the
+same proportions; the schedule repeats after as many slots as these sum to. The driver works out one period,
+or the slots of the phase where these are fewer, and every block finds its slot by arithmetic. Periods of
+usual weights are short and do not depend on the data; weights of many digits have long ones, for which the
+driver does work, and sends out 8 bytes, for each block. When a source runs out, the others' weights are scaled
+up and a new phase begins; its first slot continues the sequence. There are at most as many phases as sources.
 
 The place of a document within its source is found without sorting a source in one task: ids hash into
 cells, cell sizes are counted, running sums give each cell's first place, and only rows of one cell are
@@ -23,6 +25,7 @@ empty table gives an empty result; all other columns are passed on, but for such
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -35,8 +38,6 @@ from pyspark.sql.window import Window
 from ._store import work_dir, written
 from ._text import map_arrow
 
-#: Weights are rounded to multiples of 1/UNITS.
-UNITS = 1000
 BLOCK_ROWS = 16
 #: Columns that the operator adds; columns of the input with these names are replaced.
 NEW = ("mix_block", "mix_slot", "mix_release", "mix_due")
@@ -44,8 +45,17 @@ NEW = ("mix_block", "mix_slot", "mix_release", "mix_due")
 CELL_ROWS = 2000
 
 
-def shares(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
-    """Weights as whole units that sum to ``units``, each at least 1, by largest remainders."""
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The smallest whole numbers in the proportions of positive weights, these read as decimals."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: n // common for s, n in out.items()}
+
+
+def shares(weights: dict[str, float], units: int) -> dict[str, int]:
+    """Weights rounded to whole units that sum to ``units``, each at least 1, by largest remainders."""
     total = sum(weights.values())
     units = max(units, len(weights))
     exact = {s: max(1.0, w / total * units) for s, w in weights.items()}
@@ -61,36 +71,40 @@ def shares(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
     return out
 
 
-def period(units: dict[str, int]) -> list[tuple[str, int]]:
-    """One period of the schedule: for each slot the source and its block number within the period."""
+def period(units: dict[str, int]):
+    """One period of the schedule, slot by slot: the source and its block number within the period."""
     total = sum(units.values())
     release = lambda s, k: k * total // units[s]
     due = lambda s, k: -(-(k + 1) * total // units[s])
     waiting = [(0, s, 0) for s in sorted(units)]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
     for t in range(total):
         while waiting and waiting[0][0] <= t:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, k), s, k))
         d, s, k = heapq.heappop(ready)
         assert d > t
-        out.append((s, k))
+        yield s, k
         if k + 1 < units[s]:
             heapq.heappush(waiting, (release(s, k + 1), s, k + 1))
-    return out
 
 
 class Phase:
-    """A stretch of the sequence with fixed sources and weights."""
+    """A stretch of the sequence with fixed sources and weights, up to the last block of one of them."""
 
-    def __init__(self, start: int, first: dict[str, int], units: dict[str, int], slots: int):
-        self.start, self.first, self.units, self.slots = start, first, units, slots
+    def __init__(self, start: int, first: dict[str, int], units: dict[str, int], left: dict[str, int]):
+        self.start, self.first, self.units, self.slots = start, first, units, 0
         self.total = sum(units.values())
-        self.at = {s: np.empty(n, np.int64) for s, n in units.items()}
+        at: dict[str, list[int]] = {s: [] for s in units}
         for t, (s, k) in enumerate(period(units)):
-            self.at[s][k] = t
+            at[s].append(t)
+            if k + 1 == left[s]:
+                self.slots = t + 1
+                break
+        self.at = {s: np.array(x, np.int64) for s, x in at.items()}
+        if not self.slots:  # no source ends in the first period
+            self.slots = min(int(self.slot(s, np.array([first[s] + left[s] - 1]))[0]) for s in units) - start + 1
 
     def taken(self, source: str, slots: int) -> int:
         """Blocks of a source among the phase's first slots."""
@@ -99,21 +113,20 @@ class Phase:
 
     def slot(self, source: str, blocks: np.ndarray) -> np.ndarray:
         k = blocks - self.first[source]
+        if self.units[source] > len(self.at[source]):  # the phase ends within the period
+            return self.start + self.at[source][k]
         return self.start + k // self.units[source] * self.total + self.at[source][k % self.units[source]]
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], default: float = 1.0, units: int = UNITS) -> list[Phase]:
-    """Phases that place all blocks of all sources."""
+def plan(blocks: dict[str, int], weights: dict[str, float], default: float = 1.0, units: int | None = None) -> list[Phase]:
+    """Phases that place all blocks of all sources, by the weights or, if asked, these rounded to 1/units."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     weight = {s: max(0.0, float(weights.get(s, default))) for s in left}
     phases, start = [], 0
     while left:
         active = {s: weight[s] for s in left if weight[s] > 0} or {min(left): 1.0}
-        phase = Phase(start, {s: done[s] for s in active}, shares(active, units), 0)
-        # the slot after a source's last block; the earliest of them ends the phase
-        ends = {s: int(phase.slot(s, np.array([done[s] + left[s] - 1]))[0]) - start + 1 for s in active}
-        phase.slots = min(ends.values())
+        phase = Phase(start, {s: done[s] for s in active}, shares(active, units) if units else whole(active), left)
         for s in active:
             n = phase.taken(s, phase.slots)
             done[s] += n
@@ -134,19 +147,23 @@ def place(phases: list[Phase], source: str, blocks: np.ndarray) -> tuple[np.ndar
             own = (blocks >= lo) & (blocks < lo + p.taken(source, p.slots))
             if own.any():
                 k, n = blocks[own] - lo, p.units[source]
+                if (int(k.max()) + 1) * p.total >= 1 << 63:
+                    k = k.astype(object)
                 slot[own] = p.slot(source, blocks[own])
                 release[own] = p.start + k * p.total // n
                 due[own] = p.start - (-(k + 1) * p.total // n)
     return slot, release, due
 
 
-def deviation(phases: list[Phase], source: str) -> Fraction:
-    """Largest distance between a source's share and its blocks, over all slots of its phases; for tests."""
+def deviation(phases: list[Phase], source: str, weights: dict[str, float] | None = None) -> Fraction:
+    """Largest distance between a source's share, by the phases' or given weights, and its blocks, over all slots of its phases; for tests."""
     worst = Fraction(0)
     for p in phases:
         if source in p.first:
+            given = p.units if weights is None else {s: Fraction(str(weights[s])) for s in p.units}
+            share = Fraction(given[source]) / sum(given.values())
             for t in range(p.slots + 1):
-                worst = max(worst, abs(Fraction(p.units[source] * t, p.total) - p.taken(source, t)))
+                worst = max(worst, abs(share * t - p.taken(source, t)))
     return worst
 
 
@@ -163,7 +180,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     before = F.sum("n").over(Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(F.col("s"), F.col("cell"), F.coalesce(before, F.lit(0)).alias("before"))
     phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, weights or {}, default)
-    sent = spark.sparkContext.broadcast(phases)  # periods of at most max(UNITS, sources) slots
+    sent = spark.sparkContext.broadcast(phases)  # of each at most a period
     # the whole row travels in one column, so no column of df can clash with these
     rows = df.select(F.struct(*df.columns).alias("row"), name.alias("s"), key.alias("h"))
     rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))

@@ -23,6 +23,23 @@ def test_schedule():
         assert sorted(slots) == list(range(sum(sizes.values())))
 
 
+@pytest.mark.parametrize(("sizes", "weights"), [
+    ({f"s{k}": 40 if k == 0 else 700 for k in range(20)}, {"s0": 4.0, "s1": 2.0, "s2": 2.0}),  # after s0 the shares are 1/21 and 2/21
+    ({f"s{k}": 5 for k in range(300)}, {"s0": 40.0, "s1": 7.0}),
+    ({"a": 300, "b": 200, "c": 90}, {"a": 0.3333333333333333, "b": 0.123456789012345, "c": 1e-7}),
+])
+def test_schedule_keeps_the_given_weights(sizes, weights):
+    phases, slots = mixing.plan(sizes, weights), []
+    given = {s: weights.get(s, 1.0) for s in sizes}
+    for s, n in sizes.items():
+        slot, release, due = mixing.place(phases, s, np.arange(n))
+        assert (np.diff(slot) > 0).all() and ((release <= slot) & (slot < due)).all()
+        slots += slot.tolist()
+    assert sorted(slots) == list(range(sum(sizes.values())))
+    for s in list(sizes)[:3]:
+        assert mixing.deviation(phases, s, given) < 1
+
+
 def test_mix(spark):
     sources = ["a"] * 700 + ["b"] * 100 + [None] * 50
     rows = [(k, f"t{k}", s, 0, 9) for k, s in enumerate(sources)] + [(None, None, "a", 0, 9), (3, "t3", "a", 0, 9)]
