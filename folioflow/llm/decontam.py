@@ -184,19 +184,27 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
-    """All columns of ``docs``, with the spans of benchmark phrases taken out of its text; null texts stay null."""
-    spark, at = docs.sparkSession, docs.columns.index(text)
+    """All columns of ``docs``, with the spans of benchmark phrases taken out of its text; null texts stay null.
+
+    Every part is searched in the uncut text; its spans go along in a column, and the last pass cuts them all."""
+    spark, at, width = docs.sparkSession, docs.columns.index(text), len(docs.columns)
+    schema = T.StructType(fields(docs, docs.columns))
+    along = T.StructType([*schema, T.StructField("_" * (1 + max(map(len, docs.columns))), T.ArrayType(SPAN))])  # longer than any name of docs
     out = docs
-    for _, rows in _parts(benchmark, part_bytes):
+    for k, (n, rows) in enumerate(_parts(benchmark, part_bytes)):
         phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in rows], window))
 
-        def run(batch: pa.RecordBatch, phrases=phrases):
-            p, new = phrases.value, []
+        def run(batch: pa.RecordBatch, phrases=phrases, first=k == 0, last=k == n - 1):
+            p, spans = phrases.value, []
             for piece, words in _shards([batch], at, p.ids):
-                own = piece.column(at).to_pylist()
-                for t, hits in zip(own, shard_hits(p, words), strict=True):
-                    new.append(without_spans(t.encode(), merged([h[:2] for h in hits])).decode() if hits else t)
-            return [new if k == at else batch.column(k) for k in range(batch.num_columns)]
-
-        out = map_arrow(out, run, T.StructType(fields(out, out.columns)))
+                before = [()] * piece.num_rows if first else piece.column(width).to_pylist()
+                for old, hits in zip(before, shard_hits(p, words), strict=True):
+                    spans.append(merged([(s["start"], s["end"]) for s in old] + [h[:2] for h in hits]))
+            columns = [batch.column(c) for c in range(width)]
+            if last:
+                columns[at] = [without_spans(t.encode(), s).decode() if s else t for t, s in zip(columns[at].to_pylist(), spans, strict=True)]
+                return columns
+            return [*columns, [[{"start": a, "end": b} for a, b in x] for x in spans]]
+
+        out = map_arrow(out, run, schema if k == n - 1 else along)
     return out

@@ -71,3 +71,17 @@ def test_removal(spark):
     d = spark.createDataFrame([(1, "x. One, two three FOUR! y", 3), (2, None, 3), (3, "one two three", 3)], "doc_id long, text string, n_chars int")
     got = {r["doc_id"]: r["text"] for r in decontam.remove_hits(d, b).collect()}
     assert got == {1: "x. ! y", 2: None, 3: "one two three"}
+
+
+def test_removal_in_several_parts_is_that_in_one(spark):
+    r = random.Random(4)
+    word = lambda: r.choice(["a", "B", "c", "dé"])
+    w = [f"w{k}" for k in range(1, 21)]
+    items = [(k, " ".join(word() for _ in range(r.randint(2, 9)))) for k in range(12)] + [(50 + k, " ".join(w[2 * k : 2 * k + 8])) for k in range(7)] + [(60, None)]
+    docs = [(k, r.choice([", ", " "]).join(word() for _ in range(r.randint(0, 50)))) for k in range(60)]
+    docs += [(100, None), (101, ""), (102, f"x {' '.join(w)} y"), (103, f"{' '.join(w[:2])} a B c dé a B {' '.join(w[2:8])}")]
+    d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, spans string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, several = ({x["doc_id"]: x["text"] for x in decontam.remove_hits(d, b, window=6, part_bytes=size).collect()} for size in (1 << 20, 60))
+    assert one[102] == "x  y" and one[100] is None and len(one) == len(docs)
+    assert several == one
