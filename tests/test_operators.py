@@ -86,6 +86,31 @@ def test_simhash_pairs_lose_none(spark):
     assert {(x["a"], x["b"]) for x in rows} == {(a, b) for a, b in near if (first[h[a]] == a and first[h[b]] == b) or (h[a] == h[b] and first[h[a]] == a)}
 
 
+def test_duplicates_of_any_number_lose_none(spark):
+    r = random.Random(8)
+    titles = ["Protein folding kinetics study", "Kinetics study protein folding", "Kinetics study protein folding", "KINETICS STUDY PROTEIN FOLDING", "Errata", "Errata", "The War", "the war", "", "", None, "abc", "abcd", "axcdyfgh"]
+    for n in (3, 6, 7, 12, 13, 30, 31):
+        base = "".join(r.choice("abcdé") for _ in range(n))
+        for _ in range(12):
+            t = list(base)
+            for _ in range(r.randint(0, 5)):
+                k = r.randint(0, len(t))
+                t[k : k + r.randint(0, 1)] = r.choice([[], ["x"], ["a"]])
+            titles.append("".join(t))
+    keys = [None if t is None else t.replace(" ", "").upper() for t in titles]
+    first = {}
+    for k, x in enumerate(keys):
+        first.setdefault(x, k)
+    own = [(x, k) for x, k in first.items() if x is not None]
+    want = {(first[x], k) for k, x in enumerate(keys) if x is not None and first[x] != k}
+    want |= {(min(a, b), max(a, b)) for n, (x, a) in enumerate(own) for y, b in own[:n] if lev(x, y) < 5}
+    for extra in (0, 600):  # few records and many
+        more = [f"{k} {r.getrandbits(200):x}" for k in range(extra)]
+        df = spark.createDataFrame(list(enumerate(titles + more)), "id int, t string")
+        got = [tuple(x) for x in matching.duplicates(df, "id", "t").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_merge_is_idempotent(spark):
     old = spark.createDataFrame([(1, "g", "T", "A and B"), (2, "h", "", "C")], "k int, guid string, title string, authors string")
     new = spark.createDataFrame([(1, "x", "0", "A and {others}"), (2, "y", "New", "D")], "k int, guid string, title string, authors string")
