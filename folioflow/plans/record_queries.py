@@ -66,9 +66,9 @@ def simhash_bits(spark, sf):
 
 @query("dup_simhash")
 def dup_simhash(spark, sf):
-    """Texts whose hashes differ in at most three bits; texts with one long word or none are left out."""
-    p = publications(spark, sf).select("doc_id", simhash.simhash64("text").alias("h"))
-    return matching.simhash_pairs(p.where("h <> -1"), "doc_id", "h")
+    """Texts whose hashes differ in at most three bits; of texts with one long word or none, equal ones."""
+    p = publications(spark, sf).select("doc_id", "text", simhash.simhash64("text").alias("h"))
+    return matching.simhash_pairs(p, "doc_id", "h", text="text")
 
 
 @query("dup_titles")

@@ -111,6 +111,16 @@ def test_duplicates_of_any_number_lose_none(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_dup_simhash_keeps_texts_of_one_long_word(spark, tmp_path):
+    from folioflow.plans import record_queries
+
+    texts = ["Errata", "Preface", "Errata", "Errata", "", "", "the War", None, None, "one long sentence here", "one long sentence here"]
+    rows = [(k, t, "en", "src0", 0) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(x) for x in record_queries.dup_simhash(spark, f"file://{tmp_path}").collect()}
+    assert got == {(0, 2, 0), (0, 3, 0), (4, 5, 0), (9, 10, 0)}
+
+
 def test_merge_is_idempotent(spark):
     old = spark.createDataFrame([(1, "g", "T", "A and B"), (2, "h", "", "C")], "k int, guid string, title string, authors string")
     new = spark.createDataFrame([(1, "x", "0", "A and {others}"), (2, "y", "New", "D")], "k int, guid string, title string, authors string")
