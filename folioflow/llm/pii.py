@@ -108,12 +108,15 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):
         whole = m[0]
+        at = m.start() + len(whole.partition(" ")[0])  # if none is confirmed here, the next group may begin one
         while True:  # words that follow may look like another group: give them up one by one
             code = whole.replace(" ", "")
             if 15 <= len(code) <= 34 and mod97(code):
-                yield m.start(), m.start() + len(whole)
+                at = m.start() + len(whole)
+                yield m.start(), at
                 break
             whole, space, _ = whole.rpartition(" ")
             if not space:
@@ -136,8 +139,8 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
         found += [("localphone", *m.span()) for m in _LOCALPHONE.finditer(text)]
     out, base = [], [(a, b) for k, a, b in found if k in BASE_KINDS]
     for kind, start, end in found:
-        if kind not in BASE_KINDS and any(a < end and start < b for a, b in base):
-            continue  # part of a base span
+        if kind not in BASE_KINDS and kind != "iban" and any(a < end and start < b for a, b in base):
+            continue  # part of a base span; an IBAN has its own check and holds more than the digits in it
         near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
         score = PRIOR[kind] + (0.3 if _NEAR[kind].search(near) else 0.0)
         if kind in BASE_KINDS or score >= THRESHOLD:

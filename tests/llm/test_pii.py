@@ -56,6 +56,18 @@ def test_added_kinds():
     assert [s[3] for s in pii.scan("mail a@b.cd")] > [s[3] for s in pii.scan("x a@b.cd")]
 
 
+def test_ibans_beside_one_another_and_base_spans():
+    ibans = lambda t: [t[a:b] for k, a, b, _ in pii.scan(t) if k == "iban"]
+    one, two = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    assert ibans(f"{one} {two}") == ibans(f"{one}, {two}") == [one, two]
+    assert ibans(f"Ref AB12 {one}") == [one]
+    digits = (f"{k:014d}" for k in range(50400440116243, 50400440126243))
+    codes = (f"DK{98 - int(d + '132000') % 97:02d}{d}" for d in digits)
+    code = next(c for c in codes if pii.luhn(c[2:]))
+    assert pii.mod97(code) and ibans(f"to {code} now") == [code]
+    assert pii.masked(f"to {code} now", pii.scan(f"to {code} now")) == "to [IBAN] now"
+
+
 def test_long_runs_are_linear():
     text = "1" * 200_000 + "a" * 200_000 + "@" * 10_000 + "." * 10_000
     assert base(text) == []
