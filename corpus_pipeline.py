@@ -32,13 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id. Null ids stay."""
-    found = minhash.near_duplicates(docs, size=SHINGLE, percent=PERCENT)
-    out = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """One document of each class of near-duplicates: the one with the smallest id, null ids last.
+
+    Where ids repeat or are null, rows are judged by their texts alone, under numbers in the order of ids and texts."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if again.isEmpty():
-        return out
-    return out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        found = minhash.near_duplicates(docs, size=SHINGLE, percent=PERCENT)
+        return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    order = [F.col(c).asc_nulls_last() for c in ("doc_id", "text", *(c for c in ("lang", "source") if c in docs.columns))]
+    rows = docs.orderBy(*order).select(F.struct(*docs.columns).alias("row"), "text").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = written(rows, f"{work_dir(spark, 'rows')}/numbered")  # numbers must not change between reads
+    found = minhash.near_duplicates(rows.select("doc_id", "text"), size=SHINGLE, percent=PERCENT)
+    return rows.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select("row.*")
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

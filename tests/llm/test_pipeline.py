@@ -67,3 +67,14 @@ def test_stages_keep_columns_and_pass_empty_tables(spark, tmp_path):
         assert out.count() == 0
         if name != "mixing":
             assert out.columns == docs.columns
+
+
+def test_repeated_and_null_ids_are_judged_by_text(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(1, text("a")), (1, text("b")), (1, text("c")), (2, text("b")), (None, text("c")), (None, text("d")), (None, text("d")), (3, None), (3, None), (4, text("e"))]
+    docs = spark.createDataFrame([(*x, "en", "src0", "row") for x in rows], "doc_id long, text string, lang string, source string, row string").repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(1, text("a")), (1, text("b")), (1, text("c")), (None, text("d")), (3, None), (3, None), (4, text("e"))]
+    assert got == sorted(want, key=str)
