@@ -79,6 +79,16 @@ def put(uri: str, *arrays: np.ndarray) -> None:
     system.move(part, path)
 
 
+def fetched(uri: str) -> np.ndarray:
+    """The file's bytes in memory; none where there is no such file."""
+    system, path = _fs(uri)
+    try:
+        with system.open_input_stream(path) as src:
+            return np.frombuffer(src.read(), np.uint8)
+    except FileNotFoundError:
+        return np.empty(0, np.uint8)
+
+
 def mapped(uri: str) -> np.ndarray:
     """The file's bytes, mapped into memory."""
     if uri.startswith("file:"):

@@ -1,31 +1,29 @@
-"""Removal of repeated substrings: hashed runs, then a distributed difference-cover suffix sort of the rest.
+"""Removal of repeated substrings by a distributed difference-cover suffix sort.
 
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts earlier: in a document with
 a smaller id, or earlier in the same one. Strings are judged on the input and never cross documents.
 
-Suffixes need only be ordered by their first LENGTH bytes, so text can be dealt to shards by what those
+Suffixes need only be ordered by their first LENGTH bytes, so the sort can be dealt to shards by what those
 bytes contain: each string of LENGTH bytes has an anchor, the smallest hash of a ``GRAM``-byte piece in
 it, and equal strings have equal anchors. Neighbouring strings with one anchor at one place form a run; a run's
-text is its context. This gives three steps:
-
-1. Runs go to shards by anchor, as hashes: anchor, context, place. An anchor that occurs in one run
-   only holds no repeat. Of equal contexts under one anchor all but the first are repeats as a whole;
-   each task keeps the first of its own, so a hot passage sends one record a task. Where an anchor has
-   several different contexts, their first places are asked for.
-2. The texts of those contexts go to shards by anchor. Each shard is sorted by the difference cover
-   modulo 3: triples at sampled places are sorted and named, names are sorted recursively until they
-   cover LENGTH bytes, the other suffixes are merged in; then adjacent prefixes are compared byte by
-   byte. Of each class of equal strings all but the first are repeats. The contexts of an anchor that has
-   more than ``MOST_CONTEXTS`` of them are cut into their strings, which go to shards by their own hash.
-3. Repeats are merged into spans per document and taken out of its text.
+text is its context. The texts are written once, to files of the shared folder; no later step shuffles them.
+
+1. Which anchors are shared: every task sends the anchors of a file once, with the number of their runs. An
+   anchor of one run only holds no repeat. Each file gets the list of its anchors that have more.
+2. The contexts of these anchors go to shards by anchor; a task sends equal ones (compared byte by byte) once,
+   since of them all but the first are repeats. Each shard is sorted by the difference cover modulo 3: triples at sampled
+   places are sorted and named, names are sorted recursively until they cover LENGTH bytes, the other suffixes
+   are merged in; then adjacent prefixes are compared byte by byte. Of each class of equal strings all but
+   the first are repeats. The contexts of an anchor that has more than ``MOST_CONTEXTS`` of them are cut into
+   their strings, which go to shards by their own hash.
+3. Each file gets the repeats of its documents, merged to spans, and they are taken out of the texts.
+
+Hashes only decide what is compared with what; every repeat is found by comparing bytes.
 
 Anchors prefer rare pieces: pieces that recur in a bounded sample of documents (``SAMPLE_DOCS`` of them)
 rank behind all others. That list only steers the choice of anchors, which any fixed order makes right;
 it keeps strings that lie partly in a very common passage out of that passage's shard.
 
-Step 1 decides by hashes, 64 bits of context within 63 bits of anchor, and finds most repeats; the
-difference cover of step 2 decides the rest and compares the bytes themselves. README.md has the shares.
-
 Defined results: a null or empty text has no bytes; rows with equal text: the smallest id comes first;
 rows with the same id but different texts come in order of their texts' digests, null ids come last;
 rows equal in both are one document, judged once; every row gets a result; an empty table gives an empty one; other columns are ignored.
@@ -34,6 +32,7 @@ rows equal in both are one document, judged once; every row gets a result; an em
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,25 +42,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import tidy, work_dir, written
+from ._store import fetched, put, work_dir, written
 from ._text import column_bytes, fields, map_arrow, settle
 from .dc3 import equal_prefixes, suffix_order
-from .ngrams import _pack, _unpack
+from .ngrams import _merged, _pack, _unpack
 
 LENGTH, GRAM = 100, 24
 #: Bits for a place in a chunk; longer texts are hashed in overlapping pieces.
 PLACE_BITS = 24
 PIECE = 1 << 22
-#: Bytes hashed at once, text bytes per run shard, context bytes per sorting shard, least shards.
-CHUNK, SHARD_BYTES, SORT_BYTES, LEAST_SHARDS = 1 << 18, 8 << 20, 1 << 20, 64
+#: Bytes hashed at once, text bytes per anchor shard, context bytes per sorting shard, least shards.
+CHUNK, SHARD_BYTES, SORT_BYTES, LEAST_SHARDS = 1 << 18, 16 << 20, 1 << 20, 64
+#: Usual bytes of a context; from them and the number of contexts follows the number of sorting shards.
+CONTEXT = 140
+#: Runs that a task gathers before it sends their anchors, and bytes of contexts before it sends these.
+RUNS, SEND_BYTES = 1 << 21, 24 << 20
+#: Rows of a file of texts at most.
+FILE_ROWS = 1 << 20
 #: Contexts of one anchor that are sorted together at most.
 MOST_CONTEXTS = 5000
 #: Documents of the sample for common pieces, and pieces in the list.
 SAMPLE_DOCS, COMMON = 4000, 1 << 14
 #: Bits of the table that marks common pieces; a piece that shares its place with one ranks behind, too.
 MARK_BITS = 20
-SPANS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("anchor", T.LongType()), T.StructField("single", T.BooleanType())])
 _SENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
+#: What goes back to a file of texts.
+_REPLY = T.StructType([T.StructField("file", T.LongType()), T.StructField("data", T.BinaryType())])
 
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,10 +170,18 @@ def _first_of(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tu
     return by, new
 
 
-def _span_batch(doc, start, end, anchor=None, single=None) -> pa.RecordBatch:
-    n = len(doc)
-    last = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())] if anchor is None else [pa.array(anchor.view(np.int64)), pa.array(single)]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (doc, start, end)] + last, names=SPANS.names)
+def _batch(schema: T.StructType, keys: list, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32() if schema.names[0] == "shard" else pa.int64()), pa.array(data, pa.binary())], names=schema.names)
+
+
+def _by_key(batches) -> Iterator[tuple[int, list[bytes]]]:
+    """The data of each key of a task, key by key."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(s, []).append(d)
+    for s in sorted(held):
+        yield s, held.pop(s)
 
 
 def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +201,7 @@ def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 def common_pieces(docs: DataFrame) -> np.ndarray:
     """Pieces that are anchors in several documents of a bounded sample, at most COMMON of them, as marks."""
-    picked = docs.where(F.octet_length("text") >= LENGTH).select("doc").orderBy(F.xxhash64(F.lit("sample"), "doc")).limit(SAMPLE_DOCS)
+    picked = docs.where(F.octet_length("text") >= LENGTH).select("doc").distinct().orderBy(F.xxhash64(F.lit("sample"), "doc")).limit(SAMPLE_DOCS)
     texts = docs.join(F.broadcast(picked), "doc").select("text")  # at most SAMPLE_DOCS ids
     schema = T.StructType([T.StructField("key", T.LongType())])
 
@@ -207,89 +221,101 @@ def common_pieces(docs: DataFrame) -> np.ndarray:
     return marks
 
 
-def find_runs(docs: DataFrame, shards: int, common: np.ndarray, most: int = MOST_CONTEXTS) -> DataFrame:
-    """Step 1: spans that repeat as a whole (anchor null) and contexts to sort (anchor set)."""
-    listed = docs.sparkSession.sparkContext.broadcast(common)  # a table of fixed size
+def _cut(batches):
+    """Chunks of a task's texts (doc, file, text): bytes, the piece of each byte, and doc, file and offset of each piece's first byte."""
+    for batch in batches:
+        ids, files = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for number, offset, held in chunks(column_bytes(batch.column(2))):
+            s, piece, starts = _joined(held)
+            yield s, piece, ids[number], files[number], offset - starts
+
+
+def share_anchors(texts: DataFrame, shards: int, common: np.ndarray, uri: str, most: int = MOST_CONTEXTS) -> int:
+    """Step 1: for each file of texts the anchors that have runs elsewhere, too. Returns the number of contexts to expect."""
+    listed = texts.sparkSession.sparkContext.broadcast(common)  # a table of fixed size
 
     def send(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def out():
-            anchor, context, doc, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            by, new = _first_of((doc, start), (anchor, context))
-            a, c, d, s, n = (x[by] for x in (anchor, context, doc, start, count))
+            anchor, context, file = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((context, anchor, file))
+            a, c, f = anchor[by], context[by], file[by]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (f[1:] != f[:-1])]))
+            runs_of = np.diff(np.append(first, len(a)))
+            new = np.ones(len(a), np.int64)
+            new[1:] = (c[1:] != c[:-1]) | (a[1:] != a[:-1]) | (f[1:] != f[:-1])
+            contexts = np.add.reduceat(new, first)
+            a, f = a[first], f[first]
             shard = (_mixed(a) >> np.uint64(33)).astype(np.int64) % shards
-            keep = np.flatnonzero(new)
-            keep = keep[np.argsort(shard[keep], kind="stable")]
-            cut = np.searchsorted(shard[keep], np.arange(shards + 1))
-            gone = merged_spans(d[~new], s[~new], (s + n + LENGTH - 1)[~new])
-            to = gone[0] % shards
-            some, data = [], []
-            for k in range(shards):
-                rows = keep[cut[k] : cut[k + 1]]
-                spans = [x[to == k] for x in gone]
-                if len(rows) or len(spans[0]):
-                    some.append(k)
-                    left = _pack(np.diff(a[rows], prepend=np.uint64(0)), c[rows], d[rows], s[rows].astype(np.uint32), n[rows].astype(np.uint16))
-                    data.append(len(left).to_bytes(8, "little") + left + _pack(*spans))
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=_SENT.names)
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for number, offset, texts in chunks(column_bytes(batch.column(1))):
-                s, piece, starts = _joined(texts)
-                a, c, at, n = runs(s, piece, listed.value)
-                own = piece[at]
-                held.append((a, c, ids[number[own]], at - starts[own] + offset[own], n))
-                size += len(a)
-                if size >= 1 << 21:
-                    yield out()
-                    held, size = [], 0
-        if held:
+            by = np.lexsort((a, f, shard))
+            a, f, shard = a[by], f[by], shard[by]
+            # the number of contexts, and whether there are several runs
+            n = (np.minimum(contexts[by], 1 << 30) * 2 + (runs_of[by] > 1)).astype(np.uint32)
+            edge = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (f[1:] != f[:-1])]))
+            keys, data = shard[edge].tolist(), []
+            for lo, hi in zip(edge, np.append(edge[1:], len(a)), strict=True):
+                data.append(int(f[lo]).to_bytes(8, "little", signed=True) + _pack(np.diff(a[lo:hi], prepend=np.uint64(0)), n[lo:hi]))
+            return _batch(_SENT, keys, data)
+
+        for s, piece, _, files, _ in _cut(batches):
+            a, c, at, _ = runs(s, piece, listed.value)
+            held.append((a, c, files[piece[at]]))
+            size += len(a)
+            if size >= RUNS:
+                yield out()
+                held, size = [], 0
+        if size:
             yield out()
         settle()
 
+    def reply(batches):
+        for _, parts in _by_key(batches):
+            got = [_unpack(d[8:], np.uint64, np.uint32) for d in parts]
+            anchors = [np.cumsum(a, dtype=np.uint64) for a, _ in got]
+            keys, contexts, several = _merged(np.concatenate(anchors), np.concatenate([n >> 1 for _, n in got]).astype(np.int64), np.concatenate([n & 1 for _, n in got]).astype(np.int64))
+            shared = (contexts > 1) | (several > 0)
+            files, data = [-1], [int(contexts[shared].sum()).to_bytes(8, "little")]
+            for d, a in zip(parts, anchors, strict=True):
+                at = np.searchsorted(keys, a)
+                if (own := shared[at]).any():
+                    files.append(int.from_bytes(d[:8], "little", signed=True))
+                    data.append(_pack(np.diff(a[own], prepend=np.uint64(0)), (contexts[at[own]] > most).view(np.uint8)))
+            yield _batch(_REPLY, files, data)
+        settle()
+
     def keep(batches):
-        by_shard: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_shard.setdefault(s, []).append(d)
-        for s in sorted(by_shard):
-            parts, spans = [], []
-            for d in by_shard.pop(s):
-                n = int.from_bytes(d[:8], "little")
-                a, *rest = _unpack(d[8 : 8 + n], np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
-                parts.append((np.cumsum(a, dtype=np.uint64), *rest))
-                spans.append(_unpack(d[8 + n :], np.int64, np.int64, np.int64))
-            anchor, context, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del parts
-            by, new = _first_of((doc, start), (anchor, context))
-            a, d, s0, n = anchor[by], doc[by], start[by].astype(np.int64), count[by].astype(np.int64)
-            gone = [np.concatenate([x, y]) for x, y in zip((np.concatenate(x) for x in zip(*spans, strict=True)), (d[~new], s0[~new], (s0 + n + LENGTH - 1)[~new]), strict=True)]
-            yield _span_batch(*merged_spans(*gone))
-            # distinct contexts of an anchor
-            a, d, s0, n = a[new], d[new], s0[new], n[new]
-            edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
-            many = np.diff(np.append(edge, len(a)))
-            many = np.repeat(many, many)
-            several = many > 1
-            yield _span_batch(d[several], s0[several], (s0 + n + LENGTH - 1)[several], a[several], (many > most)[several])
-
-    return docs.select("doc", "text").mapInArrow(send, _SENT).repartition(shards, "shard").mapInArrow(keep, SPANS)
-
-
-def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of strings that stand earlier in these contexts: suffix order, then adjacent prefixes."""
+        for file, parts in _by_key(batches):
+            if file == -1:
+                yield _batch(_REPLY, [file], [sum(int.from_bytes(d, "little") for d in parts).to_bytes(8, "little")])
+                continue
+            got = [_unpack(d, np.uint64, np.uint8) for d in parts]
+            anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in got])
+            by = np.argsort(anchors)
+            put(f"{uri}/anchors-{file}", anchors[by], np.concatenate([h for _, h in got])[by])
+        settle()
+
+    asked = texts.mapInArrow(send, _SENT).repartition(shards, "shard").mapInArrow(reply, _REPLY).repartition("file")
+    return sum(int.from_bytes(r["data"], "little") for r in asked.mapInArrow(keep, _REPLY).collect())  # one row
+
+
+def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], file: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """File, doc and start of the strings that stand earlier in these contexts: suffix order, then adjacent prefixes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    s = raw.astype(np.int64) + 2
-    s[begin + sizes] = 1  # the end of a context
-    order = suffix_order(s, 257, LENGTH)
-    of = np.repeat(np.arange(len(texts)), sizes + 1)
-    whole = np.arange(len(s)) - begin[of] <= sizes[of] - LENGTH
-    order = order[whole[order]]
+    ends = begin + sizes
+    used = np.bincount(raw, minlength=256) > 0
+    symbols = np.cumsum(used).astype(np.uint8 if used.sum() < 255 else np.int32) + 1  # bytes in use, numbered from 2
+    s = symbols[raw]
+    s[ends] = 1  # the end of a context
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    mark = np.zeros(len(s) + 1, np.int32)  # steps into and out of the places where fewer than LENGTH bytes of a context are left
+    np.add.at(mark, np.maximum(ends - LENGTH + 1, begin), 1)
+    np.add.at(mark, ends + 1, -1)
+    whole = np.cumsum(mark[:-1]) == 0
+    order = suffix_order(s, int(used.sum()) + 1, LENGTH, wanted=whole)
     same = equal_prefixes(raw, order[:-1], order[1:], LENGTH) if len(order) > 1 else np.empty(0, bool)
     if not same.any():
         return tuple(np.empty(0, np.int64) for _ in range(3))
@@ -298,132 +324,183 @@ def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tu
     twin = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     order, group = order[twin], group[twin]
     d, at = doc[of[order]], start[of[order]] + order - begin[of[order]]
-    by, new = _first_of((d, at), (group,))  # each string of a document stands in one context
-    d, at = d[by][~new], at[by][~new]
-    return merged_spans(d, at, at + LENGTH)
+    by, new = _first_of((d, at), (group,))
+    d, at, head, file = d[by], at[by], np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)), file[of[order]][by]
+    again = (d != d[head]) | (at != at[head])  # not the first, nor the same string of a document in another row
+    return file[again], d[again], at[again]
 
 
-def sort_contexts(docs: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
-    """Step 2: the texts of the asked contexts by anchor, and the repeats among them."""
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "anchor", "single")).alias("wanted"))
-    pairs = docs.join(wanted, "doc").select("doc", "text", "wanted")
+def sort_contexts(texts: DataFrame, shards: int, common: np.ndarray, anchors: str, uri: str) -> None:
+    """Step 2: the contexts of shared anchors, sorted shard by shard; the repeats among them, written for each file of texts."""
+    listed = texts.sparkSession.sparkContext.broadcast(common)
 
     def send(batches):
+        first: dict[bytes, tuple] = {}  # of equal contexts the one that comes first
         held: dict[int, list] = {}
+        gone: list[tuple] = []
         size = 0
+        known = (None, None, None)
 
         def out():
+            for text, (doc, start, file, shard) in first.items():
+                if shard >= 0:
+                    held.setdefault(shard, []).append((doc, start, file, text))
+                else:
+                    for at in range(len(text) - LENGTH + 1):
+                        string = text[at : at + LENGTH]
+                        held.setdefault(xxhash.xxh64_intdigest(string) % shards, []).append((doc, start + at, file, string))
             data = []
             for k in sorted(held):
                 rows = held[k]
-                head = _pack(*(np.array([r[c] for r in rows], np.int64) for c in range(3)))
-                body = zstandard.ZstdCompressor(1).compress(b"".join(r[3] for r in rows))
-                data.append(len(head).to_bytes(8, "little") + head + body)
-            return pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.int32()), pa.array(data, pa.binary())], names=_SENT.names)
-
-        for batch in batches:
-            lists = batch.column(2)
-            cut, values = lists.offsets.to_numpy(), lists.values
-            start, end, anchor = (values.field(k).to_numpy() for k in range(3))
-            single = values.field(3).to_numpy(zero_copy_only=False)
-            shard = (_mixed(anchor.view(np.uint64)) >> np.uint64(33)).astype(np.int64) % shards
-            for k, (d, t) in enumerate(zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)), strict=True)):
-                for r in range(cut[k], cut[k + 1]):
-                    if single[r]:
-                        for at in range(start[r], end[r] - LENGTH + 1):
-                            string = t[at : at + LENGTH]
-                            held.setdefault(xxhash.xxh64_intdigest(string) % shards, []).append((d, at, LENGTH, string))
-                            size += LENGTH
-                        continue
-                    held.setdefault(int(shard[r]), []).append((d, start[r], end[r] - start[r], t[start[r] : end[r]]))
-                    size += end[r] - start[r]
-                if size >= 24 << 20:
-                    yield out()
-                    held, size = {}, 0
-        if held:
+                head = _pack(*(np.array([r[c] for r in rows], np.int64) for c in range(3)), np.array([len(r[3]) for r in rows], np.int64))
+                data.append(len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(1).compress(b"".join(r[3] for r in rows)))
+            keys = sorted(held)
+            if gone:  # to the files of texts through any shard
+                keys.append(gone[0][1] % shards)
+                data.append((0).to_bytes(8, "little") + _pack(*(np.array(x, np.int64) for x in zip(*gone, strict=True))))
+            return _batch(_SENT, keys, data)
+
+        for s, piece, ids, files, offset in _cut(batches):
+            a, _, at, n = runs(s, piece, listed.value)
+            own = piece[at]
+            raw = s.tobytes()
+            for f in np.unique(files[own]).tolist():
+                if known[0] != f:
+                    known = (f, *_listed(f"{anchors}/anchors-{f}"))
+                if not len(known[1]):
+                    continue
+                mine = np.flatnonzero(files[own] == f)
+                place = np.minimum(np.searchsorted(known[1], a[mine]), len(known[1]) - 1)
+                ok = known[1][place] == a[mine]
+                mine, place = mine[ok], place[ok]
+                shard = np.where(known[2][place] > 0, -1, (_mixed(a[mine]) >> np.uint64(33)).astype(np.int64) % shards)
+                doc, start = ids[own[mine]], at[mine] + offset[own[mine]]
+                for d, p, lo, hi, k in zip(doc.tolist(), start.tolist(), at[mine].tolist(), (at[mine] + n[mine] + LENGTH - 1).tolist(), shard.tolist(), strict=True):
+                    text = raw[lo:hi]
+                    there = first.get(text)
+                    if there is None:
+                        first[text] = (d, p, f, k)
+                        size += hi - lo
+                    elif there[:2] == (d, p):  # another row of the same document
+                        held.setdefault(k if k >= 0 else 0, []).append((d, p, f, text))
+                    elif there[:2] < (d, p):
+                        gone.append((f, d, p, hi - lo))
+                    else:
+                        gone.append((there[2], there[0], there[1], hi - lo))
+                        first[text] = (d, p, f, k)
+            if size >= SEND_BYTES:
+                yield out()
+                first, held, gone, size = {}, {}, [], 0
+        if first:
             yield out()
         settle()
 
     def sort(batches):
-        by_shard: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_shard.setdefault(s, []).append(d)
-        for s in sorted(by_shard):
-            doc, start, texts = [], [], []
-            for d in by_shard.pop(s):
+        for _, parts in _by_key(batches):
+            doc, start, file, held, found = [], [], [], [], []
+            for d in parts:
                 n = int.from_bytes(d[:8], "little")
-                a, b, size = _unpack(d[8 : 8 + n], np.int64, np.int64, np.int64)
+                if not n:
+                    found.append(tuple(_unpack(d[8:], *[np.int64] * 4)))
+                    continue
+                a, b, f, size = _unpack(d[8 : 8 + n], *[np.int64] * 4)
                 body, at = zstandard.ZstdDecompressor().decompress(d[8 + n :]), 0
                 doc.append(a)
                 start.append(b)
+                file.append(f)
                 for k in size.tolist():
-                    texts.append(body[at : at + k])
+                    held.append(body[at : at + k])
                     at += k
-            yield _span_batch(*sorted_repeats(np.concatenate(doc), np.concatenate(start), texts))
+            if doc:
+                f, d, at = sorted_repeats(np.concatenate(doc), np.concatenate(start), held, np.concatenate(file))
+                found.append((f, d, at, np.full(len(d), LENGTH)))
+            file, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys, data = [], []
+            for f in np.unique(file):
+                own = file == f
+                keys.append(int(f))
+                data.append(_pack(*merged_spans(doc[own], start[own], (start + size)[own])))
+            if keys:
+                yield _batch(_REPLY, keys, data)
+        settle()
 
-    return pairs.mapInArrow(send, _SENT).repartition(shards, "shard").mapInArrow(sort, SPANS)
+    def keep(batches):
+        for file, parts in _by_key(batches):
+            doc, start, end = (np.concatenate(x) for x in zip(*(_unpack(d, *[np.int64] * 3) for d in parts), strict=True))
+            put(f"{uri}/spans-{file}", *merged_spans(doc, start, end))
+        settle()
+        yield _batch(_REPLY, [], [])
+
+    found = texts.mapInArrow(send, _SENT).repartition(shards, "shard").mapInArrow(sort, _REPLY).repartition("file")
+    found.mapInArrow(keep, _REPLY).write.format("noop").mode("overwrite").save()
 
 
-def _numbered(df: DataFrame, text: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Every row's doc_id, text and ``doc``, its document's number in order; and one row of each document."""
+def _listed(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shared anchors of a file of texts, and which have very many contexts."""
+    data = fetched(uri)
+    n = len(data) // 9
+    return data[: 8 * n].view(np.uint64), data[8 * n :]
+
+
+def _numbered(df: DataFrame, text: str, path: str) -> DataFrame:
+    """Every row's doc_id, text and ``doc``, its document's number in order."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if again.isEmpty():
-        rows = rows.withColumn("doc", F.col("doc_id"))
-        return rows, rows
+        return rows.withColumn("doc", F.col("doc_id"))
     # number distinct rows in order of id and digest
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     order = rows.select("doc_id", digest.alias("_digest")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_digest")
     order = written(order.withColumn("doc", F.monotonically_increasing_id()), f"{path}/order")
     keyed = rows.withColumn("_digest", digest).alias("r").join(order.alias("o"), F.expr("r._digest = o._digest and r.doc_id <=> o.doc_id"))
-    keyed = keyed.select("r.doc_id", "r.text", "o.doc")
-    return keyed, keyed.dropDuplicates(["doc"])
+    return keyed.select("r.doc_id", "r.text", "o.doc")
 
 
-def repeated_spans(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
-    """Numbered documents, and spans (doc, start, end) in bytes that repeat earlier strings; spans may overlap."""
+def repeated_spans(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS) -> tuple[DataFrame, str]:
+    """The texts (doc_id, doc, file, text), and the folder that holds the repeats of each file of them."""
     spark = df.sparkSession
     path = work_dir(spark, "substrings")
-    docs, one = _numbered(df, text, path)
-    size = one.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
-    found = written(find_runs(one, shards, common_pieces(one), most), f"{path}/runs")
-    tidy(spark)
-    asked = found.where("anchor is not null")
-    size = asked.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
-    spans = found.where("anchor is null")
-    if size:
-        spans = spans.unionByName(written(sort_contexts(one, asked, max(LEAST_SHARDS, -(-size // SORT_BYTES))), f"{path}/sorted"))
-    return docs, spans.select("doc", "start", "end")
+    rows = _numbered(df, text, path)
+    rows.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/texts")
+    texts = spark.read.schema(rows.schema).parquet(f"{path}/texts").withColumn("file", F.xxhash64("_metadata.file_path"))
+    parts = texts.select("doc", "file", "text")
+    size = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    common = common_pieces(texts)
+    contexts = share_anchors(parts, max(LEAST_SHARDS, -(-size // SHARD_BYTES)), common, f"{path}/anchors", most)
+    if contexts:
+        sort_contexts(parts, max(LEAST_SHARDS, -(-contexts * CONTEXT // SORT_BYTES)), common, f"{path}/anchors", f"{path}/spans")
+    return texts, f"{path}/spans"
 
 
 def remove_repeats(df: DataFrame, text: str = "text", most: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, text without its repeats, n_bytes, n_removed, n_spans of each row."""
-    docs, spans = repeated_spans(df, text, most)
-    listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """doc_id, text without its repeats (``kept``), n_bytes, n_removed, n_spans of each row."""
+    texts, spans = repeated_spans(df, text, most)
     schema = T.StructType(
-        [*fields(docs, ["doc_id"]), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
+        [*fields(texts, ["doc_id"]), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
     )
+    opened: dict[int, tuple] = {}
+
+    def of(file: int):
+        if file not in opened:
+            opened.clear()
+            opened[file] = tuple(fetched(f"{spans}/spans-{file}").view(np.int64).reshape(3, -1))
+        return opened[file]
 
     def run(batch: pa.RecordBatch):
         kept, counts = [], []
-        for t, found in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            out, last, gone, n = [], 0, 0, 0
-            for a, b in sorted((s["start"], s["end"]) for s in found or ()):
-                if a > last or not n:
-                    out.append(t[last:a])
-                    n += 1
-                    gone += b - a
-                elif b > last:
-                    gone += b - last
-                last = max(last, b)
+        for d, f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), column_bytes(batch.column(3)), strict=True):
+            doc, start, end = of(f)
+            lo, hi = np.searchsorted(doc, [d, d + 1])
+            out, last = [], 0
+            for a, b in zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True):
+                out.append(t[last:a])
+                last = b
             out.append(t[last:])
             kept.append(b"".join(out))
-            counts.append((len(t), gone, n))
+            counts.append((len(t), len(t) - len(kept[-1]), int(hi - lo)))
         return [batch.column(0), kept, *([c[k] for c in counts] for k in range(3))]
 
-    return map_arrow(docs.join(listed, "doc", "left").select("doc_id", "text", "spans"), run, schema)
+    return map_arrow(texts.select("doc_id", "doc", "file", "text"), run, schema)
 
 
 def brute_force(rows: list[tuple], length: int = LENGTH) -> list[tuple]:

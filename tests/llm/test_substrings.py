@@ -18,6 +18,11 @@ def test_suffix_order():
         assert sorted(order.tolist()) == list(range(n))
         cut = [s[i : i + depth].tolist() for i in order]
         assert cut == sorted(cut)
+        wanted = r.random(n) < r.random()
+        some = suffix_order(s, int(k), depth, wanted=wanted)
+        assert sorted(some.tolist()) == np.flatnonzero(wanted).tolist()
+        cut = [s[i : i + depth].tolist() for i in some]
+        assert cut == sorted(cut)
 
 
 def test_equal_prefixes():
