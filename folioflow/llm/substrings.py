@@ -161,15 +161,6 @@ def _joined(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), np.uint8), np.repeat(np.arange(len(held)), sizes), np.cumsum(sizes) - sizes
 
 
-def _first_of(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Sort order by (same, order), and whether each row in that order is the first of its equals."""
-    by = np.lexsort((*reversed(order), *reversed(same)))
-    new = np.ones(len(by), bool)
-    if len(by):
-        new[1:] = np.logical_or.reduce([a[by][1:] != a[by][:-1] for a in same])
-    return by, new
-
-
 def _batch(schema: T.StructType, keys: list, data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32() if schema.names[0] == "shard" else pa.int64()), pa.array(data, pa.binary())], names=schema.names)
 
@@ -300,8 +291,11 @@ def share_anchors(texts: DataFrame, shards: int, common: np.ndarray, uri: str, m
     return sum(int.from_bytes(r["data"], "little") for r in asked.mapInArrow(keep, _REPLY).collect())  # one row
 
 
-def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], file: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """File, doc and start of the strings that stand earlier in these contexts: suffix order, then adjacent prefixes."""
+def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], file: np.ndarray) -> tuple[np.ndarray, ...]:
+    """File, doc, start and size of spans of strings that stand earlier in these contexts: suffix order, then adjacent prefixes."""
+    # in the order of documents, so that a place in the joined contexts tells which of two strings comes first
+    by = np.lexsort((start, doc))
+    doc, start, file, texts = doc[by], start[by], file[by], [texts[k] for k in by.tolist()]
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
@@ -310,7 +304,6 @@ def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], file:
     symbols = np.cumsum(used).astype(np.uint8 if used.sum() < 255 else np.int32) + 1  # bytes in use, numbered from 2
     s = symbols[raw]
     s[ends] = 1  # the end of a context
-    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     mark = np.zeros(len(s) + 1, np.int32)  # steps into and out of the places where fewer than LENGTH bytes of a context are left
     np.add.at(mark, np.maximum(ends - LENGTH + 1, begin), 1)
     np.add.at(mark, ends + 1, -1)
@@ -318,16 +311,20 @@ def sorted_repeats(doc: np.ndarray, start: np.ndarray, texts: list[bytes], file:
     order = suffix_order(s, int(used.sum()) + 1, LENGTH, wanted=whole)
     same = equal_prefixes(raw, order[:-1], order[1:], LENGTH) if len(order) > 1 else np.empty(0, bool)
     if not same.any():
-        return tuple(np.empty(0, np.int64) for _ in range(3))
-    group = np.cumsum(np.concatenate([[0], ~same]))
-    # drop strings that stand alone, then keep all but the first of each class
-    twin = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    order, group = order[twin], group[twin]
-    d, at = doc[of[order]], start[of[order]] + order - begin[of[order]]
-    by, new = _first_of((d, at), (group,))
-    d, at, head, file = d[by], at[by], np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)), file[of[order]][by]
-    again = (d != d[head]) | (at != at[head])  # not the first, nor the same string of a document in another row
-    return file[again], d[again], at[again]
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    first = np.concatenate([[0], np.flatnonzero(~same) + 1])  # where classes of equal strings begin
+    head = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
+    late = order != head
+    at, head = order[late], head[late]
+    # a string of a document in another row of it is the same string
+    other = (doc[of[at]] != doc[of[head]]) | (start[of[at]] + at - begin[of[at]] != start[of[head]] + head - begin[of[head]])
+    at = np.sort(at[other])
+    if not len(at):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    cut = np.flatnonzero((np.diff(at) != 1) | (of[at[1:]] != of[at[:-1]])) + 1
+    lo, hi = at[np.concatenate([[0], cut])], at[np.append(cut, len(at)) - 1]
+    return file[of[lo]], doc[of[lo]], start[of[lo]] + lo - begin[of[lo]], hi - lo + LENGTH
 
 
 def sort_contexts(texts: DataFrame, shards: int, common: np.ndarray, anchors: str, uri: str) -> None:
@@ -412,8 +409,7 @@ def sort_contexts(texts: DataFrame, shards: int, common: np.ndarray, anchors: st
                     held.append(body[at : at + k])
                     at += k
             if doc:
-                f, d, at = sorted_repeats(np.concatenate(doc), np.concatenate(start), held, np.concatenate(file))
-                found.append((f, d, at, np.full(len(d), LENGTH)))
+                found.append(sorted_repeats(np.concatenate(doc), np.concatenate(start), held, np.concatenate(file)))
             file, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
             keys, data = [], []
             for f in np.unique(file):
