@@ -139,7 +139,7 @@ def bibutils_name(last: Column, first: Column) -> Column:
 def from_bibutils(c: Column) -> Column:
     """``Last, Given names`` from last|first|middle."""
     parts = F.split(c, r"\|")
-    return F.concat_ws(", ", F.get(parts, 0), F.nullif(F.array_join(F.slice(parts, 2, 99), " "), F.lit("")))
+    return F.concat_ws(", ", F.get(parts, 0), F.nullif(F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), " "), F.lit("")))
 
 
 def freestyle_bibtex(name: str | None) -> str | None:

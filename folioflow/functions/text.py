@@ -102,6 +102,11 @@ def guid_of(*parts: Column) -> Column:
     return F.upper(F.md5(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary")))
 
 
+def new_guid() -> Column:
+    """32 upper-case hex digits at random, one for each row; another each time a task runs, so write them before use."""
+    return F.upper(F.replace(F.uuid(), F.lit("-"), F.lit("")))
+
+
 def lock_name(c: Column) -> Column:
     """A file name made of a path: separators become underscores, one leading one goes, the first double one is halved."""
     out = F.regexp_replace(c, r"[/\\:.]", "_")
@@ -198,6 +203,11 @@ def pretty_date(when: Column, now: Column) -> Column:
     return out.otherwise(F.concat(rounded(AGES[-1][0]), F.lit(" Centuries"), ago))
 
 
+def seconds_ago(when: Column, now: Column, zone: str = "UTC") -> Column:
+    """Seconds from a time that is written in UTC to a time on a clock of the zone."""
+    return F.unix_timestamp(now) - F.unix_timestamp(F.from_utc_timestamp(when, zone))
+
+
 def local_date(c: Column) -> Column:
     """A date string without its time of day."""
     return F.regexp_replace(c, r"\d+:\d+:\d+", "")

@@ -1,19 +1,20 @@
 """Titles and authors from the text lines of document layouts.
 
-Lines (document, position, content, font size, box, word-list counts) of one document go through one
-function. A publisher's rule says how its documents are told and which fonts hold what; the first rule
-that fits decides. A document's lines are few, so documents are grouped whole.
+Lines (document, position, content, font size, box, word-list counts) are gathered once by document, which has
+few of them, into an array; all rules are column expressions over it. A publisher's sign says which rule reads
+a document; the first that fits decides.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..plugins import REGISTRY, register
 
 LINE = "doc string, position int, content string, fs double, xmin double, xmax double, ymin double, nr_bad_words int, nr_bad_author_words int, nr_common_words int, address_count int"
 
@@ -48,113 +49,140 @@ SCIENCE = FontRule((r"www\.sciencemag\.org",), ((20, 10), (22, 9), (24, 10)), r"
 BELOW, GAP, LEFT, RIGHT = 300, 30, 20, 100
 
 
-def _authors_below(lines: list[dict], title: list[int], font: float, rule: FontRule) -> list[str]:
-    left, right = min(lines[k]["xmin"] for k in title), max(lines[k]["xmax"] for k in title)
-    last, found, before = title[-1], [], None
-    top = lines[last]["ymin"]
-    for k, line in enumerate(lines):
-        if rule.strict and line["content"].startswith("Abstract"):
-            break
-        inside = line["xmax"] >= left and line["xmin"] <= right and line["ymin"] >= top and line["fs"] == font
-        if not inside:
-            continue
-        if rule.strict and line["ymin"] - top > BELOW:
-            break
-        if (rule.strict and len(line["content"]) < 5) or not (left - LEFT < line["xmin"] and line["xmax"] < right + RIGHT):
-            continue
-        if line["nr_bad_words"] or line["nr_bad_author_words"] or (rule.strict and line["address_count"]):
-            break
-        if line["nr_common_words"] and (not rule.strict or k > last + 1):
-            break
-        if rule.strict and before is not None and line["ymin"] - before > GAP:
-            break
-        found.append(line["content"])
-        before = line["ymin"]
-    return found
-
-
-def by_fonts(lines: list[dict], rule: FontRule) -> tuple[str | None, str | None]:
-    title = authors = None
-    for title_font, author_font in rule.fonts:
-        if title and (authors or not rule.both):
-            break
-        at = [k for k, x in enumerate(lines) if x["fs"] == title_font and not re.search(rule.skip, x["content"])]
-        if at:
-            title = " ".join(lines[k]["content"] for k in at)
-            if below := _authors_below(lines, at, author_font, rule):
-                authors = ",".join(below)
-    return title or None, authors or None
-
-
-def biopolymers(lines: list[dict]) -> tuple[str | None, str | None]:
-    """Font 18 up to the abstract; font 11 up to an address."""
-    title, authors = [], []
-    for x in lines:
-        if x["fs"] == 18:
-            title.append(x["content"])
-        if x["content"].startswith("Abstract:"):
-            break
-    for x in lines:
-        if x["fs"] == 11:
-            authors.append(x["content"])
-        if x["address_count"]:
-            break
-    return " ".join(title), ", ".join(authors)
-
-
-def landes(lines: list[dict]) -> tuple[str | None, str | None]:
-    """Font 24; lines that end in a comma near the left edge in font 12, else in font 10 near the top."""
-    edge = lambda x: abs(37 - x["xmin"]) <= 7 and x["content"].endswith(",")
-    authors = [x["content"] for x in lines if x["fs"] == 12 and edge(x)] or [x["content"] for x in lines if x["fs"] == 10 and edge(x) and x["ymin"] < 200]
-    return " ".join(x["content"] for x in lines if x["fs"] == 24), ",".join(authors) or None
+Line = Callable[[Column], Column]
 
 
-def jstor(lines: list[dict]) -> tuple[str | None, str | None]:
-    """A cover page: all before the author line is the title; without one, indented lines are authors."""
-    at = next((k for k in range(len(lines) - 1, -1, -1) if lines[k]["content"].startswith("Author(s):")), None)
-    if at is not None:
-        names = [re.sub(r"^Author\(s\):\s", "", lines[at]["content"])]
-        for x in lines[at + 1 :]:
-            if x["content"].startswith("Source"):
-                break
-            names.append(x["content"])
-        return " ".join(x["content"] for x in lines[:at]), " ".join(names)
-    cut = next((k for k, x in enumerate(lines) if x["xmin"] > 50), len(lines))
-    names = []
-    for x in lines[cut:]:
-        if x["nr_bad_words"]:
-            break
-        names.append(x["content"])
-    return " ".join(x["content"] for x in lines[:cut]), " ".join(names).replace(";", ",")
-
-
-#: A sign in any line, its flags, and the function for such documents; the first that fits decides.
-RULES = (
-    (r"^Biopolymers,\sVol\.\s\d+", re.I, biopolymers),
-    (r"Your\suse\sof\sthe\sJSTOR\sarchive\sindicates", re.I, jstor),
-    (r"Landes Bioscience", 0, landes),
-    ("|".join(NATURE.signs), NATURE.case, lambda lines: by_fonts(lines, NATURE)),
-    ("|".join(SCIENCE.signs), SCIENCE.case, lambda lines: by_fonts(lines, SCIENCE)),
-)
+def _texts(lines: Column, by: str, keep: Line | None = None) -> Column:
+    """The contents of the lines that are kept, joined; null without any."""
+    some = F.filter(lines, keep) if keep else lines
+    return F.nullif(F.array_join(F.transform(some, lambda x: x["content"]), by), F.lit(""))
 
 
-def title_and_authors(lines: list[dict], rotated: list[str] = ()) -> tuple[str | None, str | None]:
-    """Both of a document's lines in order; rotated: texts at the page's side, where signs are looked for, too."""
-    for sign, flags, rule in RULES:
-        if any(re.search(sign, t or "", flags) for t in (*(x["content"] for x in lines), *rotated)):
-            return rule(lines)
-    return None, None
+def _shows(sign: str) -> Line:
+    return lambda text: text.rlike(sign)
 
 
-def extract_titles(lines: DataFrame) -> DataFrame:
-    """doc, title, authors of each document of a line table."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("doc", "title", "authors")])
+def _first(lines: Column, where: Line) -> Column:
+    """The number of the first line with a property; null if none has it."""
+    return F.array_min(F.transform(F.filter(lines, where), lambda x: x["at"]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        title, authors = title_and_authors(pdf.sort_values("position").to_dict("records"))
-        return pd.DataFrame([(pdf["doc"].iloc[0], title, authors)], columns=["doc", "title", "authors"])
 
-    return lines.groupBy("doc").applyInPandas(run, schema)
+def by_fonts(docs: DataFrame, rule: FontRule) -> DataFrame:
+    """doc, title, authors of documents (doc, lines) by the rule's pairs of fonts.
+
+    For each pair the heading is a box. The lines in the author font whose boxes overlap its columns and don't
+    start above its last line are candidates; those between the margins count up to the first line that ends
+    the block. The first pair that gives authors wins; without one the last pair with a heading gives a title."""
+    pairs = F.array(*(F.struct(F.lit(float(t)).alias("heading"), F.lit(float(a)).alias("names")) for t, a in rule.fonts))
+    p = docs.select("doc", "lines", F.posexplode(pairs).alias("rank", "font"))
+    flags = "(?i)" if rule.case else ""
+    p = p.withColumn("heading", F.filter("lines", lambda x: (x["fs"] == F.col("font.heading")) & ~x["content"].rlike(flags + rule.skip))).where(F.size("heading") > 0)
+    box = F.struct(
+        F.array_min(F.transform("heading", lambda x: x["xmin"])).alias("left"),
+        F.array_max(F.transform("heading", lambda x: x["xmax"])).alias("right"),
+        F.element_at("heading", -1)["ymin"].alias("top"),
+        F.element_at("heading", -1)["at"].alias("last"),
+    )
+    p = p.withColumn("box", box)
+    below = F.filter("lines", lambda x: (x["fs"] == F.col("font.names")) & (x["xmax"] >= F.col("box.left")) & (x["xmin"] <= F.col("box.right")) & (x["ymin"] >= F.col("box.top")))
+    p = p.withColumn("below", below)
+    between = F.filter("below", lambda x: (x["xmin"] > F.col("box.left") - LEFT) & (x["xmax"] < F.col("box.right") + RIGHT) & (F.length(x["content"]) >= (5 if rule.strict else 0)))
+    p = p.withColumn("block", between)
+    foreign = lambda x: (x["nr_bad_words"] > 0) | (x["nr_bad_author_words"] > 0)
+    if rule.strict:
+        gaps = F.transform("block", lambda x, k: F.when((k > 0) & (x["ymin"] - F.get("block", k - 1)["ymin"] > GAP), x["at"]))
+        ends = F.array(
+            _first(F.col("lines"), lambda x: x["content"].startswith("Abstract")),
+            _first(F.col("below"), lambda x: x["ymin"] - F.col("box.top") > BELOW),
+            _first(F.col("block"), lambda x: foreign(x) | (x["address_count"] > 0) | ((x["nr_common_words"] > 0) & (x["at"] > F.col("box.last") + 1))),
+            F.array_min(gaps),
+        )
+    else:
+        ends = F.array(_first(F.col("block"), lambda x: foreign(x) | (x["nr_common_words"] > 0)))
+    p = p.withColumn("end", F.coalesce(F.array_min(ends), F.size("lines")))
+    p = p.select("doc", "rank", _texts(F.col("heading"), " ").alias("title"), _texts(F.col("block"), ",", lambda x: x["at"] < F.col("end")).alias("authors"))
+    found = F.struct("title", "authors")
+    early = F.min_by(F.when(F.col("authors").isNotNull(), found), F.when(F.col("authors").isNotNull(), F.col("rank")))
+    best = F.coalesce(early, F.max_by(found, "rank")) if rule.both else F.min_by(found, "rank")
+    return p.groupBy("doc").agg(best.alias("m")).select("doc", "m.title", "m.authors")
+
+
+def biopolymers(docs: DataFrame) -> DataFrame:
+    """Font 18 up to the abstract; font 11 up to an address."""
+    size = F.size("lines")
+    abstract = F.coalesce(_first(F.col("lines"), lambda x: x["content"].startswith("Abstract:")), size)
+    address = F.coalesce(_first(F.col("lines"), lambda x: x["address_count"] > 0), size)
+    d = docs.withColumns({"abstract": abstract, "address": address})
+    title = _texts(F.col("lines"), " ", lambda x: (x["fs"] == 18) & (x["at"] <= F.col("abstract")))
+    return d.select("doc", title.alias("title"), _texts(F.col("lines"), ", ", lambda x: (x["fs"] == 11) & (x["at"] <= F.col("address"))).alias("authors"))
+
+
+def landes(docs: DataFrame) -> DataFrame:
+    """Font 24; lines that end in a comma near the left edge in font 12, else in font 10 near the top."""
+    edge = lambda x: (F.abs(37 - x["xmin"]) <= 7) & x["content"].endswith(",")
+    large = _texts(F.col("lines"), ",", lambda x: (x["fs"] == 12) & edge(x))
+    small = _texts(F.col("lines"), ",", lambda x: (x["fs"] == 10) & edge(x) & (x["ymin"] < 200))
+    return docs.select("doc", _texts(F.col("lines"), " ", lambda x: x["fs"] == 24).alias("title"), F.coalesce(large, small).alias("authors"))
+
+
+def jstor(docs: DataFrame) -> DataFrame:
+    """A cover page: all before the author line is the title; without one, indented lines are authors."""
+    label = F.array_max(F.transform(F.filter("lines", lambda x: x["content"].startswith("Author(s):")), lambda x: x["at"]))
+    d = docs.withColumns({"label": label, "indent": F.coalesce(_first(F.col("lines"), lambda x: x["xmin"] > 50), F.size("lines"))})
+    d = d.withColumn("cut", F.coalesce("label", "indent"))
+    source = _first(F.col("lines"), lambda x: (x["at"] > F.col("label")) & x["content"].startswith("Source"))
+    bad = _first(F.col("lines"), lambda x: (x["at"] >= F.col("indent")) & (x["nr_bad_words"] > 0))
+    d = d.withColumn("end", F.coalesce(F.when(F.col("label").isNotNull(), source).otherwise(bad), F.size("lines")))
+    names = _texts(F.col("lines"), " ", lambda x: (x["at"] >= F.col("cut")) & (x["at"] < F.col("end")))
+    names = F.when(F.col("label").isNotNull(), F.regexp_replace(names, r"^Author\(s\):\s", "")).otherwise(F.replace(names, F.lit(";"), F.lit(",")))
+    return d.select("doc", _texts(F.col("lines"), " ", lambda x: x["at"] < F.col("cut")).alias("title"), names.alias("authors"))
+
+
+@dataclass
+class Layout:
+    """A publisher's sign in any line, and the function that reads documents with it."""
+
+    sign: str
+    read: Callable[[DataFrame], DataFrame]
+
+
+#: In the order that decides where a document has several signs.
+LAYOUTS: dict[str, Layout] = {
+    "biopolymers": Layout(r"(?i)^Biopolymers,\sVol\.\s\d+", biopolymers),
+    "jstor": Layout(r"(?i)Your\suse\sof\sthe\sJSTOR\sarchive\sindicates", jstor),
+    "landes": Layout(r"Landes Bioscience", landes),
+    "nature": Layout("(?i)" + "|".join(NATURE.signs), lambda docs: by_fonts(docs, NATURE)),
+    "science": Layout("|".join(SCIENCE.signs), lambda docs: by_fonts(docs, SCIENCE)),
+}
+
+
+for _name, _layout in LAYOUTS.items():
+    register("layout", _name)(_layout)
+
+
+def extract_titles(lines: DataFrame, rotated: DataFrame | None = None, layouts: dict[str, Layout] | None = None) -> DataFrame:
+    """doc, title, authors of each document of a line table; both null where no layout fits.
+
+    rotated: doc and content of texts at the page's side, where signs are looked for, too. layouts: those to try in
+    their order, the registered ones if not given; a new one is any pattern with a function from (doc, lines) to
+    (doc, title, authors)."""
+    layouts = REGISTRY["layout"] if layouts is None else layouts
+    names = [c for c in lines.columns if c not in ("doc", "position")]
+    docs = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("position", *names))).alias("lines"))
+    docs = docs.withColumn("lines", F.transform("lines", lambda x, k: F.struct(k.alias("at"), *(x[c].alias(c) for c in names))))
+    docs = docs.withColumn("texts", F.transform("lines", lambda x: x["content"]))
+    if rotated is not None:
+        side = rotated.groupBy("doc").agg(F.collect_list("content").alias("side"))
+        docs = docs.join(side, "doc", "left").withColumn("texts", F.concat("texts", F.coalesce("side", F.array()))).drop("side")
+    which = F.lit(None).cast("string")
+    for name, layout in reversed(layouts.items()):
+        which = F.when(F.exists("texts", _shows(layout.sign)), F.lit(name)).otherwise(which)
+    docs = docs.select("doc", "lines", which.alias("layout"))
+    out = docs.where("layout is null").select("doc", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("authors"))
+    for name, layout in layouts.items():
+        own = docs.where(F.col("layout") == name).drop("layout")
+        out = out.unionByName(own.select("doc").join(layout.read(own), "doc", "left"))
+    return out
 
 
 def box_text(value: Column) -> Column:

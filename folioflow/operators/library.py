@@ -62,6 +62,14 @@ def empty_trash(publications: DataFrame) -> DataFrame:
     return publications.where(~F.col("trashed"))
 
 
+def mark_read(publications: DataFrame, reads: DataFrame) -> DataFrame:
+    """Publications after some reads (guid, at): ``times_read`` grows by their number, ``last_read`` is the latest."""
+    per = reads.groupBy("guid").agg(F.count(F.lit(1)).cast("int").alias("_n"), F.max("at").alias("_at"))
+    out = publications.join(per, "guid", "left")
+    out = out.withColumns({"times_read": F.coalesce("times_read", F.lit(0)) + F.coalesce("_n", F.lit(0)), "last_read": F.greatest("last_read", "_at")})
+    return out.select(*publications.columns)
+
+
 def remove_members(bridge: DataFrame, collection: str, keys: DataFrame) -> DataFrame:
     """The bridge without the given publications of one collection."""
     gone = keys.select(F.col("guid").alias("publication_guid")).distinct().withColumn("collection_guid", F.lit(collection))

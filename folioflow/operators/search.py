@@ -12,7 +12,7 @@ from ..sources.records import SEARCH_FIELDS, QueryError
 
 _TERM = re.compile(r'(?:(\w+):)?(?:"([^"]*)"|(\S+))')
 _WORDS = r"[^\p{L}\p{N}]+"
-#: Rows that stand for "all".
+#: Rows that stood for "all" in a list that a person scrolls through; an option, since it drops the rest. Fixed value.
 ALL_ROWS = 999_999
 #: Above this many matches the ordering flag is off, where a caller asks for that.
 SORT_LIMIT = 5000
@@ -89,8 +89,11 @@ def page(df: DataFrame, offset: int = 0, limit: int = 10, order: list | None = N
     return (df.orderBy(*order) if order else df).offset(offset).limit(limit)
 
 
-def all_rows(df: DataFrame, order: list | None = None) -> DataFrame:
-    return page(df, 0, ALL_ROWS, order)
+def all_rows(df: DataFrame, order: list | None = None, most: int | None = None) -> DataFrame:
+    """Every row, or the first ``most`` of them where a caller wants a bound."""
+    if most is not None:
+        return page(df, 0, most, order)
+    return df.orderBy(*order) if order else df
 
 
 def page_count(total: Column, size: int) -> Column:

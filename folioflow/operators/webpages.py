@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import freestyle_bibtex
+from ..plugins import register
 from ..sources.bibtex import balanced_entry, read_bibtex
 from ..sources.records import FIELDS, UnknownSiteError
 from ..sources.ris import read_ris
@@ -116,15 +117,30 @@ def _labelled(text: str, label: str, *followers: str) -> str | None:
     return m[1].strip() if m else None
 
 
+def citation_parts(text: str) -> dict[str, str]:
+    """A citation line's parts: numbers after the words volume, issue and pages, the journal before the first of
+    them, and the date among the rest."""
+    out, rest, at = {}, [], 0
+    for m in re.finditer(r"\b(Volume|Issue|Page)s?\s+(\d+(?:\s*-\s*\d+)?)", text):
+        out.setdefault({"Volume": "volume", "Issue": "issue", "Page": "pages"}[m[1]], re.sub(r"\s", "", m[2]))
+        rest.append(text[at : m.start()])
+        at = m.end()
+    if not out:
+        return {}
+    rest.append(text[at:])
+    out["journal"] = rest[0].strip(" ,")
+    if date := re.search(r"(?:([A-Za-z]+)\s+)?\b(\d{4})\b", " ".join(rest[1:])):
+        out |= {"year": date[2]} | ({"month": date[1]} if date[1] else {})
+    return out
+
+
 def lancet(page: Page, url: str) -> dict:
-    cite = " ".join(page.texts("div", "id", "article_cite")[:1])
-    out = {"pubtype": "ARTICLE", "title": (page.texts("h1") or [""])[0], "authors": people(page.texts("a", "class", "ja50-ce-author"))}
-    m = re.search(r"(?P<journal>.*),\s+Volume\s+(?P<volume>\d+),\s+Issue\s+(?P<issue>\d+)\s*,\s+Pages?\s(?P<a>\d+)(?:\s+-\s+(?P<b>\d+))?,\s+.*?(?P<year>\d{4})", cite)
-    if m:
-        g = m.groupdict()
-        out |= {k: g[k] for k in ("journal", "volume", "issue", "year")} | {"pages": "-".join(x for x in (g["a"], g["b"]) if x)}
-    if m := re.search(r"doi:(\S+?)\s*(?:Cite|$)", " ".join(page.texts("div", "id", "article_DOI")[:1])):
-        out["doi"] = m[1]
+    cited = citation_parts(" ".join(page.texts("div", "id", "article_cite")[:1]))
+    cited.pop("month", None)
+    out = {"pubtype": "ARTICLE", "title": (page.texts("h1") or [""])[0], "authors": people(page.texts("a", "class", "ja50-ce-author"))} | cited
+    for word in " ".join(page.texts("div", "id", "article_DOI")[:1]).split():
+        if word.startswith("doi:"):
+            out["doi"] = word.removeprefix("doi:").removesuffix("Cite")
     return out | {"abstract": " ".join(page.texts("div", "class", "ja50-ce-abstract-section"))}
 
 
@@ -192,37 +208,27 @@ def google_books(page: Page, url: str) -> dict:
 
 
 def science_direct(page: Page, url: str) -> dict:
-    head = " ".join(page.texts("div", "class", "artiHead")[:1])
-    out = {"pubtype": "ARTICLE", "title": " ".join(page.texts("div", "class", "articleTitle")[:1]).strip()}
-    m = re.search(r"(?P<journal>.*)\sVolume\s(?P<volume>\d+),\sIssues?\s(?P<issue>[\d-]+),\s(?:\d+)?\s?(?P<month>[A-Za-z]+)\s(?P<year>\d{4}),\sPages\s(?P<pages>\d+-\d+)", head)
-    out |= m.groupdict() if m else {}
-    for text in page.texts("a", "target", "doilink"):
-        if text.startswith("doi:10"):
-            out["doi"] = text[4:]
-    for text in page.texts("div", "class", "articleText_indent"):
-        if text.startswith("Abstract"):
-            out["abstract"] = text[8:].strip()
-    names = re.sub(r"\s+and\s+", ",", " ".join(page.texts("div", "id", "authorsAnchors")[:1]))
-    out["authors"] = people([n for n in re.sub(r"\.(?=\S)", ". ", names).split(",") if len(n.strip()) > 1])
-    return out
-
-
-#: What is taken out of an abstract's markup, in order, and what comes in its place. Fixed values.
-NATURE_CLEANUP = (
-    (r'\sclass="[a-z\d\-\s_]+"', ""), (r'\sid="[a-z]+"', ""), (r"</?div>", ""), (r"</?span>", ""), (r"<h\d>", "<b>"), (r"</h\d>", "</b>"),
-    (r'<a href="#top">Top of page</a>', ""), (r"<b>Abstract</b>", ""), (r"<p></p>", ""), (r'\shref="[^"]+"', ""), (r"</?a>", ""),
-)
-
-
-def nature(page: Page, url: str, html: str = "") -> dict | None:
+    one = lambda *where: " ".join(page.texts("div", *where)[:1]).strip()
+    out = {"pubtype": "ARTICLE", "title": one("class", "articleTitle")} | citation_parts(one("class", "artiHead"))
+    links = [t for t in page.texts("a", "target", "doilink") if t.startswith("doi:10")]
+    abstracts = [t for t in page.texts("div", "class", "articleText_indent") if t.startswith("Abstract")]
+    if links:
+        out["doi"] = links[-1].removeprefix("doi:")
+    if abstracts:
+        out["abstract"] = abstracts[-1].removeprefix("Abstract").strip()
+    names = one("id", "authorsAnchors").replace(" and ", ",").split(",")
+    # initials may stand without a blank; footnote letters are no names
+    return out | {"authors": people([". ".join(x.strip() for x in n.split(".")).strip() for n in names if len(n.strip()) > 1])}
+
+
+def nature(page: Page, url: str) -> dict | None:
+    """The meta tags, and the text of the abstract's element without its heading and link."""
     if "doifinder/10." in url:
         return None
     out = meta_record(page)
-    if m := re.search(r'<div[^>]*\bid="abs"[^>]*>(.*?)</div>', html, re.S):
-        text = m[1]
-        for pattern, new in NATURE_CLEANUP:
-            text = re.sub(pattern, new, text)
-        out["abstract"] = text.strip()
+    found = page.texts("div", "id", "abs")
+    if found:
+        out["abstract"] = re.sub(r"\s+", " ", found[0].removeprefix("Top of page").strip().removeprefix("Abstract").replace("Top of page", " ")).strip()
     return out
 
 
@@ -265,47 +271,147 @@ def default(page: Page, url: str, html: str = "") -> dict:
     return out
 
 
+def iop(page: Page, url: str) -> dict:
+    """Meta tags without the abstract; the export completes them."""
+    return meta_record(page) | {"abstract": ""}
+
+
+def la_press(page: Page, url: str) -> dict:
+    """The listing's last line has the volume and the pages, which the export gives less well."""
+    out = meta_record(page)
+    lines = page.texts("div", "class", "journalListingAuthor")
+    if lines and (m := re.search(r"\d{4}:(?P<volume>\d+)\s(?P<pages>\d+-\d+)", lines[-1])):
+        out |= m.groupdict()
+    return out
+
+
 #: Extractors by a pattern of the address, first one wins.
 SITES = (
     (r"thelancet\.com", lancet), (r"emeraldinsight\.com", emerald), (r"dovepress\.com", dovepress), (r"books\.google\.", google_books), (r"sciencedirect\.com", science_direct),
     (r"nature\.com", nature), (r"landesbioscience\.com", landes), (r"ieeexplore\.ieee\.org", ieee), (r"springerlink\.com", springer),
-    (r"iop\.org|liebertpub|lww\.com|onlinelibrary\.wiley\.com", default), (r".", default),
+    (r"iop\.org", iop), (r"la-press\.com", la_press), (r"liebertpub|lww\.com|onlinelibrary\.wiley\.com", default), (r".", default),
 )
+for _, _extract in SITES:
+    register("extractor", _extract.__name__)(_extract)
+
+
+def _link(page: Page, wanted: str) -> str | None:
+    """The first link whose address has a text."""
+    return next((e.attrs["href"] for e in page.elements if e.tag == "a" and wanted in e.attrs.get("href", "")), None)
+
+
+def export_address(page: Page, url: str) -> str | None:
+    """Where a page's site gives its record as BibTeX or RIS text."""
+    if m := re.match(r"(.*iop\.org/)([\w/-]+)", url):
+        return f"{m[1]}export?articleId={m[2].rstrip('/')}&exportFormat=iopexport_bib&exportType=abs"
+    if "la-press.com" in url:
+        found = [e.attrs.get("href", "") for e in page.elements if e.tag == "a" and e.attrs.get("class") == "endnote"]
+        return f"http://la-press.com/{found[0].lstrip('/')}" if found else None
+    if "onlinelibrary.wiley.com" in url:
+        found = _link(page, "/documentcitationdownload")
+        return f"http://onlinelibrary.wiley.com{found[found.index('/documentcitationdownload'):]}" if found else None
+    if "books.google." in url:
+        return _link(page, "output=bibtex")
+    if "sciencedirect.com" in url or "lww.com" in url:
+        return _link(page, "export") or _link(page, "Export")
+    return None
+
 
+def frame_addresses(page: Page) -> list[str]:
+    return [src for e in page.elements if e.tag == "frame" and (src := e.attrs.get("src", "")).startswith("http")]
 
-def read_page(url: str | None, html: str | None, sites=SITES) -> tuple[dict | None, str | None]:
-    """The record of a page, or the name of an error. Empty and word-processor addresses are refused."""
+
+#: Steps that a linked page can belong to.
+EXPORT, FRAME = "export", "frame"
+
+
+def follow_ups(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, step, position and address of what a page's record may still need: its site's export, and its frames."""
+    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), T.StructField("step", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("address", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            rows, steps, places, found = [], [], [], []
+            for k, (u, h) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                page = Page(h or "")
+                export = export_address(page, u or "")
+                for step, n, address in [(EXPORT, 0, export)] * bool(export) + [(FRAME, n, f) for n, f in enumerate(frame_addresses(page))]:
+                    rows.append(k)
+                    steps.append(step)
+                    places.append(n)
+                    found.append(address)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(steps, pa.string()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=schema.names)
+
+    return pages.select(key, url, html).mapInArrow(run, schema)
+
+
+def exported(text: str) -> dict | None:
+    """The first record of a BibTeX or RIS text."""
+    found = read_bibtex(text) if re.search(r"@\w+\s*\{", text) else read_ris(text)
+    return found[0] if found else None
+
+
+def _with_linked(record: dict | None, linked: list[dict]) -> dict | None:
+    """A record with what its export gives, or that of the first frame with a title where the page has none."""
+    for x in linked:
+        if x["step"] == EXPORT and (more := exported(x["content"] or "")):
+            record = (record or {}) | {k: v for k, v in more.items() if v and not (k in ("volume", "pages") and (record or {}).get(k))}
+    if not (record or {}).get("title"):
+        for x in linked:
+            if x["step"] == FRAME and (more := meta_record(Page(x["content"] or ""))).get("title"):
+                return more
+    return record if (record or {}).get("title") else None
+
+
+def read_page(url: str | None, html: str | None, sites=SITES, linked: list[dict] = ()) -> tuple[dict | None, str | None]:
+    """The record of a page, or the name of an error. Empty and word-processor addresses are refused.
+
+    linked: step and content of what the page's follow-up addresses gave, in their order."""
     url, html = url or "", html or ""
     if not url or url.endswith(".doc"):
         return None, "UnknownSiteError"
     for pattern, extract in sites:
         if re.search(pattern, url):
+            page = Page(html)
             try:
-                page = Page(html)
                 out = extract(page, url, html) if "html" in extract.__code__.co_varnames[: extract.__code__.co_argcount] else extract(page, url)
             except UnknownSiteError:
-                return None, "UnknownSiteError"
-            if not out or not out.get("title"):
-                return None, "UnknownSiteError"
-            return {k: v for k, v in out.items() if v}, None
+                out = None
+            out = _with_linked(out, linked)
+            return ({k: v for k, v in out.items() if v}, None) if out else (None, "UnknownSiteError")
     return None, "UnknownSiteError"
 
 
-def extract_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, all record fields, and ``error`` of each page."""
+def extract_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", linked: DataFrame | None = None, pubmed: DataFrame | None = None) -> DataFrame:
+    """key, all record fields, and ``error`` of each page.
+
+    linked: url and html of pages that were loaded for ``follow_ups``; pubmed: records by ``pmid`` that take the
+    place of those found with that number. Nothing is loaded here."""
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), *(T.StructField(f, T.StringType()) for f in FIELDS), T.StructField("error", T.StringType())])
+    rows = pages.select(key, F.col(url).alias("_url"), F.col(html).alias("_html"))
+    if linked is not None:
+        got = follow_ups(pages, key, url, html).join(linked.select(F.col("url").alias("address"), F.col("html").alias("content")), "address")
+        per = got.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step", "position", "content"))).alias("_linked"))
+        rows = rows.join(per, key, "left")
 
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(len(FIELDS) + 1)]
-            for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                record, error = read_page(u, h)
+            more = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for u, h, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), more, strict=True):
+                record, error = read_page(u, h, linked=x or ())
                 for c, f in zip(cols, FIELDS, strict=False):
                     c.append((record or {}).get(f))
                 cols[-1].append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols)], names=schema.names)
 
-    return pages.select(key, url, html).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    if pubmed is None:
+        return out
+    known = pubmed.where(F.col("pmid").isNotNull()).dropDuplicates(["pmid"])
+    known = known.select("pmid", F.struct(*(F.col(f).cast("string").alias(f) if f in pubmed.columns else F.lit(None).cast("string").alias(f) for f in FIELDS)).alias("_known"))
+    out = out.join(known, "pmid", "left")
+    return out.select(key, *(F.when(F.col("_known").isNotNull(), F.col("_known")[f]).otherwise(F.col(f)).alias(f) for f in FIELDS), "error")
 
 
 def page_title(html: Column) -> Column:

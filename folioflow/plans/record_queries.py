@@ -118,13 +118,21 @@ def first_provider(spark, sf):
     return matching.first_provider(hits, "user_id", "purchase, signup, view")
 
 
-_LETTER = "CASE WHEN k < 2 THEN '' WHEN k < 28 THEN chr(CAST(95 + k AS INTEGER)) ELSE chr(CAST(96 + (k - 2) // 26 AS INTEGER)) || chr(CAST(97 + (k - 2) % 26 AS INTEGER)) END"
+#: All strings of one to three letters in order, with their numbers from 2 on.
+_LETTERS = """l AS (SELECT chr(97 + CAST(range AS INTEGER)) AS c FROM range(26)),
+       w AS (SELECT c AS t FROM l UNION ALL SELECT x.c || y.c FROM l x, l y UNION ALL SELECT x.c || y.c || z.c FROM l x, l y, l z),
+       n AS (SELECT t, row_number() OVER (ORDER BY length(t), t) + 1 AS k FROM w UNION ALL SELECT '', 1)"""
 
 
-@query("citekey_disambiguate", f"WITH s AS (SELECT s_suppkey, s_name, 'N' || s_nationkey AS base, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) SELECT s_suppkey, base || {_LETTER} AS citekey FROM s")
+@query(
+    "citekey_disambiguate",
+    f"""WITH {_LETTERS}, s AS (SELECT o_orderkey, 'P' || substr(o_orderpriority, 1, 1) AS base, row_number() OVER (PARTITION BY substr(o_orderpriority, 1, 1) ORDER BY o_orderkey) AS k FROM orders)
+        SELECT o_orderkey, base || t AS citekey FROM s JOIN n USING (k)""",
+)
 def citekey_disambiguate(spark, sf):
-    s = table(spark, sf, "supplier").withColumn("base", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")))
-    return matching.citekeys(s, "base", [F.col("s_suppkey")]).select("s_suppkey", "citekey")
+    """A few base keys for all orders: one to three letters."""
+    o = table(spark, sf, "orders").withColumn("base", F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1)))
+    return matching.citekeys(o, "base", [F.col("o_orderkey")]).select("o_orderkey", "citekey")
 
 
 @query(
@@ -562,7 +570,11 @@ def event_windows(spark, sf):
 # -- structured values, sources, keys of the whole library ----------------------------------------------------
 
 
-@query("rekey_library", f"WITH s AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) || (1990 + c_nationkey) AS base FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS k FROM s) SELECT c_custkey, base || {_LETTER} AS citekey FROM r")
+@query(
+    "rekey_library",
+    f"""WITH {_LETTERS}, s AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) || (1990 + c_nationkey) AS base FROM customer),
+        r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY c_custkey) AS k FROM s) SELECT c_custkey, base || t AS citekey FROM r JOIN n USING (k)""",
+)
 def rekey_library(spark, sf):
     c = table(spark, sf, "customer")
     key = patterns.format_pattern("[Firstauthor][YYYY]", F.array("c_mktsegment"), F.col("c_name"), (F.col("c_nationkey") + 1990).cast("string"), F.lit(""))

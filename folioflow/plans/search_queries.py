@@ -103,7 +103,7 @@ def search_guid(spark, sf):
     return _found(spark, sf, "guid:G17").select("doc_id", "guid")
 
 
-@query("search_all_rows", "SELECT doc_id, lang AS labels FROM documents ORDER BY doc_id LIMIT 999999")
+@query("search_all_rows", "SELECT doc_id, lang AS labels FROM documents ORDER BY doc_id")
 def search_all_rows(spark, sf):
     return search.all_rows(search.light(publications(spark, sf), ["doc_id", "labels"]), [F.col("doc_id")])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import double_dash, elided_authors, present, strip_short_tags
+from ..plugins import register
 from ..sources.records import FileFormatError
 
 #: Record fields in the order in which an entry shows them, with their BibTeX names.
@@ -68,6 +70,52 @@ def wrapped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fill(t))
 
 
+@dataclass(frozen=True)
+class Style:
+    """How a citation is put together: parts by name with what stands around them, names in one of two ways."""
+
+    parts: tuple[tuple[str, str, str], ...]
+    by: str = " "
+    initials_first: bool = False
+    most: int | None = None  # names beyond this many are "et al."
+    last: str = ", "  # before the last name
+
+
+#: Styles by name. The parts of a record that is absent are left out with what stands around them.
+STYLES = {
+    "nature": Style((("authors", "", ""), ("title", "", "."), ("journal", "", ""), ("volume", "", ","), ("pages", "", ""), ("year", "(", ").")), most=5, last=" & "),
+    "author-date": Style((("authors", "", ""), ("year", "(", ")."), ("title", "", "."), ("journal", "", ","), ("numbers", "", ","), ("pages", "", ".")), most=7, last=", & "),
+    "numeric": Style((("authors", "", "."), ("title", "", "."), ("journal", "", "."), ("year", "", ";"), ("numbers", "", ":"), ("pages", "", ".")), most=6),
+    "initials first": Style((("authors", "", ","), ("title", "", ","), ("journal", "", ","), ("volume", "vol. ", ","), ("issue", "no. ", ","), ("pages", "pp. ", ","), ("year", "", ".")), initials_first=True, last=" and "),
+}
+
+
+def styled_names(c: Column, style: Style) -> Column:
+    """Author names with initials, in a style's order, cut and joined."""
+
+    def one(x: Column) -> Column:
+        last, first = F.trim(F.get(F.split(x, ","), 0)), F.coalesce(F.trim(F.get(F.split(x, ","), 1)), F.lit(""))
+        marks = F.array_join(F.transform(F.regexp_extract_all(first, F.lit(r"(\p{L})\p{L}*")), lambda i: F.concat(i, F.lit("."))), " ")
+        marks = F.nullif(marks, F.lit(""))
+        return F.concat_ws(" ", marks, last) if style.initials_first else F.concat_ws(", ", last, marks)
+
+    names = F.transform(F.split(c, r"\s+and\s+"), one)
+    n = F.size(names)
+    joined = F.when(n == 1, F.get(names, 0)).otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(1))), ", "), F.lit(style.last), F.element_at(names, -1)))
+    if style.most is not None:
+        joined = F.when(n > style.most, F.concat(F.get(names, 0), F.lit(" et al."))).otherwise(joined)
+    return F.when(present(c), joined)
+
+
+def styled_citation(df: DataFrame, style: str) -> Column:
+    """A record's citation in a named style."""
+    s = STYLES[style]
+    value = lambda n: F.when(present(_field(df, n)), _field(df, n))
+    numbers = F.concat(value("volume"), F.coalesce(F.concat(F.lit("("), value("issue"), F.lit(")")), F.lit("")))
+    known = {"authors": styled_names(_field(df, "authors"), s), "journal": F.coalesce(value("journal"), value("booktitle"), value("publisher")), "numbers": numbers}
+    return F.concat_ws(s.by, *(F.concat(F.lit(before), known.get(n, value(n)), F.lit(after)) for n, before, after in s.parts))
+
+
 def citation(df: DataFrame) -> Column:
     """A short citation: journal volume(issue):pages, year."""
     f = lambda n: F.nullif(F.coalesce(_field(df, n), F.lit("")), F.lit(""))
@@ -96,12 +144,44 @@ def citekey_list(df: DataFrame, cite: bool = False) -> DataFrame:
 FORMATS = {"bibtex": bibtex_entry, "ris": ris_entry, "citations": lambda df: wrapped(citation_text(df)), "email": email_text}
 
 
-def export_text(df: DataFrame, out_format: str) -> DataFrame:
+def export_text(df: DataFrame, out_format: str, **settings) -> DataFrame:
     """``text`` of each record in a named format; write it with ``df.write.text``."""
     name = out_format.lower()
     if name not in FORMATS:
         raise FileFormatError(f"unknown format {out_format}")
-    return df.select(FORMATS[name](df).alias("text"))
+    return df.select(FORMATS[name](df, **settings).alias("text"))
+
+
+class Sink:
+    """Where records go: made from data and settings, which each sink explains."""
+
+    def __init__(self, data: DataFrame, settings: dict | None = None):
+        self.data, self.settings = data, settings or {}
+
+    def write(self):
+        raise NotImplementedError
+
+
+@register("sink", "file")
+class FileSink(Sink):
+    """Text files: ``out_format`` and ``path``, and what the format has as settings; a string if there is no path."""
+
+    def write(self) -> str | None:
+        more = dict(self.settings)
+        out_format, path = more.pop("out_format"), more.pop("path", None)
+        rows = export_text(self.data, out_format, **more)
+        if path is None:
+            return "\n".join(r["text"] for r in rows.collect())  # a string is what the caller asked for
+        rows.write.mode("errorifexists").text(path)
+        return None
+
+
+@register("sink", "library")
+class LibrarySink(Sink):
+    """A library of its own at ``path``."""
+
+    def write(self) -> None:
+        export_library(self.data, self.settings["path"])
 
 
 def export_library(df: DataFrame, path: str) -> None:

@@ -7,41 +7,23 @@ default. Sources hold a DataFrame; file and feed sources parse once and keep the
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_sha1, lock_name
 from ..operators import search
+from ..plugins import REGISTRY, plugin, register
 from . import readers
-from .records import FileFormatError, FolioError, with_fields
+from .records import FileFormatError, with_fields
+
+__all__ = ["REGISTRY", "plugin", "register"]
 
 #: Records that a page of an online provider holds. Fixed values.
 PAGE_SIZES = {"PubMed": 25, "ArXiv": 25, "GoogleScholar": 10, "SpringerLink": 10, "ACM": 20, "JSTOR": 25, "CiteSeerX": 25, "GoogleBooks": 25}
 #: Seconds until an online search warns, and until it ends. Fixed values.
 SEARCH_WARN, SEARCH_END = 15, 35
 
-REGISTRY: dict[str, dict[str, object]] = {"source": {}, "format": {}, "sink": {}, "extractor": {}, "layout": {}}
-
-
-def register(kind: str, name: str) -> Callable:
-    """Put a class or function under a name, any case."""
-
-    def add(thing):
-        REGISTRY[kind][name.lower()] = thing
-        return thing
-
-    return add
-
-
-def plugin(kind: str, name: str):
-    try:
-        return REGISTRY[kind][name.lower()]
-    except KeyError:
-        raise FolioError(f"no {kind} named {name}") from None
-
-
 class Source:
     """What every source can do; ``load`` is all that a new one must bring."""
 
@@ -61,13 +43,22 @@ class Source:
         self.total_entries = self.records.count()
         return self.total_entries
 
+    def connect_within(self, warn: float = SEARCH_WARN, end: float = SEARCH_END, on_warn=None, canceled=None) -> int:
+        """As ``connect``, with a warning after some seconds; after some more, or once a user cancels, its jobs end."""
+        from ..streaming.run import limited
+
+        return limited(self.spark, self.connect, warn, end, on_warn, canceled)
+
     def page(self, offset: int = 0, limit: int | None = None) -> DataFrame:
         if self.records is None:
             self.connect()
         return search.page(self.records, offset, limit or self.limit, [F.col(c).desc() if d else F.col(c) for c, d in self.order])
 
-    def all(self) -> DataFrame:
-        return self.page(0, search.ALL_ROWS)
+    def all(self, most: int | None = None) -> DataFrame:
+        """Every record; the first ``most`` where a bound is wanted."""
+        if self.records is None:
+            self.connect()
+        return search.all_rows(self.records, [F.col(c).desc() if d else F.col(c) for c, d in self.order], most)
 
     def find_guid(self, guid: str) -> DataFrame:
         return self.records.where(F.col("guid") == guid)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import guid_of, identity_sha1
+from ..store import written
 from .bibtex import read_bibtex
 from .records import FIELDS, PUBLICATION, FileFormatError, FileReadError
 from .ris import read_ris, read_ris_bytes
@@ -57,12 +58,20 @@ def read_ris_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files, with the channel's title; every record still needs its details."""
-    items = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "link", "description", "pubDate", "guid")])
-    channel = T.StructType([T.StructField("title", T.StringType()), T.StructField("item", T.ArrayType(items))])
-    feeds = spark.read.format("xml").option("rowTag", "channel").schema(channel).load(path)
-    row = feeds.select(F.col("title").alias("feed"), F.explode("item").alias("i"))
-    return row.select("feed", F.col("i.title").alias("title"), F.col("i.link").alias("linkout"), F.col("i.description").alias("abstract"), F.lit(True).alias("needs_details"))
+    """Items of RSS files and entries of Atom ones, with the feed's title; every record still needs its details."""
+    text = lambda names: [T.StructField(c, T.StringType()) for c in names]
+    items = T.StructType(text(("title", "link", "description", "pubDate", "guid")))
+    channel = T.StructType([*text(("title",)), T.StructField("item", T.ArrayType(items))])
+    link = T.StructType(text(("_href", "_rel")))
+    entries = T.StructType([*text(("title", "id", "summary", "content", "published")), T.StructField("link", T.ArrayType(link)), T.StructField("author", T.ArrayType(T.StructType(text(("name",)))))])
+    feed = T.StructType([*text(("title",)), T.StructField("entry", T.ArrayType(entries))])
+    rss = spark.read.format("xml").option("rowTag", "channel").schema(channel).load(path).select(F.col("title").alias("feed"), F.explode("item").alias("i"))
+    atom = spark.read.format("xml").option("rowTag", "feed").schema(feed).load(path).select(F.col("title").alias("feed"), F.explode("entry").alias("i"))
+    shown = F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    authors = F.nullif(F.array_join(F.transform("i.author", lambda x: x["name"]), " and "), F.lit(""))
+    rss = rss.select("feed", F.col("i.title").alias("title"), F.col("i.link").alias("linkout"), F.col("i.description").alias("abstract"), F.lit(None).cast("string").alias("authors"))
+    atom = atom.select("feed", F.col("i.title").alias("title"), F.coalesce(F.get(shown, 0)["_href"], F.col("i.id")).alias("linkout"), F.coalesce("i.summary", "i.content").alias("abstract"), authors.alias("authors"))
+    return rss.unionByName(atom).withColumn("needs_details", F.lit(True))
 
 
 def import_records(records: DataFrame) -> DataFrame:
@@ -84,18 +93,24 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
 # -- library files of other programs, as extracted tables -------------------------------------------
 
 
-def folder_paths(collections: DataFrame, key: str = "guid", parent: str = "parent", name: str = "name", levels: int = 64) -> DataFrame:
-    """key and the path of names from the root, joined by "/". Works level by level; a cycle ends after ``levels``."""
-    c = collections.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("n"))
-    spark = collections.sparkSession
-    c.createOrReplaceTempView("_folder_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE tree(k, path, level) AS (
-              SELECT k, n, 0 FROM _folder_nodes WHERE p IS NULL OR p = '' OR p = 'ROOT'
-              UNION ALL
-              SELECT c.k, concat(t.path, '/', c.n), t.level + 1 FROM tree t JOIN _folder_nodes c ON c.p = t.k WHERE t.level < {levels}
-            ) SELECT k AS {key}, path FROM tree"""
-    )
+def folder_paths(collections: DataFrame, key: str = "guid", parent: str = "parent", name: str = "name") -> DataFrame:
+    """key and the path of names from the root, joined by "/", for trees of any depth.
+
+    Each round joins every folder's path to that of the ancestor it has reached, so paths double in length and as
+    many rounds do as the depth has binary digits. Folders in or below a cycle, or with a parent that isn't there,
+    have no path. A folder's parent is absent if it is null, empty or "ROOT"."""
+    p = F.col(parent)
+    kind = collections.schema[parent].dataType
+    top = p.isNull() | (p.isin("", "ROOT") if isinstance(kind, T.StringType) else F.lit(False))
+    now = collections.select(F.col(key).alias("k"), F.when(~top, p).alias("up"), F.col(name).alias("path"))
+    for _ in range(collections.count().bit_length() + 1):
+        now = written(now, "folders")
+        far = now.where("up is not null")
+        if far.isEmpty():
+            break
+        step = far.join(now.select(F.col("k").alias("up"), F.col("up").alias("_next"), F.col("path").alias("_before")), "up")
+        now = now.where("up is null").unionByName(step.select("k", F.col("_next").alias("up"), F.concat_ws("/", "_before", "path").alias("path")))
+    return now.where("up is null").select(F.col("k").alias(key), "path")
 
 
 def zotero_records(items: DataFrame, collections: DataFrame, members: DataFrame) -> DataFrame:

@@ -33,13 +33,34 @@ SEARCH_FIELDS = ("guid", "text", "abstract", "notes", "title", "key", "author",
 
 
 class FolioError(Exception):
-    """Any error that this package raises on purpose."""
+    """Any error that this package raises on purpose. ``payload`` names what it is about, where a class says so."""
 
+    about: str | None = None
 
-class FileError(FolioError):
+    def __init__(self, message: str = "", payload=None):
+        super().__init__(message)
+        self.payload = payload
+
+    def __reduce__(self):
+        return type(self), (*self.args, self.payload)
+
+
+class CanceledError(FolioError):
+    """A user, or a time limit, has ended an action."""
+
+
+class DuplicateError(FolioError):
+    """A record that is there already."""
+
+
+class QueryError(FolioError):
     pass
 
 
+class FileError(FolioError):
+    about = "file"
+
+
 class FileReadError(FileError):
     pass
 
@@ -52,26 +73,66 @@ class FileWriteError(FileError):
     pass
 
 
-class DatabaseError(FolioError):
+class FolderNotEmptyError(FileError):
     pass
 
 
-class DatabaseVersionError(DatabaseError):
+class FileSyncError(FolioError):
+    about = "file"
+
+
+class FileSyncConflictError(FileSyncError):
+    """Both sides have changed a file."""
+
+
+class DatabaseError(FileReadError):
     pass
 
 
-class ExtractionError(FolioError):
+class DatabaseMissingError(DatabaseError):
+    pass
+
+
+class DatabaseVersionError(DatabaseError):
     pass
 
 
-class UnknownSiteError(ExtractionError):
+class NetError(FolioError):
     pass
 
 
-class QueryError(FolioError):
+class NetGetError(NetError):
+    about = "code"
+
+
+class NetFormatError(NetError):
+    about = "content"
+
+
+class NetMatchError(NetError):
+    """A provider has nothing that matches."""
+
+
+class SiteError(FolioError):
+    about = "url"
+
+
+class UnknownSiteError(SiteError):
     pass
 
 
+class ScrapeError(SiteError):
+    """A page of a known site that isn't as it should be."""
+
+
+class ExtractionError(FolioError):
+    """A document whose layout gives no record."""
+
+
+class ToolError(FolioError):
+    """The program that reads documents has failed."""
+
+
 def list_of(c: Column, by: str) -> Column:
     """The items of a delimited field, trimmed, without empty ones; null for an absent field."""
     items = F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")

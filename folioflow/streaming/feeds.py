@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import identity_sha1
+from ..sources.records import FolioError
 
 JOB_TYPES = ("PDF_IMPORT", "PDF_SEARCH", "METADATA_UPDATE")
 #: States that a job may go to from each state. Fixed values.
@@ -20,6 +23,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def watched_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Files that appear in a folder, as a stream of path, modificationTime and length."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(path).select("path", "modificationTime", "length")
+
+
 def new_items(items: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """Items of a polled feed, each identity once within the watermark's delay; state beyond it is dropped."""
     return items.withColumn("sha1", identity_sha1(F.col("authors"), F.col("title"))).withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha1"])
@@ -59,6 +71,20 @@ def job_states(events: DataFrame) -> DataFrame:
     return out.select("jobid", "status", "type", (F.col("status") == "ERROR").alias("error"), F.when(F.col("status").isin("DONE", "ERROR"), seconds).alias("duration"))
 
 
+def dispatched(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """What the handler of each job's type gives for the pending jobs of that type; a type without one is an error."""
+    if unknown := set(handlers) - set(JOB_TYPES):
+        raise FolioError(f"no such job type: {', '.join(sorted(unknown))}")
+    due = jobs.where(F.col("status") == "PENDING")
+    rest = F.raise_error(F.concat(F.lit("no handler for "), F.coalesce("type", F.lit("no type"))))
+    checked = due.where(F.when(F.col("type").isin(*handlers), F.lit(True)).otherwise(rest.cast("boolean")))
+    out = None
+    for name, handle in handlers.items():
+        part = handle(checked.where(F.col("type") == name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def allowed(old, new):
     """Whether a job may go from one state to another."""
     out = F.lit(False)

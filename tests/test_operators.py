@@ -169,6 +169,41 @@ def test_pages_to_records(spark):
     assert all(got[k]["error"] == "UnknownSiteError" for k in (5, 6, 7, 9, 10))
 
 
+def test_follow_ups(spark):
+    pages = [
+        (1, "http://iopscience.iop.org/0001-1/2/3/", '<meta name="citation_title" content="T"><meta name="citation_abstract" content="A">'),
+        (2, "http://la-press.com/x", '<a class="endnote" href="exp.php?id=3">e</a><div class="journalListingAuthor">J 2010:4 5-9</div>'),
+        (3, "http://onlinelibrary.wiley.com/1", '<a href="/documentcitationdownload?a=1&amp;b=2">c</a>'),
+        (4, "http://x.org/f", '<frameset><frame src="menu.html"><frame src="http://x.org/one"><frame src="http://x.org/two"></frameset>'),
+        (5, "http://x.org/p", '<meta name="citation_title" content="Short"><meta name="citation_pmid" content="77">'),
+        (6, "http://books.google.com/books?id=1", '<a href="http://books.google.com/books/download/x?output=bibtex">b</a>'),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    wants = {(r["page_id"], r["step"], r["position"]): r["address"] for r in webpages.follow_ups(df).collect()}
+    assert wants == {
+        (1, "export", 0): "http://iopscience.iop.org/export?articleId=0001-1/2/3&exportFormat=iopexport_bib&exportType=abs", (2, "export", 0): "http://la-press.com/exp.php?id=3",
+        (3, "export", 0): "http://onlinelibrary.wiley.com/documentcitationdownload?a=1&b=2", (4, "frame", 0): "http://x.org/one", (4, "frame", 1): "http://x.org/two", (6, "export", 0): "http://books.google.com/books/download/x?output=bibtex",
+    }
+    ris = "TY  - JOUR\nTI  - From RIS\nVL  - 99\nER  - \n"
+    linked = [(wants[1, "export", 0], "@article{k, title={Full}, year=2001}"), (wants[2, "export", 0], ris), (wants[3, "export", 0], ris), ("http://x.org/one", "<p>menu</p>"), ("http://x.org/two", '<meta name="citation_title" content="Framed">'), (wants[6, "export", 0], "@book{b, title={Read}}")]
+    pubmed = spark.createDataFrame([("77", "Whole title", "J"), ("78", "Other", "J")], "pmid string, title string, journal string")
+    got = {r["page_id"]: r for r in webpages.extract_records(df, linked=spark.createDataFrame(linked, "url string, html string"), pubmed=pubmed).collect()}
+    assert {k: r["title"] for k, r in got.items()} == {1: "Full", 2: "From RIS", 3: "From RIS", 4: "Framed", 5: "Whole title", 6: "Read"}
+    assert got[1]["year"] == "2001" and got[1]["abstract"] is None and (got[2]["volume"], got[2]["pages"], got[3]["volume"]) == ("4", "5-9", "99") and got[5]["journal"] == "J"
+    alone = {r["page_id"]: r["error"] for r in webpages.extract_records(df).collect()}
+    assert alone == {1: None, 2: "UnknownSiteError", 3: "UnknownSiteError", 4: "UnknownSiteError", 5: None, 6: "UnknownSiteError"}
+
+
+def test_citation_parts():
+    assert webpages.citation_parts("The Lancet, Volume 377, Issue 9768, Page 813, 5 March 2011") == {"journal": "The Lancet", "volume": "377", "issue": "9768", "pages": "813", "month": "March", "year": "2011"}
+    assert webpages.citation_parts("none") == {}
+    page = '<div class="artiHead">J Things Volume 4, Issues 1-2, 15 May 2009, Pages 7-19</div><div class="articleTitle">On X</div><a target="doilink">doi:10.1016/j.x</a><div class="articleText_indent">Abstract We see.</div><div id="authorsAnchors">J.Roe and K. Doe, a</div>'
+    got = webpages.read_page("http://www.sciencedirect.com/1", page)[0]
+    assert {k: got[k] for k in ("journal", "volume", "issue", "pages", "month", "year", "doi", "abstract", "authors")} == {"journal": "J Things", "volume": "4", "issue": "1-2", "pages": "7-19", "month": "May", "year": "2009", "doi": "10.1016/j.x", "abstract": "We see.", "authors": "Roe, J. and Doe, K."}
+    got = webpages.read_page("http://www.nature.com/1", '<meta name="citation_title" content="T"><div id="abs" class="x"><a href="#top">Top of page</a><h2>Abstract</h2><p>We <i>see</i>.</p></div>')[0]
+    assert got["abstract"] == "We see."
+
+
 def line(doc, position, content, fs, xmin=40.0, xmax=300.0, ymin=0.0, bad=0, common=0, address=0):
     return (doc, position, content, float(fs), xmin, xmax, ymin, bad, 0, common, address)
 
@@ -184,6 +219,19 @@ def test_layouts(spark):
     ]
     got = {r["doc"]: (r["title"], r["authors"]) for r in layouts.extract_titles(spark.createDataFrame(rows, layouts.LINE)).collect()}
     assert got == {"n": ("A fine title", "Jane Roe, John Doe"), "s": ("Science title", "Ann Roe"), "j": ("Old title", "A. Roe"), "b": ("Bio title", "R. Roe"), "l": ("Land title", "A. Roe,"), "u": (None, None)}
+    # a block ends at the abstract, at a gap, far below the heading, and at common words away from it; other columns don't count
+    blocks = [
+        line("gap", 0, "www.nature.com", 7), line("gap", 1, "Wide gap", 32), line("gap", 2, "A. Roe and Co", 9, ymin=20.0), line("gap", 3, "B. Roe and Co", 9, ymin=60.0),
+        line("abs", 0, "www.nature.com", 7), line("abs", 1, "No names", 32), line("abs", 2, "Abstract", 9, ymin=20.0), line("abs", 3, "A. Roe and Co", 9, ymin=30.0), line("abs", 4, "Later title", 28, ymin=50.0), line("abs", 5, "C. Roe and Co", 11, ymin=60.0),
+        line("far", 0, "www.nature.com", 7), line("far", 1, "Far", 32), line("far", 2, "A. Roe and Co", 9, ymin=400.0),
+        line("two", 0, "www.nature.com", 7), line("two", 1, "Two", 32), line("two", 2, "A. Roe of the Co", 9, ymin=20.0, common=2), line("two", 3, "B. Roe of the Co", 9, ymin=30.0, common=2), line("two", 4, "Side", 9, xmin=900.0, xmax=950.0, ymin=25.0),
+        line("next", 0, "www.nature.com", 7), line("next", 1, "First", 32), line("next", 2, "Second", 28), line("next", 3, "A. Roe and Co", 11, ymin=20.0),
+    ]
+    got = {r["doc"]: (r["title"], r["authors"]) for r in layouts.extract_titles(spark.createDataFrame(blocks, layouts.LINE)).collect()}
+    assert got == {"gap": ("Wide gap", "A. Roe and Co"), "abs": ("Later title", None), "far": ("Far", None), "two": ("Two", "A. Roe of the Co"), "next": ("Second", "A. Roe and Co")}
+    side = spark.createDataFrame([("gap", "x"), ("u", "www.nature.com")], "doc string, content string")
+    got = layouts.extract_titles(spark.createDataFrame([line("u", 0, "Turned", 32)], layouts.LINE), side).collect()
+    assert [(r["doc"], r["title"], r["authors"]) for r in got] == [("u", "Turned", None)]
     words = spark.createDataFrame([("d", 1, "b", 20.0, 30.0, 10.4, 9.0), ("d", 1, "a", 5.0, 15.0, 10.0, 9.0), ("d", 1, "c", 5.0, 15.0, 40.0, 9.0)], "doc string, page int, word string, xmin double, xmax double, ymin double, size double")
     assert sorted(r["content"] for r in layouts.words_to_lines(words).collect()) == ["a b", "c"]
 
@@ -205,3 +253,65 @@ def test_streams(spark, tmp_path):
     assert state(feeds.command(jobs, "pause")) == {"1": "PAUSED", "2": "RUNNING", "3": "ERROR", "4": "DONE"}
     assert state(feeds.command(jobs, "cancel", ["2"]))["2"] == "CANCELED" and state(feeds.command(jobs, "retry"))["3"] == "PENDING" and set(state(feeds.command(jobs, "clear"))) == {"1", "2"}
     assert jobs.where(feeds.allowed(F.col("status"), F.lit("RUNNING"))).count() == 1
+
+
+def test_styles(spark):
+    from folioflow.sinks import writers
+
+    rows = [("Roe, Jane Maria and Doe, J.", "On things", "J Things", "3", "2", "5-9", "2001"), (None, "Alone", None, None, None, None, "2002"), (" and ".join(f"N{k}, A" for k in range(9)), "Many", "J", "1", None, None, None)]
+    df = spark.createDataFrame(rows, "authors string, title string, journal string, volume string, issue string, pages string, year string")
+    got = {s: [r["c"] for r in df.select(writers.styled_citation(df, s).alias("c")).collect()] for s in writers.STYLES}
+    assert got["nature"] == ["Roe, J. M. & Doe, J. On things. J Things 3, 5-9 (2001).", "Alone. (2002).", "N0, A. et al. Many. J 1,"]
+    assert got["author-date"][0] == "Roe, J. M., & Doe, J. (2001). On things. J Things, 3(2), 5-9."
+    assert got["initials first"][0] == "J. M. Roe and J. Doe, On things, J Things, vol. 3, no. 2, pp. 5-9, 2001."
+
+
+def test_sinks_and_formats(spark, tmp_path):
+    from folioflow.plugins import names, plugin
+    from folioflow.sources import formats
+    from folioflow.sources.records import FileFormatError, FileReadError, FolioError
+
+    df = spark.createDataFrame([("k", "Title", "Roe, J", "ARTICLE")], "citekey string, title string, authors string, pubtype string")
+    plugin("sink", "FILE")(df, {"out_format": "RIS", "path": str(tmp_path / "r")}).write()
+    assert formats.guess_format(spark, str(tmp_path / "r")).name == "RIS"
+    assert formats.read_any(spark, str(tmp_path / "r")).first()["title"] == "Title"
+    text = plugin("sink", "file")(df, {"out_format": "bibtex", "use_quotes": True}).write()
+    assert text.startswith("@ARTICLE{k,") and '"Title"' in text
+    plugin("sink", "library")(df, {"path": str(tmp_path / "lib")}).write()
+    assert plugin("format", "library").read(spark, str(tmp_path / "lib")).first()["title"] == "Title"
+    assert "CITATIONS" in formats.formats(readable=False) and "ZOTERO" in formats.formats(writable=False) and formats.formats(readable=True, writable=True) == ["BIBTEX", "LIBRARY", "RIS"]
+    with pytest.raises(FileFormatError):
+        plugin("format", "zotero").write(df, str(tmp_path / "z"))
+    with pytest.raises(FileReadError):
+        formats.read_any(spark, str(tmp_path / "none"))
+    (tmp_path / "plain.txt").write_text("plain")
+    with pytest.raises(FileFormatError):
+        formats.read_any(spark, str(tmp_path / "plain.txt"))
+    assert {"nature", "jstor"} <= set(names("layout")) and {"lancet", "default"} <= set(names("extractor"))
+    with pytest.raises(FolioError):
+        plugin("sink", "none")
+
+
+def test_jobs_by_type_and_reads(spark, tmp_path):
+    from folioflow.functions.text import new_guid, seconds_ago
+    from folioflow.sources.records import FolioError
+    from folioflow.streaming.run import drained
+
+    jobs = spark.createDataFrame([("a", "PDF_IMPORT", "PENDING"), ("b", "PDF_SEARCH", "PENDING"), ("c", "PDF_IMPORT", "DONE")], "jobid string, type string, status string")
+    mark = lambda text: lambda df: df.select("jobid", F.lit(text).alias("did"))
+    assert {tuple(r) for r in feeds.dispatched(jobs, {"PDF_IMPORT": mark("i"), "PDF_SEARCH": mark("s")}).collect()} == {("a", "i"), ("b", "s")}
+    with pytest.raises(Exception, match="no handler for PDF_SEARCH"):
+        feeds.dispatched(jobs, {"PDF_IMPORT": mark("i")}).collect()
+    with pytest.raises(FolioError):
+        feeds.dispatched(jobs, {"OTHER": mark("i")})
+    pubs = spark.createDataFrame([("a", 1, None), ("b", None, "2024-01-01 00:00:00")], "guid string, times_read int, last_read string").withColumn("last_read", F.to_timestamp("last_read"))
+    reads = spark.createDataFrame([("a", "2024-02-01 00:00:00"), ("a", "2024-03-01 00:00:00")], "guid string, at string").withColumn("at", F.to_timestamp("at"))
+    got = {r["guid"]: (r["times_read"], str(r["last_read"])) for r in library.mark_read(pubs, reads).collect()}
+    assert got == {"a": (3, "2024-03-01 00:00:00"), "b": (0, "2024-01-01 00:00:00")}
+    row = spark.range(1).select(seconds_ago(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 01:00:30").cast("timestamp"), "Europe/Vienna").alias("s"), new_guid().alias("g")).first()
+    assert row["s"] == 30 and len(row["g"]) == 32 and row["g"] == row["g"].upper()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text("x")
+    (tmp_path / "in" / "b.txt").write_text("x")
+    found = drained(feeds.watched_files(spark, str(tmp_path / "in"), "*.pdf")).collect()
+    assert [r["path"].rpartition("/")[2] for r in found] == ["a.pdf"]
