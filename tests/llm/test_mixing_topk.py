@@ -81,17 +81,46 @@ def test_top_k(spark, block):
     assert sorted(map(tuple, got)) == brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 10)
 
 
-def test_block_stops_on_proof_only():
+def test_block_stops_on_proof_only(tmp_path):
     r = np.random.default_rng(0)
-    for t in range(60):
+    for t in range(120):
         n = int(r.integers(1, 400))
         v, ids, q = r.integers(-600, 600, (n, 16)), r.permutation(n * 2)[:n], r.integers(-600, 600, (5, 16))
         if t % 3 == 0:
             v, q = v // 200, q // 200
-        skip = r.choice(ids, 5)
-        for (found, score), query, own in zip(topk.Block(ids, v).top(q, 10, skip), q, skip, strict=True):
+        if t % 7 == 0:
+            v[:, 3], q[0] = 0, 0
+        block = topk.Block.of(ids, v)
+        block.save(f"file://{tmp_path}/b")
+        block = topk.Block.load(f"file://{tmp_path}/b")
+        for query, own in zip(q, r.choice(ids, 5), strict=True):
+            found, score = block.top(query, 10, own)
             want = sorted((-int(a @ query), int(i)) for i, a in zip(ids, v, strict=True) if i != own)[:10]
             assert [(-a, b) for a, b in want] == [(int(a), int(b)) for a, b in zip(score, found, strict=True)]
+            if len(want) > 3:  # with a score to reach, whatever reaches it is found
+                least = -want[3][0]
+                found, score = block.top(query, 10, own, float(least))
+                assert [(-a, b) for a, b in want if -a >= least] == [(int(a), int(b)) for a, b in zip(score, found, strict=True) if a >= least]
+
+
+def test_postings_are_in_order_of_impact():
+    r = np.random.default_rng(5)
+    v = r.integers(-5000, 5000, (300, 6))
+    block = topk.Block.of(np.arange(300), v)
+    for d in range(6):
+        lo, hi = block.cuts[2 * topk.LEVELS * d], block.cuts[2 * topk.LEVELS * (d + 1)]
+        posts = block.posts[lo:hi]
+        assert sorted(posts.tolist()) == list(range(300))
+        level = (np.abs(v[posts, d]) // block.step[d]).astype(int)
+        assert (np.diff(level) <= 0).all()
+
+
+def test_scores_beyond_64_bits(spark):
+    big = [1e30, -1e30, 3.0]
+    df = spark.createDataFrame([(0, big), (1, big), (2, [-1e30, 1e30, 3.0]), (3, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(df)
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id = 0"), 10).collect()))
+    assert got == [(0, 1, 1, (1 << 63) - 1), (0, 2, 3, 3 * 1024 * 1024), (0, 3, 2, -(1 << 63))]
 
 
 def test_empty(spark):
