@@ -1,21 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, scored from mapped arrays.
+"""Interpolated modified Kneser-Ney model of order three, counted in Spark, scored from mapped arrays.
 
-Tokens are the words of a text and one end mark. Three passes count the training texts:
+Tokens are the words of a text and one end mark; two marks of the beginning stand before them as context.
 
 1. words: each task counts its words by 64-bit hash; shards by hash range merge the counts and write
-   sorted hash arrays with their counts. A word's id is its rank in hash order.
-2. bigrams: each task counts pairs of ids; shards by range of the first word (pairs of very frequent
-   first words are dealt by the second one) merge them and write sorted key arrays with counts.
-3. types: every shard sends, per word, how many of its bigrams occur once, twice and more often, and
-   in how many it comes second; word shards add them up and write arrays in id order.
-
-What tasks send are sorted, delta-coded, compressed arrays rather than rows. All files lie in the
-shared folder; workers map them into memory, look up a batch's distinct words and pairs in sorted
-order, and so touch each part of the arrays once a batch. Nothing of the corpus's size reaches the
-driver: it gets sizes and counts of counts, one row per shard. The number of shards grows with the
-text, so a shard's size does not.
-
-The order is two: with three, trigram keys alone would be larger than the text (measured in the README).
+   sorted hash arrays. A word's id orders by a rough class of its count, frequent ones first, so that ids in
+   messages are small.
+2. triples: each task counts triples of ids and deals them by the hash of their first two. A shard merges its
+   triples and writes them as a sorted hash array with counts; their contexts, all of which it has, get an array with
+   their total and how many of their triples occur once, twice and more often. It tells the shards of the last
+   two words how many different words stand before these.
+3. pairs: those shards add this up, write a sorted hash array of pairs with it, and tell the words' shards
+   the same of single words, and of words as contexts.
+
+What tasks send are sorted, delta-coded, compressed arrays rather than rows. Shards go by hashes of pairs, so no
+frequent word makes a large one. A hash array keeps 32 bits of each hash in buckets that its upper bits number; a
+search halves one bucket, so its cost doesn't grow with the model. With the bits of shard and bucket, 50 and more
+bits tell n-grams apart: one that was never seen takes another's count with a chance of a few in 10**9. All files
+lie in the shared folder; workers map them into memory and look up a batch's words, pairs and triples in sorted
+order. Nothing of the corpus's size reaches the driver: it gets sizes and counts of counts, a short row for each
+shard. The number of shards grows with the text, so a shard's size does not.
 
 Defined results: a null or empty text has just the end mark; a null id counts as an empty string for
 the fold and stays null; repeated rows count and are scored each; without training texts every token
@@ -25,7 +28,7 @@ has probability 1; other columns are ignored.
 from __future__ import annotations
 
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +38,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import mapped, put, work_dir
+from ._store import mapped, put, tidy, work_dir
 from ._text import column_bytes, fields, map_arrow, settle, space_words
+from .minhash import mixed
 
 #: Text of one shard in bytes, and the least number of shards (powers of two).
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 #: Tokens that a task gathers before it merges, and entries that it holds before it sends.
-GATHER, HOLD = 1 << 21, 1 << 23
-#: Words whose hashes a worker keeps.
-MEMO_WORDS = 300_000
-#: A first word with more than this share of a shard's mean load has its pairs dealt by the second word.
-HOT = 0.25
+GATHER, HOLD = 1 << 20, 1 << 22
+#: Words whose hashes a worker keeps, and files that it keeps mapped.
+MEMO_WORDS, MAPS = 300_000, 4096
+#: Least counts of the classes of words; the class of all others comes last.
+CLASSES = (4096, 256, 16)
+#: Entries of a bucket on average.
+BUCKET = 16
 
 END = xxhash.xxh64_intdigest(b"")
 _SENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("data", T.BinaryType())])
@@ -102,130 +108,167 @@ def _rows(shards: list[int], data: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(data, pa.binary())], names=_SENT.names)
 
 
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of ids."""
+    return mixed(mixed(u.astype(np.uint64) + _SALT) + v.astype(np.uint64))
+
+
+def _triple(pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hashes of triples, from those of their first two."""
+    return mixed(pair + mixed(w.astype(np.uint64) ^ _SALT))
+
+
+def _class(count: np.ndarray) -> np.ndarray:
+    """The number of each count's class, frequent ones first."""
+    return np.sum([count < c for c in CLASSES], axis=0)
+
+
+def _put_keys(uri: str, keys: np.ndarray, drop: int) -> None:
+    """A sorted hash array: bucket bounds by the upper bits that follow ``drop`` common ones, and 32 bits of each."""
+    n = len(keys)
+    bits = max(1, min(28, (n // BUCKET).bit_length()))
+    k = keys << np.uint64(drop)
+    bounds = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    put(uri, np.array([n, bits], np.int64), bounds.astype(np.uint32), ((k << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32))
+
+
+def _search(data: np.ndarray, keys: np.ndarray, drop: int) -> np.ndarray:
+    """The place of each key in a hash array, -1 where it isn't there."""
+    n, bits = data[:16].view(np.int64).tolist()
+    bounds = data[16 : 16 + 4 * ((1 << bits) + 1)].view(np.uint32)
+    kept = data[16 + 4 * ((1 << bits) + 1) :].view(np.uint32)
+    if not n:
+        return np.full(len(keys), -1, np.int64)
+    k = keys << np.uint64(drop)
+    bucket = (k >> np.uint64(64 - bits)).astype(np.int64)
+    want = ((k << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    lo, end = bounds[bucket].astype(np.int64), bounds[bucket + 1].astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        middle = (lo + hi) >> 1
+        less = (kept[np.minimum(middle, n - 1)] < want) & (lo < hi)
+        hi = np.where(less, hi, np.minimum(middle, hi))
+        lo = np.where(less, middle + 1, lo)
+    return np.where((lo < end) & (kept[np.minimum(lo, n - 1)] == want), lo, -1)
+
+
+def _put_counts(uri: str, counts: np.ndarray) -> None:
+    """Counts in a byte each; those of 255 and more also with their places."""
+    big = np.flatnonzero(counts >= 255)
+    put(uri, np.minimum(counts, 255).astype(np.uint8))
+    put(f"{uri}-big", big.astype(np.int64), counts[big].astype(np.int64))
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that belong to them."""
 
     uri: str
     shards: int
-    starts: list[int] = field(default_factory=list)  # first id of each word shard
-    words: int = 0  # V
+    starts: np.ndarray | None = None  # first id of each class of words and word shard
+    words: int = 0  # V; also the id of the mark of the beginning
     tokens: int = 0  # N
-    docs: int = 0
-    hot: list[int] = field(default_factory=list)  # ids of very frequent first words
-    types: int = 0
-    discount: tuple = (0.0, 0.0, 0.0)
-    low_discount: tuple = (0.0, 0.0, 0.0)
+    triples: int = 0
+    types: int = 0  # different pairs
+    discount: tuple = ((0.0, 0.0, 0.0),) * 3  # of triples, pairs and words
     low_types: tuple = (0, 0, 0)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    # -- words -------------------------------------------------------------------------------
-
-    def _file(self, what: str, shard: int, kind) -> np.ndarray:
+    def _file(self, name: str, kind=np.uint8) -> np.ndarray:
         held = self.__dict__.setdefault("_maps", {})
-        if (what, shard) not in held:
-            held[what, shard] = mapped(f"{self.uri}/{what}-{shard}").view(kind)
-        return held[what, shard]
+        if name not in held:
+            if len(held) >= MAPS:
+                held.clear()
+            held[name] = mapped(f"{self.uri}/{name}").view(kind)
+        return held[name]
+
+    @property
+    def shard_bits(self) -> int:
+        return self.shards.bit_length() - 1
 
-    def _shift(self) -> np.uint64:
-        return np.uint64(64 - (self.shards.bit_length() - 1))
+    def shard_of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.shard_bits)).astype(np.int64)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of sorted distinct hashes."""
+        """Ids (-1: unknown) and counts of sorted distinct word hashes."""
         out, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cut = np.searchsorted(hashes >> self._shift(), np.arange(self.shards + 1, dtype=np.uint64))
+        cut = np.searchsorted(self.shard_of(hashes), np.arange(self.shards + 1))
         for s in range(self.shards):
             h = hashes[cut[s] : cut[s + 1]]
-            own = self._file("hash", s, np.uint64)
-            if len(h) and len(own):
+            own = self._file(f"hash-{s}", np.uint64) if len(h) else h
+            if len(own):
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 ok = own[at] == h
-                out[cut[s] : cut[s + 1]][ok] = at[ok] + self.starts[s]
-                count[cut[s] : cut[s + 1]][ok] = self._file("count", s, np.uint32)[at[ok]]
+                n = self._file(f"count-{s}", np.uint32)[at[ok]].astype(np.int64)
+                out[cut[s] : cut[s + 1]][ok] = self._file(f"rank-{s}", np.uint32)[at[ok]] + self.starts[_class(n), s]
+                count[cut[s] : cut[s + 1]][ok] = n
         return out, count
 
-    # -- bigrams -----------------------------------------------------------------------------
-
-    @property
-    def bits(self) -> int:
-        return max(1, int(self.words).bit_length())
-
-    def _range(self, shard: int) -> tuple[int, int]:
-        """First words of a bigram shard; the last one also has the beginning of a text, id V."""
-        n = self.words + 1
-        return n * shard // self.shards, n * (shard + 1) // self.shards
-
-    def deal(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The shard of each pair and its first word's number there."""
-        edges = np.array([self._range(s)[0] for s in range(self.shards)], np.int64)
-        shard = np.searchsorted(edges, first, "right") - 1
-        local = first - edges[shard]
-        if self.hot:
-            hot = np.array(self.hot, np.int64)
-            at = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
-            is_hot = hot[at] == first
-            mixed = (second.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            shard = np.where(is_hot, (mixed % np.uint64(self.shards)).astype(np.int64), shard)
-            widths = np.array([self._range(s)[1] - self._range(s)[0] for s in range(self.shards)], np.int64)
-            local = np.where(is_hot, widths[shard] + at, local)
-        return shard, local
-
-    def first_of(self, shard: int, local: np.ndarray) -> np.ndarray:
-        lo, hi = self._range(shard)
-        if not self.hot:
-            return local + lo
-        return np.where(local < hi - lo, local + lo, np.array(self.hot, np.int64)[np.maximum(local - (hi - lo), 0) % len(self.hot)])
-
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of distinct pairs of known ids (V as first: the beginning of a text)."""
-        out = np.zeros(len(first), np.int64)
-        shard, local = self.deal(first, second)
-        key = (local.astype(np.uint64) << np.uint64(self.bits)) | second.astype(np.uint64)
-        order = np.lexsort((key, shard))
+    def _found(self, name: str, shard: np.ndarray, keys: np.ndarray, drop: int):
+        """Shard by shard: the rows whose keys are in an array, and their places there."""
+        order = np.argsort((shard.astype(np.uint64) << np.uint64(64 - self.shard_bits)) | ((keys << np.uint64(drop)) >> np.uint64(self.shard_bits)))
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
+        for s in np.flatnonzero(np.diff(cut)).tolist():
             rows = order[cut[s] : cut[s + 1]]
-            low = self._file("low", s, np.uint32)
-            if len(rows) and len(low):
-                high = self._file("high", s, self._high_kind())
-                own = (high.astype(np.uint64) << np.uint64(32)) | low
-                k = key[rows]
-                at = np.minimum(np.searchsorted(own, k), len(own) - 1)
-                ok = own[at] == k
-                n = self._file("times", s, np.uint8)[at].astype(np.int64)
-                big = np.flatnonzero(ok & (n == 255))
-                if len(big):
-                    places, values = self._file("bigplace", s, np.uint32), self._file("bigvalue", s, np.uint32)
-                    n[big] = values[np.searchsorted(places, at[big].astype(np.uint32))]
-                out[rows] = np.where(ok, n, 0)
+            at = _search(self._file(f"{name}-{s}"), keys[rows], drop)
+            yield s, rows[at >= 0], at[at >= 0]
+
+    def _counts(self, name: str, s: int, at: np.ndarray) -> np.ndarray:
+        n = self._file(f"{name}-{s}")[at].astype(np.int64)
+        if len(big := np.flatnonzero(n == 255)):
+            places, values = self._file(f"{name}-{s}-big", np.int64).reshape(2, -1)
+            n[big] = values[np.searchsorted(places, at[big])]
+        return n
+
+    def triple_counts(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Counts of triples by the hash of their first two and the id of the third."""
+        out = np.zeros(len(w), np.int64)
+        for s, rows, at in self._found("triple", self.shard_of(pair), _triple(pair, w), 0):
+            out[rows] = self._counts("times", s, at)
         return out
 
-    def _high_kind(self):
-        widest = max(self._range(s)[1] - self._range(s)[0] for s in range(self.shards)) + len(self.hot)
-        bits = self.bits + int(widest).bit_length() - 32
-        return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+    def contexts(self, pair: np.ndarray) -> np.ndarray:
+        """For hashes of pairs as contexts: their total, and their triples that occur once, twice, more often; in columns."""
+        out = np.zeros((len(pair), 4), np.int64)
+        for s, rows, at in self._found("context", self.shard_of(pair), pair, self.shard_bits):
+            out[rows] = self._file(f"kinds-{s}", np.int64).reshape(-1, 4)[self._file(f"kind-{s}", np.uint32 if self._wide(s) else np.uint16)[at]]
+        return out
 
-    # -- probabilities -----------------------------------------------------------------------
+    def _wide(self, s: int) -> bool:
+        return len(self._file(f"kinds-{s}")) > 32 << 16
 
-    def stats(self, ids: np.ndarray) -> np.ndarray:
-        """For sorted distinct ids up to V: once, twice, more often as first word; times second; in columns."""
-        out = np.zeros((len(ids), 4), np.float64)
-        cut = np.searchsorted(ids, [*self.starts, self.words + 1])
-        for s in range(self.shards):
-            if cut[s] < cut[s + 1]:
-                at = ids[cut[s] : cut[s + 1]] - self.starts[s]
-                out[cut[s] : cut[s + 1]] = self._file("stats", s, np.uint32).reshape(-1, 4)[at]
+    def before(self, pair: np.ndarray) -> np.ndarray:
+        """For hashes of pairs: how many different words stand before them."""
+        out = np.zeros(len(pair), np.int64)
+        for s, rows, at in self._found("pair", self.shard_of(pair), pair, self.shard_bits):
+            out[rows] = self._counts("before", s, at)
+        return out
+
+    def edges(self) -> np.ndarray:
+        """First ids of the shards of single words' numbers; the mark of the beginning comes last."""
+        return (np.arange(self.shards + 1) * (self.words + 1)) // self.shards
+
+    def singles(self, ids: np.ndarray) -> np.ndarray:
+        """For sorted distinct ids up to V, in columns: as context the sum over pairs of different words before them, pairs
+        with one, two and more such words, and in how many pairs it is the second word."""
+        out = np.zeros((len(ids), 5), np.float64)
+        edges = self.edges()
+        cut = np.searchsorted(ids, edges)
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            out[cut[s] : cut[s + 1]] = self._file(f"single-{s}", np.int64).reshape(-1, 5)[ids[cut[s] : cut[s + 1]] - edges[s]]
         return out
 
-    def low_probability(self, times: np.ndarray) -> np.ndarray:
-        """Of a word by the number of words that it follows."""
+    def single_probability(self, times: np.ndarray) -> np.ndarray:
+        """Of a word by the number of different words before it."""
         if not self.types:
             return np.full(len(times), 1.0 / (self.words + 1))
-        d = np.array([0.0, *self.low_discount])[np.minimum(times, 3).astype(np.int64)]
-        rest = float(np.dot(self.low_discount, self.low_types)) / self.types
-        return np.maximum(times - d, 0) / self.types + rest / (self.words + 1)
+        rest = float(np.dot(self.discount[2], self.low_types)) / self.types
+        return _discounted(times, self.discount[2]) / self.types + rest / (self.words + 1)
 
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """For each text of token hashes: tokens, known tokens, base score, model score."""
@@ -233,33 +276,44 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         kinds, at = np.unique(np.concatenate(texts), return_inverse=True)
         ids, count = self.ids(kinds)
-        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))[at]
-        known = (ids >= 0)[at]
-        # statistics by distinct word; the beginning of a text comes last
+        base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
+        # numbers of single words; the mark of the beginning comes last
         begin = len(kinds)
-        stats = np.zeros((begin + 1, 4))
+        single = np.zeros((begin + 1, 5))
         where = np.flatnonzero(ids >= 0)
         where = where[np.argsort(ids[where])]
         if self.words:
-            stats[where] = self.stats(ids[where])
-            stats[begin] = self.stats(np.array([self.words]))[0]
-        total = np.append(count, self.docs).astype(np.float64)
-        spread = np.where(total > 0, stats[:, :3] @ np.array(self.discount) / np.maximum(total, 1), 1.0)
-        low = self.low_probability(stats[:begin, 3])
-        first = np.concatenate([[begin], at[:-1]])
-        first[starts] = begin
-        pairs, back = np.unique(first.astype(np.int64) * (begin + 1) + at, return_inverse=True)
-        u, w = pairs // (begin + 1), pairs % (begin + 1)
+            single[where] = self.singles(ids[where])
+            single[begin] = self.singles(np.array([self.words]))[0]
+        low = self.single_probability(single[:begin, 4])
+        one = np.where(single[:, 0] > 0, single[:, 1:4] @ np.array(self.discount[1]) / np.maximum(single[:, 0], 1), 1.0)
+        # pairs: of each token with the one before it, and last of all the two marks
+        previous = np.concatenate([[begin], at[:-1]])
+        previous[starts] = begin
+        codes, which = np.unique(np.append(previous.astype(np.int64) * (begin + 1) + at, begin * (begin + 1) + begin), return_inverse=True)
+        u, w = codes // (begin + 1), codes % (begin + 1)
         id_of = np.append(ids, self.words)
-        n = np.zeros(len(pairs), np.int64)
-        both = np.flatnonzero((id_of[u] >= 0) & (ids[w] >= 0))
-        if self.types and len(both):
-            n[both] = self.pair_counts(id_of[u[both]], ids[w[both]])
-        d = np.array([0.0, *self.discount])[np.minimum(n, 3)]
-        p = np.maximum(n - d, 0) / np.maximum(total[u], 1) + spread[u] * low[w]
-        model = np.log10(p)[back]
+        hashes = _pair(id_of[u], id_of[w])
+        known = np.flatnonzero((id_of[u] >= 0) & (id_of[w] >= 0)) if self.words else np.empty(0, np.int64)
+        before, context = np.zeros(len(codes)), np.zeros((len(codes), 4))
+        before[known], context[known] = self.before(hashes[known]), self.contexts(hashes[known])
+        second = np.append(low, 0.0)[w]  # no probability is asked of a mark
+        second = _discounted(before, self.discount[1]) / np.maximum(single[u, 0], 1) + one[u] * second
+        two = np.where(context[:, 0] > 0, context[:, 1:4] @ np.array(self.discount[0]) / np.maximum(context[:, 0], 1), 1.0)
+        # triples: the context of a token is the pair that ends before it
+        marks, which = which[-1], which[:-1]
+        before_it = np.concatenate([[marks], which[:-1]])
+        before_it[starts] = marks
+        n = np.zeros(len(at), np.int64)
+        some = np.flatnonzero((context[before_it, 0] > 0) & (ids[at] >= 0))
+        n[some] = self.triple_counts(hashes[before_it[some]], ids[at[some]])
+        p = _discounted(n, self.discount[0]) / np.maximum(context[before_it, 0], 1) + two[before_it] * second[which]
         add = lambda x: np.add.reduceat(x, starts)
-        return sizes, add(known.astype(np.int64)), add(base), add(model)
+        return sizes, add((ids >= 0)[at].astype(np.int64)), add(base[at]), add(np.log10(p))
+
+
+def _discounted(times: np.ndarray, discount: tuple) -> np.ndarray:
+    return np.maximum(times - np.array([0.0, *discount])[np.minimum(times, 3).astype(np.int64)], 0)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -298,37 +352,39 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
     spark = docs.sparkSession
     uri = uri or work_dir(spark, "ngrams")
     own = docs.where(fold).select(F.col(text).cast("string").alias("t"))
-    size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards = LEAST_SHARDS
-    while shards * SHARD_BYTES < size[1]:
+    while shards * SHARD_BYTES < size:
         shards *= 2
-    model = Model(uri, shards, docs=size[0])
-    shift = model._shift()
-
-    def send_words(batches):
-        hashes, held = _Hashes(), (np.empty(0, np.uint64), np.empty(0, np.uint32))
+    model = Model(uri, shards)
 
-        def merge(held, texts):
-            k, n = np.unique(np.concatenate(texts), return_counts=True)
-            return _merged(np.concatenate([held[0], k]), np.concatenate([held[1], n.astype(np.uint32)]))
-
-        def out(held):
-            cut = np.searchsorted(held[0] >> shift, np.arange(shards + 1, dtype=np.uint64))
-            some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-            return _rows(some, [_pack(np.diff(held[0][cut[s] : cut[s + 1]], prepend=np.uint64(0)), held[1][cut[s] : cut[s + 1]].astype(np.uint32)) for s in some])
-
-        texts, n = [], 0
+    def gathered(batches):
+        """Token hashes of texts, some GATHER tokens at a time."""
+        hashes, texts, n = _Hashes(), [], 0
         for batch in batches:
             for t in _tokens(batch.column(0), hashes):
                 texts.append(t)
                 n += len(t)
                 if n >= GATHER:
-                    held, texts, n = merge(held, texts), [], 0
-                    if len(held[0]) >= HOLD:
-                        yield out(held)
-                        held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+                    yield texts
+                    texts, n = [], 0
         if texts:
-            held = merge(held, texts)
+            yield texts
+
+    def send_words(batches):
+        held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+
+        def out(held):
+            cut = np.searchsorted(model.shard_of(held[0]), np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            return _rows(some, [_pack(np.diff(held[0][cut[s] : cut[s + 1]], prepend=np.uint64(0)), held[1][cut[s] : cut[s + 1]].astype(np.uint32)) for s in some])
+
+        for texts in gathered(batches):
+            k, n = np.unique(np.concatenate(texts), return_counts=True)
+            held = _merged(np.concatenate([held[0], k]), np.concatenate([held[1], n.astype(np.uint32)]))
+            if len(held[0]) >= HOLD:
+                yield out(held)
+                held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
         if len(held[0]):
             yield out(held)
         settle()
@@ -338,127 +394,166 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts] or [np.empty(0, np.uint64)])
         times = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64)
         keys, times = _merged(keys, times)
+        kept = np.minimum(times, 0xFFFFFFFF)
+        kind = _class(kept)
+        order = np.argsort(kind, kind="stable")
+        sizes = np.bincount(kind, minlength=len(CLASSES) + 1)
+        rank = np.empty(len(keys), np.uint32)
+        rank[order] = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         put(f"{uri}/hash-{shard}", keys)
-        put(f"{uri}/count-{shard}", np.minimum(times, 0xFFFFFFFF).astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(times.sum())], pa.int64())], names=["shard", "words", "tokens"])
-
-    got = sorted(_collected(_reduced(own.mapInArrow(send_words, _SENT), shards, keep_words, "shard int, words long, tokens long")))
-    for r in got:
-        model.starts.append(model.words)
-        model.words += r["words"]
-        model.tokens += r["tokens"]
-    if model.words + 1 >= 1 << 32:
-        raise ValueError("more distinct words than 32-bit ids")
-    limit = max(1000.0, HOT * model.tokens / shards)
-
-    def hot_words(batches):
-        for batch in batches:
-            out = []
-            for s in batch.column(0).to_pylist():
-                out += (np.flatnonzero(model._file("count", s, np.uint32) > limit) + model.starts[s]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
-
-    # a word's count is its number of pairs as the first one: fewer than shards / HOT words pass
-    hot = _collected(spark.range(shards).repartition(min(shards, 64), "id").mapInArrow(hot_words, "id long"))
-    model.hot = sorted({r["id"] for r in hot} | ({model.words} if model.docs > limit else set()))
-
-    def send_pairs(batches):
-        hashes, held = _Hashes(), (np.empty(0, np.uint64), np.empty(0, np.uint32))
-
-        def merge(held, texts):
+        put(f"{uri}/count-{shard}", kept.astype(np.uint32))
+        put(f"{uri}/rank-{shard}", rank)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([int(times.sum())], pa.int64())], names=["shard", "sizes", "tokens"])
+
+    got = sorted(_collected(_reduced(own.mapInArrow(send_words, _SENT), shards, keep_words, "shard int, sizes array<long>, tokens long")))
+    sizes = np.array([r["sizes"] for r in got], np.int64).T
+    model.starts = (np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(sizes.shape)
+    model.words, model.tokens = int(sizes.sum()), sum(r["tokens"] for r in got)
+    kind = np.uint32 if model.words < 0xFFFFFFFF else np.uint64
+    bits = max(1, int(model.words).bit_length())
+    tidy(spark)
+
+    def ordered(shard, first, second):
+        """The order of (shard, first, second)."""
+        if model.shard_bits + 2 * bits <= 64:
+            return np.argsort((shard.astype(np.uint64) << np.uint64(2 * bits)) | (first.astype(np.uint64) << np.uint64(bits)) | second.astype(np.uint64))
+        return np.lexsort((second, first, shard))
+
+    def send_triples(batches):
+        held, size = [], 0
+
+        def out():
+            u, v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            pair = _pair(u, v)
+            key = _triple(pair, w)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n, order = np.add.reduceat(n[order], first), order[first]
+            u, v, w, shard = u[order], v[order], w[order], model.shard_of(pair[order])
+            order = ordered(shard, u, v)
+            u, v, w, n, shard = (x[order] for x in (u, v, w, n, shard))
+            cut = np.searchsorted(shard, np.arange(shards + 1))
+            some = np.flatnonzero(np.diff(cut)).tolist()
+            return _rows(some, [_pack(np.diff(u[lo:hi], prepend=kind(0)), v[lo:hi], w[lo:hi], n[lo:hi]) for lo, hi in ((cut[s], cut[s + 1]) for s in some)])
+
+        for texts in gathered(batches):
             kinds, at = np.unique(np.concatenate(texts), return_inverse=True)
-            ids = model.ids(kinds)[0][at]
-            first = np.concatenate([[model.words], ids[:-1]])
-            first[np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])] = model.words
-            k, n = np.unique((first.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
-            return _merged(np.concatenate([held[0], k]), np.concatenate([held[1], n.astype(np.uint32)]))
-
-        def out(held):
-            second = held[0] & np.uint64(0xFFFFFFFF)
-            shard, local = model.deal((held[0] >> np.uint64(32)).astype(np.int64), second)
-            order = np.lexsort((held[0], local, shard))
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            some, data = [s for s in range(shards) if cut[s] < cut[s + 1]], []
-            for s in some:
-                rows = order[cut[s] : cut[s + 1]]
-                data.append(_pack(np.diff(local[rows], prepend=0).astype(np.uint32), second[rows].astype(np.uint32), held[1][rows].astype(np.uint32)))
-            return _rows(some, data)
-
-        texts, n = [], 0
-        for batch in batches:
-            for t in _tokens(batch.column(0), hashes):
-                texts.append(t)
-                n += len(t)
-                if n >= GATHER:
-                    held, texts, n = merge(held, texts), [], 0
-                    if len(held[0]) >= HOLD:
-                        yield out(held)
-                        held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
-        if texts:
-            held = merge(held, texts)
-        if len(held[0]):
-            yield out(held)
+            w = model.ids(kinds)[0][at].astype(kind)
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+            v = np.concatenate([[model.words], w[:-1]]).astype(kind)
+            v[starts] = model.words
+            u = np.concatenate([[model.words], v[:-1]]).astype(kind)
+            u[starts] = model.words
+            key = _triple(_pair(u, v), w)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(first, len(key))).astype(np.uint32)
+            order = order[first]
+            held.append((u[order], v[order], w[order], n))
+            size += len(n)
+            if size >= HOLD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
         settle()
 
-    high_kind, bits = model._high_kind(), np.uint64(model.bits)
-    starts = np.array(model.starts, np.int64)
+    def keep_triples(shard, data):
+        parts = [_unpack(d, kind, kind, kind, np.uint32) for d in data if d is not None]
+        empty = (np.empty(0, kind),) * 3 + (np.empty(0, np.uint32),)
+        u, v, w, n = (np.concatenate(x) for x in zip(empty, *((np.cumsum(p[0], dtype=kind), *p[1:]) for p in parts), strict=True))
+        del parts
+        pair = _pair(u, v)
+        key = _triple(pair, w)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        times = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else np.empty(0, np.int64)
+        order = order[first]
+        pair, v, w = pair[order], v[order], w[order]
+        _put_keys(f"{uri}/triple-{shard}", key[first], 0)
+        _put_counts(f"{uri}/times-{shard}", times)
+        small = [len(times), *(int((times == k).sum()) for k in (1, 2, 3, 4))]
+        # contexts, each with one of not so many kinds of numbers
+        pair, *numbers = _merged(pair, times, *((times == k).astype(np.int64) for k in (1, 2)), (times >= 3).astype(np.int64))
+        table = np.stack(numbers, axis=1) if len(pair) else np.empty((0, 4), np.int64)
+        kinds, of = np.unique(mixed(mixed(mixed(mixed(table[:, 0].astype(np.uint64)) + table[:, 1].astype(np.uint64)) + table[:, 2].astype(np.uint64)) + table[:, 3].astype(np.uint64)), return_inverse=True)
+        shown = np.zeros((len(kinds), 4), np.int64)
+        shown[of] = table
+        _put_keys(f"{uri}/context-{shard}", pair, model.shard_bits)
+        put(f"{uri}/kinds-{shard}", shown.ravel())
+        put(f"{uri}/kind-{shard}", of.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32))
+        # for the shards of the last two words: the number of different words before them
+        to = model.shard_of(_pair(v, w))
+        order = ordered(to, v, w)
+        v, w, to = v[order], w[order], to[order]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(v))).astype(np.uint32)
+        v, w, to = v[first], w[first], to[first]
+        cut = np.searchsorted(to, np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        yield _rows([*some, shard], [*(_pack(np.diff(v[cut[s] : cut[s + 1]], prepend=kind(0)), w[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in some), b"#" + np.array(small, np.int64).tobytes()])
+
+    edges = model.edges()
 
     def keep_pairs(shard, data):
-        keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
-        parts = [_unpack(d, np.uint32, np.uint32, np.uint32) for d in data if d is not None]
-        if parts:
-            keys = np.concatenate([(np.cumsum(p[0], dtype=np.uint64) << bits) | p[1] for p in parts])
-            times = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        small = np.zeros(10, np.int64)
+        parts = []
+        for d in data:
+            if d is not None and d[:1] == b"#":
+                small[:5] += np.frombuffer(d[1:], np.int64)
+            elif d is not None:
+                parts.append(_unpack(d, kind, kind, np.uint32))
+        empty = (np.empty(0, kind),) * 2 + (np.empty(0, np.uint32),)
+        v, w, n = (np.concatenate(x) for x in zip(empty, *((np.cumsum(p[0], dtype=kind), *p[1:]) for p in parts), strict=True))
         del parts
-        keys, times = _merged(keys, times)
-        put(f"{uri}/low-{shard}", (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        put(f"{uri}/high-{shard}", (keys >> np.uint64(32)).astype(high_kind))
-        put(f"{uri}/times-{shard}", np.minimum(times, 255).astype(np.uint8))
-        big = np.flatnonzero(times >= 255)
-        put(f"{uri}/bigplace-{shard}", big.astype(np.uint32))
-        put(f"{uri}/bigvalue-{shard}", np.minimum(times[big], 0xFFFFFFFF).astype(np.uint32))
-        # types by first and by second word, for the shards of those words; at -1 the counts of counts
-        first = model.first_of(shard, (keys >> bits).astype(np.int64))
-        second = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        tops, n1, n2, n3 = _merged(first, *((times == k).astype(np.uint32) for k in (1, 2)), (times >= 3).astype(np.uint32))
-        ends, n = _merged(second, np.ones(len(second), np.uint32))
+        key = _pair(v, w)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else np.empty(0, np.int64)
+        order = order[first]
+        v, w = v[order], w[order]
+        _put_keys(f"{uri}/pair-{shard}", key[first], model.shard_bits)
+        _put_counts(f"{uri}/before-{shard}", n)
+        small[5:] = [len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4))]
+        tops, *numbers = _merged(v, n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
+        ends, times = _merged(w, np.ones(len(w), np.int64))
         to, out = [], []
-        a, b = np.searchsorted(tops, [*starts, model.words + 1]), np.searchsorted(ends, [*starts, model.words + 1])
-        for s in range(shards):
-            if a[s] < a[s + 1] or b[s] < b[s + 1]:
-                u, w = slice(a[s], a[s + 1]), slice(b[s], b[s + 1])
-                left = _pack((tops[u] - starts[s]).astype(np.uint32), n1[u].astype(np.uint32), n2[u].astype(np.uint32), n3[u].astype(np.uint32))
-                to.append(s)
-                out.append(struct.pack("<q", len(left)) + left + _pack((ends[w] - starts[s]).astype(np.uint32), n[w].astype(np.uint32)))
-        small = np.array([len(keys), *(int((times == k).sum()) for k in (1, 2, 3, 4))], np.int64)
-        yield _rows([*to, shard], [*out, b"#" + small.tobytes()])
-
-    widths = [*np.diff([*model.starts, model.words]).tolist()]
-    widths[-1] += 1  # the beginning of a text
-
-    def keep_types(shard, data):
-        table, small = np.zeros((widths[shard], 4), np.int64), np.zeros(5, np.int64)
+        a, b = np.searchsorted(tops, edges), np.searchsorted(ends, edges)
+        for s in np.flatnonzero(np.diff(a) + np.diff(b)).tolist():
+            left = _pack((tops[a[s] : a[s + 1]] - kind(edges[s])).astype(kind), *(x[a[s] : a[s + 1]].astype(np.uint64) for x in numbers))
+            to.append(s)
+            out.append(struct.pack("<q", len(left)) + left + _pack((ends[b[s] : b[s + 1]] - kind(edges[s])).astype(kind), times[b[s] : b[s + 1]].astype(np.uint64)))
+        yield _rows([*to, shard], [*out, b"#" * 8 + small.tobytes()])
+
+    def keep_singles(shard, data):
+        table, small = np.zeros((int(edges[shard + 1] - edges[shard]), 5), np.int64), np.zeros(10, np.int64)
         for d in data:
             if d is None:
                 continue
-            if d[:1] == b"#" and len(d) == 41:
-                small += np.frombuffer(d[1:], np.int64)
+            if d[:8] == b"#" * 8 and len(d) == 88:
+                small += np.frombuffer(d[8:], np.int64)
                 continue
             n = struct.unpack_from("<q", d)[0]
-            at, n1, n2, n3 = _unpack(d[8 : 8 + n], *[np.uint32] * 4)
-            for k, v in enumerate((n1, n2, n3)):
-                table[at, k] += v
-            at, times = _unpack(d[8 + n :], np.uint32, np.uint32)
-            table[at, 3] += times
-        put(f"{uri}/stats-{shard}", np.minimum(table, 0xFFFFFFFF).astype(np.uint32).ravel())
-        low = [int((table[:, 3] == k).sum()) for k in (1, 2, 3, 4)] + [int((table[:, 3] >= 3).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*small.tolist(), *low)], names=[f"c{k}" for k in range(10)])
-
-    pairs = _reduced(own.mapInArrow(send_pairs, _SENT), shards, keep_pairs, "shard int, data binary")
-    got = np.array([list(r) for r in _collected(_reduced(pairs, shards, keep_types, ", ".join(f"c{k} long" for k in range(10))))], np.int64).sum(0)
-    model.types = int(got[0])
-    model.discount, model.low_discount = discounts(got[1:5].tolist()), discounts(got[5:9].tolist())
-    model.low_types = (int(got[5]), int(got[6]), int(got[9]))
+            at, *numbers = _unpack(d[8 : 8 + n], kind, *[np.uint64] * 4)
+            for k, x in enumerate(numbers):
+                table[at.astype(np.int64), k] += x.astype(np.int64)
+            at, times = _unpack(d[8 + n :], kind, np.uint64)
+            table[at.astype(np.int64), 4] += times.astype(np.int64)
+        put(f"{uri}/single-{shard}", table.ravel())
+        low = [int((table[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((table[:, 4] >= 3).sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*small.tolist(), *low)], names=[f"c{k}" for k in range(15)])
+
+    triples = _reduced(own.mapInArrow(send_triples, _SENT), shards, keep_triples, "shard int, data binary")
+    pairs = _reduced(triples, shards, keep_pairs, "shard int, data binary")
+    got = np.array([list(r) for r in _collected(_reduced(pairs, shards, keep_singles, ", ".join(f"c{k} long" for k in range(15))))], np.int64).sum(0).tolist()
+    model.triples, model.types = got[0], got[5]
+    model.discount = (discounts(got[1:5]), discounts(got[6:10]), discounts(got[10:14]))
+    model.low_types = (got[10], got[11], got[14])
+    tidy(spark)
     return model
 
 

@@ -1,4 +1,4 @@
-"""The bigram model against one counted with dictionaries."""
+"""The trigram model against one counted with dictionaries."""
 
 import math
 import random
@@ -13,20 +13,26 @@ from folioflow.llm import ngrams
 
 def brute(train, texts):
     cut = lambda t: [*(t or "").encode().lower().split(), b""]
-    c, pair = Counter(), Counter()
+    c, tri = Counter(), Counter()
     for t in train:
         w = cut(t)
         c.update(w)
-        pair.update(zip([None, *w], w, strict=False))
+        tri.update(zip([None, None, *w], [None, *w], w, strict=False))
     n, v = sum(c.values()), len(c)
-    ctx = Counter(c)
-    ctx[None] = len(train)
-    by, low = defaultdict(lambda: [0, 0, 0]), Counter()
-    for (u, w), k in pair.items():
-        by[u][min(k, 3) - 1] += 1
+    pair, low = Counter((b, w) for a, b, w in tri), Counter()
+    for _, w in pair:
         low[w] += 1
-    d = ngrams.discounts([sum(k == x for k in pair.values()) for x in (1, 2, 3, 4)])
-    e = ngrams.discounts([sum(k == x for k in low.values()) for x in (1, 2, 3, 4)])
+
+    def by_context(counts):
+        total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
+        for (*h, _), k in counts.items():
+            total[tuple(h)] += k
+            kinds[tuple(h)][min(k, 3) - 1] += 1
+        return total, kinds
+
+    of = lambda counts: ngrams.discounts([sum(k == x for k in counts.values()) for x in (1, 2, 3, 4)])
+    levels = [(tri, *by_context(tri), of(tri)), (pair, *by_context(pair), of(pair))]
+    e = of(low)
     rest = sum(e[min(k, 3) - 1] for k in low.values())
 
     def p1(w):
@@ -35,39 +41,36 @@ def brute(train, texts):
         k = low[w]
         return (max(k - e[min(k, 3) - 1], 0) if k else 0) / len(pair) + rest / len(pair) / (v + 1)
 
-    def p2(u, w):
-        if not ctx[u]:
+    def p(h, w):
+        if not h:
             return p1(w)
-        k = pair[u, w]
-        return (max(k - d[min(k, 3) - 1], 0) if k else 0) / ctx[u] + sum(a * b for a, b in zip(d, by[u], strict=True)) / ctx[u] * p1(w)
+        counts, total, kinds, d = levels[2 - len(h)]
+        if not total[h]:
+            return p(h[1:], w)
+        k = counts[*h, w]
+        return (max(k - d[min(k, 3) - 1], 0) if k else 0) / total[h] + sum(a * b for a, b in zip(d, kinds[h], strict=True)) / total[h] * p(h[1:], w)
 
     out = []
     for t in texts:
         w = cut(t)
-        out.append(
-            (len(w), sum(c[x] > 0 for x in w), sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p2(a, b)) for a, b in zip([None, *w], w, strict=False)))
-        )
-    for u in [None, *list(c)[:5], b"never seen"]:
-        total = sum(p2(u, w) for w in c) + p2(u, b"unknown word")
-        assert u == b"" or total == pytest.approx(1)
+        out.append((len(w), sum(c[x] > 0 for x in w), sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p((a, b), x)) for a, b, x in zip([None, None, *w], [None, *w], w, strict=False))))
+    for h in [(None, None), *[x[:2] for x in list(tri)[:5]], (b"never", b"seen"), (b"never", next(iter(c)))]:
+        assert sum(p(h, w) for w in c) + p(h, b"unknown word") == pytest.approx(1)
     return out, n
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_against_dictionaries(spark, hot, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_against_dictionaries(spark, small, monkeypatch):
     r = random.Random(5)
     vocab = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)] + ["été", "A", "a"]
     rows = [(k, " ".join(r.choice(vocab) for _ in range(r.randint(0, 60)))) for k in range(300)]
     rows += [(300, None), (301, ""), (302, " \t\n"), (None, "a b"), (5, rows[5][1]), (400, "w1 " * 2000)]
-    if hot:  # deal the pairs of frequent words by the second word
-        monkeypatch.setattr(ngrams, "HOT", 0.0)
-        monkeypatch.setattr(ngrams, "GATHER", 100)
-        real = max
-        monkeypatch.setattr(ngrams, "max", lambda *a, **b: 20.0 if a and a[0] == 1000.0 else real(*a, **b), raising=False)
+    if small:  # many messages, many classes of words, buckets of some entries
+        for name, value in (("GATHER", 100), ("HOLD", 300), ("CLASSES", (50, 5, 2)), ("LEAST_SHARDS", 4), ("MAPS", 3)):
+            monkeypatch.setattr(ngrams, name, value)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1))
     fold = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 1
     model = ngrams.train(df, fold)
-    assert len(model.hot) > (5 if hot else 0)
     got = ngrams.score(df, model, ["doc_id"]).collect()
     want, n = brute([t for k, t in rows if (k or 0) % 5 != 1], [t for _, t in rows])
     assert model.tokens == n and len(got) == len(rows)
@@ -75,6 +78,16 @@ def test_against_dictionaries(spark, hot, monkeypatch):
     assert np.allclose(sorted(key(g[1:]) for g in got), sorted(key(w) for w in want), atol=1e-5)
 
 
+def test_hash_arrays(tmp_path):
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 500, 5000):
+        keys = np.unique(r.integers(0, 1 << 58, n, np.uint64)) | np.uint64(5 << 58)  # six common bits
+        ngrams._put_keys(f"file://{tmp_path}/k{n}", keys, 6)
+        data = np.fromfile(f"{tmp_path}/k{n}", np.uint8)
+        assert ngrams._search(data, keys, 6).tolist() == list(range(len(keys)))
+        assert (ngrams._search(data, r.integers(0, 1 << 58, 300, np.uint64) | np.uint64(5 << 58), 6) == -1).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     model = ngrams.train(df, F.lit(True))
