@@ -2,13 +2,12 @@
 
 ``spark.checkpoint.dir`` names a folder that the driver and all executors share. Files there go
 through ``pyarrow.fs``, so any store that it knows works; where the store is a plain file system,
-workers map the files in place, elsewhere they copy them to their own temporary folder first.
+workers map the files in place, elsewhere they map a copy that no folder keeps.
 """
 
 from __future__ import annotations
 
 import gc
-import hashlib
 import os
 import re
 import tempfile
@@ -93,14 +92,12 @@ def mapped(uri: str) -> np.ndarray:
     """The file's bytes, mapped into memory."""
     if uri.startswith("file:"):
         path = uri.removeprefix("file://") if uri.startswith("file://") else uri.removeprefix("file:")
-    else:
-        path = os.path.join(tempfile.gettempdir(), hashlib.sha256(uri.encode()).hexdigest())
-        if not os.path.exists(path):
-            system, far = _fs(uri)
-            with system.open_input_stream(far) as src, open(f"{path}.{os.getpid()}", "wb") as out:
-                while block := src.read(1 << 24):
-                    out.write(block)
-            os.replace(f"{path}.{os.getpid()}", path)
-    if not os.path.getsize(path):
-        return np.empty(0, np.uint8)
-    return np.memmap(path, np.uint8, "r")
+        if not os.path.getsize(path):
+            return np.empty(0, np.uint8)
+        return np.memmap(path, np.uint8, "r")
+    system, far = _fs(uri)
+    with tempfile.TemporaryFile() as copy, system.open_input_stream(far) as src:  # a file without a name: it goes with the last map of it
+        while block := src.read(1 << 24):
+            copy.write(block)
+        copy.flush()
+        return np.memmap(copy, np.uint8, "r") if copy.tell() else np.empty(0, np.uint8)

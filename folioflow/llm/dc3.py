@@ -48,8 +48,13 @@ def _joined(*parts: tuple[np.ndarray, int]) -> tuple[np.ndarray, int]:
         if bits + more > 64:
             ranks, top = _ranked(key, bits)
             key, bits = ranks.astype(np.uint64), _bits(top)
-        if bits + more > 64:  # ranks and values of more than 2**32 places each
-            raise OverflowError("an array of this size can't be sorted in one piece")
+        if bits + more > 64:  # ranks of more than 2**32 places and values as large: rank the pairs
+            order = np.lexsort((values, key))
+            new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (values[order][1:] != values[order][:-1])])
+            key = np.empty(len(order), np.uint64)
+            key[order] = np.cumsum(new)
+            bits = _bits(len(order))
+            continue
         key, bits = (key << np.uint64(more)) | values.astype(np.uint64), bits + more
     return key, bits
 

@@ -4,8 +4,8 @@ One automaton holds every template (full texts, notices, and the three plain phr
 result counts). A file is streamed through it word by word, which gives its matching statistics: the
 automaton state and the length of the longest template substring that ends at each word. A match that
 can't be extended and is long enough is placed on its template; matches of one template that go
-forward in both text and template, with a bounded gap in the text, are chained into a covered span.
-A template whose chain covers enough of it labels the file.
+forward in both text and template, with a bounded gap in the text, are chained into covered spans, one for
+each copy of the template. A template of which a chain covers enough labels the file.
 
 The automaton is built on the driver from the templates alone, some thousand tokens, and sent along
 with the function; it does not grow with the data. Files are handled one by one in a map without a
@@ -17,6 +17,8 @@ repeated rows are scanned each on its own; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,29 +181,58 @@ class Scanner:
         return places, self._chains(matches)
 
     def _chains(self, matches: list[tuple[int, int, int]]):
-        open_: dict[int, list[int]] = {}  # template: text start, text end, template end, words covered
-        best: dict[int, tuple[float, int, int]] = {}
+        """Covered spans (template, start, end, share) of all copies of templates, and the largest share of all chains.
+
+        Each place of a match on a template goes on from the open chain that covers most with it, or begins one. Of
+        chains of one template that overlap in the text the one of the larger share counts."""
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # template: text start, text end, template end, words covered
+        done: dict[int, list[tuple[float, int, int]]] = {}
         first = len(self.phrases)
+
+        def close(k: int, chains) -> None:
+            size = len(self.templates[k][1])
+            done.setdefault(k, []).extend((min(1.0, covered / size), start, stop) for start, stop, _, covered in chains)
+
         for end, n, v in matches:
-            by: dict[int, list[int]] = {}
+            start = end - n
             for k, at in self.sam.places[v]:
-                if k >= first:
-                    by.setdefault(k - first, []).append(at)
-            for k, ends in by.items():
-                size = len(self.templates[k][1])
-                if n < min(MIN_MATCH, size):
+                k -= first
+                if k < 0 or n < min(MIN_MATCH, len(self.templates[k][1])):
                     continue
-                chain = open_.get(k)
-                if chain and end - n - chain[1] <= MAX_GAP and (later := [e for e in ends if e > chain[2]]):
-                    new = min(n, later[0] - chain[2])
-                    open_[k] = [chain[0], end, later[0], chain[3] + new]
-                else:
-                    open_[k] = [end - n, end, ends[0], n]
-                start, stop, _, covered = open_[k]
-                share = min(1.0, covered / size)
-                if share > best.get(k, (0.0,))[0]:
-                    best[k] = (share, start, stop)
-        return [(k, s, e, share) for k, (share, s, e) in sorted(best.items()) if share >= COVERAGE], max((x[0] for x in best.values()), default=0.0)
+                held = open_.get(k, [])
+                near = [c for c in held if start - c[1] <= MAX_GAP]
+                if len(near) < len(held):
+                    close(k, [c for c in held if start - c[1] > MAX_GAP])
+                # a word of the text counts once: what a chain has covered of this match is not new
+                further = [(c[3] + min(n, at - c[2], end - c[1]), c) for c in near if at > c[2] and end > c[1]]
+                covered, chain = max(further, default=(0, None))
+                new = (chain[0], end, at, covered) if chain is not None and covered > n else (start, end, at, n)
+                open_[k] = [c for c in near if c != chain or new[0] != c[0]] + [new]
+        for k, chains in open_.items():
+            close(k, chains)
+        out = []
+        for k, chains in sorted(done.items()):
+            taken = _Taken()
+            for share, start, stop in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+                if share >= COVERAGE and taken.add(start, stop):
+                    out.append((k, start, stop, share))
+        return sorted(out, key=lambda c: c[:3]), max((c[0] for chains in done.values() for c in chains), default=0.0)
+
+
+class _Taken:
+    """Spans that don't overlap, in order."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether a span is free; if so, it is taken."""
+        k = bisect_left(self.starts, end)
+        if k and self.ends[k - 1] > start:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
 
 
 PLACE = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType())])
@@ -210,9 +241,11 @@ COVER = T.StructType(
 )
 
 
-def licence_scan(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The key columns, n_words, ``places`` of the phrases, ``covers`` (chained template spans) and ``best_share``."""
-    scanner = Scanner()
+def licence_scan(df: DataFrame, keys: list[str], text: str = "text", templates=TEMPLATES) -> DataFrame:
+    """The key columns, n_words, ``places`` of the phrases, ``covers`` (all chained template spans) and ``best_share``.
+
+    templates: (label, text) of each; whole licence texts can be added to those given here."""
+    scanner = Scanner(templates=templates)
     schema = T.StructType(
         [
             *fields(df, keys),

@@ -17,8 +17,8 @@ ranked together. The number of cells grows with the largest source.
 
 Defined results: a null source is a source of its own, named ""; a source without a given weight gets
 ``default``; sources with a weight of 0 follow at the end in order of their names, as phases of their own;
-documents are ordered by a hash of the ``order`` columns, nulls and repeated ids too, and rows that are
-equal in them may change places; an
+documents are ordered by a hash of their whole rows, so null and repeated ids are dealt like all others;
+rows that are equal in all columns are alike, whichever of their places they take; an
 empty table gives an empty result; all other columns are passed on, but for such with the new ones' names.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -167,10 +168,11 @@ def deviation(phases: list[Phase], source: str, weights: dict[str, float] | None
     return worst
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", default: float = 1.0, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, order: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", default: float = 1.0, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All columns of ``df`` with mix_block, mix_slot (the block's place in the sequence), mix_release and mix_due."""
     spark, name = df.sparkSession, F.coalesce(F.col(source).cast("string"), F.lit(""))
-    key = F.xxhash64(F.lit("mix"), *(F.col(c).cast("string") for c in order))
+    whole_row = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if re.search("map<|variant", df.schema[c].dataType.simpleString()) else F.col(c) for c in df.columns]
+    key = F.xxhash64(F.lit("mix"), *whole_row)
     path = work_dir(spark, "mix")
     light = df.select(name.alias("s"), key.alias("h"))
     sizes = {r["s"]: r["n"] for r in light.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source

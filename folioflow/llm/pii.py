@@ -7,12 +7,14 @@ near by. Offsets are code points, the end is exclusive.
 
 Nulls and empty texts have no spans; a null id stays null; repeated rows are scanned each on its own;
 columns other than the named ones are ignored, so clashing names do no harm. All patterns are linear
-in the text's length: no match attempt starts inside a run that has already failed.
+in the text's length: no match attempt starts inside a run that has already failed, and spans are held
+against the base ones by a search among these in order.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -123,6 +125,23 @@ def _ibans(text: str):
                 break
 
 
+class _Spans:
+    """Spans, merged, that can be asked whether they overlap another one."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+
 def scan(text: str) -> list[tuple[str, int, int, float]]:
     """All spans of a text by kind as listed, then start: (kind, start, end, score)."""
     found = []
@@ -137,9 +156,9 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
         found += [("iban", *s) for s in _ibans(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         found += [("localphone", *m.span()) for m in _LOCALPHONE.finditer(text)]
-    out, base = [], [(a, b) for k, a, b in found if k in BASE_KINDS]
+    out, base = [], _Spans((a, b) for k, a, b in found if k in BASE_KINDS)
     for kind, start, end in found:
-        if kind not in BASE_KINDS and kind != "iban" and any(a < end and start < b for a, b in base):
+        if kind not in BASE_KINDS and kind != "iban" and base.meets(start, end):
             continue  # part of a base span; an IBAN has its own check and holds more than the digits in it
         near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
         score = PRIOR[kind] + (0.3 if _NEAR[kind].search(near) else 0.0)

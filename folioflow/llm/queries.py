@@ -35,7 +35,7 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, order=("doc_id",))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_due")
 
 
@@ -92,7 +92,7 @@ TOXIC_FOLDS, TOXIC_HELD = 4, 2
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(TOXIC_FOLDS)) == TOXIC_HELD
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(TOXIC_FOLDS)) == TOXIC_HELD
     model = toxicity.fit_model(docs, _table(spark, sf_dir, "labels"), fold=~held)
     return toxicity.score(docs, model, ["doc_id"], lang="lang").select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic"
