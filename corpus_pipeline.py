@@ -27,7 +27,8 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below their language's threshold; labels only train the classifier."""
     model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang")  # no column of docs can clash with the score's
+    more = ["lang"] if "lang" in docs.columns else []
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", *more)  # no column of docs can clash with the score's
     return toxicity.score(rows, model, ["row"], lang="lang").where(~F.col("toxic")).select("row.*")
 
 
