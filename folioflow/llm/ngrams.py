@@ -162,6 +162,18 @@ def _put_counts(uri: str, counts: np.ndarray) -> None:
     put(f"{uri}-big", big.astype(np.int64), counts[big].astype(np.int64))
 
 
+def _put_kinds(uri: str, table: np.ndarray) -> None:
+    """Rows of numbers by the kinds of rows that there are: the kinds, and the kind of each row."""
+    code = np.zeros(len(table), np.uint64)
+    for column in table.T:
+        code = mixed(code + column.astype(np.uint64))
+    kinds, of = np.unique(code, return_inverse=True)
+    shown = np.zeros((len(kinds), table.shape[1]), np.int64)
+    shown[of] = table
+    put(f"{uri}-kinds", np.array([len(kinds)], np.int64), shown.ravel())
+    put(uri, of.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32))
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that belong to them."""
@@ -236,11 +248,12 @@ class Model:
         """For hashes of pairs as contexts: their total, and their triples that occur once, twice, more often; in columns."""
         out = np.zeros((len(pair), 4), np.int64)
         for s, rows, at in self._found("context", self.shard_of(pair), pair, self.shard_bits):
-            out[rows] = self._file(f"kinds-{s}", np.int64).reshape(-1, 4)[self._file(f"kind-{s}", np.uint32 if self._wide(s) else np.uint16)[at]]
+            out[rows] = self._kinds(f"context-kind-{s}", at, 4)
         return out
 
-    def _wide(self, s: int) -> bool:
-        return len(self._file(f"kinds-{s}")) > 32 << 16
+    def _kinds(self, name: str, at: np.ndarray, width: int) -> np.ndarray:
+        kinds = self._file(f"{name}-kinds", np.int64)
+        return kinds[1:].reshape(-1, width)[self._file(name, np.uint16 if kinds[0] <= 1 << 16 else np.uint32)[at]]
 
     def before(self, pair: np.ndarray) -> np.ndarray:
         """For hashes of pairs: how many different words stand before them."""
@@ -249,18 +262,15 @@ class Model:
             out[rows] = self._counts("before", s, at)
         return out
 
-    def edges(self) -> np.ndarray:
-        """First ids of the shards of single words' numbers; the mark of the beginning comes last."""
-        return (np.arange(self.shards + 1) * (self.words + 1)) // self.shards
-
     def singles(self, ids: np.ndarray) -> np.ndarray:
         """For sorted distinct ids up to V, in columns: as context the sum over pairs of different words before them, pairs
         with one, two and more such words, and in how many pairs it is the second word."""
         out = np.zeros((len(ids), 5), np.float64)
-        edges = self.edges()
-        cut = np.searchsorted(ids, edges)
+        order = np.argsort(ids % self.shards, kind="stable")  # ids are dealt in turn, so frequent words are spread
+        cut = np.searchsorted(ids[order] % self.shards, np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
-            out[cut[s] : cut[s + 1]] = self._file(f"single-{s}", np.int64).reshape(-1, 5)[ids[cut[s] : cut[s + 1]] - edges[s]]
+            rows = order[cut[s] : cut[s + 1]]
+            out[rows] = self._kinds(f"single-{s}", ids[rows] // self.shards, 5)
         return out
 
     def single_probability(self, times: np.ndarray) -> np.ndarray:
@@ -479,12 +489,8 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         # contexts, each with one of not so many kinds of numbers
         pair, *numbers = _merged(pair, times, *((times == k).astype(np.int64) for k in (1, 2)), (times >= 3).astype(np.int64))
         table = np.stack(numbers, axis=1) if len(pair) else np.empty((0, 4), np.int64)
-        kinds, of = np.unique(mixed(mixed(mixed(mixed(table[:, 0].astype(np.uint64)) + table[:, 1].astype(np.uint64)) + table[:, 2].astype(np.uint64)) + table[:, 3].astype(np.uint64)), return_inverse=True)
-        shown = np.zeros((len(kinds), 4), np.int64)
-        shown[of] = table
         _put_keys(f"{uri}/context-{shard}", pair, model.shard_bits)
-        put(f"{uri}/kinds-{shard}", shown.ravel())
-        put(f"{uri}/kind-{shard}", of.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32))
+        _put_kinds(f"{uri}/context-kind-{shard}", table)
         # for the shards of the last two words: the number of different words before them
         to = model.shard_of(_pair(v, w))
         order = ordered(to, v, w)
@@ -496,8 +502,6 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         some = np.flatnonzero(np.diff(cut)).tolist()
         yield _rows([*some, shard], [*(_pack(np.diff(v[cut[s] : cut[s + 1]], prepend=kind(0)), w[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in some), b"#" + np.array(small, np.int64).tobytes()])
 
-    edges = model.edges()
-
     def keep_pairs(shard, data):
         small = np.zeros(10, np.int64)
         parts = []
@@ -522,15 +526,17 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         tops, *numbers = _merged(v, n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
         ends, times = _merged(w, np.ones(len(w), np.int64))
         to, out = [], []
-        a, b = np.searchsorted(tops, edges), np.searchsorted(ends, edges)
+        of_top, of_end = (np.argsort(x % kind(shards), kind="stable") for x in (tops, ends))
+        a, b = (np.searchsorted((x % kind(shards))[o], np.arange(shards + 1)) for x, o in ((tops, of_top), (ends, of_end)))
         for s in np.flatnonzero(np.diff(a) + np.diff(b)).tolist():
-            left = _pack((tops[a[s] : a[s + 1]] - kind(edges[s])).astype(kind), *(x[a[s] : a[s + 1]].astype(np.uint64) for x in numbers))
+            top, end = of_top[a[s] : a[s + 1]], of_end[b[s] : b[s + 1]]
+            left = _pack(np.diff(tops[top] // kind(shards), prepend=kind(0)), *(x[top].astype(np.uint64) for x in numbers))
             to.append(s)
-            out.append(struct.pack("<q", len(left)) + left + _pack((ends[b[s] : b[s + 1]] - kind(edges[s])).astype(kind), times[b[s] : b[s + 1]].astype(np.uint64)))
+            out.append(struct.pack("<q", len(left)) + left + _pack(np.diff(ends[end] // kind(shards), prepend=kind(0)), times[end].astype(np.uint64)))
         yield _rows([*to, shard], [*out, b"#" * 8 + small.tobytes()])
 
     def keep_singles(shard, data):
-        table, small = np.zeros((int(edges[shard + 1] - edges[shard]), 5), np.int64), np.zeros(10, np.int64)
+        table, small = np.zeros(((model.words - shard) // shards + 1, 5), np.int64), np.zeros(10, np.int64)
         for d in data:
             if d is None:
                 continue
@@ -539,11 +545,12 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
                 continue
             n = struct.unpack_from("<q", d)[0]
             at, *numbers = _unpack(d[8 : 8 + n], kind, *[np.uint64] * 4)
+            at = np.cumsum(at, dtype=np.int64)
             for k, x in enumerate(numbers):
-                table[at.astype(np.int64), k] += x.astype(np.int64)
+                table[at, k] += x.astype(np.int64)
             at, times = _unpack(d[8 + n :], kind, np.uint64)
-            table[at.astype(np.int64), 4] += times.astype(np.int64)
-        put(f"{uri}/single-{shard}", table.ravel())
+            table[np.cumsum(at, dtype=np.int64), 4] += times.astype(np.int64)
+        _put_kinds(f"{uri}/single-{shard}", table)
         low = [int((table[:, 4] == k).sum()) for k in (1, 2, 3, 4)] + [int((table[:, 4] >= 3).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*small.tolist(), *low)], names=[f"c{k}" for k in range(15)])
 
