@@ -58,20 +58,52 @@ def title_match_tables(spark, sf):
     return matching.title_pairs(left, right, "n_nationkey", "s_suppkey", "n_name", "t")
 
 
-@query("simhash_bits")
+#: The similarity hash in SQL: a token's words go through the hash function's steps as a fold over lists of numbers,
+#: [0, words] to add them, [1, x, y, z, rotation] to mix and [2, x, y, rotation] to finish; then bits are counted.
+_M32 = "4294967295"
+_TURNED = f"(((s[e[3]] << e[{{0}}]) | (s[e[3]] >> (32 - e[{{0}}]))) & {_M32})"
+_MIX_SQL = ", ".join(f"[1, {k % 3 + 1}, {(k + 2) % 3 + 1}, {(k + 1) % 3 + 1}, {r}]" for k, r in enumerate(simhash.MIX))
+_FINAL_SQL = ", ".join(f"[2, {(k + 2) % 3 + 1}, {(k + 1) % 3 + 1}, {r}]" for k, r in enumerate(simhash.FINAL))
+_SIMHASH_SQL = rf"""tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+')) AS t FROM documents),
+       hx AS (SELECT DISTINCT t, octet_length(encode(t)) AS n, rpad(hex(encode(t)), CAST(24 * ((octet_length(encode(t)) + 11) // 12) AS INTEGER), '0') AS h FROM tok WHERE octet_length(encode(t)) > {simhash.SHORT}),
+       words AS (SELECT t, n, list_transform(range(0, len(h) // 8), lambda i: CAST('0x' || h[8*i+7:8*i+8] || h[8*i+5:8*i+6] || h[8*i+3:8*i+4] || h[8*i+1:8*i+2] AS BIGINT)) AS w FROM hx),
+       steps AS (SELECT t, [[({0xDEADBEEF + simhash.SEED_1} + n) & {_M32}, ({0xDEADBEEF + simhash.SEED_1} + n) & {_M32}, ({0xDEADBEEF + simhash.SEED_1 + simhash.SEED_2} + n) & {_M32}]]
+                 || flatten(list_transform(range(0, len(w) // 3), lambda b: [[0, w[3*b+1], w[3*b+2], w[3*b+3]]] || CASE WHEN b + 1 < len(w) // 3 THEN [{_MIX_SQL}] ELSE [{_FINAL_SQL}] END)) AS st FROM words),
+       hashed AS (SELECT t, list_reduce(st, lambda s, e: CASE e[1]
+                   WHEN 0 THEN [(s[1] + e[2]) & {_M32}, (s[2] + e[3]) & {_M32}, (s[3] + e[4]) & {_M32}]
+                   WHEN 1 THEN list_transform(s, lambda v, i: CASE i WHEN e[2] THEN xor((v - s[e[3]]) & {_M32}, {_TURNED.format(5)}) WHEN e[3] THEN (v + s[e[4]]) & {_M32} ELSE v END)
+                   ELSE list_transform(s, lambda v, i: CASE i WHEN e[2] THEN (xor(v, s[e[3]]) - {_TURNED.format(4)}) & {_M32} ELSE v END) END) AS h FROM steps),
+       sized AS (SELECT doc_id, t, count(*) AS m FROM tok WHERE octet_length(encode(t)) > {simhash.SHORT} GROUP BY ALL),
+       votes AS (SELECT doc_id, c, sum(m * ((CASE WHEN c >= 32 THEN h[3] >> (c - 32) ELSE h[2] >> c END) & 1)) AS yes, sum(m) AS n FROM sized JOIN hashed USING (t), range(64) r(c) GROUP BY ALL),
+       bits AS (SELECT doc_id, string_agg(CASE WHEN yes - n // 2 >= 0 THEN '1' ELSE '0' END, '' ORDER BY c DESC) AS bits,
+                sum(CASE WHEN c >= 32 AND yes - n // 2 >= 0 THEN 1 << (c - 32) ELSE 0 END) AS hi, sum(CASE WHEN c < 32 AND yes - n // 2 >= 0 THEN 1 << c ELSE 0 END) AS lo FROM votes GROUP BY doc_id),
+       sim AS (SELECT d.doc_id, text, coalesce(bits, repeat('1', 64)) AS bits, CAST(coalesce(hi, {_M32}) AS BIGINT) AS hi, CAST(coalesce(lo, {_M32}) AS BIGINT) AS lo FROM documents d LEFT JOIN bits USING (doc_id))"""
+
+
+@query("simhash_bits", f"WITH {_SIMHASH_SQL} SELECT doc_id, bits FROM sim")
 def simhash_bits(spark, sf):
     """The similarity hash of each whole text, as 64 digits."""
     return publications(spark, sf).select("doc_id", simhash.simhash64("text").alias("h")).select("doc_id", simhash.binary_digits(F.col("h")).alias("bits"))
 
 
-@query("dup_simhash")
+@query(
+    "dup_simhash",
+    f"""WITH {_SIMHASH_SQL}, o AS (SELECT *, CASE WHEN hi = {_M32} AND lo = {_M32} THEN '=' || text ELSE '' END AS own FROM sim), g AS (SELECT hi, lo, own, min(doc_id) AS top FROM o WHERE own IS NOT NULL GROUP BY ALL)
+        SELECT top AS a, doc_id AS b, 0 AS distance FROM o JOIN g USING (hi, lo, own) WHERE doc_id <> top
+        UNION ALL SELECT x.top, y.top, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) FROM g x JOIN g y ON x.top < y.top AND x.own = '' AND y.own = '' AND bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 3""",
+)
 def dup_simhash(spark, sf):
     """Texts whose hashes differ in at most three bits; of texts with one long word or none, equal ones."""
     p = publications(spark, sf).select("doc_id", "text", simhash.simhash64("text").alias("h"))
     return matching.simhash_pairs(p, "doc_id", "h", text="text")
 
 
-@query("dup_titles")
+@query(
+    "dup_titles",  # the SQL function counts bytes, so letters of two bytes become free ones of one
+    rf"""WITH {PUBLICATIONS_SQL}, k AS (SELECT doc_id, translate(replace(upper(regexp_replace(title, '[\s.:!?\-;,]', '', 'g')), 'ẞ', 'SS'), 'ÉÓÈÑÄÜÇÊÖÍ', 'abcdefghij') AS x FROM p WHERE title IS NOT NULL), c AS (SELECT x, min(doc_id) AS top FROM k GROUP BY x)
+        SELECT top AS a, doc_id AS b FROM k JOIN c USING (x) WHERE doc_id <> top
+        UNION ALL SELECT u.top, v.top FROM c u JOIN c v ON u.top < v.top AND abs(length(u.x) - length(v.x)) < 5 AND levenshtein(u.x, v.x) < 5""",
+)
 def dup_titles(spark, sf):
     """Duplicates by titles: copies with the first of them, near titles by the first of each."""
     return matching.duplicates(publications(spark, sf), "doc_id", "title")
@@ -336,7 +368,7 @@ def ris_export(spark, sf):
     return writers.export_text(_supplier_records(spark, sf), "ris")
 
 
-@query("citations_export")
+@query("citations_export", "SELECT s_name || chr(10) || 'N' || s_nationkey || chr(10) || 'J, ' || (1990 + s_nationkey) AS text FROM supplier")
 def citations_export(spark, sf):
     return writers.export_text(_supplier_records(spark, sf), "citations")
 
@@ -367,7 +399,7 @@ def html_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(webpages.page_links(F.col("html"))).alias("link"))
 
 
-@query("page_records")
+@query("page_records", """SELECT page_id, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS authors, CAST(NULL AS VARCHAR) AS doi, CASE WHEN NOT regexp_matches(html, '(?i)<meta[^>]*(citation_|dc\\.)title|@article|(?m)^TY  -') THEN 'UnknownSiteError' END AS error FROM pages""")
 def page_records(spark, sf):
     """Bibliographic records of all pages, or the error of those that have none."""
     return webpages.extract_records(table(spark, sf, "pages")).select("page_id", "title", "authors", "doi", "error")
@@ -407,7 +439,14 @@ def url_pubmed_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.pubmed_id(url).alias("id"))
 
 
-@query("detect_text_format")
+@query(
+    "detect_text_format",
+    r"""WITH l AS (SELECT doc_id, list_filter(string_split_regex(text, '\r\n|\r|\n'), lambda x: x <> '')[1:500] AS ls FROM documents), i AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM l),
+        t AS (SELECT doc_id, k, ls[k] AS one, array_to_string(ls[greatest(1, k - 5):k], '') AS near FROM i),
+        f AS (SELECT doc_id, k, CASE WHEN regexp_matches(one, '(?i)@\w+\{') OR regexp_matches(near, '(?i)@\w+\{') THEN 'BIBTEX' WHEN regexp_matches(one, '(?i)^\s*TY\s+-\s+') OR regexp_matches(near, '(?i)^\s*TY\s+-\s+') THEN 'RIS'
+                              WHEN regexp_matches(one, '(?is)xml.*rss') OR regexp_matches(near, '(?is)xml.*rss') THEN 'RSS' END AS format FROM t)
+        SELECT d.doc_id, f.format FROM documents d LEFT JOIN (SELECT doc_id, arg_min(format, k) AS format FROM f WHERE format IS NOT NULL GROUP BY doc_id) f USING (doc_id)""",
+)
 def detect_text_format(spark, sf):
     """The format of whole texts by their first lines."""
     d = table(spark, sf, "documents").select("doc_id", "text")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import textwrap
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import double_dash, elided_authors, present, strip_short_tags
 from ..plugins import register
@@ -63,11 +60,24 @@ def ris_entry(df: DataFrame) -> Column:
     return F.concat(F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n"), F.lit("\n"))
 
 
-@F.pandas_udf(T.StringType())
-def wrapped(texts: pd.Series) -> pd.Series:
-    """Lines broken at 70 columns."""
-    fill = lambda t: "\n".join(textwrap.fill(line, 70, break_long_words=False, break_on_hyphens=False) for line in t.split("\n"))
-    return texts.map(lambda t: None if t is None else fill(t))
+def wrapped(c: Column, width: int = 70) -> Column:
+    """Lines broken at blanks so that none has more than ``width`` characters, but for longer words; runs of blanks count as one."""
+
+    def line(text: Column) -> Column:
+        words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("last"))
+
+        def put(s: Column, w: Column) -> Column:
+            fits = s["last"] + 1 + F.length(w) <= width
+            first = s["last"] == 0
+            return F.struct(
+                F.concat(s["text"], F.when(first, F.lit("")).when(fits, F.lit(" ")).otherwise(F.lit("\n")), w).alias("text"),
+                F.when(fits & ~first, s["last"] + 1 + F.length(w)).otherwise(F.length(w)).alias("last"),
+            )
+
+        return F.aggregate(words, start, put, lambda s: s["text"])
+
+    return F.array_join(F.transform(F.split(c, "\n"), line), "\n")
 
 
 @dataclass(frozen=True)

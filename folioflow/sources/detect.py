@@ -18,21 +18,32 @@ LEGACY_PATTERNS = (
 LIBRARIES = {"ZOTERO": ("zoteroDummyTable",), "MENDELEY": ("DocumentContributors", "RunsSinceLastCleanup"), "NATIVE": ("Publications", "Fulltext")}
 
 
+def _bound(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def text_format(content: Column) -> Column:
     """The format by the first line that shows one, alone or with the lines before it; null if none does."""
     lines = F.slice(F.filter(F.split(content, r"\r\n|\r|\n"), lambda x: x != ""), 1, LINES)
 
-    def at(line: Column, k: Column) -> Column:
-        first = F.greatest(k - BEFORE, F.lit(0))
-        near = F.array_join(F.slice(lines, first + 1, k - first + 1), "")
-        out = F.when(F.lit(False), F.lit(""))
-        for name, pattern in TEXT_PATTERNS:
-            out = out.when(line.rlike(pattern) | near.rlike(pattern), F.lit(name))
-        return out
+    def found(lines: Column) -> Column:
+        def at(line: Column, k: Column) -> Column:
+            first = F.greatest(k - BEFORE, F.lit(0))
+
+            def shown(near: Column) -> Column:
+                out = F.when(F.lit(False), F.lit(""))
+                for name, pattern in TEXT_PATTERNS:
+                    out = out.when(line.rlike(pattern) | near.rlike(pattern), F.lit(name))
+                return out
+
+            return _bound(F.array_join(F.slice(lines, first + 1, k - first + 1), ""), shown)
+
+        # what a line shows stands in all lines together, too: most texts need no look at single lines
+        some = F.array_join(lines, "").rlike(r"(?is)@\w+\{|TY\s+-\s+|xml.*rss")
+        return F.when(some, F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), 0))
 
-    # what a line shows stands in all lines together, too: most texts need no look at single lines
-    some = F.array_join(lines, "").rlike(r"(?is)@\w+\{|TY\s+-\s+|xml.*rss")
-    return F.when(some, F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), 0))
+    return _bound(lines, found)
 
 
 def legacy_format(content: Column) -> Column:

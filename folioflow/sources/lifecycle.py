@@ -185,6 +185,11 @@ def url_match(records: DataFrame, pages: DataFrame) -> DataFrame:
     return merge_record(records, found.select(F.col("_key").alias("guid"), *have), "guid", have, keep=("guid", "citekey", "sha1"))
 
 
+def enough_typed(c: Column, least: int = 3) -> Column:
+    """``typed_enough`` of a column."""
+    return (c == "") | (F.length(F.regexp_replace(c, r"\s", "")) >= least)
+
+
 def typed_enough(text: str, least: int = 3) -> bool:
     """Whether an input is long enough to search for; an empty one resets."""
     return not text or len(re.sub(r"\s", "", text)) >= least
