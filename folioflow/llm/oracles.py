@@ -105,4 +105,56 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-SQL = {"op1_repeated_substrings": _OP1, "op4_top_k": _OP4, "op9_decontaminate": _OP9, "op10_near_duplicates": _OP10}
+def _matches(kind: str, rank: int, pattern: str, ok: str) -> str:
+    """Places of a pattern's matches that are valid: what is split off before each match tells where it begins."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS o, s, s + length(m) AS e FROM (
+      SELECT doc_id, hits[i] AS m, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
+      FROM (SELECT doc_id, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS parts FROM d))) WHERE {ok}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST({_DIGITS}[-j] AS INTEGER) WHEN CAST({_DIGITS}[-j] AS INTEGER) > 4 THEN CAST({_DIGITS}[-j] AS INTEGER) * 2 - 9 ELSE CAST({_DIGITS}[-j] AS INTEGER) * 2 END)) % 10 = 0"
+_BYTE = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(x, '0'), '') AS INTEGER), 0) > 255)) = 0"
+_PII = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  {_matches("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}
+  UNION ALL {_matches("ip", 2, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", _BYTE)}
+  UNION ALL {_matches("card", 3, r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")}
+  UNION ALL {_matches("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")}
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s), '')) AS base_sha256
+FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id
+"""
+
+_LICENCE = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format("text")} AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, len(w))) AS k FROM d),
+q AS (SELECT doc_id, k, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+h AS (SELECT doc_id, k, CASE WHEN x = 'mit' AND y = 'license' THEN 'mit' WHEN x = 'apache' AND y = 'license' THEN 'apache' WHEN x = 'general' AND y = 'public' AND z = 'license' THEN 'gpl' END AS label FROM q)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(label) AS n_base, min(k) FILTER (label IS NOT NULL) AS first_word, max(k) FILTER (label IS NOT NULL) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id AND label IS NOT NULL GROUP BY d.doc_id, d.w
+"""
+
+#: The checksum of a text, bit by bit: its bytes, each with eight steps after it.
+_CRC = "xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+_LM = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, {_SPACE.format("text")} || [''] AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (x), n GROUP BY doc_id, held_out
+"""
+
+SQL = {
+    "op1_repeated_substrings": _OP1,
+    "op4_top_k": _OP4,
+    "op9_decontaminate": _OP9,
+    "op10_near_duplicates": _OP10,
+    "pii_base": _PII,
+    "licence_base": _LICENCE,
+    "lm_base": _LM,
+}

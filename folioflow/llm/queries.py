@@ -116,6 +116,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
 
 
+# The parts of the operators' results that SQL can express, for a comparison with it.
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of personal data."""
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the plain phrases."""
+    return op7_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold, the counts and the score by single tokens."""
+    return op6_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict:
     return {
         "op1_repeated_substrings": op1_repeated_substrings,
@@ -128,6 +146,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
         "op10_near_duplicates": op10_near_duplicates,
+        "pii_base": pii_base,
+        "licence_base": licence_base,
+        "lm_base": lm_base,
     }
 
 
