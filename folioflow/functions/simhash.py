@@ -68,6 +68,25 @@ def _turned(x: np.ndarray, k: int) -> np.ndarray:
     return x << np.uint32(k) | x >> np.uint32(32 - k)
 
 
+def _hashed(data: np.ndarray, size: np.ndarray, seed_c: int, seed_b: int) -> np.ndarray:
+    """``lookup3`` of rows of blocks of three words, as one number each; size: bytes of each row."""
+    start = (np.uint64(0xDEADBEEF + seed_c) + size).astype(np.uint32)
+    s = [start.copy(), start.copy(), start + np.uint32(seed_b)]
+    n = data.shape[1]
+    for block in range(n):
+        for k in range(3):
+            s[k] += data[:, block, k]
+        if block < n - 1:
+            for turn, r in enumerate(MIX):
+                x, y, z = turn % 3, (turn + 2) % 3, (turn + 1) % 3
+                s[x] = (s[x] - s[y]) ^ _turned(s[y], r)
+                s[y] = s[y] + s[z]
+    for turn, r in enumerate(FINAL):
+        x, y = (turn + 2) % 3, (turn + 1) % 3
+        s[x] = (s[x] ^ s[y]) - _turned(s[y], r)
+    return (s[2].astype(np.uint64) << np.uint64(32)) + s[1]
+
+
 def token_hashes(tokens: list[bytes]) -> np.ndarray:
     """``token_hash`` of many tokens at once: those with as many 12-byte blocks run together."""
     out = np.empty(len(tokens), np.uint64)
@@ -76,20 +95,7 @@ def token_hashes(tokens: list[bytes]) -> np.ndarray:
     for n in np.unique(blocks).tolist():
         rows = np.flatnonzero(blocks == n)
         data = np.frombuffer(b"".join(tokens[k].ljust(12 * n, b"\0") for k in rows.tolist()), "<u4").reshape(len(rows), n, 3)
-        start = (np.uint64(0xDEADBEEF + SEED_1) + size[rows].astype(np.uint64)).astype(np.uint32)
-        s = [start.copy(), start.copy(), start + np.uint32(SEED_2)]
-        for block in range(n):
-            for k in range(3):
-                s[k] += data[:, block, k]
-            if block < n - 1:
-                for turn, r in enumerate(MIX):
-                    x, y, z = turn % 3, (turn + 2) % 3, (turn + 1) % 3
-                    s[x] = (s[x] - s[y]) ^ _turned(s[y], r)
-                    s[y] = s[y] + s[z]
-        for turn, r in enumerate(FINAL):
-            x, y = (turn + 2) % 3, (turn + 1) % 3
-            s[x] = (s[x] ^ s[y]) - _turned(s[y], r)
-        hashed = (s[2].astype(np.uint64) << np.uint64(32)) + s[1]
+        hashed = _hashed(data, size[rows].astype(np.uint64), SEED_1, SEED_2)
         out[rows] = np.where(size[rows] > 0, hashed, (np.uint64(0xDEADBEEF + SEED_1 + SEED_2 & _MASK) << np.uint64(32)) + np.uint64(0xDEADBEEF + SEED_1 & _MASK))
     return out
 
@@ -114,17 +120,31 @@ def simhash(text: str | None) -> int:
     return int(simhashes([text])[0])
 
 
+#: Seeds of the hash of a run. Fixed values.
+WIDE_1, WIDE_2 = 0x2C759C01, 0xFEF136D7
+
+
 def simhash_wide(text: str | None, k: int = 3) -> int:
     """Votes of runs of ``k`` tokens, of any length, each for or against a bit; a run's hash folds its tokens' hashes."""
-    tokens = [token_hash(t) for t in _TOKEN.findall((text or "").encode())]
-    padded = [0] * (k - 1) + tokens
-    votes = np.zeros(64, np.int64)
-    for at in range(len(tokens)):
-        run = b"".join(h.to_bytes(8, "little") for h in padded[at : at + k])
-        high, low = lookup3(run, 0x2C759C01, 0xFEF136D7)
-        bits = np.unpackbits(np.array([(high << 32) + low], ">u8").view(np.uint8))
-        votes += np.where(bits == 1, 1, -1)
-    return int.from_bytes(np.packbits(votes >= 0).tobytes(), "big")
+    tokens = _TOKEN.findall((text or "").encode())
+    if not tokens:
+        return 0xFFFFFFFFFFFFFFFF
+    kinds = {t: n for n, t in enumerate(dict.fromkeys(tokens))}
+    hashes = np.concatenate([np.zeros(k - 1, np.uint64), token_hashes(list(kinds))[[kinds[t] for t in tokens]]])
+    runs = np.lib.stride_tricks.sliding_window_view(hashes, k)
+    data = np.ascontiguousarray(runs).view("<u4").reshape(len(runs), 2 * k)
+    padded = np.zeros((len(runs), -(-2 * k // 3) * 3), np.uint32)
+    padded[:, : 2 * k] = data
+    votes = _hashed(padded.reshape(len(runs), -1, 3), np.full(len(runs), 8 * k, np.uint64), WIDE_1, WIDE_2)
+    bits = np.unpackbits(votes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) - len(runs) >= 0).tobytes(), "big")
+
+
+@F.pandas_udf(T.LongType())
+def simhash_wide64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``simhash_wide`` as a signed column."""
+    for texts in batches:
+        yield pd.Series(np.array([simhash_wide(t) for t in texts], np.uint64).view(np.int64))
 
 
 @F.pandas_udf(T.LongType())

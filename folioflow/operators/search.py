@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.records import SEARCH_FIELDS, QueryError
@@ -105,31 +108,89 @@ def light(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def token_index(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
-    """key, field, token, pos: the inverted index as a table."""
-    parts = [df.select(F.col(key), F.lit(name).alias("field"), F.posexplode(tokens(c)).alias("pos", "token")) for name, c in fields.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def token_index(df: DataFrame, key: str, fields: Mapping[str, Column], only: list[Column] | None = None) -> DataFrame:
+    """key, field, token, pos: the inverted index as a table.
+
+    only: conditions on ``F.col("token")``, one of which a token must meet to be in it; they are tested before rows are made."""
+    parts = []
+    for name, c in fields.items():
+        places = F.transform(tokens(c), lambda t, k: F.struct(k.alias("pos"), t.alias("token")))
+        part = df.select(F.col(key), F.lit(name).alias("field"), F.explode(places).alias("_p")).select(key, "field", "_p.pos", "_p.token")
+        parts.append(part if only is None else part.where(reduce(or_, only)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Files that a stored index is dealt to by token, and parts of each by record, for tokens that nearly every record has.
+BUCKETS, SALTS = 256, 8
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class StoredIndex:
+    """An inverted index that was written once: a folder for each bucket of tokens, in it rows in order of token and field."""
 
+    table: DataFrame
+    key: str
+    buckets: int
 
-def index_search(index: DataFrame, key: str, query: str) -> DataFrame:
-    """Keys whose texts hold all terms. A phrase's words stand at consecutive places of one field."""
-    out = None
+    @classmethod
+    def write(cls, df: DataFrame, key: str, fields: Mapping[str, Column], path: str, buckets: int = BUCKETS) -> StoredIndex:
+        rows = token_index(df, key, fields).withColumn("bucket", _bucket(F.col("token"), buckets))
+        rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(SALTS))).sortWithinPartitions("bucket", "token", "field", key)
+        rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#token", "true").parquet(path)
+        return cls.read(df.sparkSession, path, key, buckets)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) -> StoredIndex:
+        return cls(spark.read.parquet(path), key, buckets)
+
+    def hits(self, words: list[str], starts: list[str]) -> DataFrame:
+        """Rows of some words, read from their buckets alone, and of words with some beginnings, read from all."""
+        t = F.col("token")
+        own = [(t == w) & (F.col("bucket") == _bucket(F.lit(w), self.buckets)) for w in words] + [t.startswith(x) for x in starts]
+        return self.table.where(reduce(or_, own)).drop("bucket")
+
+
+def _query_words(query: str) -> list[tuple[str | None, list[str], bool]]:
+    """Of each term its field, its words, and whether the last one is only a beginning."""
+    out = []
     for field, text, _ in parse_query(query):
-        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-        rows = None
-        own = index if field is None else index.where(F.col("field") == field)
-        # each occurrence votes for the place where its phrase would begin; a begin needs a vote of each word
-        for k, w in enumerate(words):
-            hit = own.where(F.col("token") == w).select(F.col(key), "field", (F.col("pos") - k).alias("begin"))
-            rows = hit if rows is None else rows.join(hit, [key, "field", "begin"], "left_semi")
-        if rows is None:
-            continue
-        keys = rows.select(key).distinct()
-        out = keys if out is None else out.join(keys, key, "left_semi")
-    return index.select(key).distinct() if out is None else out
+        words = [w for w in re.split(r"[\W_]+", text.lower().rstrip("*")) if w]
+        if words:
+            out.append((field, words, text.endswith("*")))
+    return out
+
+
+def wanted_tokens(query: str) -> list[Column]:
+    """The tokens that a query needs, as conditions for ``token_index``."""
+    t = F.col("token")
+    return [t.startswith(w) if open_ and k == len(words) - 1 else t == w for _, words, open_ in _query_words(query) for k, w in enumerate(words)] or [F.lit(True)]
+
+
+def index_search(index: DataFrame | StoredIndex, key: str, query: str) -> DataFrame:
+    """Keys whose texts hold all terms. A phrase's words stand at consecutive places of one field.
+
+    One pass over the hits: each votes for the place where its term would begin, and a begin needs a vote of each
+    word of the term. A word at the end of a term may be a beginning (``wor*``)."""
+    terms = _query_words(query)
+    if not terms:
+        return (index.table if isinstance(index, StoredIndex) else index).select(key).distinct()
+    t, words, starts, votes = F.col("token"), [], [], []
+    for n, (field, parts, open_) in enumerate(terms):
+        for k, w in enumerate(parts):
+            prefix = open_ and k == len(parts) - 1
+            (starts if prefix else words).append(w)
+            hit = t.startswith(w) if prefix else t == w
+            if field is not None:
+                hit = hit & (F.col("field") == field)
+            votes.append(F.when(hit, F.array(F.struct(F.lit(n).alias("term"), F.lit(k).alias("k"), F.lit(len(parts)).alias("size")))).otherwise(F.array().cast("array<struct<term:int,k:int,size:int>>")))
+    rows = index.hits(words, starts) if isinstance(index, StoredIndex) else index.where(reduce(or_, wanted_tokens(query)))
+    rows = rows.select(key, "field", "pos", F.explode(F.concat(*votes)).alias("_v"))
+    begins = rows.groupBy(key, "field", "_v.term", "_v.size", (F.col("pos") - F.col("_v.k")).alias("begin")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("size"))
+    return begins.select(key, "term").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(terms)).select(key)
 
 
 def typeahead(journals: DataFrame, text: str) -> DataFrame:

@@ -86,6 +86,27 @@ def simhash_bits(spark, sf):
     return publications(spark, sf).select("doc_id", simhash.simhash64("text").alias("h")).select("doc_id", simhash.binary_digits(F.col("h")).alias("bits"))
 
 
+#: The same of runs of three tokens of any length, zeros before the first ones: 24 bytes in two blocks, other seeds.
+_WIDE_SQL = f"""hash_at AS (SELECT doc_id, k, h[3] AS hi, h[2] AS lo FROM (SELECT doc_id, unnest(ts) AS t, unnest(range(0, len(ts))) AS k FROM every) JOIN hashed USING (t)),
+       run AS (SELECT doc_id, [lag(lo, 2, 0) OVER o, lag(hi, 2, 0) OVER o, lag(lo, 1, 0) OVER o, lag(hi, 1, 0) OVER o, lo, hi] AS w FROM hash_at WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+       wide AS (SELECT doc_id, list_reduce([[{0xDEADBEEF + 24 + 0x2C759C01} & {_M32}, {0xDEADBEEF + 24 + 0x2C759C01} & {_M32}, {0xDEADBEEF + 24 + 0x2C759C01 + 0xFEF136D7} & {_M32}], [0, w[1], w[2], w[3]], {_MIX_SQL}, [0, w[4], w[5], w[6]], {_FINAL_SQL}],
+                 lambda s, e: CASE e[1]
+                   WHEN 0 THEN [(s[1] + e[2]) & {_M32}, (s[2] + e[3]) & {_M32}, (s[3] + e[4]) & {_M32}]
+                   WHEN 1 THEN list_transform(s, lambda v, i: CASE i WHEN e[2] THEN xor((v - s[e[3]]) & {_M32}, {_TURNED.format(5)}) WHEN e[3] THEN (v + s[e[4]]) & {_M32} ELSE v END)
+                   ELSE list_transform(s, lambda v, i: CASE i WHEN e[2] THEN (xor(v, s[e[3]]) - {_TURNED.format(4)}) & {_M32} ELSE v END) END) AS h FROM run),
+       counted AS (SELECT doc_id, c, sum((CASE WHEN c >= 32 THEN h[3] >> (c - 32) ELSE h[2] >> c END) & 1) AS yes, count(*) AS n FROM wide, range(64) r(c) GROUP BY ALL),
+       joined AS (SELECT doc_id, string_agg(CASE WHEN 2 * yes - n >= 0 THEN '1' ELSE '0' END, '' ORDER BY c DESC) AS bits FROM counted GROUP BY doc_id)"""
+
+
+@query(
+    "simhash_wide",
+    f"WITH {_SIMHASH_SQL.split('sized AS')[0].rstrip().rstrip(',').replace(f'> {simhash.SHORT}', '> 0')}, every AS (SELECT doc_id, regexp_extract_all(text, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS ts FROM documents), {_WIDE_SQL} SELECT d.doc_id, coalesce(bits, repeat('1', 64)) AS bits FROM documents d LEFT JOIN joined USING (doc_id)",
+)
+def simhash_wide(spark, sf):
+    """The hash whose votes come from runs of three tokens."""
+    return publications(spark, sf).select("doc_id", simhash.simhash_wide64("text").alias("h")).select("doc_id", simhash.binary_digits(F.col("h")).alias("bits"))
+
+
 @query(
     "dup_simhash",
     f"""WITH {_SIMHASH_SQL}, o AS (SELECT *, CASE WHEN hi = {_M32} AND lo = {_M32} THEN '=' || text ELSE '' END AS own FROM sim), g AS (SELECT hi, lo, own, min(doc_id) AS top FROM o WHERE own IS NOT NULL GROUP BY ALL)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tree_query
 from ..operators import aggregates, search
+from ..store import working_folder
 from .tables import PUBLICATIONS_SQL, WORDS_SQL, publications, table
 
 QUERIES, SQL = {}, {}
@@ -124,9 +125,18 @@ def token_index(spark, sf):
 
 @query("index_phrase", f"SELECT doc_id FROM documents WHERE {_PHRASE(_W, 'in the')} AND list_contains({_W}, 'and')")
 def index_phrase(spark, sf):
-    """A phrase and a word through the inverted index."""
-    index = search.token_index(publications(spark, sf), "doc_id", {"text": F.col("text")})
-    return search.index_search(index, "doc_id", '"in the" and')
+    """A phrase and a word through the inverted index of the words that it needs."""
+    text = '"in the" and'
+    index = search.token_index(publications(spark, sf), "doc_id", {"text": F.col("text")}, search.wanted_tokens(text))
+    return search.index_search(index, "doc_id", text)
+
+
+@query("stored_index_search", f"WITH {PUBLICATIONS_SQL} SELECT doc_id FROM p WHERE {_PHRASE(_W, 'of the')} AND list_contains({_JOURNAL_W}, 'src1') AND len(list_filter({_TITLE_W}, lambda w: starts_with(w, 'th'))) > 0")
+def stored_index_search(spark, sf):
+    """An index of all fields written once by token, and a search that reads the buckets of its words."""
+    fields = {"text": F.col("text"), "title": F.col("title"), "journal": F.col("journal"), "keyword": F.col("labels")}
+    index = search.StoredIndex.write(publications(spark, sf), "doc_id", fields, working_folder(spark, "index"), 64)
+    return search.index_search(index, "doc_id", 'text:"of the" journal:src1 title:th*')
 
 
 @query("typeahead", "SELECT DISTINCT c_mktsegment AS short, lower(c_mktsegment) AS long FROM customer WHERE starts_with(lower(c_mktsegment), 'ma') OR starts_with(lower(c_mktsegment), 'ma')")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import names, structured, text
 from ..operators import layouts, library, matching, search, webpages
 from ..plugins import plugin
-from ..sinks import writers
+from ..sinks import wordprocessor, writers
 from ..sources import bibtex, detect, formats, libraries, lifecycle, readers, ris
 from ..store import working_folder
 from ..streaming import feeds
@@ -721,3 +721,43 @@ def words_in_lines(spark, sf):
     x = F.col("l_partkey") * 1000.0 + F.col("l_suppkey") + F.col("l_extendedprice") / 1e6
     words = table(spark, sf, "lineitem").select(_s("l_orderkey").alias("doc"), F.lit(1).alias("page"), _s("l_partkey").alias("word"), x.alias("xmin"), (x + 5).alias("xmax"), (F.col("l_linenumber") * 10.0 + F.col("l_partkey") % 10 / 20).alias("ymin"), F.col("l_quantity").alias("size"))
     return layouts.words_to_lines(words).select("doc", "fs", "content", "xmin")
+
+
+# -- word processor ----------------------------------------------------------------------------------------
+
+_ASKED = "<xml><documentID>D{k}</documentID><style>Numeric</style><citations><citation><item>S{k}</item><item>N{n}</item></citation><citation><item>N{n}</item></citation><citation><item>none</item><item>S{k}</item></citation></citations></xml>"
+
+
+@query(
+    "word_citations",
+    """SELECT 'D' || s_suppkey AS document, '[1,2];[2];[3,1]' AS marks, 'S' || s_suppkey || ' N' || s_nationkey || ';N' || s_nationkey || ';none S' || s_suppkey AS ids,
+       '1. Roe, J. ' || s_name || '. J. 2001;' || chr(10) || '2. ' || n_name || '. ' || (1990 + n_nationkey) || ';' || chr(10) || '3.' AS bibliography, 's' || s_suppkey || ',n' || n_nationkey AS kept
+       FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+)
+def word_citations(spark, sf):
+    """Citations of many documents formatted, and the records that each document then keeps, read back."""
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    none = F.lit(None).cast("string")
+    records = s.select(F.concat(F.lit("S"), _s("s_suppkey")).alias("guid"), F.col("s_name").alias("title"), F.lit("Roe, Jane").alias("authors"), F.lit("J").alias("journal"), F.lit("2001").alias("year"), F.concat(F.lit("s"), _s("s_suppkey")).alias("citekey"))
+    records = records.unionByName(n.select(F.concat(F.lit("N"), _s("n_nationkey")).alias("guid"), F.col("n_name").alias("title"), none.alias("authors"), none.alias("journal"), _s(F.col("n_nationkey") + 1990).alias("year"), F.concat(F.lit("n"), _s("n_nationkey")).alias("citekey")))
+    got = wordprocessor.format_citations(s.select(_filled(_ASKED, k="s_suppkey", n="s_nationkey").alias("xml")), records)
+    shape = "citations struct<citation:array<string>>, ids struct<citation:array<struct<item:array<string>>>>, bibliography string, documentLibraryString string"
+    a = got.select("documentID", structured.from_xml_text(F.col("xml"), shape, "xml").alias("a"))
+    again = wordprocessor.opened(a.select(F.concat(F.lit("<xml><documentID>"), "documentID", F.lit("</documentID><documentLibrary>"), "a.documentLibraryString", F.lit("</documentLibrary></xml>")).alias("xml")))
+    kept = again.groupBy("documentID").agg(F.array_join(F.sort_array(F.collect_list("citekey"), asc=False), ",").alias("kept"))
+    ids = F.array_join(F.transform("a.ids.citation", lambda c: F.array_join(c["item"], " ")), ";")
+    return a.join(kept, "documentID").select(F.col("documentID").alias("document"), F.array_join("a.citations.citation", ";").alias("marks"), ids.alias("ids"), F.col("a.bibliography").alias("bibliography"), "kept")
+
+
+@query("word_search", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_name AS title FROM part WHERE list_contains(string_split(p_name, ' '), 'gear') ORDER BY 1 LIMIT 15")
+def word_search(spark, sf):
+    """Matches for a word processor, out of the XML answer."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("P"), F.lpad(_s("p_partkey"), 9, "0")).alias("guid"), F.col("p_name").alias("title"))
+    xml = wordprocessor.command(spark, "search", library=p, query="gear", fields={"title": F.col("title")}, limit=15)
+    return xml.select(F.explode(structured.from_xml_text(F.col("xml"), "result array<struct<id:string,title:string>>", "xml")["result"]).alias("r")).select("r.id", "r.title")
+
+
+@query("word_styles", "SELECT unnest(['author-date', 'initials first', 'nature', 'numeric']) AS style")
+def word_styles(spark, sf):
+    xml = wordprocessor.command(spark, "list_styles")
+    return xml.select(F.explode(structured.from_xml_text(F.col("xml"), "style array<string>", "xml")["style"]).alias("style"))

@@ -123,7 +123,8 @@ def styled_citation(df: DataFrame, style: str) -> Column:
     value = lambda n: F.when(present(_field(df, n)), _field(df, n))
     numbers = F.concat(value("volume"), F.coalesce(F.concat(F.lit("("), value("issue"), F.lit(")")), F.lit("")))
     known = {"authors": styled_names(_field(df, "authors"), s), "journal": F.coalesce(value("journal"), value("booktitle"), value("publisher")), "numbers": numbers}
-    return F.concat_ws(s.by, *(F.concat(F.lit(before), known.get(n, value(n)), F.lit(after)) for n, before, after in s.parts))
+    whole = lambda n, after: F.regexp_replace(known.get(n, value(n)), r"\.$", "") if after.startswith(".") else known.get(n, value(n))
+    return F.concat_ws(s.by, *(F.concat(F.lit(before), whole(n, after), F.lit(after)) for n, before, after in s.parts))
 
 
 def citation(df: DataFrame) -> Column:

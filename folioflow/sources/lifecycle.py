@@ -34,6 +34,7 @@ class Source:
         self.spark, self.query, self.limit = spark, query, limit
         self.records: DataFrame | None = None
         self.total_entries: int | None = None
+        self._pages: dict[tuple[int, int], DataFrame] = {}
 
     def load(self) -> DataFrame:
         raise NotImplementedError
@@ -54,6 +55,13 @@ class Source:
             self.connect()
         return search.page(self.records, offset, limit or self.limit, [F.col(c).desc() if d else F.col(c) for c, d in self.order])
 
+    def kept_page(self, offset: int = 0, limit: int | None = None) -> DataFrame:
+        """As ``page``; a page that was asked for before is not worked out again until ``cleanup``."""
+        key = (offset, limit or self.limit)
+        if key not in self._pages:
+            self._pages[key] = self.page(offset, limit).persist()
+        return self._pages[key]
+
     def all(self, most: int | None = None) -> DataFrame:
         """Every record; the first ``most`` where a bound is wanted."""
         if self.records is None:
@@ -73,8 +81,9 @@ class Source:
         return records.limit(0)
 
     def cleanup(self) -> None:
-        if self.records is not None:
-            self.records.unpersist()
+        for page in [*self._pages.values(), *([self.records] if self.records is not None else [])]:
+            page.unpersist()
+        self._pages.clear()
 
 
 @register("source", "file")

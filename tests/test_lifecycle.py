@@ -18,6 +18,8 @@ def test_file_source(spark, tmp_path):
     assert [r["title"] for r in s.page(0).collect()] == ["One"] and [r["title"] for r in s.page(1, 5).collect()] == ["Two"] and s.page(7).count() == 0
     assert {r["citekey"] for r in s.all().collect()} == {""} and s.find_guid(s.all().first()["guid"]).count() == 1
     assert s.table_name().endswith("x_bib")
+    kept = s.kept_page(0, 2)
+    assert kept.is_cached and s.kept_page(0, 2) is kept and kept.count() == 2
     s.cleanup()
     (tmp_path / "y.txt").write_text("plain")
     with pytest.raises(FileFormatError):
