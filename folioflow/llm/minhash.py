@@ -45,8 +45,8 @@ SLACK = 0.12
 STARS = 1
 #: Slots of the list that is broadcast to leave out texts without candidates.
 SLOTS = 1 << 18
-#: Sets of a block at least and at most, and blocks of a cluster while blocks may still grow.
-BLOCK_SETS, MOST_SETS, BLOCKS = 64, 2048, 12
+#: Shingles of a block at least and at most (8 bytes each), and blocks of a cluster while blocks may still grow.
+BLOCK_SHINGLES, MOST_SHINGLES, BLOCKS = 1 << 15, 1 << 20, 12
 
 _R = np.random.default_rng(0x5EED)
 _FLIP = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -234,15 +234,17 @@ def block_links(asked: list[tuple], members: list[tuple], percent: int) -> list[
 
 
 def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFrame:
-    """Step 4. live: bucket, node, component c of open buckets; sets_of gives the sets of nodes."""
+    """Step 4. live: bucket, node, its shingles n, component c of open buckets; sets_of gives the sets of nodes.
+
+    Blocks are cut by shingles, so a few long documents make as large a block as many short ones."""
     lead = live.groupBy("bucket").agg(F.min("node").alias("v"))
     clusters = written(components(live.join(lead, "bucket").select(F.col("node").alias("u"), "v")), f"{path}/clusters")
-    nodes = live.select("node", "c").distinct().join(clusters.withColumnRenamed("component", "k"), "node")
-    per = nodes.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    nodes = live.groupBy("node", "c").agg(F.max("n").alias("n")).join(clusters.withColumnRenamed("component", "k"), "node")
+    per = nodes.groupBy("k", "c").agg(F.sum("n").alias("n"))
     top = per.groupBy("k").agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("all"))
-    size = F.least(F.greatest(F.lit(BLOCK_SETS), F.ceil(F.col("all") / BLOCKS)), F.lit(MOST_SETS))
+    size = F.least(F.greatest(F.lit(BLOCK_SHINGLES), F.ceil(F.col("all") / BLOCKS)), F.lit(MOST_SHINGLES))
     top = top.select("k", F.col("t.c").alias("top"), F.ceil(F.col("all") / size).cast("int").alias("mb"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("t.n")) / size)).cast("int").alias("ob"))
-    nodes = nodes.join(top, "k")
+    nodes = nodes.drop("n").join(top, "k")
     cut = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     upto = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asked = nodes.where("c != top").select("k", cut("ob").alias("o"), upto("mb").alias("m"), F.lit(0).alias("side"), "node", "c")
@@ -279,8 +281,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     # a class of equal sets goes on as its smallest id; an id with several sets stands for each of them
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
-    members = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     members = written(members.join(shared, "bucket"), f"{path}/members")
     signed = nodes.withColumnRenamed("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi")
     signed = written(signed.select("node", "digest", "signature").dropDuplicates(["node", "digest"]), f"{path}/signed")
@@ -307,7 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     def open_buckets(star: int) -> DataFrame:
         live = labelled(members)
         left = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        return written(live.join(left, "bucket").select("bucket", "node", "c"), f"{path}/live-{star}")
+        return written(live.join(left, "bucket").select("bucket", "node", "n", "c"), f"{path}/live-{star}")
 
     tidy(docs.sparkSession)
     live = open_buckets(0)
@@ -325,8 +327,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         comp = written(components(links), f"{path}/comp-{star}")
         live = open_buckets(star + 1)
     if not live.isEmpty():
-        links = links.unionByName(written(cluster_links(live, sets_of, percent, path), f"{path}/links"))
-        comp = None
+        found = written(cluster_links(live, sets_of, percent, path), f"{path}/links")
+        if comp is None:
+            links = links.unionByName(found)
+        else:  # the new links join components: these are few nodes, and their labels are their smallest ids
+            label = comp.withColumnRenamed("component", "c")
+            over = found.join(label.withColumnRenamed("node", "u").withColumnRenamed("c", "cu"), "u", "left").join(label.withColumnRenamed("node", "v").withColumnRenamed("c", "cv"), "v", "left")
+            joined = components(over.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+            joined = written(joined.withColumnRenamed("node", "c").withColumnRenamed("component", "top"), f"{path}/joined")
+            known = label.join(joined, "c", "left").select("node", F.coalesce("top", "c").alias("component"))
+            fresh = joined.join(label.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("top").alias("component"))
+            comp = written(known.unionByName(fresh), f"{path}/comp")
     if comp is None:
         comp = written(components(links), f"{path}/comp")
     of = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import minhash
@@ -76,11 +77,14 @@ def test_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_open_buckets_are_finished(spark, monkeypatch):
-    """Without star rounds, the block search alone finds the classes."""
+@pytest.mark.parametrize("stars", [0, 1])
+def test_open_buckets_are_finished(spark, monkeypatch, stars):
+    """Without star rounds, the block search alone finds the classes; after one that confirms nothing near the threshold, the rest."""
     rows = corpus()
-    monkeypatch.setattr(minhash, "STARS", 0)
-    monkeypatch.setattr(minhash, "BLOCK_SETS", 3)
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "SLACK", -0.1)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 40)
+    monkeypatch.setattr(minhash, "MOST_SHINGLES", 400)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = minhash.near_duplicates(df, size=3, percent=80).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows, 3, 80)
