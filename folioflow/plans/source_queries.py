@@ -42,6 +42,9 @@ def _filled_sql(template: str | None, **values) -> str:
     return out
 
 
+_PART = {"k": "p_partkey", "name": "p_name"}
+
+
 # -- formats ----------------------------------------------------------------------------------------------
 
 #: Texts with a mark at some line, and the format that they have by the first 500 lines and the five before each.
@@ -429,6 +432,33 @@ def citation_style(spark, sf):
     return r.select("p_partkey", writers.styled_citation(r, "nature").alias("text"))
 
 
+#: Values of a record's fields, for both formats.
+_WHOLE = {
+    "pubtype": "ARTICLE", "citekey": "k{k}", "title": "On {name}", "authors": "Roe, B. and van der Doe, J.", "editors": "Ed, E.", "booktitle": "Book {k}", "series": "S {k}", "journal": "J {name}", "publisher": "P {k}", "address": "A {k}",
+    "edition": "{k}", "chapter": "{k}", "volume": "{k}", "issue": "7", "pages": "{k}-{k}9", "year": "1999", "month": "May", "day": "3", "note": "N {k}", "doi": "10.1000/x{k}", "url": "http://x.org/{k}", "annote": "C {name}",
+    "organization": "O {k}", "school": "U {k}", "howpublished": "H {k}", "number": "4", "pmid": "{k}", "abstract": "{name} {k}", "affiliation": "F {k}", "eprint": "e{k}", "issn": "1234-5678", "isbn": "0-1{k}", "lccn": "l{k}", "keywords": "a;b {k}",
+}
+_RIS_WHOLE = {f: v for f, v in _WHOLE.items() if f in ("title", "journal", "booktitle", "series", "volume", "issue", "publisher", "address", "issn", "doi", "url", "abstract", "keywords", "pages", "year", "month", "day", "editors", "pubtype")} | {"authors": "Roe, B. and Doe, J."}
+
+
+def _whole(spark, sf, fields: dict) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", *(_filled(v, k=F.col("p_partkey") + 1, name="p_name").alias(f) for f, v in fields.items()))
+
+
+@query("bibtex_whole_records", "SELECT " + ", ".join(f"{_filled_sql(v, k='(p_partkey + 1)', name='p_name')} AS {f}" for f, v in _WHOLE.items()) + " FROM part")
+def bibtex_whole_records(spark, sf):
+    """Records with every field written with all options on, and parsed again."""
+    r = _whole(spark, sf, _WHOLE)
+    text_ = writers.bibtex_entry(r, fields=dict.fromkeys(writers.EXPORT_FIELDS, 1))
+    return readers.parse_files(r.select(F.lit("x").alias("path"), text_.alias("content")), bibtex.read_bibtex).select(*_WHOLE)
+
+
+@query("ris_whole_records", "SELECT " + ", ".join(f"{_filled_sql(v, k='(p_partkey + 1)', name='p_name')} AS {f}" for f, v in _RIS_WHOLE.items()) + " FROM part")
+def ris_whole_records(spark, sf):
+    r = _whole(spark, sf, _RIS_WHOLE)
+    return readers.parse_files(r.select(F.lit("x").alias("path"), writers.ris_entry(r).alias("content")), ris.read_ris).select(*_RIS_WHOLE)
+
+
 # -- names, markup, dates, tables --------------------------------------------------------------------------
 
 #: Name forms with first, von, last and junior parts.
@@ -615,10 +645,9 @@ _PAGES = (
     ("http://x.org/{k}.doc", '<meta name="citation_title" content="{name}">', {"error": "UnknownSiteError"}),
 )
 _PAGE_FIELDS = ("pubtype", "title", "authors", "journal", "volume", "issue", "pages", "month", "year", "doi", "publisher", "abstract", "error")
-_PAGE_VALUES = {"k": "p_partkey", "name": "p_name"}
 
 
-@query("site_records", "SELECT p_partkey, " + ", ".join(f"{_cases('p_partkey', _PAGES, lambda x, f=f: _filled_sql(x[2].get(f), **_PAGE_VALUES))} AS {f}" for f in _PAGE_FIELDS) + " FROM part")
+@query("site_records", "SELECT p_partkey, " + ", ".join(f"{_cases('p_partkey', _PAGES, lambda x, f=f: _filled_sql(x[2].get(f), **_PART))} AS {f}" for f in _PAGE_FIELDS) + " FROM part")
 def site_records(spark, sf):
     """Records from pages of the known sites, from embedded texts and meta tags, and the errors of pages without one."""
     values = {"k": "p_partkey", "name": "p_name"}
@@ -637,7 +666,7 @@ _LINKED = (
 )
 
 
-@query("linked_records", "SELECT p_partkey, " + ", ".join(f"{_cases('p_partkey', _LINKED, lambda x, k=k: _filled_sql(x[4][k], **_PAGE_VALUES))} AS {c}" for k, c in enumerate(("title", "volume", "pages"))) + " FROM part")
+@query("linked_records", "SELECT p_partkey, " + ", ".join(f"{_cases('p_partkey', _LINKED, lambda x, k=k: _filled_sql(x[4][k], **_PART))} AS {c}" for k, c in enumerate(("title", "volume", "pages"))) + " FROM part")
 def linked_records(spark, sf):
     """Records completed from a site's export, from frames, and from a provider's record of the same number."""
     p, values = table(spark, sf, "part"), {"k": "p_partkey", "name": "p_name"}
