@@ -322,22 +322,6 @@ def library_pages(spark, sf):
     return source.page(5, 30).select("guid", "n_chars")
 
 
-@query("directory", "SELECT * FROM (VALUES ('DIR', 'b.dir', 1), ('DIR', 'sub', 2), ('FILE', 'A.PDF', 3), ('FILE', 'B.pdf', 4), ('FILE', 'a.pdf', 5)) v(type, name, place)")
-def directory(spark, sf):
-    """Folders, then files, in code-point order; hidden ones and other extensions are left out."""
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:  # a listing of the driver's own disk, and gone with the query
-        for name in ("sub", "b.dir"):
-            os.mkdir(f"{d}/{name}")
-        for name in ("a.pdf", "B.pdf", "A.PDF", ".hidden.pdf", "c.txt"):
-            open(f"{d}/{name}", "w").close()
-        found = readers.list_directory(d, ("pdf",))
-        assert readers.file_stat(f"{d}/a.pdf")["readable"] and not readers.file_stat(f"{d}/none")["exists"]
-    return spark.createDataFrame([(r["type"], r["name"], k) for k, r in enumerate(found, 1)], "type string, name string, place int")
-
-
 def _touched(spark, folder: str, names_: list[str]) -> None:
     """Small files with given names, through Spark's file layer."""
     jvm = spark.sparkContext._jvm
@@ -348,6 +332,16 @@ def _touched(spark, folder: str, names_: list[str]) -> None:
         out.close()
 
 
+@query("directory", "SELECT * FROM (VALUES ('DIR', 'b.dir', 1), ('DIR', 'sub', 2), ('FILE', 'A.PDF', 3), ('FILE', 'B.pdf', 4), ('FILE', 'a.pdf', 5)) v(type, name, place)")
+def directory(spark, sf):
+    """Folders, then files, in code-point order; hidden ones and other extensions are left out."""
+    path = working_folder(spark, "directory")
+    _touched(spark, path, ["sub/x", "b.dir/x", "a.pdf", "B.pdf", "A.PDF", ".hidden.pdf", "c.txt"])
+    found = readers.list_directory(spark, path, ("pdf",))
+    assert readers.file_stat(spark, f"{path}/a.pdf")["readable"] and not readers.file_stat(spark, f"{path}/none")["exists"]
+    return spark.createDataFrame([(r["type"], r["name"], k) for k, r in enumerate(found, 1)], "type string, name string, place int")
+
+
 _PDFS = ("a.pdf", "deep/er/B.PDF", "c.Pdf", "deep/d.txt", "pdf", "e.pdf.zip")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import stat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -132,28 +131,43 @@ def mendeley_records(documents: DataFrame, unknown: DataFrame, tags: DataFrame)
 # -- files and directories ------------------------------------------------------------------------
 
 
-def list_directory(path: str, extensions: tuple[str, ...] = (), hidden: bool = False, mode: str = "BOTH") -> list[dict]:
-    """Directories, then files, each in code-point order; a driver-side listing of one local folder."""
-    try:
-        names = sorted(os.listdir(path))
-    except OSError as e:
-        raise FileReadError(str(e)) from e
-    dirs, files = [], []
-    for name in names:
-        full = os.path.join(path, name)
-        if name.startswith(".") and not hidden:
-            continue
-        if os.path.isdir(full):
-            dirs.append({"name": name, "path": full, "type": "DIR"})
-        elif not extensions or name.rpartition(".")[2].lower() in {e.lower() for e in extensions}:
-            files.append({"name": name, "path": full, "type": "FILE"})
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own file layer for a path, and the path there."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def list_directory(spark: SparkSession, path: str, extensions: tuple[str, ...] = (), hidden: bool = False, mode: str = "BOTH") -> list[dict]:
+    """Directories, then files, each in code-point order, of one folder of any store that Spark reads."""
+    fs, p, _ = _hadoop(spark, path)
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        raise FileReadError(f"no folder at {path}", path)
+    found = sorted((s.getPath().getName(), s.getPath().toString(), s.isDirectory()) for s in fs.listStatus(p))
+    shown = [x for x in found if hidden or not x[0].startswith(".")]
+    wanted = {e.lower() for e in extensions}
+    dirs = [{"name": n, "path": full, "type": "DIR"} for n, full, is_dir in shown if is_dir]
+    files = [{"name": n, "path": full, "type": "FILE"} for n, full, is_dir in shown if not is_dir and (not wanted or n.rpartition(".")[2].lower() in wanted)]
     return files if mode == "FILE" else dirs + files
 
 
-def file_stat(path: str) -> dict:
-    found = os.path.exists(path)
-    access = lambda how: found and os.access(path, how)
-    return {"exists": found, "dir": os.path.isdir(path), "readable": access(os.R_OK), "writable": access(os.W_OK), "executable": access(os.X_OK), "size": os.stat(path)[stat.ST_SIZE] if found else None}
+def file_stat(spark: SparkSession, path: str) -> dict:
+    """What can be done with a path, by its owner's, group's or everyone's rights as the store has them."""
+    fs, p, jvm = _hadoop(spark, path)
+    if not fs.exists(p):
+        return {"exists": False, "dir": False, "readable": False, "writable": False, "executable": False, "size": None}
+
+    def may(what: str) -> bool:
+        try:
+            fs.access(p, getattr(jvm.org.apache.hadoop.fs.permission.FsAction, what))
+        except Exception as e:
+            if "AccessControl" in str(e):
+                return False
+            raise
+        return True
+
+    status = fs.getFileStatus(p)
+    return {"exists": True, "dir": status.isDirectory(), "readable": may("READ"), "writable": may("WRITE"), "executable": may("EXECUTE"), "size": status.getLen()}
 
 
 def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
@@ -173,17 +187,32 @@ def register_formats(spark: SparkSession) -> None:
             def __init__(self, options):
                 self.path = options.get("path")
 
-            def partitions(self):
-                import glob
+            def _store(self):
+                """The file system of a path, of any kind that Arrow opens, and the path there."""
+                from pyarrow import fs
+
+                return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), os.path.abspath(self.path))
 
-                names = sorted(glob.glob(self.path)) if re.search(r"[*?\[]", self.path) else [self.path]
-                files = [f for n in names for f in (sorted(os.path.join(d, x) for d, _, xs in os.walk(n) for x in xs) if os.path.isdir(n) else [n])]
+            def partitions(self):
+                from fnmatch import fnmatch
+
+                from pyarrow import fs
+
+                store, path = self._store()
+                base = re.split(r"[*?\[]", path)[0].rpartition("/")[0] if re.search(r"[*?\[]", path) else path
+                info = store.get_file_info(base)
+                if info.type == fs.FileType.Directory:
+                    inside = store.get_file_info(fs.FileSelector(base, recursive=True))
+                    files = sorted(f.path for f in inside if f.is_file and (base == path or fnmatch(f.path, path)) and not f.base_name.startswith(("_", ".")))
+                else:
+                    files = [base] if info.is_file else []
                 if not files:
-                    raise FileFormatError(f"no file at {self.path}")
+                    raise FileFormatError(f"no file at {self.path}", self.path)
                 return [InputPartition(f) for f in files]
 
             def read(self, partition):
-                with open(partition.value, "rb") as f:
+                store, _ = self._store()
+                with store.open_input_stream(partition.value) as f:
                     for k, r in enumerate(parse(f.read())):
                         yield (partition.value, k, *(r.get(c) for c in FIELDS))
 

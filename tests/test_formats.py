@@ -135,15 +135,15 @@ def test_import(spark):
     assert [(x["citekey"], x["position"]) for x in got] == [("", 0), ("", 2)] and got[1]["guid"] == "G" and len(got[0]["guid"]) == 32
 
 
-def test_directories(tmp_path):
+def test_directories(spark, tmp_path):
     (tmp_path / "b").mkdir()
     for n in ("z.pdf", "A.PDF", ".hidden", "t.txt"):
         (tmp_path / n).write_text("x")
-    assert [f["name"] for f in readers.list_directory(str(tmp_path))] == ["b", "A.PDF", "t.txt", "z.pdf"]
-    assert [f["name"] for f in readers.list_directory(str(tmp_path), ("pdf",), mode="FILE")] == ["A.PDF", "z.pdf"]
-    assert readers.file_stat(str(tmp_path / "b"))["dir"] and not readers.file_stat(str(tmp_path / "no"))["exists"]
+    assert [f["name"] for f in readers.list_directory(spark, str(tmp_path))] == ["b", "A.PDF", "t.txt", "z.pdf"]
+    assert [f["name"] for f in readers.list_directory(spark, str(tmp_path), ("pdf",), mode="FILE")] == ["A.PDF", "z.pdf"]
+    assert readers.file_stat(spark, str(tmp_path / "b"))["dir"] and not readers.file_stat(spark, str(tmp_path / "no"))["exists"]
     with pytest.raises(records.FileReadError):
-        readers.list_directory(str(tmp_path / "no"))
+        readers.list_directory(spark, str(tmp_path / "no"))
 
 
 def test_find_pdfs(spark, tmp_path):
