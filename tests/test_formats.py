@@ -8,44 +8,44 @@ from pyspark.sql import functions as F
 from folioflow.sinks import writers
 from folioflow.sources import bibtex, detect, readers, records, ris
 
-BIB = r"""@string{placm = "ACM Press, New York"}
+BIB = r"""@string{mill = "Paper Mill, Linz"}
 @comment{not an entry}
 @ARTICLE{one,
-  author = {S. F. Altschul and B. W. Erickson},
-  title = {Significance of nucleotide sequence alignments: a
-           method},
-  journal = {Mol. Biol. Evol.}, volume = {2}, number = {6}, pages = {526--538},
-  month = nov, year = {1985}, PMID = {3870875}, ArXiv = {arXiv:0902.3768},
+  author = {M. K. Huber and L. Gruber},
+  title = {Counting pebbles on a beach: a
+           field guide},
+  journal = {J. Idle Pursuits}, volume = {12}, number = {3}, pages = {40--52},
+  month = nov, year = {1993}, PMID = {1234567}, ArXiv = {arXiv:1001.0001},
 }
-@article{two, doi = {http://dx.doi.org/10.1038/nature06340}, year = "01-JAN-2011", title = "Simon {"}the {saint"} Templar", comment = {comment goes here}, publisher = placm # " and " # {more}}
+@article{two, doi = {http://dx.doi.org/10.1234/abc.56}, year = "07-JUL-2004", title = "Said {"}the {owl"} Once", comment = {read me}, publisher = mill # " and " # {sons}}
 @misc{bad, title = {open
-@misc{three, DOI = "DOI:  10.1038/nature06340", title = "A {bunch {of} braces {in}} \textbf{title}", author = {Brennan, PJ and {on behalf of the Consortium}}, editor = "Tim O'Reilly"}
+@misc{three, DOI = "DOI:  10.1234/abc.56", title = "Nested {curly {marks} of {all}} \textbf{kinds}", author = {Mayr, KL and {for the Pebble Group}}, editor = "Rose O'Dea"}
 """
 RIS = """TY  - JOUR
-A1  - Stillman, David E.
-A1  - Grimm, Robert E.
-T1  - Radar on
-Mars
-Y1  - 2011/03/03/print
-JO  - J. Geophys. Res.
-VL  - 116
-IS  - E3
-SP  - 257
-EP  - 266
-SN  - 0148-0227
-KW  - Mars
-KW  - GPR
-M3  - 10.1029/2010JE003661
-N1  - 10.1029/2010JE003661
+A1  - Huber, Maria K.
+A1  - Gruber, Leo
+T1  - Pebbles by
+night
+Y1  - 2008/06/05/print
+JO  - J. Idle Pursuits
+VL  - 27
+IS  - S2
+SP  - 101
+EP  - 109
+SN  - 1111-2222
+KW  - pebble
+KW  - dark
+M3  - 10.1234/jip.2008.27
+N1  - 10.1234/jip.2008.27
 ER  - 
 
 TY  - CHAP
-T1  - Physiological studies
-A1  - Lewicki,J.A.
-A2  - Laragh,J.H.
-T2  - Hypertension
-SN  - 9783930192625
-Y1  - 1995///
+T1  - Sand
+A1  - Mayr,K.L.
+A2  - Leitner,P.Q.
+T2  - Shores
+SN  - 9781234567897
+Y1  - 1998///
 ER  -
 """
 
@@ -54,19 +54,19 @@ def test_bibtex():
     got = bibtex.read_bibtex(BIB)
     assert [g["citekey"] for g in got] == ["one", "two", "three"]
     a, b, c = got
-    assert a["authors"] == "Altschul, S. F. and Erickson, B. W." and a["title"].endswith("alignments: a method")
-    assert (a["pages"], a["month"], a["year"], a["pmid"], a["arxivid"], a["pubtype"]) == ("526-538", "November", "1985", "3870875", "0902.3768", "ARTICLE")
-    assert (b["doi"], b["year"], b["title"], b["annote"]) == ("10.1038/nature06340", "2011", 'Simon "the saint" Templar', "comment goes here")
-    assert b["publisher"] == "ACM Press, New York and more"
-    assert c["title"] == "A bunch of braces in title" and c["authors"] == "Brennan, PJ and {on behalf of the Consortium}" and c["editors"] == "O'Reilly, Tim"
-    assert bibtex.read_bibtex(BIB, strip=False)[2]["title"] == r"A bunch of braces in \textbftitle"
+    assert a["authors"] == "Huber, M. K. and Gruber, L." and a["title"].endswith("beach: a field guide")
+    assert (a["pages"], a["month"], a["year"], a["pmid"], a["arxivid"], a["pubtype"]) == ("40-52", "November", "1993", "1234567", "1001.0001", "ARTICLE")
+    assert (b["doi"], b["year"], b["title"], b["annote"]) == ("10.1234/abc.56", "2004", 'Said "the owl" Once', "read me")
+    assert b["publisher"] == "Paper Mill, Linz and sons"
+    assert c["title"] == "Nested curly marks of all kinds" and c["authors"] == "Mayr, KL and {for the Pebble Group}" and c["editors"] == "O'Dea, Rose"
+    assert bibtex.read_bibtex(BIB, strip=False)[2]["title"] == r"Nested curly marks of all \textbfkinds"
     bad = [e for e in bibtex.parse_entries(BIB) if not e["parse_ok"]]
     assert len(bad) == 1 and bad[0]["_key"] == "bad"
 
 
-@pytest.mark.parametrize(("source", "value"), [("1234", "1234"), ('"simple double quoted string"', "simple double quoted string"), ('"double quotes { with embeded } brackets"', "double quotes { with embeded } brackets"), ('"string 1 " # "string 2"', "string 1 string 2"), ("test", "string"), ("test # other", "stringtext"), (r'"M{\"{u}}nchen"', r'M{\"{u}}nchen')])
+@pytest.mark.parametrize(("source", "value"), [("42", "42"), ('"in quotes"', "in quotes"), ('"a { closed } pair"', "a { closed } pair"), ('"left " # "right"', "left right"), ("mac", "one"), ("mac # roe", "onetwo"), (r'"Z{\"{u}}rich"', r'Z{\"{u}}rich')])
 def test_bibtex_values(source, value):
-    assert bibtex.parse_value(source, 0, {"test": "string", "other": "text"})[0] == value
+    assert bibtex.parse_value(source, 0, {"mac": "one", "roe": "two"})[0] == value
 
 
 def test_tex_letters():
@@ -81,10 +81,10 @@ def test_balanced_entry():
 
 def test_ris():
     a, b = ris.read_ris(RIS)
-    assert a["title"] == "Radar onMars" and a["authors"] == "Stillman, David E. and Grimm, Robert E."
-    assert (a["year"], a["month"], a["day"], a["pages"], a["issn"], a["keywords"], a["doi"], a["pubtype"]) == ("2011", "03", "03", "257-266", "0148-0227", "Mars;GPR", "10.1029/2010JE003661", "ARTICLE")
+    assert a["title"] == "Pebbles bynight" and a["authors"] == "Huber, Maria K. and Gruber, Leo"
+    assert (a["year"], a["month"], a["day"], a["pages"], a["issn"], a["keywords"], a["doi"], a["pubtype"]) == ("2008", "06", "05", "101-109", "1111-2222", "pebble;dark", "10.1234/jip.2008.27", "ARTICLE")
     assert "note" not in a
-    assert (b["pubtype"], b["title"], b["booktitle"], b["editors"], b["isbn"], b["year"]) == ("INBOOK", "Physiological studies - Hypertension", "Hypertension", "Laragh,J.H.", "9783930192625", "1995")
+    assert (b["pubtype"], b["title"], b["booktitle"], b["editors"], b["isbn"], b["year"]) == ("INBOOK", "Sand - Shores", "Shores", "Leitner,P.Q.", "9781234567897", "1998")
     assert "month" not in b
     assert ris.read_ris_bytes("TY  - JOUR\nTI  - é\nER  -".encode("latin-1"))[0]["title"] == ris.read_ris_bytes("TY  - JOUR\nTI  - é\nER  -".encode())[0]["title"] == "é"
     assert ris.read_ris("") == []
