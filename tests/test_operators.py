@@ -130,9 +130,9 @@ def test_merge_is_idempotent(spark):
 
 
 def test_keys_and_providers(spark):
-    df = spark.createDataFrame([(k, "Washietl2007") for k in range(30)], "id int, base string")
+    df = spark.createDataFrame([(k, "Huber2015") for k in range(30)], "id int, base string")
     keys = [r["citekey"] for r in matching.citekeys(df, "base", [F.col("id")]).orderBy("id").collect()]
-    assert keys[:4] == ["Washietl2007", "Washietl2007a", "Washietl2007b", "Washietl2007c"] and len(set(keys)) == 30
+    assert keys[:4] == ["Huber2015", "Huber2015a", "Huber2015b", "Huber2015c"] and len(set(keys)) == 30
     row = spark.range(1).select(matching.reconciled_authors(F.lit("Doe, J and Roe, R. K."), F.array(F.lit("Jane M. Doe"), F.lit("R.K. Roe"))).alias("a")).first()
     assert row["a"] == "Doe, Jane M. and Roe, R. K."
 
