@@ -1,6 +1,7 @@
 """Mixing by Pfair scheduling, and exact top-k."""
 
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -40,6 +41,26 @@ def test_schedule_keeps_the_given_weights(sizes, weights):
         assert mixing.deviation(phases, s, given) < 1
 
 
+@pytest.mark.parametrize(("sizes", "weights"), [
+    ({f"src{k}": 20_000 for k in range(20)}, {"src0": 4.0, "src1": 2.0, "src2": 2.0}),
+    ({f"src{k}": 2000 + 7 * k for k in range(23)}, {"src0": 4.0, "src1": 2.0, "src2": 2.0}),
+    ({f"s{k}": 30 if k else 3000 for k in range(1500)}, {"s0": 1000.0}),
+])
+def test_large_mixtures_stay_within_a_block(sizes, weights):
+    """At every slot of every phase each source has its target share to within less than one block."""
+    phases = mixing.plan(sizes, weights)
+    assert sum(p.slots for p in phases) == sum(sizes.values())
+    given = {s: Fraction(str(weights.get(s, 1.0))) for s in sizes}
+    for p in phases:
+        total = sum(given[s] for s in p.units)
+        for s in p.units:
+            share = given[s] / total
+            n, d = share.numerator, share.denominator
+            slots = p.slot(s, np.arange(p.first[s], p.first[s] + p.taken(s, p.slots))) - p.start
+            taken = np.searchsorted(slots, np.arange(p.slots + 1))
+            assert (np.abs(n * np.arange(p.slots + 1) - d * taken) < d).all()
+
+
 def test_mix(spark):
     sources = ["a"] * 700 + ["b"] * 100 + [None] * 50
     rows = [(k, f"t{k}", s, 0, 9) for k, s in enumerate(sources)] + [(None, None, "a", 0, 9), (3, "t3", "a", 0, 9)]
