@@ -31,7 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -168,11 +168,13 @@ def deviation(phases: list[Phase], source: str, weights: dict[str, float] | None
     return worst
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", default: float = 1.0, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """All columns of ``df`` with mix_block, mix_slot (the block's place in the sequence), mix_release and mix_due."""
+def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", default: float = 1.0, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS, key: Column | None = None) -> DataFrame:
+    """All columns of ``df`` with mix_block, mix_slot (the block's place in the sequence), mix_release and mix_due.
+
+    key: the 64-bit number, taken as unsigned, by which a source's documents are ordered; a hash of the whole row if not given."""
     spark, name = df.sparkSession, F.coalesce(F.col(source).cast("string"), F.lit(""))
     whole_row = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if re.search("map<|variant", df.schema[c].dataType.simpleString()) else F.col(c) for c in df.columns]
-    key = F.xxhash64(F.lit("mix"), *whole_row)
+    key = F.xxhash64(F.lit("mix"), *whole_row) if key is None else key
     path = work_dir(spark, "mix")
     light = df.select(name.alias("s"), key.alias("h"))
     sizes = {r["s"]: r["n"] for r in light.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each source
@@ -186,7 +188,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     # the whole row travels in one column, so no column of df can clash with these
     rows = df.select(F.struct(*df.columns).alias("row"), name.alias("s"), key.alias("h"))
     rows = rows.withColumn("cell", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "cell").orderBy("h")))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("s", "cell").orderBy(F.col("h") < 0, "h")))
     rows = rows.join(counts, ["s", "cell"]).select("row", "s", F.floor((F.col("before") + F.col("rank") - 1) / block_rows).cast("long").alias("block"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in NEW)])
 

@@ -149,8 +149,35 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)
 FROM t LEFT JOIN c USING (x), n GROUP BY doc_id, held_out
 """
 
+# the schedule slot by slot: of the released blocks the one with the earliest deadline; a source that ends begins a phase
+_OP3 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, '') AS s,
+         row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY substr(md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''))), 1, 16)) - 1 AS r FROM documents
+), b AS (
+  SELECT s, (max(r) + 16) // 16 AS n, CAST(CASE s WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 WHEN 'src2' THEN 2 ELSE 1 END AS BIGINT) AS w FROM d GROUP BY s
+), run AS (
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS start, list({'s': s, 'w': w, 'n': n, 'k': CAST(0 AS BIGINT), 'done': CAST(0 AS BIGINT)} ORDER BY s) AS st, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS BIGINT) AS block, CAST(NULL AS BIGINT) AS rel, CAST(NULL AS BIGINT) AS due FROM b
+  UNION ALL
+  SELECT t, CASE WHEN p.n = 1 THEN t + 1 ELSE start END,
+         CASE WHEN p.n = 1 THEN list_transform(list_filter(st, lambda x: x.s <> p.s), lambda x: {'s': x.s, 'w': x.w, 'n': x.n, 'k': CAST(0 AS BIGINT), 'done': x.done})
+              ELSE list_transform(st, lambda x: CASE WHEN x.s = p.s THEN {'s': x.s, 'w': x.w, 'n': x.n - 1, 'k': x.k + 1, 'done': x.done + 1} ELSE x END) END,
+         p.s, p.done, start + p.k * total // p.w, start + ((p.k + 1) * total + p.w - 1) // p.w
+  FROM (
+    SELECT t, start, st, total, list_filter(st, lambda x: x.s = best.s)[1] AS p
+    FROM (
+      SELECT t + 1 AS t, start, st, total,
+             list_sort(list_transform(list_filter(st, lambda x: x.k * total // x.w <= t + 1 - start), lambda x: {'d': ((x.k + 1) * total + x.w - 1) // x.w, 's': x.s}))[1] AS best
+      FROM (SELECT t, start, st, CAST(list_sum(list_transform(st, lambda x: x.w)) AS BIGINT) AS total FROM run WHERE len(st) > 0)
+    )
+  )
+)
+SELECT d.doc_id, d.source, r // 16 AS mix_block, t AS mix_slot, rel AS mix_release, due AS mix_due FROM d JOIN run ON run.s = d.s AND run.block = r // 16
+"""
+
 SQL = {
     "op1_repeated_substrings": _OP1,
+    "op3_mix": _OP3,
     "op4_top_k": _OP4,
     "op9_decontaminate": _OP9,
     "op10_near_duplicates": _OP10,

@@ -35,7 +35,10 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0}
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+    # a digest that SQL has, too
+    digest = F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit(""))).cast("binary"))
+    key = F.conv(F.substring(digest, 1, 16), 16, -10).cast("long")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS, key=key)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_due")
 
 
