@@ -50,7 +50,9 @@ def corpus():
     return rows
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr("folioflow.llm.components.FOREST", at_once)
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 480)] + [(7, 7)]
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
