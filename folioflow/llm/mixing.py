@@ -12,8 +12,8 @@ driver does work, and sends out 8 bytes, for each block. When a source runs out,
 up and a new phase begins; its first slot continues the sequence. There are at most as many phases as sources.
 
 The place of a document within its source is found without sorting a source in one task: ids hash into
-cells, cell sizes are counted, running sums give each cell's first place, and only rows of one cell are
-ranked together. The number of cells grows with the largest source.
+cells, cell sizes are counted, running sums over groups of cells and inside each group give each cell's first place, and
+only rows of one cell are ranked together. The number of cells grows with the largest source.
 
 Defined results: a null source is a source of its own, named ""; a source without a given weight gets
 ``default``; sources with a weight of 0 follow at the end in order of their names, as phases of their own;
@@ -42,8 +42,8 @@ from ._text import map_arrow
 BLOCK_ROWS = 16
 #: Columns that the operator adds; columns of the input with these names are replaced.
 NEW = ("mix_block", "mix_slot", "mix_release", "mix_due")
-#: Rows that one ranking cell holds on average.
-CELL_ROWS = 2000
+#: Rows that one ranking cell holds on average, and bits of the number of cells whose sizes are summed up together.
+CELL_ROWS, GROUP_BITS = 500, 10
 
 
 def whole(weights: dict[str, float]) -> dict[str, int]:
@@ -181,8 +181,13 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     bits = max(0, (max(sizes.values(), default=1) // cell_rows).bit_length())
     cell = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
     counts = written(light.groupBy("s", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), f"{path}/cells")
-    before = F.sum("n").over(Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col("s"), F.col("cell"), F.coalesce(before, F.lit(0)).alias("before"))
+    # running sums in two levels, so that no task runs through all cells of a large source
+    sofar = lambda *by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("group", F.shiftright("cell", GROUP_BITS))
+    groups = counts.groupBy("s", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("s", "group", sofar("s", order="group").alias("base"))
+    counts = counts.select("s", "group", "cell", sofar("s", "group", order="cell").alias("inner")).join(groups, ["s", "group"])
+    counts = counts.select("s", "cell", (F.col("base") + F.col("inner")).alias("before"))
     phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, weights or {}, default)
     sent = spark.sparkContext.broadcast(phases)  # of each at most a period
     # the whole row travels in one column, so no column of df can clash with these

@@ -61,7 +61,9 @@ def test_large_mixtures_stay_within_a_block(sizes, weights):
             assert (np.abs(n * np.arange(p.slots + 1) - d * taken) < d).all()
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("bits", [10, 1])
+def test_mix(spark, monkeypatch, bits):
+    monkeypatch.setattr(mixing, "GROUP_BITS", bits)
     sources = ["a"] * 700 + ["b"] * 100 + [None] * 50
     rows = [(k, f"t{k}", s, 0, 9) for k, s in enumerate(sources)] + [(None, None, "a", 0, 9), (3, "t3", "a", 0, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, before int, mix_slot int").repartition(4)
