@@ -153,7 +153,7 @@ def file_source(spark, sf):
     writers.export_text(s.unionByName(s), "bibtex").coalesce(1).write.text(path)
     source = plugin("source", "file")(spark, path)
     source.order = (("title", False),)
-    source.connect_within()
+    source.connect_within(60, 600)
     return source.page(10, 40).select("title", "authors", "citekey", (F.row_number().over(_by("title")) + 10).cast("long").alias("place"))
 
 
