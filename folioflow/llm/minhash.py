@@ -45,6 +45,8 @@ SLACK = 0.12
 STARS = 1
 #: Slots of the list that is broadcast to leave out texts without candidates.
 SLOTS = 1 << 18
+#: Tasks that the rows of an open bucket are dealt to.
+SALTS = 16
 #: Shingles of a block at least and at most (8 bytes each), and blocks of a cluster while blocks may still grow.
 BLOCK_SHINGLES, MOST_SHINGLES, BLOCKS = 1 << 15, 1 << 20, 12
 
@@ -238,7 +240,7 @@ def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFram
 
     Blocks are cut by shingles, so a few long documents make as large a block as many short ones."""
     lead = live.groupBy("bucket").agg(F.min("node").alias("v"))
-    clusters = written(components(live.join(lead, "bucket").select(F.col("node").alias("u"), "v")), f"{path}/clusters")
+    clusters = written(components(_by_bucket(live, lead).select(F.col("node").alias("u"), "v")), f"{path}/clusters")
     nodes = live.groupBy("node", "c").agg(F.max("n").alias("n")).join(clusters.withColumnRenamed("component", "k"), "node")
     per = nodes.groupBy("k", "c").agg(F.sum("n").alias("n"))
     top = per.groupBy("k").agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("all"))
@@ -273,6 +275,13 @@ def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFram
     return rows.repartition("k", "o", "m").sortWithinPartitions("k", "o", "m", "side").mapInArrow(run, schema)
 
 
+def _by_bucket(live: DataFrame, one: DataFrame) -> DataFrame:
+    """Rows of open buckets with the one row of their bucket. A bucket's rows are dealt to SALTS tasks, and its one row goes to each."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    every = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return live.withColumn("_salt", salt).join(every, ["bucket", "_salt"]).drop("_salt")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (columns doc_id, text)."""
     path = work_dir(docs.sparkSession, "minhash")
@@ -309,7 +318,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     def open_buckets(star: int) -> DataFrame:
         live = labelled(members)
         left = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        return written(live.join(left, "bucket").select("bucket", "node", "n", "c"), f"{path}/live-{star}")
+        return written(_by_bucket(live, left).select("bucket", "node", "n", "c"), f"{path}/live-{star}")
 
     tidy(docs.sparkSession)
     live = open_buckets(0)
@@ -318,7 +327,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
             break
         # another leader each round: the first by a hash of the round
         lead = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), "node", "c")).alias("l"))
-        pairs = live.join(lead, "bucket").where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        pairs = _by_bucket(live, lead).where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         pairs = written(pairs.where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK).select("a", "b").distinct(), f"{path}/pairs-{star}")
         have = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
