@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._store import remove, tidy, work_dir, written
+from ._text import settle
 
 #: Links of which a task makes a forest at once.
 FOREST = 1 << 20
@@ -60,6 +61,7 @@ def _forests(batches):
                 held, n, part = [], 0, part + 1
     if held:
         yield out()
+    settle()
 
 
 def _step(edges: DataFrame, path: str, *more) -> tuple[DataFrame, tuple]:

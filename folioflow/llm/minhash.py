@@ -25,6 +25,8 @@ ignored.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import tidy, work_dir, written
-from ._text import column_bytes, map_arrow, space_words
+from ._text import column_bytes, map_arrow, settle, space_words
 from .components import components
 
 BANDS, ROWS, BITS = 40, 5, 4
@@ -167,6 +169,18 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / PACKED) - chance) / (1 - chance)
 
 
+@contextmanager
+def _small_batches(spark, rows: int = 256):
+    """Steps that send whole sets to workers do so in batches of a few rows; a set may have megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Shingle sets (sorted hashes as bytes) of the documents whose ids are wanted: node, digest, members."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("members", T.BinaryType())])
@@ -268,9 +282,10 @@ def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFram
                     if key is not None:
                         yield out()
                     key, held = (k, o, m), ([], [])
-                held[side].append((node, c, np.frombuffer(x.as_buffer(), np.uint64)))
+                held[side].append((node, c, np.frombuffer(x.as_buffer(), np.uint64).copy()))  # a view would keep its whole batch
         if key is not None:
             yield out()
+        settle()
 
     return rows.repartition("k", "o", "m").sortWithinPartitions("k", "o", "m", "side").mapInArrow(run, schema)
 
@@ -331,12 +346,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         pairs = written(pairs.where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK).select("a", "b").distinct(), f"{path}/pairs-{star}")
         have = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-        found = written(confirmed(pairs, have, percent), f"{path}/links-{star}")
+        with _small_batches(docs.sparkSession):
+            found = written(confirmed(pairs, have, percent), f"{path}/links-{star}")
         links = links.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
         comp = written(components(links), f"{path}/comp-{star}")
         live = open_buckets(star + 1)
     if not live.isEmpty():
-        found = written(cluster_links(live, sets_of, percent, path), f"{path}/links")
+        with _small_batches(docs.sparkSession):
+            found = written(cluster_links(live, sets_of, percent, path), f"{path}/links")
         if comp is None:
             links = links.unionByName(found)
         else:  # the new links join components: these are few nodes, and their labels are their smallest ids
