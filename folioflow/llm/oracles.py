@@ -175,7 +175,81 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, d.source, r // 16 AS mix_block, t AS mix_slot, rel AS mix_release, due AS mix_due FROM d JOIN run ON run.s = d.s AND run.block = r // 16
 """
 
+# 64-bit counts times each other need 128 bits
+_OP11 = r"""
+WITH p AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, regexp_extract_all(s, '[^\x20\x09]+') AS w
+  FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s FROM documents)
+), t AS (
+  SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang
+), o AS (
+  SELECT lang, size, array_to_string(w[k : k + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(w) >= size)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM o GROUP BY lang, size, phrase HAVING count(*) >= 100
+), c AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+), s AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(t.n AS BIGINT) AS n,
+         CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp JOIN t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+), h AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, array_to_string(w[i : i + m - 1], ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM f WHERE size > 2)))
+  GROUP BY lang, phrase
+), k AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank
+  FROM s LEFT JOIN h ON h.lang = s.lang AND h.phrase = s.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000
+"""
+
+# crc32 of bytes, eight shifts each: a half byte at a time with a table of the sixteen remainders
+_GRAM_CRC = """xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+  lambda c, e: xor(xor(xor(c, e) >> 4, tab[1 + (xor(c, e) & 15)]) >> 4, tab[1 + (xor(xor(c, e) >> 4, tab[1 + (xor(c, e) & 15)]) & 15)])), 4294967295)"""
+_OP13 = f"""
+WITH r AS (
+  SELECT list(CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END ORDER BY i) AS tab FROM (
+    SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM (
+      SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM (
+        SELECT i, CASE WHEN i & 1 = 1 THEN xor(i >> 1, 3988292384) ELSE i >> 1 END AS v FROM range(16) g(i))))
+), d AS (
+  SELECT row_number() OVER () AS num, doc_id, 'd' AS side, {_ALNUM.format("text")} AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, 'b', {_ALNUM.format("text")} FROM benchmark
+), g AS (
+  SELECT num, side, array_to_string(w[k : k + size - 1], ' ') AS x
+  FROM (SELECT num, side, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+), c AS (
+  SELECT num, side, x, count(*) AS n FROM g GROUP BY num, side, x
+), x AS (
+  SELECT x, CAST({_GRAM_CRC} % 10000 AS BIGINT) AS bucket, s, t
+  FROM (SELECT x, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM c GROUP BY x), r
+), b AS (
+  SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM x GROUP BY bucket
+), z AS (
+  SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM b
+), e AS (
+  SELECT bucket, CAST(floor(1000 * ln((b.t + 1) * (z.s + 10000) / ((b.s + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM b, z
+), m AS (
+  SELECT num, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM c JOIN x USING (x) JOIN e USING (bucket) WHERE side = 'd' GROUP BY num
+), o AS (
+  SELECT num, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (num) WHERE side = 'd'
+), q AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM o
+), k AS (
+  SELECT num, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM q WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 5 // 100 THEN rank END AS rank FROM q LEFT JOIN k USING (num)
+"""
+
 SQL = {
+    "op11_collocations": _OP11,
+    "op13_resample": _OP13,
     "op1_repeated_substrings": _OP1,
     "op3_mix": _OP3,
     "op4_top_k": _OP4,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licences, minhash, mixing, ngrams, oracles, pii, substrings, tokens, topk, toxicity
+from . import decontam, importance, language, licences, minhash, mixing, ngrams, oracles, phrases, pii, substrings, tokens, topk, toxicity
 from ._store import work_dir
 
 
@@ -119,6 +119,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=2, percent=80)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+#: Rows whose crc32 of the id leaves this remainder are held out of the fit.
+LANG_FOLDS, LANG_HELD = 5, 0
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"), LANG_FOLDS, LANG_HELD)
+    model = language.fit(docs.where(~held))
+    return language.predict(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 # The parts of the operators' results that SQL can express, for a comparison with it.
 
 
@@ -149,6 +169,9 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_decontaminate": op9_decontaminate,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_collocations": op11_collocations,
+        "op12_language": op12_language,
+        "op13_resample": op13_resample,
         "pii_base": pii_base,
         "licence_base": licence_base,
         "lm_base": lm_base,
