@@ -60,7 +60,8 @@ def squeezed(words: list[bytes]) -> bytes:
 
 
 def words_of(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b" ") if blob else []
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    return raw.split(b" ") if raw else []
 
 
 def numbered(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray]:

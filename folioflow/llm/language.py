@@ -1,8 +1,8 @@
 """Language identification by words first, and by shorter and shorter character n-grams for words never seen.
 
-Spark counts words and character n-grams by language over all texts to learn from; each language keeps its ``WORDS`` and
-each length of n-gram its ``GRAMS`` most frequent ones, so a model's size is bounded by the number of languages
-alone, which is at most ``LANGUAGES``. A known word adds the logarithm of its smoothed frequency in every language. A word that no language knows
+Spark counts the words of all texts to learn from by language. Each language's ``WORDS`` most frequent ones are known words;
+character n-grams are counted in the known words, as often as these stand, and the ``GRAMS`` most frequent of each length and language are kept.
+So a model's size is bounded by these parameters and the number of languages, at most ``LANGUAGES``. A known word adds the logarithm of its smoothed frequency in every language. A word that no language knows
 is scored by the mean of its longest known n-grams: of five letters, and if none is known, of four, and so on to single letters.
 
 Words are runs of letters, lower-cased; a text that is null or has no letter is ``und`` with score 0. Rows without a language
@@ -12,8 +12,6 @@ Equal scores go to the language that sorts first.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -80,38 +78,35 @@ def _counts(docs: DataFrame) -> DataFrame:
 class Model:
     """Logarithms of frequencies: one row of numbers, a column for each language, for each known word and n-gram."""
 
-    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
-        self.langs, self.tables = langs, tables
-        self.seen: dict[str, np.ndarray] = {}
+    def __init__(self, langs: list[str], places: dict[int, dict[str, int]], values: np.ndarray):
+        """places: the rows of ``values`` of known words (at 0) and n-grams (at their lengths)."""
+        self.langs, self.places = langs, places
+        self.values = np.vstack([values, np.zeros((1, len(langs)))])  # the last row is for words without any known piece
 
-    def row(self, word: str) -> np.ndarray:
-        """What a word adds to each language."""
-        places, values = self.tables[0]
-        if (at := places.get(word)) is not None:
-            return values[at]
+    def pieces(self, word: str) -> list[int]:
+        """The rows whose mean is what a word adds: its own, or those of its longest known n-grams."""
+        if (at := self.places[0].get(word)) is not None:
+            return [at]
         for n in SIZES:
-            places, values = self.tables[n]
-            known = [at for g in grams(word, n) if (at := places.get(g)) is not None]
-            if known:
-                return values[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+            places = self.places[n]
+            if found := [at for g in grams(word, n) if (at := places.get(g)) is not None]:
+                return found
+        return [len(self.values) - 1]
 
     def predict(self, texts: list[list[str]]) -> tuple[list[str], np.ndarray]:
         """The best language of each list of words, and its share of the probability of all, by the mean word."""
-        flat = [w for t in texts for w in t]
-        found = pa.array(flat, pa.string()).dictionary_encode()
-        rows = np.array([self.row(w) for w in found.dictionary.to_pylist()]).reshape(-1, len(self.langs))
         sizes = np.array([len(t) for t in texts], np.int64)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        sums = np.zeros((len(texts), len(self.langs)))
-        values = rows[found.indices.to_numpy()]
-        for k in range(len(self.langs)):
-            sums[:, k] = np.bincount(doc, values[:, k], len(texts))
-        best = sums.argmax(axis=1) if self.langs else np.zeros(len(texts), np.int64)
-        mean = (sums - sums.max(axis=1, initial=-math.inf)[:, None]) / np.maximum(sizes, 1)[:, None] if self.langs else sums
-        share = 1 / np.exp(mean).sum(axis=1) if self.langs else np.zeros(len(texts))
-        none = (sizes == 0) | (not self.langs)
-        return ["und" if e else self.langs[b] for e, b in zip(none, best, strict=True)], np.where(none, 0.0, share)
+        if not self.langs or not sizes.sum():
+            return ["und"] * len(texts), np.zeros(len(texts))
+        found = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
+        used = [self.pieces(w) for w in found.dictionary.to_pylist()]
+        n = np.array([len(p) for p in used], np.int64)
+        rows = np.add.reduceat(self.values[np.array([at for p in used for at in p])], np.cumsum(n) - n, axis=0) / n[:, None]
+        doc, values = np.repeat(np.arange(len(texts)), sizes), rows[found.indices.to_numpy()]
+        sums = np.stack([np.bincount(doc, values[:, k], len(texts)) for k in range(len(self.langs))], axis=1)
+        best = sums.argmax(axis=1)
+        mean = (sums - sums.max(axis=1)[:, None]) / np.maximum(sizes, 1)[:, None]
+        return [self.langs[b] if s else "und" for b, s in zip(best, sizes, strict=True)], np.where(sizes > 0, 1 / np.exp(mean).sum(axis=1), 0.0)
 
 
 def fit(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
@@ -121,29 +116,28 @@ def fit(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(LANGUAGES + 1).collect())
     if len(langs) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages to learn")
-    column = {lang: k for k, lang in enumerate(langs)}
-    marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    known = counts.withColumn("k", rank).where(F.col("k") <= n_words).select("word").distinct()
+    kept = written(counts.join(known, "word").select("lang", F.lit(0).alias("size"), F.col("word").alias("x"), "n"), f"{path}/known")
+    marked = F.concat(F.lit("<"), F.col("x"), F.lit(">"))
     cut = lambda n, text: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.struct(F.lit(n).alias("size"), F.substring(text, i, F.lit(n)).alias("x"))))
-    parts = [F.array(F.struct(F.lit(0).alias("size"), F.col("word").alias("x"))), *(cut(n, marked if n > 1 else F.col("word")) for n in SIZES)]
-    pieces = counts.select("lang", "n", F.explode(F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))).alias("p")).select("lang", "p.size", "p.x", "n")
-    each = written(pieces.groupBy("lang", "size", "x").agg(F.sum("n").alias("n")), f"{path}/pieces")
+    parts = F.flatten(F.filter(F.array(*(cut(n, marked if n > 1 else F.col("x")) for n in SIZES)), lambda p: p.isNotNull()))
+    pieces = kept.select("lang", "n", F.explode(parts).alias("p")).groupBy("lang", "p.size", "p.x").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("n").desc(), "x"))
-    best = each.withColumn("k", rank).where(F.col("k") <= F.when(F.col("size") == 0, n_words).otherwise(n_grams)).select("size", "x").distinct()
-    # every language's count of whatever one of them knows: bounded by the languages and the two parameters
-    kept = each.join(best, ["size", "x"]).groupBy("size", "x").agg(F.collect_list(F.struct("lang", "n")).alias("c")).collect()
-    sums = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in each.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    tables = {}
-    for size in (0, *SIZES):
-        own = sorted((r for r in kept if r["size"] == size), key=lambda r: r["x"])
-        values = np.zeros((len(own), len(langs)))
-        for at, r in enumerate(own):
-            for c in r["c"]:
-                values[at, column[c["lang"]]] = c["n"]
-        for lang, k in column.items():
-            total, distinct = sums.get((lang, size), (0, 0))
-            values[:, k] = np.log((values[:, k] + 0.5) / (total + 0.5 * (distinct + 1)))
-        tables[size] = ({r["x"]: at for at, r in enumerate(own)}, values)
-    return Model(langs, tables)
+    best = pieces.withColumn("k", rank).where(F.col("k") <= n_grams).select("size", "x").distinct()
+    whole = counts.select("lang", F.lit(0).alias("size"), "n").unionByName(pieces.select("lang", "size", "n"))
+    sums = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in whole.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    # bounded by the number of languages and the two parameters
+    rows = sorted(kept.unionByName(pieces.join(best, ["size", "x"])).select("size", "x", "lang", "n").collect())
+    places, counted = {n: {} for n in (0, *SIZES)}, []
+    for size, x, lang, n in rows:
+        if x not in places[size]:
+            places[size][x] = len(counted)
+            counted.append((size, np.zeros(len(langs))))
+        counted[places[size][x]][1][langs.index(lang)] = n
+    values = np.array([c for _, c in counted], float).reshape(len(counted), len(langs))
+    total = np.array([[sums.get((lang, size), (0, 0)) for lang in langs] for size, _ in counted], float).reshape(len(counted), len(langs), 2)
+    return Model(langs, places, np.log((values + 0.5) / (total[:, :, 0] + 0.5 * (total[:, :, 1] + 1))))
 
 
 def predict(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
