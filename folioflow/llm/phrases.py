@@ -33,15 +33,13 @@ from .blocks import packed, token_blocks, unpacked, words_of
 LEAST = 100
 #: Words of a phrase at most.
 LONGEST = 5
+#: Words of the tables for each shard of a shuffle of phrases.
+SHARD_WORDS = 3_000_000
 
 _TABLE = bytes(
     0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)
 )  # pieces end at a boundary
 
-_COUNTS = T.StructType([
-    T.StructField("block", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-    T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
-])
 _STATE = T.StructType([T.StructField("block", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("words", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
 
 
@@ -105,12 +103,12 @@ def _word_counts(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.col("group").alias("lang"), "vocabulary", "tokens").mapInArrow(run, schema)
 
 
-def _frequent(counts: DataFrame, by: list[str], least: int, path: str) -> DataFrame:
-    """Rows of ``counts`` whose key has ``least`` places over all blocks, with the sum f and an id of the key: its first row's block and place."""
-    whole = Window.partitionBy("lang", *by)
-    first = F.shiftleft("block", 24).cast("long") + F.col("at")  # distinct for distinct rows of a length, and a key has its rows to itself
+def _frequent_words(counts: DataFrame, least: int, path: str) -> DataFrame:
+    """(block, at, lang, word, f, id) of the words that have ``least`` places over all blocks. The id is a word's first block and place there."""
+    whole = Window.partitionBy("lang", "word")
+    first = F.shiftleft("block", 24).cast("long") + F.col("at")  # distinct for all rows, and a word has its rows to itself
     out = counts.withColumn("f", F.sum("n").over(whole)).withColumn("id", F.min(first).over(whole)).where(F.col("f") >= least)
-    return written(out.select("block", "lang", *by, "at", "f", "id"), path)
+    return written(out.select("block", "at", "lang", "word", "f", "id"), path)
 
 
 def _first_state(blocks: DataFrame, frequent: DataFrame, path: str) -> DataFrame:
@@ -131,21 +129,60 @@ def _first_state(blocks: DataFrame, frequent: DataFrame, path: str) -> DataFrame
     return written(own.groupBy("block").cogroup(frequent.select("block", "at", "id").groupBy("block")).applyInArrow(run, _STATE), path)
 
 
-def _extended(state: DataFrame, length: int) -> DataFrame:
-    """(block, lang, a, b, at, n): the distinct extensions of each block's phrases, with the lengths of their lists."""
+_SENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("blob", T.BinaryType())])
+_FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("block", "at", "a", "b", "f", "id")])
+
+
+def _dealt(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
+    mix = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mix ^= mix >> np.uint64(31)
+    return (((mix * np.uint64(0x165667B19E3779F9)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def _extended(state: DataFrame, length: int, shards: int) -> DataFrame:
+    """(shard, block, blob): the distinct extensions of each block's phrases, with the lengths of their lists, sorted and packed by shard."""
+    arrow = to_arrow_schema(_SENT)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                block, lang, words, phrases = (batch.column(k)[row].as_py() for k in range(4))
+                block, words, phrases = (batch.column(k)[row].as_py() for k in (0, 2, 3))
                 _, a, b = extensions(words, phrases, length)
                 first, _, n = _distinct(a, b)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), block)), pa.array([lang] * len(n), pa.string()), pa.array(a[first]), pa.array(b[first]), pa.array(np.arange(len(n))), pa.array(n)], schema=to_arrow_schema(_COUNTS)
-                )
+                a, b = a[first], b[first]
+                shard = _dealt(a, b, shards)
+                order = np.argsort(shard, kind="stable")  # within a shard as in the block, so by a and b
+                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                some, blobs = np.flatnonzero(np.diff(cut)), []
+                for s in some.tolist():
+                    own = order[cut[s] : cut[s + 1]]
+                    kinds, place = np.unique(b[own], return_inverse=True)
+                    blobs.append(packed(np.diff(own, prepend=0), np.diff(a[own], prepend=0), place, np.diff(kinds, prepend=0), n[own] - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), block)), pa.array(blobs, pa.binary())], schema=arrow)
+        settle()
+
+    return state.mapInArrow(run, _SENT)
+
+
+def _frequent(sent: DataFrame, least: int, path: str) -> DataFrame:
+    """(block, at, a, b, f, id) of the extensions that have ``least`` places over all blocks; the id is a number within the shard and the shard's."""
+    arrow = to_arrow_schema(_FOUND)
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, parts = table.column("shard")[0].as_py(), []
+        for block, blob in zip(table.column("block").to_pylist(), table.column("blob"), strict=True):
+            at, a, place, kinds, n = unpacked(blob.as_py())
+            parts.append((np.full(len(at), block), np.cumsum(at), np.cumsum(a), np.cumsum(kinds)[place], n + 1))
+        block, at, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, inverse, _ = _distinct(a, b)
+        f = np.zeros(inverse.max(initial=-1) + 1, np.int64)
+        np.add.at(f, inverse, n)
+        own = np.flatnonzero(f[inverse] >= least)
+        inverse = inverse[own]
         settle()
+        return pa.table([*(pa.array(x[own]) for x in (block, at, a, b)), pa.array(f[inverse]), pa.array(shard << 40 | inverse)], schema=arrow)
 
-    return state.mapInArrow(run, _COUNTS)
+    return written(sent.groupBy("shard").applyInArrow(run, _FOUND), path)
 
 
 def _next_state(state: DataFrame, frequent: DataFrame, length: int, path: str) -> DataFrame:
@@ -174,15 +211,16 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     blocks = token_blocks(rows, _cut, f"{path}/blocks", group="lang")
     counts = written(_word_counts(blocks), f"{path}/words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = _frequent(counts, ["word"], least, f"{path}/frequent-1")
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, (counts.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS + 1)
+    frequent = _frequent_words(counts, least, f"{path}/frequent-1")
     words = frequent.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("f").alias("f"))
     known = words.select("id", "lang", F.col("word").alias("phrase"), "f")
     found = known.select("lang", "phrase", F.lit(1).alias("size"), "f")
     state = _first_state(blocks, frequent, f"{path}/state-1")
     for length in range(1, longest):
-        frequent = _frequent(_extended(state, length), ["a", "b"], least, f"{path}/frequent-{length + 1}")
-        new = frequent.groupBy("id").agg(*(F.first(c).alias(c) for c in ("lang", "a", "b", "f")))
-        front, last = known.select(F.col("id").alias("a"), F.col("phrase").alias("front")), words.select(F.col("id").alias("b"), "word")
+        frequent = _frequent(_extended(state, length, shards), least, f"{path}/frequent-{length + 1}")
+        new = frequent.groupBy("id").agg(*(F.first(c).alias(c) for c in ("a", "b", "f")))
+        front, last = known.select(F.col("id").alias("a"), "lang", F.col("phrase").alias("front")), words.select(F.col("id").alias("b"), "word")
         phrase = F.concat("front", F.lit(b" "), "word").alias("phrase")
         known = written(new.join(front, "a").join(last, "b").select("id", "lang", phrase, "f"), f"{path}/phrases-{length + 1}")
         found = found.unionByName(known.select("lang", "phrase", F.lit(length + 1).alias("size"), "f"))
