@@ -155,10 +155,11 @@ def _search(data: np.ndarray, keys: np.ndarray, drop: int) -> np.ndarray:
     return np.where((lo < end) & (kept[np.minimum(lo, n - 1)] == want), lo, -1)
 
 
-def _put_counts(uri: str, counts: np.ndarray) -> None:
-    """Counts in a byte each; those of 255 and more also with their places."""
-    big = np.flatnonzero(counts >= 255)
-    put(uri, np.minimum(counts, 255).astype(np.uint8))
+def _put_counts(uri: str, counts: np.ndarray, kind: type = np.uint8) -> None:
+    """Counts in a byte each, or another kind of number; those that it can't tell from its largest one also with their places, in 64 bits."""
+    most = np.iinfo(kind).max
+    big = np.flatnonzero(counts >= most)
+    put(uri, np.minimum(counts, most).astype(kind))
     put(f"{uri}-big", big.astype(np.int64), counts[big].astype(np.int64))
 
 
@@ -216,7 +217,7 @@ class Model:
             if len(own):
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 ok = own[at] == h
-                n = self._file(f"count-{s}", np.uint32)[at[ok]].astype(np.int64)
+                n = self._counts("count", s, at[ok], np.uint32)
                 out[cut[s] : cut[s + 1]][ok] = self._file(f"rank-{s}", np.uint32)[at[ok]] + self.starts[_class(n), s]
                 count[cut[s] : cut[s + 1]][ok] = n
         return out, count
@@ -230,9 +231,9 @@ class Model:
             at = _search(self._file(f"{name}-{s}"), keys[rows], drop)
             yield s, rows[at >= 0], at[at >= 0]
 
-    def _counts(self, name: str, s: int, at: np.ndarray) -> np.ndarray:
-        n = self._file(f"{name}-{s}")[at].astype(np.int64)
-        if len(big := np.flatnonzero(n == 255)):
+    def _counts(self, name: str, s: int, at: np.ndarray, kind: type = np.uint8) -> np.ndarray:
+        n = self._file(f"{name}-{s}", kind)[at].astype(np.int64)
+        if len(big := np.flatnonzero(n == np.iinfo(kind).max)):
             places, values = self._file(f"{name}-{s}-big", np.int64).reshape(2, -1)
             n[big] = values[np.searchsorted(places, at[big])]
         return n
@@ -382,36 +383,35 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
             yield texts
 
     def send_words(batches):
-        held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+        held = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
         def out(held):
             cut = np.searchsorted(model.shard_of(held[0]), np.arange(shards + 1))
             some = np.flatnonzero(np.diff(cut)).tolist()
-            return _rows(some, [_pack(np.diff(held[0][cut[s] : cut[s + 1]], prepend=np.uint64(0)), held[1][cut[s] : cut[s + 1]].astype(np.uint32)) for s in some])
+            return _rows(some, [_pack(np.diff(held[0][cut[s] : cut[s + 1]], prepend=np.uint64(0)), held[1][cut[s] : cut[s + 1]]) for s in some])
 
         for texts in gathered(batches):
             k, n = np.unique(np.concatenate(texts), return_counts=True)
-            held = _merged(np.concatenate([held[0], k]), np.concatenate([held[1], n.astype(np.uint32)]))
+            held = _merged(np.concatenate([held[0], k]), np.concatenate([held[1], n]))
             if len(held[0]) >= HOLD:
                 yield out(held)
-                held = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+                held = (np.empty(0, np.uint64), np.empty(0, np.int64))
         if len(held[0]):
             yield out(held)
         settle()
 
     def keep_words(shard, data):
-        parts = [_unpack(d, np.uint64, np.uint32) for d in data if d is not None]
+        parts = [_unpack(d, np.uint64, np.int64) for d in data if d is not None]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts] or [np.empty(0, np.uint64)])
-        times = np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint32)]).astype(np.int64)
+        times = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)])
         keys, times = _merged(keys, times)
-        kept = np.minimum(times, 0xFFFFFFFF)
-        kind = _class(kept)
+        kind = _class(times)
         order = np.argsort(kind, kind="stable")
         sizes = np.bincount(kind, minlength=len(CLASSES) + 1)
         rank = np.empty(len(keys), np.uint32)
         rank[order] = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         put(f"{uri}/hash-{shard}", keys)
-        put(f"{uri}/count-{shard}", kept.astype(np.uint32))
+        _put_counts(f"{uri}/count-{shard}", times, np.uint32)
         put(f"{uri}/rank-{shard}", rank)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([int(times.sum())], pa.int64())], names=["shard", "sizes", "tokens"])
 
@@ -459,7 +459,7 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
             order = np.argsort(key)
             key = key[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(first, len(key))).astype(np.uint32)
+            n = np.diff(np.append(first, len(key)))
             order = order[first]
             held.append((u[order], v[order], w[order], n))
             size += len(n)
@@ -471,8 +471,8 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         settle()
 
     def keep_triples(shard, data):
-        parts = [_unpack(d, kind, kind, kind, np.uint32) for d in data if d is not None]
-        empty = (np.empty(0, kind),) * 3 + (np.empty(0, np.uint32),)
+        parts = [_unpack(d, kind, kind, kind, np.int64) for d in data if d is not None]
+        empty = (np.empty(0, kind),) * 3 + (np.empty(0, np.int64),)
         u, v, w, n = (np.concatenate(x) for x in zip(empty, *((np.cumsum(p[0], dtype=kind), *p[1:]) for p in parts), strict=True))
         del parts
         pair = _pair(u, v)
@@ -480,7 +480,7 @@ def train(docs: DataFrame, fold: Column, text: str = "text", uri: str | None = N
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        times = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else np.empty(0, np.int64)
+        times = np.add.reduceat(n[order], first) if len(key) else np.empty(0, np.int64)
         order = order[first]
         pair, v, w = pair[order], v[order], w[order]
         _put_keys(f"{uri}/triple-{shard}", key[first], 0)

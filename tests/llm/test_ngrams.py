@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import ngrams
+from folioflow.llm._store import put
 
 
 def brute(train, texts):
@@ -94,3 +95,17 @@ def test_empty(spark):
     assert ngrams.score(df, model, ["doc_id"]).count() == 0
     one = spark.createDataFrame([(1, "x y")], "doc_id long, text string")
     assert ngrams.score(one, model, ["doc_id"]).first()["score"] == 0
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    """Counts of words stay exact past 2 ** 32, at the last number of 32 bits and around it."""
+    uri = f"file://{tmp_path}/model"
+    times = np.array([1, 2**32 - 2, 2**32 - 1, 2**32, 7, 5 * 10**12 + 3], np.int64)
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, len(times)).astype(np.uint64))
+    put(f"{uri}/hash-0", keys)
+    put(f"{uri}/rank-0", np.arange(len(keys), dtype=np.uint32))
+    ngrams._put_counts(f"{uri}/count-0", times, np.uint32)
+    model = ngrams.Model(uri, 1)
+    model.starts = np.zeros((len(ngrams.CLASSES) + 1, 1), np.int64)
+    ids, n = model.ids(np.append(keys, np.uint64(2**64 - 5)))
+    assert n.tolist() == [*times.tolist(), 0] and ids.tolist() == [*range(len(keys)), -1]
