@@ -190,21 +190,31 @@ def test_op8(spark, tables):
     assert all(np.array_equal(model.p[x], again.p[x]) for x in model.p)
 
 
-def test_long_texts_are_learned_from():
-    """A step on a long text moves the parameters as a step on all of its words does."""
+def test_long_texts_are_learned_from(monkeypatch):
+    """A step on long texts, slab by slab, moves every parameter as a step on all their words at once does, gaps and ends included."""
     r = np.random.default_rng(4)
-    doc = r.integers(1, 1 << 27, 9000).astype(np.uint32)
-    a, b = toxicity.Model(2), toxicity.Model(2)
-    short = a.winners(doc)
-    assert len(short) < 500 and np.allclose(a.pooled([doc]), np.maximum(a.pooled([short]), a.pooled([doc])), atol=1e-5) and (a.pooled([short]) >= a.pooled([doc]) - 1e-5).all()
-    a.step([doc], np.array([1.0], np.float32), {}, 1, 0.01)
-    long, toxicity.LONG = toxicity.LONG, 1 << 30
-    try:
-        b.step([doc], np.array([1.0], np.float32), {}, 1, 0.01)
-    finally:
-        toxicity.LONG = long
-    same = [float(np.mean(np.sign(a.p[x] - toxicity.Model(2).p[x]) == np.sign(b.p[x] - toxicity.Model(2).p[x]))) for x in ("conv", "out")]
-    assert min(same) > 0.9
+    docs = [r.integers(1, 1 << 27, n).astype(np.uint32) for n in (9000, 0, 1, 2, 300)]
+    y = np.array([1, 0, 1, 0, 1], np.float32)
+    models = []
+    for slab in (97, 1 << 20):
+        monkeypatch.setattr(toxicity, "SLAB", slab)
+        m, state = toxicity.Model(2), {}
+        m.p["bias"] += 0.3  # lets filters through
+        for t in (1, 2, 3):
+            m.step(docs, y, state, t, 0.01)
+        models.append(m)
+    for x in models[0].p:
+        assert np.abs(models[0].p[x] - models[1].p[x]).max() < 1e-6
+    # the largest responses are those of every window that begins in the text, by the definition
+    m = toxicity.Model(3)
+    for d in docs:
+        top, at = m.winners(d)
+        e = np.vstack([m.embed(d), np.zeros((2, toxicity.DIM), np.float32)])
+        for k, w in enumerate(toxicity.WIDTHS):
+            every = sum(e[j : j + len(d)] @ m.p["conv"][toxicity._PARTS.index((w, j))] for j in range(w))
+            own = slice(k * toxicity.FILTERS, (k + 1) * toxicity.FILTERS)
+            assert np.allclose(top[own], every.max(axis=0, initial=-np.inf), atol=1e-5)
+            assert not len(d) or np.allclose(every[at[own], np.arange(toxicity.FILTERS)], top[own], atol=1e-5)
 
 
 def test_op9(spark, tables):
