@@ -23,7 +23,7 @@ from ._store import written
 from ._text import column_bytes, settle
 
 #: Bytes of text in a block, unless a single text has more.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: The byte of a boundary: no UTF-8 text has it, and it sorts behind all that do.
 EDGE = b"\xff"
 
@@ -54,6 +54,17 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def classes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some numbers: a place of each distinct one in ascending order, which of them stands at each place, and how often each does."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(keys) else np.empty(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), counts)
+    return order[first], inverse, counts
+
+
 def squeezed(words: list[bytes]) -> bytes:
     """Words without blanks, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(b" ".join(words))
@@ -77,13 +88,13 @@ def numbered(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 
 
 def token_blocks(df: DataFrame, cut: Callable[[bytes], bytes], path: str, text: str = "text", group: str | None = None, keys: list[str] | None = None, size: int = BLOCK_BYTES) -> DataFrame:
-    """The written table (block, group, keys, vocabulary, tokens) of ``df``'s texts.
+    """The written table (block, group, words, keys, vocabulary, tokens) of ``df``'s texts; words is their number.
 
     cut makes of a text its words, parted by blanks, and boundaries of its own. group: a string column whose
     values don't share a block's row. keys: columns that are kept, an array with one element for each text."""
     kept = [T.StructField(c, df.schema[c].dataType) for c in keys or []]
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("group", T.StringType()),
+        T.StructField("block", T.LongType()), T.StructField("group", T.StringType()), T.StructField("words", T.LongType()),
         *([T.StructField("keys", T.ArrayType(T.StructType(kept)))] if kept else []),
         T.StructField("vocabulary", T.BinaryType()), T.StructField("tokens", T.BinaryType()),
     ])
@@ -100,7 +111,7 @@ def token_blocks(df: DataFrame, cut: Callable[[bytes], bytes], path: str, text:
             nonlocal count
             for g in sorted(texts, key=str):
                 words, ids = numbered((b" \xff ".join(texts[g]) + b" \xff").split())
-                columns = [pa.array([(task << 24) + count], pa.int64()), pa.array([g], pa.string())]
+                columns = [pa.array([(task << 24) + count], pa.int64()), pa.array([g], pa.string()), pa.array([int((ids < len(words)).sum())], pa.int64())]
                 if kept:
                     flat = pa.concat_arrays(given[g])
                     columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat).cast(arrow.field("keys").type))

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._store import work_dir, written
 from ._text import alnum_words, settle
-from .blocks import packed, squeezed, token_blocks, unpacked, words_of
+from .blocks import classes, packed, squeezed, token_blocks, unpacked, words_of
 
 #: Words of an n-gram at most.
 MOST = 3
@@ -42,21 +42,16 @@ def _cut(text: bytes) -> bytes:
 
 
 def grams(ids: np.ndarray, edge: int, most: int = MOST):
-    """For each length: the distinct n-grams as columns of word numbers, sorted; where n-grams start; the distinct one there."""
+    """For each length: the distinct n-grams as columns of word numbers, sorted; where n-grams start; the distinct one there; their counts."""
     inside = ids != edge
     starts = np.flatnonzero(inside)
-    inverse_of = np.zeros(len(ids), np.int64)
+    which = np.zeros(len(ids), np.int64)
     for n in range(1, most + 1):
-        if n == 1:
-            keys, first, inverse = np.unique(ids[starts], return_index=True, return_inverse=True)
-            columns = keys[None, :]
-        else:
+        if n > 1:
             starts = starts[inside[starts + n - 1]]  # a boundary stands behind every text, so this is inside the array
-            keys, first, inverse = np.unique(inverse_of[starts] << 32 | ids[starts + n - 1], return_index=True, return_inverse=True)
-            columns = ids[starts[first][None, :] + np.arange(n)[:, None]]
-        inverse_of[starts] = inverse
-        yield columns, starts, inverse
-        # an n-gram of the next length starts where one of this length does, so starts only shrink
+        some, inverse, counts = classes(which[starts] << 32 | ids[starts + n - 1])
+        yield ids[starts[some][None, :] + np.arange(n)[:, None]], starts, inverse, counts
+        which[starts] = inverse  # n-grams of the next length start where some of these do
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -72,6 +67,44 @@ def _dealt(columns: np.ndarray, digests: np.ndarray, shards: int) -> np.ndarray:
     return ((mix >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
 
+def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by their shards, else as they stand, and where each shard's begin."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+#: Bytes of strings that are hashed side by side; longer ones are hashed one by one.
+SIDE_BY_SIDE = 96
+
+
+def crc32_of(strings: pa.Array) -> np.ndarray:
+    """zlib's crc32 of each string, a byte of all strings at a time."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    size = np.diff(ends)
+    out = np.empty(len(strings), np.int64)
+    for k in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
+        out[k] = zlib.crc32(raw[ends[k] : ends[k + 1]])
+    short = np.flatnonzero(size <= SIDE_BY_SIDE)
+    order = short[np.argsort(-size[short], kind="stable")]
+    start, longer = ends[order], size[order]
+    crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for k in range(int(longer.max(initial=0))):
+        n = np.searchsorted(-longer, -k)  # strings with a byte there: longer than k
+        crc[:n] = _CRC[(crc[:n] ^ raw[start[:n] + k]) & np.uint32(255)] ^ crc[:n] >> np.uint32(8)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
+
+
 def _digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.adler32(w) << 32 | zlib.crc32(w) for w in words), np.uint64, len(words))
 
@@ -95,18 +128,22 @@ def _sent(blocks: DataFrame, shards: int) -> DataFrame:
                 if not words:
                     continue
                 digests, parts = _digests(words), []
-                for columns, _, inverse in grams(ids, len(words)):
-                    shard = _dealt(columns, digests, shards)
-                    order = np.argsort(shard, kind="stable")
-                    parts.append((columns, np.bincount(inverse, minlength=columns.shape[1]), order, np.searchsorted(shard[order], np.arange(shards + 1))))
+                for columns, _, _, counts in grams(ids, len(words)):
+                    order, cut = _by_shard(_dealt(columns, digests, shards), shards)
+                    parts.append((columns, counts, order, cut))
+                place = np.empty(len(words), np.int64)
                 for s in range(shards):
                     own = [(c[:, o[e[s] : e[s + 1]]], n[o[e[s] : e[s + 1]]]) for c, n, o, e in parts]
-                    used = np.unique(np.concatenate([c.reshape(-1) for c, _ in own]))
+                    used = np.zeros(len(words), bool)
+                    for c, _ in own:
+                        used[c] = True
+                    used = np.flatnonzero(used)
                     if not len(used):
                         continue
+                    place[used] = np.arange(len(used))
                     out = []
                     for c, n in own:
-                        c = np.searchsorted(used, c)
+                        c = place[c]
                         out += [np.diff(c[0], prepend=0), *c[1:], n - 1]
                     some = squeezed([words[k] for k in used.tolist()])
                     blob = len(some).to_bytes(8, "little") + some + packed(*out)
@@ -139,7 +176,7 @@ def _dictionary(sent: DataFrame, buckets: int) -> DataFrame:
         found = [_received(b.as_py()) for b in table.column("blob")]
         entries = pa.chunked_array([s for s, _ in found], pa.binary()).combine_chunks()
         entries = (entries if isinstance(entries, pa.Array) else entries.chunk(0)).dictionary_encode()
-        hashed = np.fromiter((zlib.crc32(s) for s in entries.dictionary.to_pylist()), np.int64, len(entries.dictionary)) % buckets
+        hashed = crc32_of(entries.dictionary) % buckets  # each distinct string once
         place, at, sums = entries.indices.to_numpy(), 0, {"documents": np.zeros(buckets, np.int64), "target": np.zeros(buckets, np.int64)}
         n_entries = {side: np.zeros(len(hashed), np.int64) for side in sums}
         replies = []
@@ -204,17 +241,15 @@ def _weights(blocks: DataFrame, dictionary: DataFrame, shards: int, gain: np.nda
         replies = {s.as_py(): unpacked(b.as_py())[0] for s, b in zip(right.column("shard"), right.column("blob"), strict=True)}
         taken = dict.fromkeys(replies, 0)
         digests = _digests(words)
-        for columns, starts, inverse in grams(ids, len(words)) if words else ():
-            shard = _dealt(columns, digests, shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+        for columns, starts, inverse, _ in grams(ids, len(words)) if words else ():
+            order, cut = _by_shard(_dealt(columns, digests, shards), shards)
             bucket = np.empty(columns.shape[1], np.int64)
-            for s in np.unique(shard).tolist():
-                own = order[edges[s] : edges[s + 1]]
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                own = order[cut[s] : cut[s + 1]]
                 bucket[own] = replies[s][taken[s] : taken[s] + len(own)]
                 taken[s] += len(own)
             n_features += np.bincount(doc[starts], minlength=len(ends))
-            np.add.at(weight, doc[starts], gain[bucket[inverse]])
+            np.add.at(weight, doc[starts], gain[bucket][inverse])
         settle()
         return pa.table([*(given.field(c) for c in keys), pa.array(n_words), pa.array(n_features), pa.array(weight)], schema=arrow)
 
@@ -231,8 +266,8 @@ def feature_weights(docs: DataFrame, target: DataFrame, keys: list[str], buckets
     own = [docs.select(*keys, "text").withColumn("_side", F.lit("documents"))]
     own.append(target.select(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keys), "text").withColumn("_side", F.lit("target")))
     blocks = token_blocks(own[0].unionByName(own[1]), _cut, f"{path}/blocks", group="_side", keys=keys)
-    tokens = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0  # a word takes some two bytes there
-    shards = max(spark.sparkContext.defaultParallelism, tokens // (2 * shard_words) + 1)
+    words = blocks.agg(F.sum("words")).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, words // shard_words + 1)
     dictionary = written(_dictionary(_sent(blocks, shards), buckets), f"{path}/dictionary")
     return written(_weights(blocks, dictionary, shards, gains(_bucket_sums(dictionary), buckets), keys), f"{path}/weights")
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import blocks, importance, queries
@@ -88,3 +89,10 @@ def test_packing():
     arrays = [r.integers(0, 1 << int(b), n) for b, n in ((1, 5), (9, 0), (33, 7), (62, 3))] + [np.zeros(4, np.int64)]
     assert [a.tolist() for a in blocks.unpacked(blocks.packed(*arrays))] == [a.tolist() for a in arrays]
     assert blocks.words_of(blocks.squeezed([b"a", b"\xc3\xa9"])) == [b"a", b"\xc3\xa9"]
+
+
+def test_crc_side_by_side():
+    r = random.Random(4)
+    some = [r.randbytes(r.choice([0, 1, 2, 5, 30, 95, 96, 97, 400])) for _ in range(300)] + [b""]
+    found = importance.crc32_of(pa.array(some, pa.binary()).slice(3))
+    assert found.tolist() == [zlib.crc32(x) for x in some[3:]]
