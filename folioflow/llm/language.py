@@ -128,15 +128,16 @@ def fit(docs: DataFrame, n_words: int = WORDS, n_grams: int = GRAMS) -> Model:
     whole = counts.select("lang", F.lit(0).alias("size"), "n").unionByName(pieces.select("lang", "size", "n"))
     sums = {(r["lang"], r["size"]): (r["n"], r["v"]) for r in whole.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     # bounded by the number of languages and the two parameters
-    rows = sorted(kept.unionByName(pieces.join(best, ["size", "x"])).select("size", "x", "lang", "n").collect())
-    places, counted = {n: {} for n in (0, *SIZES)}, []
-    for size, x, lang, n in rows:
-        if x not in places[size]:
-            places[size][x] = len(counted)
-            counted.append((size, np.zeros(len(langs))))
-        counted[places[size][x]][1][langs.index(lang)] = n
-    values = np.array([c for _, c in counted], float).reshape(len(counted), len(langs))
-    total = np.array([[sums.get((lang, size), (0, 0)) for lang in langs] for size, _ in counted], float).reshape(len(counted), len(langs), 2)
+    rows = kept.unionByName(pieces.join(best, ["size", "x"])).select("size", "x", "lang", "n").toArrow()
+    places, sizes = {n: {} for n in (0, *SIZES)}, []
+    row = np.empty(rows.num_rows, np.int64)
+    for k, (size, x) in enumerate(zip(rows["size"].to_pylist(), rows["x"].to_pylist(), strict=True)):
+        row[k] = places[size].setdefault(x, len(sizes))
+        if row[k] == len(sizes):
+            sizes.append(size)
+    values = np.zeros((len(sizes), len(langs)))
+    values[row, np.searchsorted(np.array(langs, object), np.array(rows["lang"].to_pylist(), object)) if langs else row] = rows["n"].to_numpy()
+    total = np.array([[sums.get((lang, size), (0, 0)) for lang in langs] for size in sizes], float).reshape(len(sizes), len(langs), 2)
     return Model(langs, places, np.log((values + 0.5) / (total[:, :, 0] + 0.5 * (total[:, :, 1] + 1))))
 
 
