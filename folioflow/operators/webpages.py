@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import pairwise, takewhile
+from urllib.parse import urlencode, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -111,10 +113,16 @@ def meta_record(page: Page) -> dict[str, str]:
     return out
 
 
-def _labelled(text: str, label: str, *followers: str) -> str | None:
-    """What stands between a label and the first of the labels that follow it."""
-    m = re.search(rf"{label}:\s?(.*?)\s?(?:{'|'.join(rf'{f}:' for f in followers)})" if followers else rf"{label}:\s(.*)", text)
-    return m[1].strip() if m else None
+def sections(text: str, labels: tuple[str, ...]) -> dict[str, str]:
+    """The text behind each label and its colon, up to whichever label of the list comes next."""
+    places = sorted((at, label) for label in labels if (at := text.find(f"{label}:")) >= 0)
+    ends = [at for at, _ in places[1:]] + [len(text)]
+    return {label: text[at + len(label) + 1 : end].strip() for (at, label), end in zip(places, ends, strict=False)}
+
+
+def _number(text: str | None) -> str | None:
+    """The digits that a text begins with."""
+    return "".join(takewhile(str.isdigit, (text or "").strip())) or None
 
 
 def citation_parts(text: str) -> dict[str, str]:
@@ -144,67 +152,60 @@ def lancet(page: Page, url: str) -> dict:
     return out | {"abstract": " ".join(page.texts("div", "class", "ja50-ce-abstract-section"))}
 
 
+#: Labels in a table of contents. Fixed values.
+TOC_LABELS = ("Title", "Author(s)", "Journal", "Book Series", "Year", "Volume", "Issue", "Page", "ISSN", "DOI", "Chapter URL", "Article URL", "Publisher")
+
+
 def emerald(page: Page, url: str) -> dict:
-    toc = " ".join(page.texts("div", "class", "toc")[:1])
-    series = _labelled(toc, r"Book\sSeries", "Year")
-    names = _labelled(toc, r"Author\(s\)", "Journal", r"Book\sSeries") or ""
-    pages = re.search(r"Page:\s?(\d+)\s?-\s?(\d+)", toc)
-    number = lambda label: m[1] if (m := re.search(rf"{label}:\s?(\d+)", toc)) else None
-    body = " ".join(page.texts("div", "id", "centerLeft")[:1])
-    abstract = re.search(r"Abstract:\s(.*?)(?:Keywords:\s|Top.\sEmerald\sGroup\sPublishing\sLimited|$)", body)
+    """Everything stands behind a label; pages that name a book series are chapters."""
+    toc = sections(" ".join(page.texts("div", "class", "toc")[:1]), TOC_LABELS)
+    body = sections(" ".join(page.texts("div", "id", "centerLeft")[:1]), ("Abstract", "Keywords", "Article Type"))
+    ends = [_number(x) for x in toc.get("Page", "").split("-")]
+    same = {"title": "Title", "journal": "Journal", "series": "Book Series", "issn": "ISSN", "doi": "DOI", "publisher": "Publisher"}
     return {
-        "pubtype": "INBOOK" if series else "ARTICLE",
-        "title": _labelled(toc, "Title", r"Author\(s\)"),
-        "authors": people(names.split(",")),
-        "journal": _labelled(toc, "Journal", "Year"),
-        "series": series,
-        "year": number("Year"),
-        "volume": number("Volume"),
-        "issue": number("Issue"),
-        "pages": f"{pages[1]}-{pages[2]}" if pages else None,
-        "issn": m[1] if (m := re.search(r"ISSN:\s?([\d-]+)", toc)) else None,
-        "doi": _labelled(toc, "DOI", r"Chapter\sURL", "Publisher"),
-        "publisher": _labelled(toc, "Publisher"),
-        "abstract": abstract[1].strip() if abstract else None,
+        "pubtype": "INBOOK" if toc.get("Book Series") else "ARTICLE",
+        "authors": people(toc.get("Author(s)", "").split(",")),
+        "pages": "-".join(ends) if len(ends) == 2 and all(ends) else None,
+        "abstract": body.get("Abstract", "").partition("Top of page")[0].strip(),
+        **{name: _number(toc.get(name.title())) for name in ("year", "volume", "issue")},
+        **{name: toc.get(label) for name, label in same.items()},
     }
 
 
 def dovepress(page: Page, url: str) -> dict:
-    at = next((k for k, e in enumerate(page.elements) if e.tag == "span" and e.attrs.get("class") == "allowEm"), len(page.elements))
-    body = page.elements[at:]
-    first = lambda tag: next((e.text for e in body if e.tag == tag), "")
-    paragraphs = [e.text for e in body if e.tag == "p"]
-    abstract = []
-    for p in paragraphs[2:]:
-        if p.startswith("Keywords"):
-            break
-        abstract.append(p)
-    out = {"pubtype": "ARTICLE", "title": first("h1"), "authors": people(re.sub(r"\d", "", paragraphs[0]).split(",")) if paragraphs else "", "abstract": "\n".join(abstract)}
-    if m := re.search(r"Volume\s(\d+):(\d+)", first("h3")):
-        out |= {"year": m[1], "volume": m[2]}
-    if m := re.search(r"Journal:\s(.*)", " ".join(page.texts("div", "id", "breadcrumb")[:1])):
-        out["journal"] = m[1]
-    return out
+    """Below the heading stand the names, their places and then the abstract, a paragraph each, up to the keywords."""
+    heading = next((k for k, e in enumerate(page.elements) if e.tag == "h1"), len(page.elements))
+    below = (e.text for e in page.elements[heading:] if e.tag == "p")
+    names, _places = next(below, ""), next(below, "")
+    out = {"pubtype": "ARTICLE", "title": " ".join(page.texts("h1")[:1]), "abstract": "\n".join(takewhile(lambda p: not p.startswith("Keywords"), below))}
+    out["authors"] = people("".join(c for c in names if not c.isdigit()).split(","))  # digits are marks of places
+    for line in page.texts("h3"):
+        label, _, numbers = line.partition(" ")
+        year, _, volume = numbers.partition(":")
+        if label == "Volume" and year.isdigit():
+            out |= {"year": year, "volume": _number(volume)}
+    return out | {"journal": sections(" ".join(page.texts("div", "id", "breadcrumb")[:1]), ("Journal",)).get("Journal")}
 
 
 def google_books(page: Page, url: str) -> dict:
-    labels, values = page.texts("td", "class", "metadata_label"), page.texts("td", "class", "metadata_value")
-    info = dict(zip(labels, values, strict=True)) if len(labels) == len(values) else {}
-    publisher = re.fullmatch(r"(.*),\s(\d+)", info.get("Publisher", ""))
-    pages = re.search(r"(\d+)\spages", info.get("Length", ""))
-    return {
-        "pubtype": "BOOK",
-        "title": info.get("Title"),
-        "authors": people(info.get("Authors", "").split(",")),
-        "editors": people(info.get("Editors", "").split(",")),
-        "publisher": publisher[1] if publisher else None,
-        "year": publisher[2] if publisher else None,
-        "isbn": info.get("ISBN", "").rpartition(", ")[0] or info.get("ISBN"),
-        "pages": pages[1] if pages else None,
-        "abstract": " ".join(page.texts("div", "id", "synopsistext")[:1]),
-        "url": url,
-        "linkout": url,
-    }
+    """A table of labels, each with the value in the next cell."""
+    info, label = {}, None
+    for e in page.elements:
+        if e.tag == "td" and e.attrs.get("class") == "metadata_label":
+            label = e.text
+        elif e.tag == "td" and e.attrs.get("class") == "metadata_value" and label:
+            info.setdefault(label, e.text)
+            label = None
+    out = {"pubtype": "BOOK", "title": info.get("Title"), "url": url, "linkout": url, "abstract": " ".join(page.texts("div", "id", "synopsistext")[:1])}
+    for name in ("authors", "editors"):
+        out[name] = people(info.get(name.title(), "").split(","))
+    house, _, year = info.get("Publisher", "").rpartition(", ")
+    if year.isdigit():
+        out |= {"publisher": house, "year": year}
+    count, _, unit = info.get("Length", "").partition(" ")
+    if unit.startswith("page"):
+        out["pages"] = _number(count)
+    return out | {"isbn": info.get("ISBN", "").split(",")[0]}
 
 
 def science_direct(page: Page, url: str) -> dict:
@@ -232,11 +233,10 @@ def nature(page: Page, url: str) -> dict | None:
     return out
 
 
-def landes(page: Page, url: str, html: str = "") -> dict:
-    out = meta_record(page)
-    if m := re.search(r"<b>DOI:\s(10\.\d{4}/[^<]+)</b>", html):
-        out["doi"] = m[1]
-    return out
+def landes(page: Page, url: str) -> dict:
+    """The meta tags, and the identifier that stands in bold behind its label."""
+    bold = [sections(t, ("DOI",)).get("DOI", "") for t in page.texts("b")]
+    return meta_record(page) | {"doi": x for x in bold if x.startswith("10.")}
 
 
 def ieee(page: Page, url: str) -> dict:
@@ -277,11 +277,14 @@ def iop(page: Page, url: str) -> dict:
 
 
 def la_press(page: Page, url: str) -> dict:
-    """The listing's last line has the volume and the pages, which the export gives less well."""
+    """The listing's last line has year and volume with a colon between them, then the pages; the export gives them less well."""
     out = meta_record(page)
-    lines = page.texts("div", "class", "journalListingAuthor")
-    if lines and (m := re.search(r"\d{4}:(?P<volume>\d+)\s(?P<pages>\d+-\d+)", lines[-1])):
-        out |= m.groupdict()
+    words = " ".join(page.texts("div", "class", "journalListingAuthor")[-1:]).split()
+    for dated, pages in pairwise(words):
+        year, colon, volume = dated.partition(":")
+        first, dash, last = pages.partition("-")
+        if colon and dash and len(year) == 4 and all(map(str.isdigit, (year, volume, first, last))):
+            out |= {"volume": volume, "pages": pages}
     return out
 
 
@@ -300,21 +303,29 @@ def _link(page: Page, wanted: str) -> str | None:
     return next((e.attrs["href"] for e in page.elements if e.tag == "a" and wanted in e.attrs.get("href", "")), None)
 
 
+#: What an article's export is asked for at one site. Fixed values.
+IOP_EXPORT = {"exportFormat": "iopexport_bib", "exportType": "abs"}
+
+
 def export_address(page: Page, url: str) -> str | None:
     """Where a page's site gives its record as BibTeX or RIS text."""
-    if m := re.match(r"(.*iop\.org/)([\w/-]+)", url):
-        return f"{m[1]}export?articleId={m[2].rstrip('/')}&exportFormat=iopexport_bib&exportType=abs"
-    if "la-press.com" in url:
+    at = urlsplit(url)
+    host, article = at.hostname or "", at.path.strip("/")
+    of = lambda site: host == site or host.endswith(f".{site}")
+    if of("iop.org"):
+        asked = urlencode({"articleId": article} | IOP_EXPORT, safe="/")
+        return urlunsplit((at.scheme, at.netloc, "/export", asked, "")) if article else None
+    if of("la-press.com"):
         found = [e.attrs.get("href", "") for e in page.elements if e.tag == "a" and e.attrs.get("class") == "endnote"]
-        return f"http://la-press.com/{found[0].lstrip('/')}" if found else None
-    if "onlinelibrary.wiley.com" in url:
-        found = _link(page, "/documentcitationdownload")
-        return f"http://onlinelibrary.wiley.com{found[found.index('/documentcitationdownload'):]}" if found else None
-    if "books.google." in url:
-        return _link(page, "output=bibtex")
-    if "sciencedirect.com" in url or "lww.com" in url:
-        return _link(page, "export") or _link(page, "Export")
-    return None
+    elif of("onlinelibrary.wiley.com"):
+        found = [_link(page, "/documentcitationdownload")]
+    elif host.startswith("books.google."):
+        found = [_link(page, "output=bibtex")]
+    elif of("sciencedirect.com") or of("lww.com"):
+        found = [_link(page, "export") or _link(page, "Export")]
+    else:
+        found = []
+    return urljoin(url, found[0]) if found and found[0] else None
 
 
 def frame_addresses(page: Page) -> list[str]:
