@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plugins import REGISTRY, register
 
@@ -190,10 +191,38 @@ def box_text(value: Column) -> Column:
     return F.format_string("%.2f", value)
 
 
-def words_to_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """A word table (doc, page, word, xmin, xmax, ymin, size) as lines: words of one size whose tops agree."""
-    row = F.round(F.col("ymin") / tolerance).cast("long")
-    lines = words.groupBy("doc", "page", row.alias("_row"), F.col("size").alias("fs")).agg(
+#: Units between the tops of words of one line at most; between columns, and between blocks, at least.
+TOPS, GUTTER, LEADING = 2.0, 20.0, 18.0
+
+
+def _segments(words: DataFrame, within: list, low: Column, high: Column, gap: float, name: str) -> DataFrame:
+    """Numbers the groups that white space of more than ``gap`` leaves along one axis: sorted by their beginnings,
+    a word begins a group if it begins that far behind the end of all before it."""
+    before = Window.partitionBy(*within).orderBy(low, high, "word").rowsBetween(Window.unboundedPreceding, -1)
+    marked = words.withColumn("_new", F.coalesce((low - F.max(high).over(before) > gap).cast("int"), F.lit(0)))
+    upto = Window.partitionBy(*within).orderBy(low, high, "word").rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn(name, F.sum("_new").over(upto)).drop("_new")
+
+
+def reading_order(words: DataFrame, rounds: int = 2, gutter: float = GUTTER, leading: float = LEADING) -> DataFrame:
+    """A word table with ``block``, an array by which its blocks sort as they are read.
+
+    Pages are cut along white space that crosses them: into bands above each other, each band into columns, each column
+    into bands again, and so on for some rounds. Windows never leave a page."""
+    out, cuts = words, []
+    for k in range(rounds):
+        for axis, low, high, gap in (("band", F.col("ymin"), F.col("ymin"), leading), ("column", F.col("xmin"), F.col("xmax"), gutter)):
+            name = f"_{axis}_{k}"
+            out = _segments(out, ["doc", "page", *cuts], low, high, gap, name)
+            cuts.append(name)
+    return out.withColumn("block", F.array(*cuts)).drop(*cuts)
+
+
+def words_to_lines(words: DataFrame, tolerance: float = TOPS, by: tuple[str, ...] = ()) -> DataFrame:
+    """A word table (doc, page, word, xmin, xmax, ymin, size) as lines: words of one size, each top
+    within ``tolerance`` of the one above it. by: more columns that a line's words share, such as ``block``."""
+    within = ["doc", "page", "size", *by]
+    lines = _segments(words, within, F.col("ymin"), F.col("ymin"), tolerance, "_line").groupBy(*within, "_line").agg(
         F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY xmin)").alias("content"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin")
     )
-    return lines.drop("_row")
+    return lines.withColumnRenamed("size", "fs").drop("_line")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .matching import uniquified
+
 
 def members(publications: DataFrame, bridge: DataFrame, collection: str, inside: bool = True) -> DataFrame:
     """Publications in a collection, or those outside."""
@@ -27,12 +29,27 @@ def with_attachments(publications: DataFrame, attachments: DataFrame) -> DataFra
     return publications.join(per, "guid", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
 
 
-def insert(table: DataFrame, new: DataFrame, unique: list[str]) -> DataFrame:
-    """The table and those new rows whose unique columns clash with no old row and no earlier new one."""
+def whole_row(df: DataFrame) -> Column:
+    """A text of all columns: an order of rows in which only equal ones tie."""
+    return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+
+
+def insert(table: DataFrame, new: DataFrame, unique: list[str], order: list | None = None) -> DataFrame:
+    """The table and those new rows whose unique columns clash with no old row and no earlier new one.
+
+    New rows that clash with old ones are gone first. Of the others, one stays if it is the first of its value in every unique
+    column, in the given order, or else in that of whole rows; nulls clash with nothing."""
     fresh = new
     for c in unique:
-        fresh = fresh.dropDuplicates([c]).join(table.select(c), c, "left_anti")
-    return table.unionByName(fresh, allowMissingColumns=True)
+        fresh = fresh.join(table.select(c).distinct(), c, "left_anti")
+    fresh = fresh.select(*new.columns)
+    order = order or [whole_row(new)]
+    places = [f"_place_{k}" for k in range(len(unique))]
+    first = F.lit(True)
+    for c, place in zip(unique, places, strict=True):
+        fresh = fresh.withColumn(place, F.when(F.col(c).isNull(), 1).otherwise(F.row_number().over(Window.partitionBy(c).orderBy(*order))))
+        first = first & (F.col(place) == 1)
+    return table.unionByName(fresh.where(first).drop(*places), allowMissingColumns=True)
 
 
 def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -47,9 +64,12 @@ def update(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -
     return out.select(*table.columns)
 
 
-def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Replaces rows with equal keys and adds the others; the new table has one row of a key."""
-    return table.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(table: DataFrame, new: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """Replaces rows with equal keys and adds the others; the new table has one row of a key.
+
+    Of new rows with one key the first in the given order stays, or else in that of whole rows; rows without a key are left out."""
+    some = uniquified(new.where(F.col(key).isNotNull()), [key], order or [whole_row(new)])
+    return table.join(some.select(key), key, "left_anti").select(*table.columns).unionByName(some)
 
 
 def set_trash(publications: DataFrame, keys: DataFrame, trashed: bool) -> DataFrame:

@@ -1,7 +1,7 @@
 """Library files of other programs: SQLite files as rows, and records from them.
 
 A file's bytes are opened in memory on the executor that has them, so any store that Spark reads will do and
-nothing is written. Statements return rows; joins, paths and folding happen in Spark.
+each file is opened once: its tables become rows of one work table, and all joins, paths and folding are Spark's.
 """
 
 from __future__ import annotations
@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import written
 from .detect import LIBRARIES, is_sqlite, library_format
 from .readers import binary_files, folder_paths
 from .records import FIELDS, PUBLICATION, with_fields
 
 #: Rows that go on at once.
 ROWS = 10_000
+#: What stands for the list of a file's tables.
+NAMES = "*"
 
 
 def _opened(content: bytes) -> sqlite3.Connection:
@@ -28,34 +31,74 @@ def _opened(content: bytes) -> sqlite3.Connection:
     return db
 
 
-def sqlite_rows(files: DataFrame, statement: str, columns: list[str], needs: tuple[str, ...] = ()) -> DataFrame:
-    """path and the statement's columns, as strings, of each file (path, content) that has the tables ``needs``."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("path", *columns)])
+def _text(value) -> str | None:
+    return value.decode("utf-8", "replace") if isinstance(value, bytes) else None if value is None else str(value)
 
-    def text(value):
-        return value.decode("utf-8", "replace") if isinstance(value, bytes) else None if value is None else str(value)
+
+_ROW = T.StructType([T.StructField("path", T.StringType()), T.StructField("table", T.StringType()), T.StructField("row", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
+
+
+def sqlite_rows(files: DataFrame, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """path, table and row (column to text) of the SQLite files among ``files`` (path, content), each opened once.
+
+    wanted: columns by table; a table or column that a file lacks is absent from its rows, and one more row, of the table NAMES, has
+    the names of all its tables. Without ``wanted``, each table gives one row without columns. A file that can't be read gives one row with its ``error`` beside what could be read before."""
 
     def run(batches):
+        kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW.names)
+
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                db = _opened(content)
+                db = None
                 try:
+                    db = _opened(content)
                     have = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-                    if not have.issuperset(needs):
+                    if wanted is None:
+                        if have:
+                            yield batch_of([(path, name, [], None) for name in sorted(have)])
                         continue
-                    found = db.execute(statement)
-                    while rows := found.fetchmany(ROWS):
-                        cols = [[path] * len(rows), *([text(r[k]) for r in rows] for k in range(len(columns)))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", *columns])
+                    yield batch_of([(path, NAMES, [(name, None) for name in sorted(have)], None)])
+                    for table, columns in wanted.items():
+                        if table not in have:
+                            continue
+                        own = {r[1] for r in db.execute(f'PRAGMA table_info("{table}")')}
+                        some = [c for c in columns if c in own]
+                        found = db.execute(f"SELECT {', '.join(some) or '1'} FROM \"{table}\"")
+                        while rows := found.fetchmany(ROWS):
+                            yield batch_of([(path, table, [(c, _text(v)) for c, v in zip(some, r, strict=False)], None) for r in rows])
+                except sqlite3.Error as e:
+                    yield batch_of([(path, None, None, str(e))])
                 finally:
-                    db.close()
+                    if db is not None:
+                        db.close()
 
-    return files.where(is_sqlite(F.col("content"))).select("path", "content").mapInArrow(run, schema)
+    return files.where(is_sqlite(F.col("content"))).select("path", "content").mapInArrow(run, _ROW)
 
 
 def sqlite_tables(files: DataFrame) -> DataFrame:
     """path and name of every table of the files that are SQLite ones."""
-    return sqlite_rows(files, "SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name", ["name"])
+    return sqlite_rows(files).where("error is null").select("path", F.col("table").alias("name"))
+
+
+def read_errors(files: DataFrame) -> DataFrame:
+    """path and error of the files that begin as SQLite ones do but can't be read."""
+    return sqlite_rows(files).where("error is not null").select("path", "error")
+
+
+class Tables:
+    """The tables of all library files of one maker that can be read, from one pass over the files; joins are Spark's."""
+
+    def __init__(self, files: DataFrame, needs: tuple[str, ...], wanted: dict[str, list[str]]):
+        rows = written(sqlite_rows(files, wanted), "library")
+        own = rows.where(F.col("table") == NAMES).where(F.size(F.array_intersect(F.map_keys("row"), F.array(*map(F.lit, needs)))) == len(needs))
+        bad = rows.where("error is not null").select("path")
+        self.rows, self.wanted = rows.join(own.select("path"), "path", "left_semi").join(bad, "path", "left_anti"), wanted
+
+    def __call__(self, table: str) -> DataFrame:
+        return self.rows.where(F.col("table") == table).select("path", *(F.col("row")[c].alias(c) for c in self.wanted[table]))
 
 
 def library_formats(files: DataFrame) -> DataFrame:
@@ -77,25 +120,26 @@ ZOTERO_FIELDS = {
 }
 
 
+#: The tables that are read, with their columns. Fixed values.
+ZOTERO_TABLES = {
+    "items": ["itemID", "itemTypeID"], "itemTypes": ["itemTypeID", "typeName"], "deletedItems": ["itemID"], "itemData": ["itemID", "fieldID", "valueID"], "fields": ["fieldID", "fieldName"], "itemDataValues": ["valueID", "value"],
+    "itemCreators": ["itemID", "creatorID", "creatorTypeID", "orderIndex"], "creatorTypes": ["creatorTypeID", "creatorType"], "creators": ["creatorID", "creatorDataID"], "creatorData": ["creatorDataID", "lastName", "firstName"],
+    "itemNotes": ["sourceItemID", "note"], "collections": ["collectionID", "collectionName", "parentCollectionID"], "collectionItems": ["collectionID", "itemID"],
+}
+
+
 def read_zotero(files: DataFrame) -> DataFrame:
     """path and the fields of each item that is a record; collections as paths in ``folders_tmp``, notes in ``annote``."""
-    needs = LIBRARIES["ZOTERO"]
-    items = sqlite_rows(
-        files,
-        "SELECT i.itemID, t.typeName, f.fieldName, v.value FROM items i JOIN itemTypes t USING (itemTypeID) LEFT JOIN itemData d ON d.itemID = i.itemID "
-        "LEFT JOIN fields f USING (fieldID) LEFT JOIN itemDataValues v USING (valueID) WHERE t.typeName NOT IN ('note', 'attachment') AND i.itemID NOT IN (SELECT itemID FROM deletedItems)",
-        ["item", "kind", "field", "value"],
-        (*needs, "items", "deletedItems"),
-    )
-    people = sqlite_rows(
-        files,
-        "SELECT c.itemID, c.orderIndex, t.creatorType, d.lastName, d.firstName FROM itemCreators c JOIN creatorTypes t USING (creatorTypeID) JOIN creators USING (creatorID) JOIN creatorData d USING (creatorDataID)",
-        ["item", "position", "role", "last", "first"],
-        (*needs, "itemCreators"),
-    )
-    notes = sqlite_rows(files, "SELECT sourceItemID, note FROM itemNotes WHERE sourceItemID IS NOT NULL ORDER BY itemID", ["item", "note"], (*needs, "itemNotes"))
-    folders = sqlite_rows(files, "SELECT collectionID, collectionName, parentCollectionID FROM collections", ["guid", "name", "parent"], (*needs, "collections"))
-    inside = sqlite_rows(files, "SELECT collectionID, itemID FROM collectionItems", ["collection", "item"], (*needs, "collectionItems"))
+    table = Tables(files, (*LIBRARIES["ZOTERO"], "items"), ZOTERO_TABLES)
+    by = lambda c: ["path", c]
+    items = table("items").join(table("itemTypes"), by("itemTypeID")).join(table("deletedItems"), by("itemID"), "left_anti").where(~F.col("typeName").isin("note", "attachment"))
+    data = table("itemData").join(table("fields"), by("fieldID")).join(table("itemDataValues"), by("valueID")).select("path", "itemID", F.col("fieldName").alias("field"), "value")
+    items = items.join(data, by("itemID"), "left").select("path", F.col("itemID").alias("item"), F.col("typeName").alias("kind"), "field", "value")
+    people = table("itemCreators").join(table("creatorTypes"), by("creatorTypeID")).join(table("creators"), by("creatorID")).join(table("creatorData"), by("creatorDataID"))
+    people = people.select("path", F.col("itemID").alias("item"), F.col("orderIndex").alias("position"), F.col("creatorType").alias("role"), F.col("lastName").alias("last"), F.col("firstName").alias("first"))
+    notes = table("itemNotes").where("sourceItemID is not null").select("path", F.col("sourceItemID").alias("item"), "note")
+    folders = table("collections").toDF("path", "guid", "name", "parent")
+    inside = table("collectionItems").toDF("path", "collection", "item")
     value = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
     by_field: dict[str, list] = {}
     for source, target in ZOTERO_FIELDS.items():
@@ -120,46 +164,44 @@ MENDELEY_FIELDS = {"title": "title", "publication": "journal", "volume": "volume
 MENDELEY_NOTED = ("sourceType", "city", "country", "institution", "department", "dateAccessed", "onlyReference", "medium", "genre", "userType")
 
 
-def read_mendeley(files: DataFrame) -> DataFrame:
-    """path and the fields of each document; columns that a record lacks go to ``note``, tags to ``labels``."""
-    needs = (*LIBRARIES["MENDELEY"], "Documents")
+#: The tables that are read beside the documents, with their columns. Fixed values.
+MENDELEY_TABLES = {
+    "DocumentContributors": ["documentId", "id", "contribution", "lastName", "firstNames"], "DocumentUrls": ["documentId", "url"], "DocumentKeywords": ["documentId", "keyword"],
+    "DocumentTags": ["documentId", "tag"], "Folders": ["id", "name", "parentId"], "DocumentFolders": ["folderId", "documentId"],
+}
 
-    def rows(statement: str, columns: list[str], table: str) -> DataFrame:
-        return sqlite_rows(files, statement, columns, (*needs, table))
 
-    schema = rows("SELECT name FROM pragma_table_info('Documents')", ["name"], "Documents")
-    have = {r["name"] for r in schema.select("name").distinct().collect()}  # a program's columns
-    columns = [c for c in (*MENDELEY_FIELDS, *MENDELEY_NOTED) if c in have]
-    docs = rows(f"SELECT id, type, {', '.join(columns)} FROM Documents ORDER BY id", ["item", "kind", *columns], "Documents")
+def read_mendeley(files: DataFrame) -> DataFrame:
+    """path and the fields of each document; columns that a record lacks go to ``note``, tags to ``labels``.
+
+    A column that a program's version doesn't have is null in the records of its files."""
+    columns = [*MENDELEY_FIELDS, *MENDELEY_NOTED]
+    table = Tables(files, (*LIBRARIES["MENDELEY"], "Documents"), MENDELEY_TABLES | {"Documents": ["id", "type", *columns]})
+    docs = table("Documents").withColumnsRenamed({"id": "item", "type": "kind"})
     kind = F.lit(None).cast("string")
     for name, pubtype in MENDELEY_TYPES.items():
         kind = F.when(F.col("kind") == name, F.lit(pubtype)).otherwise(kind)
-    noted = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.format_string('Mendeley field "%s": %s<br />', F.lit(c), F.col(c))) for c in MENDELEY_NOTED if c in have]
-    lines = F.array_join(F.filter(F.array(*noted, F.lit(None).cast("string")), lambda x: x.isNotNull()), "\n")
+    noted = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.format_string('Mendeley field "%s": %s<br />', F.lit(c), F.col(c))) for c in MENDELEY_NOTED]
+    lines = F.array_join(F.filter(F.array(*noted), lambda x: x.isNotNull()), "\n")
     records = docs.select(
-        "path", "item", *(F.nullif(F.col(c), F.lit("")).alias(t) for c, t in MENDELEY_FIELDS.items() if c in have), F.coalesce(kind, F.lit("MISC")).alias("pubtype"),
+        "path", "item", *(F.nullif(F.col(c), F.lit("")).alias(t) for c, t in MENDELEY_FIELDS.items()), F.coalesce(kind, F.lit("MISC")).alias("pubtype"),
         F.when(kind.isNull(), F.col("kind")).alias("howpublished"), F.when(lines != "", F.concat(lines, F.lit("\n"))).alias("note"),
     )
-    people = rows("SELECT documentId, id, contribution, lastName, firstNames FROM DocumentContributors", ["item", "position", "role", "last", "first"], "DocumentContributors")
-    links = rows("SELECT documentId, url FROM DocumentUrls ORDER BY position", ["item", "url"], "DocumentUrls")
-    words = rows("SELECT documentId, keyword FROM DocumentKeywords ORDER BY keyword", ["item", "keyword"], "DocumentKeywords")
-    tags = rows("SELECT documentId, tag FROM DocumentTags ORDER BY tag", ["item", "tag"], "DocumentTags")
-    folders = rows("SELECT id, name, CASE WHEN parentId > 0 THEN parentId END FROM Folders", ["guid", "name", "parent"], "Folders")
-    inside = rows("SELECT folderId, documentId FROM DocumentFolders", ["collection", "item"], "DocumentFolders")
+    people = table("DocumentContributors").toDF("path", "item", "position", "role", "last", "first")
+    folders = table("Folders").select("path", F.col("id").alias("guid"), "name", F.when(F.col("parentId").cast("long") > 0, F.col("parentId")).alias("parent"))
+    inside = table("DocumentFolders").toDF("path", "collection", "item")
+    per = lambda name, column: table(name).withColumnRenamed("documentId", "item").select("path", "item", column)
     out = _with_people(records, people, {"DocumentAuthor": "authors", "DocumentEditor": "editors"})
-    first = links.groupBy("path", "item").agg(F.min("url").alias("linkout"))
-    for more in (first, _joined(words, "keyword", "keywords", ";"), _joined(tags, "tag", "labels", ","), _folders(folders, inside)):
+    first = per("DocumentUrls", "url").groupBy("path", "item").agg(F.min("url").alias("linkout"))
+    for more in (first, _joined(per("DocumentKeywords", "keyword"), "keyword", "keywords", ";"), _joined(per("DocumentTags", "tag"), "tag", "labels", ","), _folders(folders, inside)):
         out = out.join(more, ["path", "item"], "left")
     return _finished(out)
 
 
 def read_native(files: DataFrame) -> DataFrame:
-    """path and the fields of each record of a native library file, with blank citekeys."""
-    needs = LIBRARIES["NATIVE"]
-    schema = sqlite_rows(files, "SELECT name FROM pragma_table_info('Publications')", ["name"], needs)
-    have = {r["name"] for r in schema.select("name").distinct().collect()}  # a program's columns
-    columns = [f for f in FIELDS if f in have and f != "citekey"]
-    found = sqlite_rows(files, f"SELECT {', '.join(columns)} FROM Publications", columns, needs)
+    """path and the fields of each record of a native library file, with blank citekeys; a field that a file lacks is null."""
+    columns = [f for f in FIELDS if f != "citekey"]
+    found = Tables(files, LIBRARIES["NATIVE"], {"Publications": columns})("Publications")
     return with_fields(found.withColumn("citekey", F.lit("")))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identity_sha1, lock_name
 from ..operators import search
+from ..operators.library import whole_row
+from ..operators.matching import uniquified
 from ..plugins import REGISTRY, plugin, register
 from . import readers
 from .records import FileFormatError, with_fields
@@ -113,7 +115,7 @@ class FileSource(Source):
 
 @register("source", "feed")
 class FeedSource(Source):
-    """A feed's files; every item lacks its details until it is matched."""
+    """A feed's files; every item lacks its details until it is matched. Of items with one identity, that whose link sorts first stays."""
 
     order = (("linkout", False), ("title", False))
 
@@ -123,7 +125,8 @@ class FeedSource(Source):
 
     def load(self) -> DataFrame:
         items = with_fields(readers.read_feed(self.spark, self.path))
-        return items.withColumn("sha1", identity_sha1(F.col("authors"), F.col("title"))).dropDuplicates(["sha1"]).persist()
+        items = items.withColumn("sha1", identity_sha1(F.col("authors"), F.col("title")))
+        return uniquified(items, ["sha1"], [F.col("linkout").asc_nulls_last(), whole_row(items)]).persist()
 
     def reload(self) -> int:
         self.cleanup()
@@ -184,11 +187,15 @@ class ProviderSource(Source):
 
 
 def url_match(records: DataFrame, pages: DataFrame) -> DataFrame:
-    """Records with a link, completed from the page there; empty and word-processor links are refused by the reader."""
+    """Records with a link, completed from the page there; empty and word-processor links are refused by the reader.
+
+    Of pages with one address the one with the smallest ``page_id`` counts, or where they have none, the smallest text."""
     from ..operators.matching import merge_record
     from ..operators.webpages import extract_records
 
-    linked = records.where(F.col("linkout").isNotNull()).select(F.col("guid").alias("_key"), F.col("linkout").alias("url")).join(pages.select("url", "html"), "url")
+    order = F.struct(*(c for c in ("page_id", "html") if c in pages.columns))
+    one = pages.where("url is not null and html is not null").groupBy("url").agg(F.min_by("html", order).alias("html"))
+    linked = records.where(F.col("linkout").isNotNull()).select(F.col("guid").alias("_key"), F.col("linkout").alias("url")).join(one, "url")
     found = extract_records(linked, key="_key").where("error is null")
     have = [c for c in records.columns if c in found.columns and c != "guid"]
     return merge_record(records, found.select(F.col("_key").alias("guid"), *have), "guid", have, keep=("guid", "citekey", "sha1"))
