@@ -24,28 +24,31 @@ _NUMBER = re.compile(r"\d+")
 _MACRO = re.compile(r"[A-Za-z_][\w:.+/-]*")
 
 
+#: A line that starts an entry, wherever it stands: one that was not closed ends before it.
+ENTRY_LINE = re.compile(r"[ \t]*@[ \t]*[A-Za-z]+[ \t]*[{(]")
+_STARTS = re.compile(r"(?m)^(?=[ \t]*@[ \t]*[A-Za-z]+[ \t]*[{(])")
+_BRACKETS = re.compile(r"\\.|[{}]", re.S)
+_BRACKETS_OR_ROUND = re.compile(r"\\.|[{})]", re.S)
+
+
 class BadEntry(ValueError):
     pass
 
 
 def _braced(text: str, at: int, close: str = "}") -> int:
     """The place behind the bracket that closes the one at ``at``."""
-    depth, k = 0, at + 1
-    while k < len(text):
-        c = text[k]
-        if c == "\\":
-            k += 2
-            continue
+    depth = 0
+    for m in (_BRACKETS if close == "}" else _BRACKETS_OR_ROUND).finditer(text, at + 1):
+        c = m[0]
         if c == close and depth == 0:
-            return k + 1
+            return m.end()
         depth += (c == "{") - (c == "}")
-        k += 1
     raise BadEntry("no closing bracket")
 
 
 def parse_value(text: str, at: int = 0, macros: dict[str, str] | None = None) -> tuple[str, int]:
     """A value (number, quoted, braced, macro, or several joined by #) and the place behind it."""
-    macros, out = MACROS | (macros or {}), []
+    macros, out = {} if macros is None else macros, []
     while True:
         while at < len(text) and text[at].isspace():
             at += 1
@@ -70,7 +73,8 @@ def parse_value(text: str, at: int = 0, macros: dict[str, str] | None = None) ->
             out.append(m[0])
             end = m.end()
         elif m := _MACRO.match(text, at):
-            out.append(macros.get(m[0].lower(), macros.get(m[0], "")))
+            name = m[0].lower()
+            out.append(macros.get(name, MACROS.get(name, "")))
             end = m.end()
         else:
             raise BadEntry(f"unexpected {text[at]!r}")
@@ -83,9 +87,15 @@ def parse_value(text: str, at: int = 0, macros: dict[str, str] | None = None) ->
             return re.sub(r"\s+", " ", "".join(out)).strip(), at
 
 
-def parse_entries(text: str) -> list[dict]:
-    """Entries as ``{"_type", "_key", "_raw", "parse_ok", fields}``; after a bad one, parsing goes on with the next @."""
-    macros: dict[str, str] = {}
+def parse_entries(text: str, macros: dict[str, str] | None = None) -> list[dict]:
+    """Entries as ``{"_type", "_key", "_raw", "parse_ok", fields}``. An entry ends where its bracket closes, and at the
+    latest before the next line that starts one; behind a bad one, parsing goes on there. macros: those defined before the text."""
+    macros = dict(macros or ())
+    return [e for part in _STARTS.split(text) for e in _part_entries(part, macros) if e["_type"] != "STRING"]
+
+
+def _part_entries(text: str, macros: dict[str, str]) -> list[dict]:
+    """All entries of a text with one line at most that starts some; definitions go to ``macros``."""
     out, at = [], 0
     while m := _ENTRY.search(text, at):
         kind, close = m[1].upper(), "}" if m[2] == "{" else ")"
@@ -112,15 +122,57 @@ def parse_entries(text: str) -> list[dict]:
         except BadEntry as e:
             key = _KEY.match(text, m.end())
             entry |= {"parse_ok": False, "error": str(e), "_key": key[1] if key else None}
-            nxt = text.find("\n@", m.end())
-            at = nxt if nxt >= 0 else len(text)
-            end = at
+            at = end = len(text)
         entry["_raw"] = text[m.start() : end]
-        if kind != "STRING":
-            out.append(entry)
+        out.append(entry)
     return out
 
 
+class _Asked(dict):
+    """Macros that note which names are asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: set[str] = set()
+
+    def get(self, name, default=None):
+        self.names.add(name.lower())
+        return default
+
+
+def used_names(text: str) -> list[str]:
+    """Names of macros that a text's entries use, months aside."""
+    asked = _Asked()
+    for part in _STARTS.split(text):
+        _part_entries(part, asked)
+    return sorted(asked.names - set(MACROS))
+
+
+def defined(text: str, macros: dict[str, str]) -> list[tuple[int, str, str]]:
+    """The macros that a text defines, in their order: number, name, value."""
+    own = _Defined(macros)
+    for part in _STARTS.split(text):
+        _part_entries(part, own)
+    return [(k, name, value) for k, (name, value) in enumerate(own.found)]
+
+
+class _Defined(dict):
+    """Macros that note what is defined."""
+
+    def __init__(self, known):
+        super().__init__(known)
+        self.found: list[tuple[str, str]] = []
+
+    def __setitem__(self, name, value):
+        super().__setitem__(name, value)
+        self.found.append((name, value))
+
+
+def defined_names(text: str) -> list[str]:
+    """The names of the macros that a text defines."""
+    return sorted({name for _, name, _ in defined(text, {})})
+
+
 def decode_tex(text: str) -> str:
     """Accent commands and special letters as characters; an unknown lower-case accent leaves the bare letter."""
 
@@ -179,9 +231,9 @@ def to_record(entry: dict, strip: bool = True) -> dict[str, str]:
     return out
 
 
-def read_bibtex(text: str, strip: bool = True) -> list[dict[str, str]]:
+def read_bibtex(text: str, strip: bool = True, macros: dict[str, str] | None = None) -> list[dict[str, str]]:
     """Records of all entries that parse."""
-    return [to_record(e, strip) for e in parse_entries(text) if e["parse_ok"]]
+    return [to_record(e, strip) for e in parse_entries(text, macros) if e["parse_ok"]]
 
 
 def balanced_entry(html: str) -> str | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 _LINE = re.compile(r"^\s*([A-Z][A-Z0-9]{1,2})\s+-(?:\s(.*))?$")
+#: A line that starts a record.
+RECORD_LINE = re.compile(r"\s*TY\s+-(?:\s|$)")
 #: Record types by reference type. Fixed values.
 TYPES = {"JOUR": "ARTICLE", "ABST": "ARTICLE", "MGZN": "ARTICLE", "NEWS": "ARTICLE", "JFULL": "ARTICLE", "INPR": "ARTICLE", "BOOK": "BOOK", "CHAP": "INBOOK", "CONF": "INPROCEEDINGS", "CPAPER": "INPROCEEDINGS", "THES": "PHDTHESIS", "RPRT": "TECHREPORT", "UNPB": "UNPUBLISHED"}
 #: Tags with one value, in the order in which they count for a field.
