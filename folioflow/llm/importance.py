@@ -1,11 +1,11 @@
 """Target-distribution importance resampling with a dictionary of distinct n-gram strings.
 
-1. Blocks of texts (``blocks``) find their distinct n-grams with their counts by sorting numbers, and deal the n-gram
-   strings to shards: an n-gram is one row's share of a shard there, however often the block has it, so no n-gram is hot.
-2. A shard merges the strings of all blocks into its part of the global dictionary, hashes each distinct string
-   once, adds its counts to its bucket, and answers every block with the buckets of the strings that it sent, in their order.
+1. Tasks gather texts by some ``GATHER`` bytes, find their distinct n-grams with their counts by sorting numbers, and deal the n-gram
+   strings to shards, packed: an n-gram is one entry of each such piece, however often the piece has it, so no n-gram is hot.
+2. A shard merges the strings of all pieces into its part of the global dictionary, hashes each distinct string
+   once and adds its counts to its bucket.
 3. Buckets are aggregated to the gains of the target distribution (a row for each bucket, a fixed number).
-4. Each block joins its answers to its documents' n-gram counts and sums the gains by document.
+4. The gains are joined back, by the buckets of their n-grams, to the n-gram counts of every document.
 5. Documents get their random keys and the highest are drawn: a sort by ranges, whose sizes give the ranks.
 
 Null and empty texts have no features and weight 0. Repeated rows count each for itself. With an empty table of
@@ -26,19 +26,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._store import work_dir, written
-from ._text import alnum_words, settle
-from .blocks import classes, packed, squeezed, token_blocks, unpacked, words_of
+from ._text import alnum_words, column_bytes, fields, map_arrow, settle
+from .blocks import classes, numbered, packed, squeezed, unpacked, words_of
 
+#: Whose n-grams are counted.
+SIDES = ("documents", "target")
 #: Words of an n-gram at most.
 MOST = 3
 #: Numbers of hash buckets, and what smooths their logarithms.
 BUCKETS = 10_000
-#: Words of the tables for each shard of the dictionary.
-SHARD_WORDS = 1_500_000
-
-
-def _cut(text: bytes) -> bytes:
-    return b" ".join(alnum_words(text))
+#: Bytes of text whose n-grams a task counts at once, unless a single text has more.
+GATHER = 20 << 20
+#: Bytes of text for each shard of the dictionary, and parts of a shard that are merged one after the other.
+SHARD_BYTES, PARTS = 40 << 20, 4
 
 
 def grams(ids: np.ndarray, edge: int, most: int = MOST):
@@ -109,89 +109,110 @@ def _digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.adler32(w) << 32 | zlib.crc32(w) for w in words), np.uint64, len(words))
 
 
-def _strings(words: list[bytes], columns: np.ndarray) -> pa.Array:
-    known = pa.array(words, pa.binary())
+def _strings(known: pa.Array, columns: np.ndarray) -> pa.Array:
     parts = [known.take(pa.array(c)) for c in columns]
     return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
 
 
-def _sent(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, side, blob): a block's distinct n-grams of a shard, with their counts."""
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("side", T.StringType()), T.StructField("blob", T.BinaryType())])
+def _read(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The vocabulary of some texts, and their words' numbers with a boundary behind every text."""
+    return numbered((b" \xff ".join(b" ".join(alnum_words(t)) for t in texts) + b" \xff").split())
+
+
+def _piece(texts: list[bytes], shards: int):
+    """(shard, blob): the distinct n-grams of some texts with their counts, by part of the shard."""
+    words, ids = _read(texts)
+    if not words:
+        return
+    digests, parts = _digests(words), []
+    for columns, _, _, counts in grams(ids, len(words)):
+        parts.append((columns.astype(np.int32), counts, *_by_shard(_dealt(columns, digests, shards * PARTS), shards * PARTS)))
+    place = np.empty(len(words), np.int64)
+    for s in range(shards):
+        own = [(c[:, o[e[k] : e[k + 1]]], n[o[e[k] : e[k + 1]]]) for k in range(s * PARTS, (s + 1) * PARTS) for c, n, o, e in parts]
+        used = np.zeros(len(words), bool)
+        for c, _ in own:
+            used[c] = True
+        used = np.flatnonzero(used)
+        if not len(used):
+            continue
+        place[used] = np.arange(len(used))
+        out = []
+        for c, n in own:
+            c = place[c]
+            out += [np.diff(c[0], prepend=0), *c[1:], n - 1]
+        some = squeezed([words[k] for k in used.tolist()])
+        yield s, len(some).to_bytes(8, "little") + some + packed(*out)
+
+
+def _sent(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, side, blob): the distinct n-grams of each piece of the texts (side, text), with their counts."""
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("side", T.StringType()), T.StructField("blob", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        held: dict[str, list[bytes]] = {}
+        size = 0
+
+        def out():
+            for side, some in held.items():
+                for s, blob in _piece(some, shards):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([side]), pa.array([blob], pa.binary())], schema=arrow)
+            held.clear()
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                block, side, vocabulary, tokens = (batch.column(k)[row].as_py() for k in range(4))
-                words, (ids,) = words_of(vocabulary), unpacked(tokens)
-                if not words:
-                    continue
-                digests, parts = _digests(words), []
-                for columns, _, _, counts in grams(ids, len(words)):
-                    order, cut = _by_shard(_dealt(columns, digests, shards), shards)
-                    parts.append((columns, counts, order, cut))
-                place = np.empty(len(words), np.int64)
-                for s in range(shards):
-                    own = [(c[:, o[e[s] : e[s + 1]]], n[o[e[s] : e[s + 1]]]) for c, n, o, e in parts]
-                    used = np.zeros(len(words), bool)
-                    for c, _ in own:
-                        used[c] = True
-                    used = np.flatnonzero(used)
-                    if not len(used):
-                        continue
-                    place[used] = np.arange(len(used))
-                    out = []
-                    for c, n in own:
-                        c = place[c]
-                        out += [np.diff(c[0], prepend=0), *c[1:], n - 1]
-                    some = squeezed([words[k] for k in used.tolist()])
-                    blob = len(some).to_bytes(8, "little") + some + packed(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block]), pa.array([side]), pa.array([blob], pa.binary())], schema=arrow)
+            for side, t in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)), strict=True):
+                held.setdefault(side, []).append(t)
+                size += len(t)
+                if size >= GATHER:
+                    yield from out()
+                    size = 0
+        yield from out()
         settle()
 
-    return blocks.select("block", F.col("group").alias("side"), "vocabulary", "tokens").mapInArrow(run, schema)
+    return texts.select("side", "text").mapInArrow(run, schema)
 
 
-def _received(blob: bytes) -> tuple[pa.Array, np.ndarray]:
-    """The n-gram strings of a blob, and their counts."""
+def _received(blob: bytes) -> list[list[tuple[pa.Array, np.ndarray]]]:
+    """The n-gram strings of each part of a blob, and their counts."""
     size = int.from_bytes(blob[:8], "little")
     words, rest = words_of(blob[8 : 8 + size]), unpacked(blob[8 + size :])
-    strings, counts, at = [], [], 0
-    for n in range(1, MOST + 1):
-        first = np.cumsum(rest[at])
-        strings.append(_strings(words, np.stack([first, *rest[at + 1 : at + n]])))
-        counts.append(rest[at + n] + 1)
-        at += n + 1
-    return pa.concat_arrays(strings), np.concatenate(counts)
+    each = len(rest) // PARTS
+    known, out = pa.array(words, pa.binary()), []
+    for k in range(PARTS):
+        own, at = rest[k * each : (k + 1) * each], 0
+        strings, counts = [], []
+        for n in range(1, MOST + 1):
+            strings.append(_strings(known, np.stack([np.cumsum(own[at]), *own[at + 1 : at + n]])))
+            counts.append(own[at + n] + 1)
+            at += n + 1
+        out.append((pa.concat_arrays(strings), np.concatenate(counts)))
+    return out
 
 
 def _dictionary(sent: DataFrame, buckets: int) -> DataFrame:
-    """Of each shard: (block, blob) the buckets of a block's strings in the order they were sent, and (sums) counts by bucket."""
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("sums", T.BinaryType())])
+    """(sums): of each shard's distinct strings, each hashed once, the counts by bucket."""
+    schema = T.StructType([T.StructField("sums", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def merged(table: pa.Table) -> pa.Table:
-        shard, blocks, sides = table.column("shard")[0].as_py(), table.column("block").to_pylist(), table.column("side").to_pylist()
+        sides, sums = table.column("side").to_pylist(), {side: np.zeros(buckets, np.int64) for side in SIDES}
         found = [_received(b.as_py()) for b in table.column("blob")]
-        entries = pa.chunked_array([s for s, _ in found], pa.binary()).combine_chunks()
-        entries = (entries if isinstance(entries, pa.Array) else entries.chunk(0)).dictionary_encode()
-        hashed = crc32_of(entries.dictionary) % buckets  # each distinct string once
-        place, at, sums = entries.indices.to_numpy(), 0, {"documents": np.zeros(buckets, np.int64), "target": np.zeros(buckets, np.int64)}
-        n_entries = {side: np.zeros(len(hashed), np.int64) for side in sums}
-        replies = []
-        for (_, counts), side in zip(found, sides, strict=True):
-            mine = place[at : at + len(counts)]
-            n_entries[side][mine] += counts  # a block's strings are distinct
-            replies.append(packed(hashed[mine]))
-            at += len(counts)
-        for side, n in n_entries.items():
-            np.add.at(sums[side], hashed, n)
+        for k in range(PARTS):
+            entries = pa.concat_arrays([x[k][0] for x in found]).dictionary_encode()
+            hashed = crc32_of(entries.dictionary) % buckets  # each distinct string once
+            place, at = entries.indices.to_numpy(), 0
+            n_entries = {side: np.zeros(len(hashed), np.int64) for side in SIDES}
+            for x, side in zip(found, sides, strict=True):
+                counts = x[k][1]
+                n_entries[side][place[at : at + len(counts)]] += counts  # a piece's strings are distinct
+                at += len(counts)
+                x[k] = None
+            for side, n in n_entries.items():
+                np.add.at(sums[side], hashed, n)
+            del entries, place
         settle()
-        return pa.table([
-            pa.array([shard] * (len(blocks) + 1), pa.int32()), pa.array([*blocks, None], pa.int64()),
-            pa.array([*replies, None], pa.binary()), pa.array([*[None] * len(blocks), packed(*sums.values())], pa.binary()),
-        ], schema=arrow)
+        return pa.table([pa.array([packed(*sums.values())], pa.binary())], schema=arrow)
 
     return sent.groupBy("shard").applyInArrow(merged, schema)
 
@@ -207,7 +228,7 @@ def _bucket_sums(dictionary: DataFrame) -> DataFrame:
                 some = np.flatnonzero(s + t)
                 yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(s[some]), pa.array(t[some])], names=["bucket", "s", "t"])
 
-    rows = dictionary.where("sums is not null").select("sums").mapInArrow(run, schema)
+    rows = dictionary.mapInArrow(run, schema)
     return rows.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
 
 
@@ -221,55 +242,30 @@ def gains(sums: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.floor(1000 * np.log((t + 1) * (every + buckets) / ((s + 1) * (wanted + buckets)))).astype(np.int64)
 
 
-def _weights(blocks: DataFrame, dictionary: DataFrame, shards: int, gain: np.ndarray, keys: list[str]) -> DataFrame:
-    """keys with n_words, n_features and weight of every document: a block meets the answers to it."""
-    known = [T.StructField(c, blocks.schema["keys"].dataType.elementType[c].dataType) for c in keys]
-    schema = T.StructType([*known, *(T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight"))])
-    arrow = to_arrow_schema(schema)
-    answers = dictionary.where("block is not null").select("block", "shard", "blob")
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return arrow.empty_table()
-        given = left.column("keys").combine_chunks()
-        given = (given if isinstance(given, pa.Array) else given.chunk(0)).flatten()
-        words, (ids,) = words_of(left.column("vocabulary")[0].as_py()), unpacked(left.column("tokens")[0].as_py())
+def feature_weights(docs: DataFrame, target: DataFrame, keys: list[str], buckets: int = BUCKETS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """keys, n_words, n_features and the sum of gains of every document's n-grams.
+
+    docs and target need a column ``text``. An n-gram's gain is found by its bucket: a table of ``buckets`` numbers goes to every task."""
+    spark = docs.sparkSession
+    path = work_dir(spark, "importance")
+    texts = docs.select(F.lit(SIDES[0]).alias("side"), "text").unionByName(target.select(F.lit(SIDES[1]).alias("side"), "text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(spark.sparkContext.defaultParallelism, size // shard_bytes + 1)
+    dictionary = written(_dictionary(_sent(texts, shards), buckets), f"{path}/dictionary")
+    gain = gains(_bucket_sums(dictionary), buckets)
+    schema = T.StructType([*fields(docs, keys), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_features", "weight"))])
+
+    def run(batch: pa.RecordBatch):
+        words, ids = _read(list(column_bytes(batch.column(len(keys)))))
         ends = np.flatnonzero(ids == len(words))
         doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-        n_words = np.diff(ends, prepend=-1) - 1
-        n_features, weight = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-        replies = {s.as_py(): unpacked(b.as_py())[0] for s, b in zip(right.column("shard"), right.column("blob"), strict=True)}
-        taken = dict.fromkeys(replies, 0)
-        digests = _digests(words)
+        n_features, weight, known = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), pa.array(words, pa.binary())
         for columns, starts, inverse, _ in grams(ids, len(words)) if words else ():
-            order, cut = _by_shard(_dealt(columns, digests, shards), shards)
-            bucket = np.empty(columns.shape[1], np.int64)
-            for s in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[s] : cut[s + 1]]
-                bucket[own] = replies[s][taken[s] : taken[s] + len(own)]
-                taken[s] += len(own)
             n_features += np.bincount(doc[starts], minlength=len(ends))
-            np.add.at(weight, doc[starts], gain[bucket][inverse])
-        settle()
-        return pa.table([*(given.field(c) for c in keys), pa.array(n_words), pa.array(n_features), pa.array(weight)], schema=arrow)
-
-    own = blocks.where(F.col("group") == "documents").select("block", "keys", "vocabulary", "tokens")
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, schema)
-
+            np.add.at(weight, doc[starts], gain[crc32_of(_strings(known, columns)) % buckets][inverse])
+        return [*(batch.column(k) for k in range(len(keys))), pa.array(np.diff(ends, prepend=-1) - 1), pa.array(n_features), pa.array(weight)]
 
-def feature_weights(docs: DataFrame, target: DataFrame, keys: list[str], buckets: int = BUCKETS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """keys, n_words, n_features and the sum of gains of every document's n-grams.
-
-    docs and target need a column ``text``. The work tables stand in the shared folder."""
-    spark = docs.sparkSession
-    path = work_dir(spark, "importance")
-    own = [docs.select(*keys, "text").withColumn("_side", F.lit("documents"))]
-    own.append(target.select(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keys), "text").withColumn("_side", F.lit("target")))
-    blocks = token_blocks(own[0].unionByName(own[1]), _cut, f"{path}/blocks", group="_side", keys=keys)
-    words = blocks.agg(F.sum("words")).first()[0] or 0
-    shards = max(spark.sparkContext.defaultParallelism, words // shard_words + 1)
-    dictionary = written(_dictionary(_sent(blocks, shards), buckets), f"{path}/dictionary")
-    return written(_weights(blocks, dictionary, shards, gains(_bucket_sums(dictionary), buckets), keys), f"{path}/weights")
+    return written(map_arrow(docs.select(*keys, "text"), run, schema), f"{path}/weights")
 
 
 def random_key(seed: Column) -> Column:

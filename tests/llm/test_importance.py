@@ -61,10 +61,10 @@ def test_registered_query(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == plain(docs, target)
 
 
-def test_many_blocks_and_shards(spark, monkeypatch):
+def test_many_pieces_and_shards(spark, monkeypatch):
     docs, target = corpus()
-    monkeypatch.setattr(blocks.token_blocks, "__defaults__", (*blocks.token_blocks.__defaults__[:-1], 900))
-    monkeypatch.setattr(importance.feature_weights, "__defaults__", (importance.BUCKETS, 300))
+    monkeypatch.setattr(importance, "GATHER", 900)
+    monkeypatch.setattr(importance.feature_weights, "__defaults__", (importance.BUCKETS, 3000))
     d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in target], "text string")
     got = importance.resample(d, t, percent=50, least_words=10).select("doc_id", "n_features", "weight", "score", "rank")
     assert sorted(map(tuple, got.collect()), key=str) == plain(docs, target, 50, 10)
