@@ -36,7 +36,7 @@ MOST = 3
 #: Numbers of hash buckets, and what smooths their logarithms.
 BUCKETS = 10_000
 #: Bytes of text whose n-grams a task counts at once, unless a single text has more.
-GATHER = 20 << 20
+GATHER = 16 << 20
 #: Bytes of text for each shard of the dictionary, and parts of a shard that are merged one after the other.
 SHARD_BYTES, PARTS = 40 << 20, 4
 
@@ -127,22 +127,25 @@ def _piece(texts: list[bytes], shards: int):
     digests, parts = _digests(words), []
     for columns, _, _, counts in grams(ids, len(words)):
         parts.append((columns.astype(np.int32), counts, *_by_shard(_dealt(columns, digests, shards * PARTS), shards * PARTS)))
+    del ids, digests
     place = np.empty(len(words), np.int64)
     for s in range(shards):
-        own = [(c[:, o[e[k] : e[k + 1]]], n[o[e[k] : e[k + 1]]]) for k in range(s * PARTS, (s + 1) * PARTS) for c, n, o, e in parts]
+        own = [[(c[:, o[e[k] : e[k + 1]]], n[o[e[k] : e[k + 1]]]) for c, n, o, e in parts] for k in range(s * PARTS, (s + 1) * PARTS)]
         used = np.zeros(len(words), bool)
-        for c, _ in own:
+        for c, _ in (x for part in own for x in part):
             used[c] = True
         used = np.flatnonzero(used)
         if not len(used):
             continue
         place[used] = np.arange(len(used))
-        out = []
-        for c, n in own:
-            c = place[c]
-            out += [np.diff(c[0], prepend=0), *c[1:], n - 1]
-        some = squeezed([words[k] for k in used.tolist()])
-        yield s, len(some).to_bytes(8, "little") + some + packed(*out)
+        sent = [squeezed([words[k] for k in used.tolist()])]
+        for part in own:
+            out = []
+            for c, n in part:
+                c = place[c]
+                out += [np.diff(c[0], prepend=0), *c[1:], n - 1]
+            sent.append(packed(*out))
+        yield s, np.array([len(x) for x in sent], np.int64).tobytes() + b"".join(sent)
 
 
 def _sent(texts: DataFrame, shards: int) -> DataFrame:
@@ -173,21 +176,16 @@ def _sent(texts: DataFrame, shards: int) -> DataFrame:
     return texts.select("side", "text").mapInArrow(run, schema)
 
 
-def _received(blob: bytes) -> list[list[tuple[pa.Array, np.ndarray]]]:
-    """The n-gram strings of each part of a blob, and their counts."""
-    size = int.from_bytes(blob[:8], "little")
-    words, rest = words_of(blob[8 : 8 + size]), unpacked(blob[8 + size :])
-    each = len(rest) // PARTS
-    known, out = pa.array(words, pa.binary()), []
-    for k in range(PARTS):
-        own, at = rest[k * each : (k + 1) * each], 0
-        strings, counts = [], []
-        for n in range(1, MOST + 1):
-            strings.append(_strings(known, np.stack([np.cumsum(own[at]), *own[at + 1 : at + n]])))
-            counts.append(own[at + n] + 1)
-            at += n + 1
-        out.append((pa.concat_arrays(strings), np.concatenate(counts)))
-    return out
+def _received(blob: bytes, part: int) -> tuple[pa.Array, np.ndarray]:
+    """The n-gram strings of a part of a blob, and their counts."""
+    ends = 8 * (PARTS + 1) + np.cumsum(np.frombuffer(blob, np.int64, PARTS + 1))
+    known, own = pa.array(words_of(blob[8 * (PARTS + 1) : ends[0]]), pa.binary()), unpacked(blob[ends[part] : ends[part + 1]])
+    strings, counts, at = [], [], 0
+    for n in range(1, MOST + 1):
+        strings.append(_strings(known, np.stack([np.cumsum(own[at]), *own[at + 1 : at + n]])))
+        counts.append(own[at + n] + 1)
+        at += n + 1
+    return pa.concat_arrays(strings), np.concatenate(counts)
 
 
 def _dictionary(sent: DataFrame, buckets: int) -> DataFrame:
@@ -197,21 +195,20 @@ def _dictionary(sent: DataFrame, buckets: int) -> DataFrame:
 
     def merged(table: pa.Table) -> pa.Table:
         sides, sums = table.column("side").to_pylist(), {side: np.zeros(buckets, np.int64) for side in SIDES}
-        found = [_received(b.as_py()) for b in table.column("blob")]
         for k in range(PARTS):
-            entries = pa.concat_arrays([x[k][0] for x in found]).dictionary_encode()
+            strings, counts = zip(*(_received(b.as_py(), k) for b in table.column("blob")), strict=True)
+            entries = pa.concat_arrays(strings).dictionary_encode()
+            del strings
             hashed = crc32_of(entries.dictionary) % buckets  # each distinct string once
             place, at = entries.indices.to_numpy(), 0
             n_entries = {side: np.zeros(len(hashed), np.int64) for side in SIDES}
-            for x, side in zip(found, sides, strict=True):
-                counts = x[k][1]
-                n_entries[side][place[at : at + len(counts)]] += counts  # a piece's strings are distinct
-                at += len(counts)
-                x[k] = None
+            for some, side in zip(counts, sides, strict=True):
+                n_entries[side][place[at : at + len(some)]] += some  # a piece's strings are distinct
+                at += len(some)
             for side, n in n_entries.items():
                 np.add.at(sums[side], hashed, n)
-            del entries, place
-        settle()
+            del entries, place, hashed, n_entries, counts
+            settle()
         return pa.table([pa.array([packed(*sums.values())], pa.binary())], schema=arrow)
 
     return sent.groupBy("shard").applyInArrow(merged, schema)
