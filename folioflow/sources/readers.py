@@ -179,55 +179,7 @@ def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register_formats(spark: SparkSession) -> None:
-    """``spark.read.format("bibtex")`` and ``("ris")`` over a file, a folder or a glob."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-    def source(kind: str, parse):
-        class Reader(DataSourceReader):
-            def __init__(self, options):
-                self.path = options.get("path")
-
-            def _store(self):
-                """The file system of a path, of any kind that Arrow opens, and the path there."""
-                from pyarrow import fs
-
-                return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), os.path.abspath(self.path))
-
-            def partitions(self):
-                from fnmatch import fnmatch
-
-                from pyarrow import fs
-
-                store, path = self._store()
-                base = re.split(r"[*?\[]", path)[0].rpartition("/")[0] if re.search(r"[*?\[]", path) else path
-                info = store.get_file_info(base)
-                if info.type == fs.FileType.Directory:
-                    inside = store.get_file_info(fs.FileSelector(base, recursive=True))
-                    files = sorted(f.path for f in inside if f.is_file and (base == path or fnmatch(f.path, path)) and not f.base_name.startswith(("_", ".")))
-                else:
-                    files = [base] if info.is_file else []
-                if not files:
-                    raise FileFormatError(f"no file at {self.path}", self.path)
-                return [InputPartition(f) for f in files]
-
-            def read(self, partition):
-                store, _ = self._store()
-                with store.open_input_stream(partition.value) as f:
-                    for k, r in enumerate(parse(f.read())):
-                        yield (partition.value, k, *(r.get(c) for c in FIELDS))
-
-        class Source(DataSource):
-            @classmethod
-            def name(cls):
-                return kind
-
-            def schema(self):
-                return PARSED
-
-            def reader(self, schema):
-                return Reader(self.options)
-
-        return Source
-
-    spark.dataSource.register(source("bibtex", lambda b: read_bibtex(b.decode("utf-8", "replace"))))
-    spark.dataSource.register(source("ris", read_ris_bytes))
+    """Makes ``spark.read``, ``readStream`` and ``write`` know format("bibtex") and format("ris")."""
+    from .datasource import register_sources
+
+    register_sources(spark)
