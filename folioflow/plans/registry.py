@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import record_queries, search_queries, source_queries  # the others add their own to the same tables
+from . import kept_queries, record_queries, search_queries, source_queries  # the others add their own to the same tables
 
 
 def queries() -> dict:
-    assert record_queries and source_queries
+    assert kept_queries and record_queries and source_queries
     return dict(search_queries.QUERIES)
 
 
