@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from html.parser import HTMLParser
 from itertools import pairwise, takewhile
 from urllib.parse import urlencode, urljoin, urlsplit, urlunsplit
@@ -21,8 +22,9 @@ from pyspark.sql import types as T
 from ..functions.names import freestyle_bibtex
 from ..plugins import register
 from ..sources.bibtex import balanced_entry, read_bibtex
-from ..sources.records import FIELDS, UnknownSiteError
+from ..sources.records import FIELDS, QueryError, UnknownSiteError
 from ..sources.ris import read_ris
+from ..store import written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -468,6 +470,96 @@ def document_link(url: Column, body: Column, rules: list[SiteRule]) -> Column:
     return out
 
 
+#: Letters of the runs by which rules of a table meet pages.
+RULE_GRAM = 4
+#: Rules without a literal run of that length, at most: each is tried on every page.
+LOOSE_RULES = 500
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Runs of letters that every text has in which the pattern is found, in lower case. Groups, classes, alternatives and
+    letters that may be absent end a run; a pattern with alternatives at its top level has none."""
+    out, run, k, depth = [], "", 0, 0
+    while k < len(pattern):
+        c, step = pattern[k], 1
+        plain = None
+        if c == "\\" and k + 1 < len(pattern):
+            step = 2
+            plain = pattern[k + 1] if not pattern[k + 1].isalnum() else None
+        elif c == "[":
+            end = k + 1 + (pattern[k + 1 : k + 2] == "^")
+            end = pattern.find("]", end + 1)
+            step = (end if end >= 0 else len(pattern)) + 1 - k
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return []
+        elif c not in ".^$*+?{}|":
+            plain = c
+        if c == "{" and (end := pattern.find("}", k)) >= 0:
+            step = end + 1 - k
+        follows = pattern[k + step : k + step + 1]
+        if plain is not None and depth == 0 and follows not in ("?", "*", "{"):
+            run += plain.lower()
+        else:
+            out.append(run)
+            run = ""
+        if follows == "+" and plain is not None:
+            out.append(run)
+            run = ""
+        k += step
+    return [r for r in [*out, run] if r]
+
+
+def _text_grams(c: Column) -> Column:
+    text = F.lower(F.coalesce(c, F.lit("")))
+    places = F.when(F.length(text) >= RULE_GRAM, F.sequence(F.lit(1), F.length(text) - (RULE_GRAM - 1)))
+    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(RULE_GRAM))))
+
+
+def rule_hits(pages: DataFrame, rules: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("url", "html")) -> DataFrame:
+    """(key, rule): the first rule of each page, by the smallest number ``rule`` of those whose ``pattern`` is found in the page's ``field``.
+
+    rules: a table (rule, field, pattern) of any length. Each pattern is looked for only where the rarest run of letters of its
+    literal part stands, counted over all pages; patterns without such a run are tried on every page, in one expression."""
+    schema = T.StructType([*(T.StructField(c, rules.schema[c].dataType) for c in ("rule", "field", "pattern")), T.StructField("gram", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            rows, grams = [], []
+            for k, pattern in enumerate(batch.column(2).to_pylist()):
+                longest = max(literal_runs(pattern or ""), key=len, default="")
+                some = {longest[i : i + RULE_GRAM] for i in range(len(longest) - RULE_GRAM + 1)} or {None}
+                rows += [k] * len(some)
+                grams += sorted(some, key=str)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(grams, pa.string())], names=schema.names)
+
+    known = written(rules.where("pattern is not null").select("rule", "field", "pattern").mapInArrow(run, schema), "rules")
+    every = [pages.select(key, F.lit(f).alias("field"), F.explode(_text_grams(F.col(f))).alias("gram")) for f in fields]
+    every = reduce(DataFrame.unionByName, every).join(known.select("field", "gram").distinct(), ["field", "gram"])
+    every = written(every.select(key, "field", "gram"), "grams")
+    counts = every.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = known.where("gram is not null").join(counts, ["field", "gram"], "left").groupBy("rule", "field", "pattern").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    texts = reduce(DataFrame.unionByName, [pages.select(key, F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    met = rarest.join(every, ["field", "gram"]).select(key, "field", "rule", "pattern").join(texts, [key, "field"])
+    found = met.where(F.rlike("text", F.col("pattern"))).select(key, "rule")
+    loose = known.where("gram is null").select("rule", "field", "pattern").limit(LOOSE_RULES + 1).collect()  # bounded
+    if len(loose) > LOOSE_RULES:
+        raise QueryError(f"more than {LOOSE_RULES} rules without {RULE_GRAM} letters in a row")
+    for f in fields:
+        for r in sorted((r for r in loose if r["field"] == f), key=lambda r: r["rule"]):
+            found = found.unionByName(pages.where(F.col(f).rlike(r["pattern"])).select(key, F.lit(r["rule"]).cast(rules.schema["rule"].dataType).alias("rule")))
+    return found.groupBy(key).agg(F.min("rule").alias("rule"))
+
+
+def ruled_links(pages: DataFrame, rules: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("url", "html")) -> DataFrame:
+    """(key, rule, address): each page's first rule with the address that its ``search`` and ``replacement`` make of the page's own."""
+    hits = rule_hits(pages, rules, key, fields).join(rules.select("rule", "search", "replacement"), "rule")
+    address = F.when(F.col("search").isNull(), F.col("url")).otherwise(F.regexp_replace("url", F.col("search"), F.coalesce("replacement", F.lit(""))))
+    return pages.select(key, "url").join(hits, key).select(key, "rule", address.alias("address"))
+
+
 def redirect_allowed(method: Column) -> Column:
     """Requests that change something are not sent again elsewhere."""
     return F.upper(method).isin("GET", "HEAD")

@@ -298,3 +298,51 @@ def exported_ranges(spark, sf):
     path = working_folder(spark, "exports")
     writers.export_text(p, "bibtex").write.text(path)
     return splits.read_bibtex_ranges(spark, path, range_bytes=8_000).select("title", "volume")
+
+
+# -- rules and trees ------------------------------------------------------------------------------------------
+
+
+@query(
+    "rules_table",
+    r"""WITH h AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/]+)/', 1) AS host FROM pages), r AS (SELECT DISTINCT host FROM h), n AS (SELECT host, row_number() OVER (ORDER BY host) AS k FROM r)
+        SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 0 WHEN k % 3 = 0 THEN 3 * k ELSE 3 * k + 1 END AS rule, CASE WHEN url LIKE '%.html%' OR k % 3 = 0 THEN url ELSE regexp_replace(url, '/(en|fr|de|es)/', '/\1/pdf/') END AS address FROM h JOIN n USING (host)""",
+)
+def rules_table(spark, sf):
+    """Three rules for each host of the pages, one for all: each page's first rule, and the address that this makes of the page's own."""
+    from pyspark.sql.window import Window
+
+    from ..operators import webpages
+
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    hosts = pages.select(F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host")).distinct()
+    hosts = hosts.withColumn("k", F.row_number().over(Window.orderBy("host")).cast("long"))  # a row for each host, which names its rules
+    safe = F.replace("host", F.lit("."), F.lit("\\."))
+    none = F.lit(None).cast("string")
+    rule = lambda n, pattern, search, to: F.struct((3 * F.col("k") + n).alias("rule"), F.lit("url").alias("field"), pattern.alias("pattern"), search.alias("search"), to.alias("replacement"))
+    each = F.array(
+        rule(0, F.when(F.col("k") % 3 == 0, F.concat(F.lit("^https?://"), safe, F.lit("/"))).otherwise(F.concat(safe, F.lit("/never/"))), none, none),
+        rule(1, F.concat(F.lit("//"), safe, F.lit("/(en|fr|de|es)/")), F.lit("/(en|fr|de|es)/"), F.lit("/$1/pdf/")),
+        rule(2, safe, none, none),
+    )
+    one = spark.range(1).select(F.lit(0).cast("long").alias("rule"), F.lit("url").alias("field"), F.lit(r"\.html").alias("pattern"), none.alias("search"), none.alias("replacement"))
+    return webpages.ruled_links(pages, hosts.select(F.explode(each).alias("r")).select("r.*").unionByName(one))
+
+
+@query(
+    "folder_and_below",
+    """WITH RECURSIVE c AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey >= 3 THEN s_suppkey // 3 END AS p FROM supplier), t AS (SELECT k FROM c WHERE k = 2 UNION ALL SELECT c.k FROM c JOIN t ON c.p = t.k)
+       SELECT doc_id FROM documents WHERE doc_id % (SELECT count(*) FROM supplier) IN (SELECT k FROM t) OR doc_id // 7 % (SELECT count(*) FROM supplier) IN (SELECT k FROM t)""",
+)
+def folder_and_below(spark, sf):
+    """Texts that are in a folder or in any below it, by the intervals of the tree of folders."""
+    from ..operators import trees
+
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    n = s.count()
+    folder = lambda c: F.concat(F.lit("F"), _s(c))
+    tree = s.select(folder(k).alias("guid"), F.when(k >= 3, folder(F.floor(k / 3).cast("long"))).alias("parent"))
+    docs = table(spark, sf, "documents").select("doc_id", _s("doc_id").alias("guid"))
+    places = F.array(F.col("doc_id") % n, F.floor(F.col("doc_id") / 7).cast("long") % n)
+    bridge = docs.select(F.explode(F.array_distinct(places)).alias("f"), F.col("guid").alias("publication_guid")).select(folder(F.col("f")).alias("collection_guid"), "publication_guid")
+    return trees.members_below(docs, bridge, trees.interval_labels(tree), "F2").select("doc_id")
