@@ -346,3 +346,49 @@ def folder_and_below(spark, sf):
     places = F.array(F.col("doc_id") % n, F.floor(F.col("doc_id") / 7).cast("long") % n)
     bridge = docs.select(F.explode(F.array_distinct(places)).alias("f"), F.col("guid").alias("publication_guid")).select(folder(F.col("f")).alias("collection_guid"), "publication_guid")
     return trees.members_below(docs, bridge, trees.interval_labels(tree), "F2").select("doc_id")
+
+
+# -- lists and counts that are kept ---------------------------------------------------------------------------
+
+
+@query("far_page", f"WITH {PUBLICATIONS_SQL} SELECT doc_id, title FROM p ORDER BY n_chars DESC, doc_id LIMIT 40 OFFSET (SELECT count(*) * 9 // 10 FROM p)")
+def far_page(spark, sf):
+    """A page far back in a list that was sorted once: it opens the range that holds it."""
+    from ..operators.pages import SortedList
+
+    p = publications(spark, sf).select("doc_id", "title", "n_chars")
+    kept = SortedList.write(p, [F.col("n_chars").desc(), F.col("doc_id")], working_folder(spark, "list"), range_rows=100)
+    return kept.page(kept.total() * 9 // 10, 40).select("doc_id", "title")
+
+
+def _counted(spark, sf, what):
+    """Counters of the documents after two batches of changes: one row in fifty goes, one in fifty gets another source."""
+    from ..operators.counters import Counters, changed_rows
+
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    k = F.pmod("doc_id", F.lit(50))
+    later = d.where(k != 7).withColumn("source", F.when(k == 8, F.lit("moved")).otherwise(F.col("source")))
+    last = later.where(F.col("n_chars") < 4000)
+    kept = Counters(spark, working_folder(spark, what), {"source": F.col("source"), "both": F.array("lang", "source"), "items": F.lit("all"), "chars": F.col("n_chars")})
+    kept.apply(added=d)
+    for before, after in ((d, later), (later, last)):
+        gone, came = changed_rows(before, after, "doc_id")
+        kept.apply(gone, came)
+    kept.compact()
+    return kept
+
+
+_LATER = "WITH l AS (SELECT lang, CASE WHEN doc_id % 50 = 8 THEN 'moved' ELSE source END AS source, n_chars FROM documents WHERE doc_id % 50 <> 7 AND n_chars < 4000)"
+
+
+@query("counts_by_deltas", f"{_LATER} SELECT grp, count(*) AS n FROM (SELECT unnest([lang, source]) AS grp FROM l) WHERE grp IS NOT NULL GROUP BY grp")
+def counts_by_deltas(spark, sf):
+    """A histogram kept by signed counts through deletions and updates."""
+    return _counted(spark, sf, "counts").counts("both")
+
+
+@query("dashboard_by_deltas", f"{_LATER} SELECT count(*) AS num_items, max(n_chars) AS longest FROM l")
+def dashboard_by_deltas(spark, sf):
+    """Totals and the largest value by signed counts; the largest goes back when its rows are deleted."""
+    kept = _counted(spark, sf, "counts")
+    return kept.dashboard(num_items=kept.total("items"), longest=kept.largest("chars", "long"))
