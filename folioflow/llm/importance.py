@@ -5,7 +5,8 @@
 2. A shard merges the strings of all pieces into its part of the global dictionary, hashes each distinct string
    once and adds its counts to its bucket.
 3. Buckets are aggregated to the gains of the target distribution (a row for each bucket, a fixed number).
-4. The gains are joined back, by the buckets of their n-grams, to the n-gram counts of every document.
+4. The gains are joined back, by buckets, to the n-gram counts of every document. There a bucket is put together from hashes of the distinct words
+   (a crc32 of a string follows from those of its parts), so nothing of the dictionary's size goes back to the documents.
 5. Documents get their random keys and the highest are drawn: a sort by ranges, whose sizes give the ranks.
 
 Null and empty texts have no features and weight 0. Repeated rows count each for itself. With an empty table of
@@ -95,16 +96,53 @@ def crc32_of(strings: pa.Array) -> np.ndarray:
     for k in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
         out[k] = zlib.crc32(raw[ends[k] : ends[k + 1]])
     short = np.flatnonzero(size <= SIDE_BY_SIDE)
-    order = short[np.argsort(-size[short], kind="stable")]
+    order = short[np.argsort((SIDE_BY_SIDE - size[short]).astype(np.uint8), kind="stable")]
     start, longer = ends[order], size[order]
     crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
-    for k in range(int(longer.max(initial=0))):
-        n = np.searchsorted(-longer, -k)  # strings with a byte there: longer than k
-        crc[:n] = _CRC[(crc[:n] ^ raw[start[:n] + k]) & np.uint32(255)] ^ crc[:n] >> np.uint32(8)
+    n = np.searchsorted(-longer, -np.arange(int(longer.max(initial=0)))) if len(order) else ()  # strings with a byte at each place
+    for k in n:
+        crc[:k] = _CRC[(crc[:k] ^ raw[start[:k]]) & np.uint32(255)] ^ crc[:k] >> np.uint32(8)
+        start[:k] += 1
     out[order] = crc ^ np.uint32(0xFFFFFFFF)
     return out
 
 
+def _shift_tables() -> np.ndarray:
+    """For each number of bytes, what a crc32 becomes when so many zeros follow, by its four bytes."""
+    out = np.empty((SIDE_BY_SIDE + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for k in range(SIDE_BY_SIDE):
+        out[k + 1] = _CRC[out[k] & np.uint32(255)] ^ out[k] >> np.uint32(8)
+    return out.reshape(-1)
+
+
+_SHIFTS = _shift_tables()
+
+
+def gram_hashes(words: list[bytes], ids: np.ndarray, most: int = MOST):
+    """For each length: where n-grams start, and the crc32 of each one's bytes, put together from those of its words."""
+    tails = [b" " + w for w in words]
+    own, tail = (np.fromiter(map(zlib.crc32, x), np.uint32, len(x)) for x in (words, tails))
+    size = np.fromiter(map(len, tails), np.int64, len(tails))
+    inside = ids != len(words)
+    starts = np.flatnonzero(inside)
+    crc = own[ids[starts]]
+    for n in range(1, most + 1):
+        if n > 1:
+            go_on = inside[starts + n - 1]  # a boundary stands behind every text, so this is inside the array
+            starts, crc = starts[go_on], crc[go_on]
+            last = ids[starts + n - 1]
+            long = np.flatnonzero(size[last] > SIDE_BY_SIDE)
+            by_hand = [zlib.crc32(tails[w], int(c)) for w, c in zip(last[long].tolist(), crc[long].tolist(), strict=True)]
+            at = np.minimum(size[last], SIDE_BY_SIDE) * 1024
+            shifted = tail[last]
+            for j in range(4):
+                shifted ^= _SHIFTS[at + (256 * j) + (crc >> np.uint32(8 * j) & np.uint32(255))]
+            crc = shifted
+            crc[long] = by_hand
+        yield starts, crc
+
+
 def _digests(words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.adler32(w) << 32 | zlib.crc32(w) for w in words), np.uint64, len(words))
 
@@ -256,10 +294,11 @@ def feature_weights(docs: DataFrame, target: DataFrame, keys: list[str], buckets
         words, ids = _read(list(column_bytes(batch.column(len(keys)))))
         ends = np.flatnonzero(ids == len(words))
         doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-        n_features, weight, known = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), pa.array(words, pa.binary())
-        for columns, starts, inverse, _ in grams(ids, len(words)) if words else ():
-            n_features += np.bincount(doc[starts], minlength=len(ends))
-            np.add.at(weight, doc[starts], gain[crc32_of(_strings(known, columns)) % buckets][inverse])
+        n_features, weight = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        for starts, crc in gram_hashes(words, ids):
+            own = doc[starts]
+            n_features += np.bincount(own, minlength=len(ends))
+            weight += np.bincount(own, gain[crc % np.uint32(buckets)], len(ends)).astype(np.int64)  # whole numbers far below 2 ** 53
         return [*(batch.column(k) for k in range(len(keys))), pa.array(np.diff(ends, prepend=-1) - 1), pa.array(n_features), pa.array(weight)]
 
     return written(map_arrow(docs.select(*keys, "text"), run, schema), f"{path}/weights")

@@ -44,7 +44,7 @@ def corpus():
     word = lambda: r.choice("Alpha beta gamma été the of x1".split()) if r.random() < 0.6 else f"w{r.randrange(400)}"
     text = lambda n: r.choice([" ", ", "]).join(word() for _ in range(n))
     docs = [(k, text(r.randint(0, 60))) for k in range(200)]
-    docs += [(300, None), (301, ""), (302, "one"), (303, "one two"), (None, text(30)), (304, docs[7][1]), docs[8], (305, text(9000)), (306, " -- ")]
+    docs += [(300, None), (301, ""), (302, "one"), (303, "one two"), (None, text(30)), (304, docs[7][1]), docs[8], (305, text(9000)), (306, " -- "), (307, f"a {'x' * 94} {'y' * 95} {'z' * 96} b {'q' * 300} c {'q' * 300}")]
     return docs, [text(25) for _ in range(10)] + [None, "", "short"]
 
 
@@ -96,3 +96,12 @@ def test_crc_side_by_side():
     some = [r.randbytes(r.choice([0, 1, 2, 5, 30, 95, 96, 97, 400])) for _ in range(300)] + [b""]
     found = importance.crc32_of(pa.array(some, pa.binary()).slice(3))
     assert found.tolist() == [zlib.crc32(x) for x in some[3:]]
+
+
+def test_hashes_of_n_grams_from_those_of_words():
+    r = random.Random(6)
+    texts = [b" ".join(bytes(r.choice(b"abcxyz09") for _ in range(r.choice([1, 2, 7, 93, 94, 95, 96, 97, 200]))) for _ in range(r.randrange(8))) for _ in range(40)]
+    words, ids = importance._read(texts)
+    for n, (starts, crc) in enumerate(importance.gram_hashes(words, ids), 1):
+        assert crc.tolist() == [zlib.crc32(b" ".join(words[k] for k in ids[i : i + n])) for i in starts.tolist()]
+    assert [b" ".join(words[k] for k in x[:-1]) for x in np.split(ids, np.flatnonzero(ids == len(words)) + 1) if len(x)] == texts
