@@ -47,8 +47,8 @@ SLACK = 0.12
 STARS = 1
 #: Slots of the list that is broadcast to leave out texts without candidates.
 SLOTS = 1 << 18
-#: Tasks that the rows of an open bucket are dealt to.
-SALTS = 16
+#: Keys with more than one in so many rows are joined by broadcast.
+SHARE = 1000
 #: Shingles of a block at least and at most (8 bytes each), and blocks of a cluster while blocks may still grow.
 BLOCK_SHINGLES, MOST_SHINGLES, BLOCKS = 1 << 15, 1 << 20, 12
 
@@ -249,12 +249,12 @@ def block_links(asked: list[tuple], members: list[tuple], percent: int) -> list[
     return out
 
 
-def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFrame:
-    """Step 4. live: bucket, node, its shingles n, component c of open buckets; sets_of gives the sets of nodes.
+def cluster_links(live: DataFrame, sets_of, percent: int, path: str, crowded: DataFrame) -> DataFrame:
+    """Step 4. live: bucket, node, its shingles n, component c of open buckets; sets_of gives the sets of nodes; crowded are buckets of very many rows.
 
     Blocks are cut by shingles, so a few long documents make as large a block as many short ones."""
     lead = live.groupBy("bucket").agg(F.min("node").alias("v"))
-    clusters = written(components(_by_bucket(live, lead).select(F.col("node").alias("u"), "v")), f"{path}/clusters")
+    clusters = written(components(with_hot(live, lead, "bucket", crowded).select(F.col("node").alias("u"), "v")), f"{path}/clusters")
     nodes = live.groupBy("node", "c").agg(F.max("n").alias("n")).join(clusters.withColumnRenamed("component", "k"), "node")
     per = nodes.groupBy("k", "c").agg(F.sum("n").alias("n"))
     top = per.groupBy("k").agg(F.max(F.struct("n", "c")).alias("t"), F.sum("n").alias("all"))
@@ -290,11 +290,19 @@ def cluster_links(live: DataFrame, sets_of, percent: int, path: str) -> DataFram
     return rows.repartition("k", "o", "m").sortWithinPartitions("k", "o", "m", "side").mapInArrow(run, schema)
 
 
-def _by_bucket(live: DataFrame, one: DataFrame) -> DataFrame:
-    """Rows of open buckets with the one row of their bucket. A bucket's rows are dealt to SALTS tasks, and its one row goes to each."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    every = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return live.withColumn("_salt", salt).join(every, ["bucket", "_salt"]).drop("_salt")
+def hot_keys(rows: DataFrame, key: str, n: str | None = None) -> DataFrame:
+    """The keys that a 1 / SHARE of all rows or more have, so SHARE at most; n: a column of numbers of rows, if they are counted already."""
+    counts = rows.groupBy(key).agg(F.sum(n if n else F.lit(1)).alias("n"))
+    total = rows.agg(F.coalesce(F.sum(n if n else F.lit(1)), F.lit(0))).first()[0]
+    return counts.where(F.col("n") * SHARE > total).select(key)
+
+
+def with_hot(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with a table that has a row for each key. The rows of hot keys, SHARE keys at most, stay where they are and get
+    theirs by broadcast; the others are shuffled."""
+    hot = F.broadcast(hot)
+    warm = rows.join(hot, key, "left_semi").join(F.broadcast(one.join(hot, key, "left_semi")), key)
+    return warm.unionByName(rows.join(hot, key, "left_anti").join(one, key))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
@@ -303,16 +311,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     rows = written(signatures(docs, size, text), f"{path}/rows")
     linked = rows.where("digest is not null and doc_id is not null")
     # a class of equal sets goes on as its smallest id; an id with several sets stands for each of them
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    counted = written(linked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), f"{path}/classes")
+    classes, copies = counted.select("digest", "node"), written(hot_keys(counted, "digest", "n"), f"{path}/copies")
     nodes = linked.join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     members = nodes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     members = written(members.join(shared, "bucket"), f"{path}/members")
+    crowded = written(hot_keys(members, "bucket"), f"{path}/crowded")
     signed = nodes.withColumnRenamed("doc_id", "node").join(members.select("node").distinct(), "node", "left_semi")
     signed = written(signed.select("node", "digest", "signature").dropDuplicates(["node", "digest"]), f"{path}/signed")
     bits = signed.select("node", "signature")
     # rows of one id with different sets belong together
-    same = linked.join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w"), F.collect_set("node").alias("all")).where("u != w")
+    same = with_hot(linked.select("digest", "doc_id"), classes, "digest", copies).groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("w"), F.collect_set("node").alias("all")).where("u != w")
     links = written(same.select("u", F.explode("all").alias("v")).where("u != v"), f"{path}/same")
     comp, sets = None, None
 
@@ -333,7 +343,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     def open_buckets(star: int) -> DataFrame:
         live = labelled(members)
         left = live.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
-        return written(_by_bucket(live, left).select("bucket", "node", "n", "c"), f"{path}/live-{star}")
+        return written(with_hot(live, left, "bucket", crowded).select("bucket", "node", "n", "c"), f"{path}/live-{star}")
 
     tidy(docs.sparkSession)
     live = open_buckets(0)
@@ -342,7 +352,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
             break
         # another leader each round: the first by a hash of the round
         lead = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), "node", "c")).alias("l"))
-        pairs = _by_bucket(live, lead).where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        pairs = with_hot(live, lead, "bucket", crowded).where("c != l.c").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         pairs = pairs.join(bits.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(bits.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         pairs = written(pairs.where(estimate(F.col("sa"), F.col("sb")) >= percent / 100 - SLACK).select("a", "b").distinct(), f"{path}/pairs-{star}")
         have = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
@@ -353,7 +363,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
         live = open_buckets(star + 1)
     if not live.isEmpty():
         with _small_batches(docs.sparkSession):
-            found = written(cluster_links(live, sets_of, percent, path), f"{path}/links")
+            found = written(cluster_links(live, sets_of, percent, path, crowded), f"{path}/links")
         if comp is None:
             links = links.unionByName(found)
         else:  # the new links join components: these are few nodes, and their labels are their smallest ids
@@ -367,6 +377,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     if comp is None:
         comp = written(components(links), f"{path}/comp")
     of = classes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
+    rows = rows.select("doc_id", "n_shingles", "digest")
+    sure = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    out = with_hot(rows.where(sure), of, "digest", copies).unionByName(rows.where(~sure).withColumn("component_id", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
