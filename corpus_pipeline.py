@@ -25,7 +25,11 @@ def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below their language's threshold; labels only train the classifier."""
+    """Documents whose score stays below their language's threshold; labels only train the classifier.
+
+    Whole texts are scored, of any length. A null or empty text has the score of a text without windows and stays unless that is a language's threshold
+    or more. Repeated rows and ids are judged each for itself, so they go or stay together. A score that equals the threshold goes. Without
+    labels of both kinds every document has the same score. An empty table stays empty."""
     model = toxicity.fit_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     more = ["lang"] if "lang" in docs.columns else []
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", *more)  # no column of docs can clash with the score's
@@ -48,17 +52,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that hold ten consecutive words of a benchmark item."""
+    """All documents, without the passages that hold ten consecutive words of a benchmark item.
+
+    Passages that overlap go as one. Null texts stay null, empty ones empty; a text that is nothing but such passages becomes empty and stays. Repeated rows
+    are changed alike. An empty benchmark, or items without words, change nothing. Texts of any length are searched whole."""
     return _recounted(decontam.remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
+    """All documents, with personal data replaced by the name of its kind.
+
+    Null texts stay null, empty ones empty. Spans that overlap are masked as one, by the kind of the one that begins first, the longest of these. Repeated rows are changed alike;
+    texts of any length are searched whole."""
     return _recounted(pii.redact(docs), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in a sequence that interleaves the sources by target weights."""
+    """All documents with their places in a sequence that interleaves the sources by target weights.
+
+    Every row gets a place: a null source counts as the empty one, and null or empty texts and repeated ids are rows like others. Rows of a source follow
+    a hash of the whole row; rows that are equal in all columns follow each other in any order. An empty table stays empty."""
     return mixing.mix(docs, WEIGHTS)
 
 
