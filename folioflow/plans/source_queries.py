@@ -593,13 +593,13 @@ def authors_reconciled(spark, sf):
 #: All columns that a keyword query may name, each bound to something of the documents.
 def _bound() -> tuple[dict, dict]:
     d = lambda c: F.col(c)
-    fields = {"text": d("text"), "abstract": F.substring("text", 1, 200), "notes": F.right("text", F.lit(50)), "title": d("title"), "author": d("journal"), "year": F.concat(F.lit("y"), _s(d("n_chars") % 10)), "journal": d("journal"), "keyword": d("labels")}
+    fields = {"text": d("text"), "abstract": d("text"), "notes": d("text"), "title": d("title"), "author": d("journal"), "year": F.concat(F.lit("y"), _s(d("n_chars") % 10)), "journal": d("journal"), "keyword": d("labels")}
     return fields, {"guid": d("guid"), "key": F.concat(F.lit("k"), _s(d("doc_id") % 7)), "folderid": F.concat(F.lit("F"), _s(d("doc_id") % 5)), "labelid": d("labels")}
 
 
 @query(
     "search_every_field",
-    f"""WITH {PUBLICATIONS_SQL} SELECT doc_id FROM p WHERE NOT trashed AND labels IN ('en', 'fr') AND doc_id % 5 = 2 AND journal <> 'src1' AND regexp_matches(lower(substr(text, 1, 200)), '(^|[^\\p{{L}}\\p{{N}}])the($|[^\\p{{L}}\\p{{N}}])')
+    f"""WITH {PUBLICATIONS_SQL} SELECT doc_id FROM p WHERE NOT trashed AND labels IN ('en', 'fr') AND doc_id % 5 = 2 AND journal <> 'src1' AND regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}])the($|[^\\p{{L}}\\p{{N}}])')
         UNION ALL SELECT doc_id FROM p WHERE labels = 'en' AND doc_id % 7 = 3 AND n_chars % 10 = 4 UNION ALL SELECT doc_id FROM p WHERE guid = 'G21' AND doc_id % 7 = 0""",
 )
 def search_every_field(spark, sf):

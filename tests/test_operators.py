@@ -11,7 +11,7 @@ from folioflow.streaming import feeds
 
 
 def test_query_parser():
-    assert search.parse_query('a author:"Peter Stadler" year:2008 "x y"') == [(None, "a", False), ("author", "Peter Stadler", True), ("year", "2008", False), (None, "x y", True)]
+    assert search.parse_query('a author:"Paul Sandler" year:2008 "x y"') == [(None, "a", False), ("author", "Paul Sandler", True), ("year", "2008", False), (None, "x y", True)]
     assert search.parse_query(None) == [] and search.compose("labelid:1", " a  b ", "title") == "labelid:1 title:a title:b" and search.compose(None, "") == ""
 
 
