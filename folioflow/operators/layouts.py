@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plugins import REGISTRY, register
+from ..store import written
 
 LINE = "doc string, position int, content string, fs double, xmin double, xmax double, ymin double, nr_bad_words int, nr_bad_author_words int, nr_common_words int, address_count int"
 
@@ -68,44 +69,57 @@ def _first(lines: Column, where: Line) -> Column:
     return F.array_min(F.transform(F.filter(lines, where), lambda x: x["at"]))
 
 
+def _let(value: Column, use: Line) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def by_fonts(docs: DataFrame, rule: FontRule) -> DataFrame:
     """doc, title, authors of documents (doc, lines) by the rule's pairs of fonts.
 
     For each pair the heading is a box. The lines in the author font whose boxes overlap its columns and don't
     start above its last line are candidates; those between the margins count up to the first line that ends
-    the block. The first pair that gives authors wins; without one the last pair with a heading gives a title."""
+    the block. The first pair that gives authors wins; without one the last pair with a heading gives a title.
+    All pairs are one expression over a document's lines, which stay where they are; pairs whose fonts don't occur are left out first."""
+    lines, flags = F.col("lines"), "(?i)" if rule.case else ""
     pairs = F.array(*(F.struct(F.lit(float(t)).alias("heading"), F.lit(float(a)).alias("names")) for t, a in rule.fonts))
-    p = docs.select("doc", "lines", F.posexplode(pairs).alias("rank", "font"))
-    flags = "(?i)" if rule.case else ""
-    p = p.withColumn("heading", F.filter("lines", lambda x: (x["fs"] == F.col("font.heading")) & ~x["content"].rlike(flags + rule.skip))).where(F.size("heading") > 0)
-    box = F.struct(
-        F.array_min(F.transform("heading", lambda x: x["xmin"])).alias("left"),
-        F.array_max(F.transform("heading", lambda x: x["xmax"])).alias("right"),
-        F.element_at("heading", -1)["ymin"].alias("top"),
-        F.element_at("heading", -1)["at"].alias("last"),
-    )
-    p = p.withColumn("box", box)
-    below = F.filter("lines", lambda x: (x["fs"] == F.col("font.names")) & (x["xmax"] >= F.col("box.left")) & (x["xmin"] <= F.col("box.right")) & (x["ymin"] >= F.col("box.top")))
-    p = p.withColumn("below", below)
-    between = F.filter("below", lambda x: (x["xmin"] > F.col("box.left") - LEFT) & (x["xmax"] < F.col("box.right") + RIGHT) & (F.length(x["content"]) >= (5 if rule.strict else 0)))
-    p = p.withColumn("block", between)
     foreign = lambda x: (x["nr_bad_words"] > 0) | (x["nr_bad_author_words"] > 0)
-    if rule.strict:
-        gaps = F.transform("block", lambda x, k: F.when((k > 0) & (x["ymin"] - F.get("block", k - 1)["ymin"] > GAP), x["at"]))
-        ends = F.array(
-            _first(F.col("lines"), lambda x: x["content"].startswith("Abstract")),
-            _first(F.col("below"), lambda x: x["ymin"] - F.col("box.top") > BELOW),
-            _first(F.col("block"), lambda x: foreign(x) | (x["address_count"] > 0) | ((x["nr_common_words"] > 0) & (x["at"] > F.col("box.last") + 1))),
+
+    def box(heading: Column) -> Column:
+        edge = lambda of, name: of(F.transform(heading, lambda x: x[name]))
+        last = F.element_at(heading, -1)
+        return F.struct(edge(F.array_min, "xmin").alias("left"), edge(F.array_max, "xmax").alias("right"), last["ymin"].alias("top"), last["at"].alias("last"))
+
+    def ends(below: Column, block: Column, b: Column) -> Column:
+        if not rule.strict:
+            return F.array(_first(block, lambda x: foreign(x) | (x["nr_common_words"] > 0)))
+        gaps = F.transform(block, lambda x, k: F.when((k > 0) & (x["ymin"] - F.get(block, k - 1)["ymin"] > GAP), x["at"]))
+        return F.array(
+            _first(lines, lambda x: x["content"].startswith("Abstract")),
+            _first(below, lambda x: x["ymin"] - b["top"] > BELOW),
+            _first(block, lambda x: foreign(x) | (x["address_count"] > 0) | ((x["nr_common_words"] > 0) & (x["at"] > b["last"] + 1))),
             F.array_min(gaps),
         )
-    else:
-        ends = F.array(_first(F.col("block"), lambda x: foreign(x) | (x["nr_common_words"] > 0)))
-    p = p.withColumn("end", F.coalesce(F.array_min(ends), F.size("lines")))
-    p = p.select("doc", "rank", _texts(F.col("heading"), " ").alias("title"), _texts(F.col("block"), ",", lambda x: x["at"] < F.col("end")).alias("authors"))
-    found = F.struct("title", "authors")
-    early = F.min_by(F.when(F.col("authors").isNotNull(), found), F.when(F.col("authors").isNotNull(), F.col("rank")))
-    best = F.coalesce(early, F.max_by(found, "rank")) if rule.both else F.min_by(found, "rank")
-    return p.groupBy("doc").agg(best.alias("m")).select("doc", "m.title", "m.authors")
+
+    def names(font: Column, b: Column) -> Column:
+        below = F.filter(lines, lambda x: (x["fs"] == font) & (x["xmax"] >= b["left"]) & (x["xmin"] <= b["right"]) & (x["ymin"] >= b["top"]))
+
+        def text(below: Column) -> Column:
+            inside = F.filter(below, lambda x: (x["xmin"] > b["left"] - LEFT) & (x["xmax"] < b["right"] + RIGHT) & (F.length(x["content"]) >= (5 if rule.strict else 0)))
+            return _let(inside, lambda block: _let(F.coalesce(F.array_min(ends(below, block, b)), F.size(lines)), lambda end: _texts(block, ",", lambda x: x["at"] < end)))
+
+        return _let(below, text)
+
+    def pair(p: Column) -> Column:
+        heading = F.filter(lines, lambda x: (x["fs"] == p["heading"]) & ~x["content"].rlike(flags + rule.skip))
+        whole = lambda h: F.struct(_texts(h, " ").alias("title"), _let(box(h), lambda b: names(p["names"], b)).alias("authors"))
+        return _let(heading, lambda h: F.when(F.size(h) > 0, whole(h)))
+
+    there = F.filter(pairs, lambda p: F.exists(lines, lambda x: x["fs"] == p["heading"]))
+    found = docs.select("doc", F.filter(F.transform(there, pair), lambda m: m.isNotNull()).alias("found"))
+    first = F.get("found", 0)
+    best = F.coalesce(F.get(F.filter("found", lambda m: m["authors"].isNotNull()), 0), F.try_element_at("found", F.lit(-1))) if rule.both else first
+    return found.select("doc", best.alias("m")).select("doc", "m.title", "m.authors")
 
 
 def biopolymers(docs: DataFrame) -> DataFrame:
@@ -178,7 +192,7 @@ def extract_titles(lines: DataFrame, rotated: DataFrame | None = None, layouts:
     which = F.lit(None).cast("string")
     for name, layout in reversed(layouts.items()):
         which = F.when(F.exists("texts", _shows(layout.sign)), F.lit(name)).otherwise(which)
-    docs = docs.select("doc", "lines", which.alias("layout"))
+    docs = written(docs.select("doc", "lines", which.alias("layout")), "layouts")  # each layout reads its own documents, grouped once
     out = docs.where("layout is null").select("doc", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("authors"))
     for name, layout in layouts.items():
         own = docs.where(F.col("layout") == name).drop("layout")

@@ -392,3 +392,23 @@ def dashboard_by_deltas(spark, sf):
     """Totals and the largest value by signed counts; the largest goes back when its rows are deleted."""
     kept = _counted(spark, sf, "counts")
     return kept.dashboard(num_items=kept.total("items"), longest=kept.largest("chars", "long"))
+
+
+@query(
+    "match_by_title",
+    r"""WITH q AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'D' || p_partkey END AS doi, upper(regexp_replace(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' xy' ELSE '!' END, '[\s.:!?\-;,]', '', 'g')) AS x FROM part WHERE p_partkey % 5 < 4),
+        o AS (SELECT 'G' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS guid, CASE WHEN p_partkey % 8 = 0 THEN 'd' || p_partkey END AS doi, upper(regexp_replace(p_name, '[\s.:!?\-;,]', '', 'g')) AS y FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'H' || p_partkey, NULL, upper(regexp_replace(p_name, '[\s.:!?\-;,]', '', 'g')) FROM part WHERE p_partkey % 2 = 0),
+        t AS (SELECT x, y, levenshtein(x, y) AS d FROM (SELECT DISTINCT x FROM q) CROSS JOIN (SELECT DISTINCT y FROM o) WHERE abs(length(x) - length(y)) < 5 AND levenshtein(x, y) < 5),
+        b AS (SELECT x, arg_min(guid, (d, guid)) AS guid FROM t JOIN o USING (y) GROUP BY x), i AS (SELECT lower(doi) AS doi, min(guid) AS guid FROM o WHERE doi IS NOT NULL GROUP BY ALL)
+        SELECT p_partkey, coalesce(i.guid, b.guid) AS guid, CASE WHEN i.guid IS NOT NULL THEN 'doi' ELSE 'title' END AS "by" FROM q LEFT JOIN i ON lower(q.doi) = i.doi LEFT JOIN b USING (x) WHERE coalesce(i.guid, b.guid) IS NOT NULL""",
+)
+def match_by_title(spark, sf):
+    """Records matched by an identifier or, most of them, by titles that differ a little; the provider has every title twice."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    ids = {"pmid": none, "arxivid": none}
+    name = F.concat("p_name", F.when(k % 3 == 0, F.lit(" xy")).otherwise(F.lit("!")))
+    asked = p.where(k % 5 < 4).select("p_partkey", name.alias("title"), F.when(k % 4 == 0, F.concat(F.lit("D"), _s(k))).alias("doi")).withColumns(ids)
+    known = p.where(k % 2 == 0).select(F.concat(F.lit("G"), F.lpad(_s(k), 9, "0")).alias("guid"), F.col("p_name").alias("title"), F.when(k % 8 == 0, F.concat(F.lit("d"), _s(k))).alias("doi"))
+    known = known.unionByName(p.where(k % 2 == 0).select(F.concat(F.lit("H"), _s(k)).alias("guid"), F.col("p_name").alias("title"), none.alias("doi"))).withColumns(ids)
+    return matching.match_by_priority(asked, known, "p_partkey")
