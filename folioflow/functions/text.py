@@ -225,3 +225,19 @@ def tree_query(tree, atom) -> Column:
         left, right = tree_query(tree[0], atom), tree_query(tree[2], atom)
         return left & right if tree[1].lower() == "and" else left | right
     return atom(tree)
+
+
+#: Letters of a text that are cut out first, so that a long text isn't walked through for each run.
+_STRETCH = 256
+
+
+def letter_runs(c: Column, q: Column, each=lambda run: run) -> Column:
+    """All runs of q letters of a text in order, or what ``each`` makes of them; none for q below 1."""
+    n = F.length(c) - q + 1
+
+    def runs(k: Column) -> Column:
+        stretch = F.transform(F.array(F.substring(c, k * _STRETCH + 1, F.lit(_STRETCH - 1) + q)), lambda t: F.transform(F.sequence(F.lit(1), F.least(F.lit(_STRETCH), n - k * _STRETCH)), lambda i: each(F.substring(t, i, q))))
+        return F.get(stretch, 0)
+
+    stretches = F.when((q > 0) & (n > 0), F.sequence(F.lit(0), F.floor((n - 1) / _STRETCH).cast("int")))
+    return F.flatten(F.transform(F.coalesce(stretches, F.array().cast("array<int>")), runs))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import freestyle_bibtex
+from ..functions.text import letter_runs
 from ..plugins import register
 from ..sources.bibtex import balanced_entry, read_bibtex
 from ..sources.records import FIELDS, QueryError, UnknownSiteError
@@ -511,12 +512,6 @@ def literal_runs(pattern: str) -> list[str]:
     return [r for r in [*out, run] if r]
 
 
-def _text_grams(c: Column) -> Column:
-    text = F.lower(F.coalesce(c, F.lit("")))
-    places = F.when(F.length(text) >= RULE_GRAM, F.sequence(F.lit(1), F.length(text) - (RULE_GRAM - 1)))
-    return F.array_distinct(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(RULE_GRAM))))
-
-
 def rule_hits(pages: DataFrame, rules: DataFrame, key: str = "page_id", fields: tuple[str, ...] = ("url", "html")) -> DataFrame:
     """(key, rule): the first rule of each page, by the smallest number ``rule`` of those whose ``pattern`` is found in the page's ``field``.
 
@@ -536,7 +531,9 @@ def rule_hits(pages: DataFrame, rules: DataFrame, key: str = "page_id", fields:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(grams, pa.string())], names=schema.names)
 
     known = written(rules.where("pattern is not null").select("rule", "field", "pattern").mapInArrow(run, schema), "rules")
-    every = [pages.select(key, F.lit(f).alias("field"), F.explode(_text_grams(F.col(f))).alias("gram")) for f in fields]
+    asked = {r["field"] for r in known.where("gram is not null").select("field").distinct().limit(len(fields) + 1).collect()}
+    grams = lambda f: F.array_distinct(letter_runs(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(RULE_GRAM)))
+    every = [pages.select(key, F.lit(f).alias("field"), F.explode(grams(f) if f in asked else F.array().cast("array<string>")).alias("gram")) for f in fields]
     every = reduce(DataFrame.unionByName, every).join(known.select("field", "gram").distinct(), ["field", "gram"])
     every = written(every.select(key, "field", "gram"), "grams")
     counts = every.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))

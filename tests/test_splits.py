@@ -55,13 +55,13 @@ def bib(seed, n):
     return "\n".join(out) + r.choice(["", "\n"])
 
 
-@pytest.mark.parametrize("size", [64, 700, 10_000, None])
+@pytest.mark.parametrize("size", [150, 4_000, None])
 def test_bibtex_ranges_equal_the_whole_file(spark, tmp_path, size):
-    texts = {"a": HARD, "b": bib(1, 120), "c": bib(2, 60), "d": "", "e": "no mark at all\n{{\n", "f": "@article{x, title={one line}}"}
+    texts = {"a": HARD, "b": bib(1, 50), "c": bib(2, 25), "d": "", "e": "no mark at all\n{{\n", "f": "@article{x, title={one line}}"}
     for name, t in texts.items():
         (tmp_path / f"{name}.bib").write_text(t, encoding="utf-8")
     lines = splits.line_ranges(spark, str(tmp_path), size)
-    if size == 700:
+    if size == 150:
         assert lines.select("path", "start").distinct().count() > 40 and lines.rdd.getNumPartitions() > 4
     want = [r for name in sorted(texts) for r in keyed(bibtex.read_bibtex(texts[name]))]
     assert in_order(splits.read_bibtex_ranges(spark, str(tmp_path), range_bytes=size)) == want
@@ -73,7 +73,7 @@ def test_macros_count_from_their_definition_on(spark, tmp_path):
     assert [r["note"] or "" for r in got] == ["", "1", "12March"]
 
 
-@pytest.mark.parametrize("size", [50, 900, None])
+@pytest.mark.parametrize("size", [120, None])
 def test_ris_ranges_equal_the_whole_file(spark, tmp_path, size):
     r = random.Random(3)
     rows = []
