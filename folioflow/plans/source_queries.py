@@ -274,11 +274,13 @@ def library_files(spark, sf):
     return libraries.library_formats(made.unionByName(plain))
 
 
-@query("deep_folders", "WITH RECURSIVE t AS (SELECT 1 AS k, 'f1' AS path UNION ALL SELECT k + 1, path || '/f' || (k + 1) FROM t WHERE k < 300) SELECT CAST(k AS VARCHAR) AS guid, path FROM t")
+@query("deep_folders", "WITH RECURSIVE t AS (SELECT min(s_suppkey) AS k, min_by(s_name, s_suppkey) AS path FROM supplier UNION ALL SELECT s_suppkey, path || '/' || s_name FROM t JOIN supplier ON s_suppkey = k + 1) SELECT CAST(k AS VARCHAR) AS guid, path FROM t")
 def deep_folders(spark, sf):
-    """A chain of 300 folders, beside a cycle that has no path."""
-    chain = spark.range(1, 301).select(_s("id").alias("guid"), F.when(F.col("id") > 1, _s(F.col("id") - 1)).alias("parent"), F.concat(F.lit("f"), _s("id")).alias("name"))
-    cycle = spark.createDataFrame([("x", "y", "x"), ("y", "x", "y")], chain.schema)
+    """A chain of folders, one for each supplier, beside a cycle that has no path."""
+    s, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    before = s.select((k + 1).alias("s_suppkey"), k.alias("p"))
+    chain = s.join(before, "s_suppkey", "left").select(_s(k).alias("guid"), _s("p").alias("parent"), F.col("s_name").alias("name"))
+    cycle = table(spark, sf, "nation").where("n_nationkey < 2").select(F.concat(F.lit("x"), _s("n_nationkey")).alias("guid"), F.concat(F.lit("x"), _s(1 - F.col("n_nationkey"))).alias("parent"), F.col("n_name").alias("name"))
     return readers.folder_paths(chain.unionByName(cycle))
 
 
@@ -332,33 +334,39 @@ def _touched(spark, folder: str, names_: list[str]) -> None:
         out.close()
 
 
-@query("directory", "SELECT * FROM (VALUES ('DIR', 'b.dir', 1), ('DIR', 'sub', 2), ('FILE', 'A.PDF', 3), ('FILE', 'B.pdf', 4), ('FILE', 'a.pdf', 5)) v(type, name, place)")
+#: A file name for each supplier: three that end in .pdf, two of them below a folder, then others.
+_FILE_SQL = "CASE s_suppkey % 6 WHEN 0 THEN s_name || '.pdf' WHEN 1 THEN 'deep/er/' || s_name || '.PDF' WHEN 2 THEN 'deep/' || s_name || '.Pdf' WHEN 3 THEN s_name || '.pdf.zip' WHEN 4 THEN '.' || s_name || '.pdf' ELSE s_name || '.dir/x' END"
+
+
+def _supplier_files(spark, sf, what: str) -> str:
+    path = working_folder(spark, what)
+    _touched(spark, path, [r["f"] for r in table(spark, sf, "supplier").select(F.expr(_FILE_SQL).alias("f")).collect()])  # files are made here one by one
+    return path
+
+
+@query(
+    "directory",
+    f"""WITH f AS (SELECT {_FILE_SQL} AS f FROM supplier), d AS (SELECT DISTINCT CASE WHEN contains(f, '/') THEN 'DIR' ELSE 'FILE' END AS type, split_part(f, '/', 1) AS name FROM f)
+        SELECT type, name, CAST(row_number() OVER (ORDER BY type, name) AS INTEGER) AS place FROM d WHERE NOT starts_with(name, '.') AND (type = 'DIR' OR lower(name) LIKE '%.pdf')""",
+)
 def directory(spark, sf):
-    """Folders, then files, in code-point order; hidden ones and other extensions are left out."""
-    path = working_folder(spark, "directory")
-    _touched(spark, path, ["sub/x", "b.dir/x", "a.pdf", "B.pdf", "A.PDF", ".hidden.pdf", "c.txt"])
+    """Folders, then files, in code-point order; hidden ones and other extensions are left out. A file for each supplier."""
+    path = _supplier_files(spark, sf, "directory")
     found = readers.list_directory(spark, path, ("pdf",))
-    assert readers.file_stat(spark, f"{path}/a.pdf")["readable"] and not readers.file_stat(spark, f"{path}/none")["exists"]
+    assert not readers.file_stat(spark, f"{path}/none")["exists"] and all(readers.file_stat(spark, f"{path}/{r['name']}")["readable"] for r in found[:1])
     return spark.createDataFrame([(r["type"], r["name"], k) for k, r in enumerate(found, 1)], "type string, name string, place int")
 
 
-_PDFS = ("a.pdf", "deep/er/B.PDF", "c.Pdf", "deep/d.txt", "pdf", "e.pdf.zip")
-
-
-@query("pdf_files", "SELECT * FROM (VALUES ('a.pdf', 4), ('B.PDF', 4), ('c.Pdf', 4)) v(name, length)")
+@query("pdf_files", f"SELECT regexp_extract({_FILE_SQL}, '([^/]*)$', 1) AS name FROM supplier WHERE s_suppkey % 6 < 3")
 def pdf_files(spark, sf):
-    """All files of a tree whose names end in .pdf, any case."""
-    path = working_folder(spark, "pdfs")
-    _touched(spark, path, list(_PDFS))
-    return readers.find_pdfs(spark, path).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").cast("int").alias("length"))
+    """All files of a tree whose names end in .pdf, any case; hidden ones are left out."""
+    return readers.find_pdfs(spark, _supplier_files(spark, sf, "pdfs")).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
 
-@query("watched_files", "SELECT * FROM (VALUES ('a.pdf'), ('B.PDF'), ('c.Pdf')) v(name)")
+@query("watched_files", f"SELECT regexp_extract({_FILE_SQL}, '([^/]*)$', 1) AS name FROM supplier WHERE s_suppkey % 6 < 3")
 def watched_files(spark, sf):
     """Files of a folder as a stream."""
-    path = working_folder(spark, "watched")
-    _touched(spark, path, list(_PDFS))
-    return drained(feeds.watched_files(spark, path, "*.[pP][dD][fF]")).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
+    return drained(feeds.watched_files(spark, _supplier_files(spark, sf, "watched"), "*.[pP][dD][fF]")).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
 
 @query("limited_search", "SELECT count(*) AS total FROM part WHERE list_contains(string_split(p_name, ' '), 'gear')")
@@ -780,7 +788,8 @@ def word_search(spark, sf):
     return xml.select(F.explode(structured.from_xml_text(F.col("xml"), "result array<struct<id:string,title:string>>", "xml")["result"]).alias("r")).select("r.id", "r.title")
 
 
-@query("word_styles", "SELECT unnest(['author-date', 'initials first', 'nature', 'numeric']) AS style")
+@query("word_styles", "SELECT s_suppkey, ['author-date', 'initials first', 'nature', 'numeric'][1 + s_suppkey % 4] AS style FROM supplier")
 def word_styles(spark, sf):
-    xml = wordprocessor.command(spark, "list_styles")
-    return xml.select(F.explode(structured.from_xml_text(F.col("xml"), "style array<string>", "xml")["style"]).alias("style"))
+    """Each supplier's document in one of the styles that a word processor is told of."""
+    listed = structured.from_xml_text(F.lit(wordprocessor.command(spark, "list_styles").first()["xml"]), "style array<string>", "xml")["style"]
+    return table(spark, sf, "supplier").select("s_suppkey", F.get(F.array_sort(listed), (F.col("s_suppkey") % 4).cast("int")).alias("style"))
