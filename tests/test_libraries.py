@@ -1,6 +1,7 @@
 """Library files of other programs: small SQLite files made here, in the layouts that the readers know."""
 
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,21 @@ def test_deep_folders_and_cycles(spark):
     assert readers.folder_paths(spark.createDataFrame([], "guid string, parent string, name string")).count() == 0
 
 
+def test_deep_paths_are_not_written_whole(spark):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    size = lambda: sum(p.stat().st_size for p in Path(base).rglob("*.parquet"))
+    names = [f"{k * 7919 % 100003:06d}" for k in range(1200)]
+    before = size()
+    found = readers.folder_paths(spark.createDataFrame([(k, k - 1 if k else None, names[k]) for k in range(1200)] + [(2000, 500, "side"), (2001, 2000, None), (2002, 2001, "end"), (3000, 3001, "x"), (3001, 3000, "y")], "guid long, parent long, name string"))
+    written = size() - before
+    got = {r["guid"]: r["path"] for r in found.collect()}
+    assert len(got) == 1203 and all(got[k] == "/".join(names[: k + 1]) for k in range(1200))
+    assert got[2002] == "/".join(names[:501]) + "/side/end" and got[2001] == got[2000]
+    assert written < 1.5e6, written
+    twice = readers.folder_paths(spark.createDataFrame([("a", None, "x"), ("a", None, "y"), ("b", "a", "z")], "guid string, parent string, name string"))
+    assert sorted(r["path"] for r in twice.collect()) == ["x", "x/z", "y", "y/z"]
+
+
 def test_atom(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         '<feed xmlns="http://www.w3.org/2005/Atom"><title>Arrivals</title><entry><title>One</title><id>urn:1</id><link rel="self" href="http://x.org/self"/><link href="http://x.org/1"/><summary>S</summary><author><name>Jane Roe</name></author><author><name>John Doe</name></author></entry>'
