@@ -75,3 +75,21 @@ def test_an_id_with_many_texts_is_learned_from_once(spark, monkeypatch):
     for some in (rows, rows[::-1]):
         toxicity.fit_model(spark.createDataFrame(some, "doc_id long, text string, lang string"), labels)
     assert len(seen[0][0]) == 5 and seen[0] == seen[1]
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Of many rows each one changes the model, and shards give as good a one as one set."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    rows = corpus(1200, 5)
+    make = lambda some: (spark.createDataFrame([(k, t, x) for k, t, x, _ in some], "doc_id long, text string, lang string"), spark.createDataFrame([(k, y) for k, _, _, y in some], "doc_id long, toxic int"))
+    seen = []
+    real = toxicity.train_shards
+    monkeypatch.setattr(toxicity, "train_shards", lambda coded, n, toxic: seen.append((coded.count(), n, toxic)) or real(coded, n, toxic))
+    docs, labels = make(rows)
+    model = toxicity.fit_model(docs, labels, rows=400)
+    assert seen == [(1200, 1200, sum(y for *_, y in rows))]
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    good, bad = ([score[k] for k, *_, y in rows if y == kind] for kind in (0, 1))
+    assert sum(b > g for b in bad for g in good) > 0.9 * len(bad) * len(good)
+    again = toxicity.fit_model(*make(rows[::-1]), rows=400)
+    assert all(np.array_equal(model.p[c], again.p[c]) for c in model.p) and model.thresholds == again.thresholds
