@@ -180,3 +180,16 @@ def test_export_library(spark, tmp_path):
     assert back["pdf"] is None and back["citekey"] == ""
     assert writers.write_string([{"citekey": "k", "pubtype": "MISC", "title": "T"}], "citekey string, pubtype string, title string", "bibtex", spark).startswith("@MISC{k,")
     assert set(records.with_fields(df).columns) >= set(records.FIELDS)
+
+
+def test_files_are_made_by_tasks_and_listed_by_name(spark, tmp_path):
+    from folioflow.plans.source_queries import _touched
+
+    names = ["a, b.pdf", "a)", "Array(x.pdf", ".hid.pdf", "deep/er/c.PDF", "deep/d.txt", "z, file:.pdf"]
+    _touched(spark.createDataFrame([(n,) for n in names], "f string").repartition(3), f"file://{tmp_path}/in")
+    assert {str(p.relative_to(tmp_path / "in")) for p in (tmp_path / "in").rglob("*") if p.is_file()} == set(names)
+    found = readers.list_directory(spark, f"{tmp_path}/in", ("pdf",))
+    assert [(f["name"], f["type"]) for f in found] == [("deep", "DIR"), ("Array(x.pdf", "FILE"), ("a, b.pdf", "FILE"), ("z, file:.pdf", "FILE")]
+    assert found[0]["path"] == f"file:{tmp_path}/in/deep"
+    (tmp_path / "none").mkdir()
+    assert readers.list_directory(spark, str(tmp_path / "none")) == []
