@@ -166,6 +166,10 @@ def _by(*columns):
 # -- library files of other programs ------------------------------------------------------------------
 
 
+#: Bytes of the files that a task holds at once.
+FILE_BYTES = 4 << 20
+
+
 def _sqlite_files(rows: DataFrame, path: str, make) -> DataFrame:
     """(path, content): a SQLite file for each value of ``path``, made from its rows by ``make(db, list of rows)``."""
     names_ = [c for c in rows.columns if c != path]
@@ -173,14 +177,20 @@ def _sqlite_files(rows: DataFrame, path: str, make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            files = []
-            for group in batch.column(1).to_pylist():
+            names_, files, size = [], [], 0
+            for name, group in zip(batch.column(0), batch.column(1), strict=True):
                 db = sqlite3.connect(":memory:")
-                make(db, group)
+                make(db, group.as_py())
                 db.commit()
+                names_.append(name.as_py())
                 files.append(db.serialize())
+                size += len(files[-1])
                 db.close()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], names=["path", "content"])
+                if size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names_, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+                    names_, files, size = [], [], 0
+            if files:
+                yield pa.RecordBatch.from_arrays([pa.array(names_, pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
 
     return packed.mapInArrow(run, "path string, content binary")
 

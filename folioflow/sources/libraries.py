@@ -51,10 +51,10 @@ def sqlite_rows(files: DataFrame, wanted: dict[str, list[str]] | None = None) ->
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW.names)
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                db = None
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):  # one file's bytes at a time
+                path, db = path.as_py(), None
                 try:
-                    db = _opened(content)
+                    db = _opened(content.as_py())
                     have = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
                     if wanted is None:
                         if have:

@@ -170,3 +170,15 @@ def test_limited(spark):
     with pytest.raises(CanceledError):
         limited(spark, slow, 60, 60, canceled=stop)
     assert spark.range(5).where(F.col("id") > 2).count() == 2
+
+
+def test_files_are_made_in_small_batches(spark, monkeypatch):
+    from folioflow.plans import source_queries
+
+    rows = spark.range(300).select(F.format_string("f%03d", "id").alias("path"), "id").coalesce(1)
+    monkeypatch.setattr(source_queries, "FILE_BYTES", 1 << 16)
+    files = source_queries._sqlite_files(rows, "path", lambda db, some: db.execute(f"CREATE TABLE t{some[0]['id']} (id)"))
+    sizes = files.mapInArrow(lambda batches: batches, files.schema).select("path", F.length("content").alias("n"))
+    assert sizes.count() == 300 and sizes.where("n > 0").count() == 300
+    names = {(r["path"], r["name"]) for r in libraries.sqlite_tables(files).collect()}
+    assert names == {(f"f{k:03d}", f"t{k}") for k in range(300)}
