@@ -18,7 +18,7 @@ from ..store import working_folder
 from ..streaming import feeds
 from ..streaming.run import drained, limited
 from .search_queries import query
-from .tables import PUBLICATIONS_SQL, publications, table
+from .tables import PUBLICATIONS_SQL, publications, spread, table
 
 
 def _s(c) -> Column:
@@ -463,7 +463,7 @@ _RIS_WHOLE = {f: v for f, v in _WHOLE.items() if f in ("title", "journal", "book
 
 
 def _whole(spark, sf, fields: dict) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", *(_filled(v, k=F.col("p_partkey") + 1, name="p_name").alias(f) for f, v in fields.items()))
+    return spread(table(spark, sf, "part")).select("p_partkey", *(_filled(v, k=F.col("p_partkey") + 1, name="p_name").alias(f) for f, v in fields.items()))
 
 
 @query("bibtex_whole_records", "SELECT " + ", ".join(f"{_filled_sql(v, k='(p_partkey + 1)', name='p_name')} AS {f}" for f, v in _WHOLE.items()) + " FROM part")
