@@ -68,7 +68,7 @@ def _case(key: str, of: tuple, render) -> Column:
 @query("format_of_marked_texts", f"SELECT p_partkey, {_cases('p_partkey', _MARKED, lambda x: _filled_sql(x[1]))} AS format FROM part")
 def format_of_marked_texts(spark, sf):
     """Marks inside and outside the lines that are looked at."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     return p.select("p_partkey", detect.text_format(_case("p_partkey", _MARKED, lambda x: _filled(x[0], name="p_name"))).alias("format"))
 
 
@@ -81,7 +81,7 @@ _LEGACY = (
 @query("legacy_format", f"SELECT p_partkey, {_cases('p_partkey', _LEGACY, lambda x: _filled_sql(x[1]))} AS format FROM part")
 def legacy_format(spark, sf):
     """The older detection over 100 lines and six formats."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"))
     return p.select("p_partkey", detect.legacy_format(_case("p_partkey", _LEGACY, lambda x: _filled(x[0], name="p_name"))).alias("format"))
 
 
