@@ -672,7 +672,7 @@ _PAGE_FIELDS = ("pubtype", "title", "authors", "journal", "volume", "issue", "pa
 def site_records(spark, sf):
     """Records from pages of the known sites, from embedded texts and meta tags, and the errors of pages without one."""
     values = {"k": "p_partkey", "name": "p_name"}
-    pages = table(spark, sf, "part").select("p_partkey", _case("p_partkey", _PAGES, lambda x: _filled(x[0], **values)).alias("url"), _case("p_partkey", _PAGES, lambda x: _filled(x[1], **values)).alias("html"))
+    pages = spread(table(spark, sf, "part")).select("p_partkey", _case("p_partkey", _PAGES, lambda x: _filled(x[0], **values)).alias("url"), _case("p_partkey", _PAGES, lambda x: _filled(x[1], **values)).alias("html"))
     return webpages.extract_records(pages, key="p_partkey").select("p_partkey", *_PAGE_FIELDS)
 
 
@@ -690,7 +690,7 @@ _LINKED = (
 @query("linked_records", "SELECT p_partkey, " + ", ".join(f"{_cases('p_partkey', _LINKED, lambda x, k=k: _filled_sql(x[4][k], **_PART))} AS {c}" for k, c in enumerate(("title", "volume", "pages"))) + " FROM part")
 def linked_records(spark, sf):
     """Records completed from a site's export, from frames, and from a provider's record of the same number."""
-    p, values = table(spark, sf, "part"), {"k": "p_partkey", "name": "p_name"}
+    p, values = spread(table(spark, sf, "part")), {"k": "p_partkey", "name": "p_name"}
     of = lambda k: _case("p_partkey", _LINKED, lambda x: _filled(x[k], **values))
     linked = p.select(of(2).alias("url"), of(3).alias("html"))
     pubmed = p.select(_s("p_partkey").alias("pmid"), F.concat("p_name", F.lit(" whole")).alias("title"), F.lit("7").alias("volume"))
