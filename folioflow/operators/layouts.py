@@ -207,6 +207,14 @@ def box_text(value: Column) -> Column:
 
 #: Units between the tops of words of one line at most; between columns, and between blocks, at least.
 TOPS, GUTTER, LEADING = 2.0, 20.0, 18.0
+#: Words of a task at most, but for documents that have more: some 900 bytes each while they are sorted.
+TASK_WORDS = 250_000
+
+
+def _dealt(words: DataFrame) -> DataFrame:
+    """Words dealt by documents to so many tasks that their sorts stay in memory. Spark joins tasks by packed bytes, of which a word has few."""
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // TASK_WORDS))
+    return words.repartition(tasks, "doc")
 
 
 def _segments(words: DataFrame, within: list, low: Column, high: Column, gap: float, name: str) -> DataFrame:
@@ -223,7 +231,7 @@ def reading_order(words: DataFrame, rounds: int = 2, gutter: float = GUTTER, lea
 
     Pages are cut along white space that crosses them: into bands above each other, each band into columns, each column
     into bands again, and so on for some rounds. Windows never leave a page."""
-    out, cuts = words, []
+    out, cuts = _dealt(words), []
     for k in range(rounds):
         for axis, low, high, gap in (("band", F.col("ymin"), F.col("ymin"), leading), ("column", F.col("xmin"), F.col("xmax"), gutter)):
             name = f"_{axis}_{k}"
@@ -234,9 +242,9 @@ def reading_order(words: DataFrame, rounds: int = 2, gutter: float = GUTTER, lea
 
 def words_to_lines(words: DataFrame, tolerance: float = TOPS, by: tuple[str, ...] = ()) -> DataFrame:
     """A word table (doc, page, word, xmin, xmax, ymin, size) as lines: words of one size, each top
-    within ``tolerance`` of the one above it. by: more columns that a line's words share, such as ``block``."""
+    within ``tolerance`` of the one above it. by: more columns that a line's words share, such as ``block`` of ``reading_order``, which has dealt them."""
     within = ["doc", "page", "size", *by]
-    lines = _segments(words, within, F.col("ymin"), F.col("ymin"), tolerance, "_line").groupBy(*within, "_line").agg(
+    lines = _segments(words if by else _dealt(words), within, F.col("ymin"), F.col("ymin"), tolerance, "_line").groupBy(*within, "_line").agg(
         F.expr("listagg(word, ' ') WITHIN GROUP (ORDER BY xmin)").alias("content"), F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin")
     )
     return lines.withColumnRenamed("size", "fs").drop("_line")
