@@ -29,6 +29,8 @@ from .records import FIELDS, PUBLICATION
 STARTS = {"BIBTEX": bibtex.ENTRY_LINE, "RIS": ris.RECORD_LINE}
 #: Characters of chunks that go on at once.
 BATCH_CHARS = 1 << 20
+#: Bytes of short ranges that one task reads, where there are more than some for each core.
+TASK_BYTES = 1 << 25
 
 _CHUNK = T.StructType([T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
 
@@ -41,7 +43,12 @@ def line_ranges(spark: SparkSession, path: str, range_bytes: int | None = None)
         spark = spark.newSession()
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    if range_bytes is None:
+        return lines
+    # a task reads many short ranges, one after the other: with a task and a file for each, their start would be most of the time
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-lines.rdd.getNumPartitions() * range_bytes // TASK_BYTES))
+    return lines.coalesce(tasks)
 
 
 def _pieces(lines: DataFrame, starts: re.Pattern) -> DataFrame:

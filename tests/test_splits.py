@@ -95,3 +95,11 @@ def test_an_entry_over_many_ranges(spark, tmp_path):
     (tmp_path / "x.bib").write_text(text, encoding="utf-8")
     assert in_order(splits.read_bibtex_ranges(spark, str(tmp_path), range_bytes=500)) == keyed(bibtex.read_bibtex(text))
     assert splits.chunks(spark, splits.line_ranges(spark, str(tmp_path), 500), "BIBTEX").select(F.countDistinct("start", "n")).first()[0] == 2
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    text = bib(5, 400)
+    (tmp_path / "x.bib").write_text(text, encoding="utf-8")
+    lines = splits.line_ranges(spark, str(tmp_path), 200)
+    assert lines.select("start").distinct().count() > 100 and lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert in_order(splits.read_bibtex_ranges(spark, str(tmp_path), range_bytes=200)) == keyed(bibtex.read_bibtex(text))
