@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import re
@@ -13,25 +14,33 @@ from pyspark.sql import types as T
 
 from ..functions.text import guid_of, identity_sha1
 from ..store import written
-from .bibtex import read_bibtex
+from .bibtex import bibtex_records, read_bibtex
 from .records import FIELDS, PUBLICATION, FileFormatError, FileReadError
-from .ris import read_ris, read_ris_bytes
+from .ris import read_ris, ris_byte_records
 
 PARSERS = {"BIBTEX": read_bibtex, "RIS": read_ris}
 PARSED = T.StructType([T.StructField("path", T.StringType()), T.StructField("position", T.IntegerType()), *PUBLICATION.fields])
 
 
+#: Records that are put together before they go on.
+BATCH_RECORDS = 2_000
+
+
 def parse_files(files: DataFrame, parser) -> DataFrame:
-    """files: path, content (string or binary). Records of each file with path and position; unknown fields are left out."""
+    """files: path, content (string or binary). Records of each file with path and position; unknown fields are left out.
+
+    Of a parser that gives one record at a time, no more than some are held, whatever a file has."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, r in enumerate(parser(content or (b"" if isinstance(content, bytes) else ""))):
-                    rows.append({"path": path, "position": k, **{f: r.get(f) for f in FIELDS}})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("position", pa.int32()), *((f, pa.string()) for f in FIELDS)]))
+            found = (
+                (path.as_py(), k, r)
+                for path, content in zip(batch.column(0), batch.column(1), strict=True)
+                for k, r in enumerate(parser(content.as_py() or (b"" if pa.types.is_binary(content.type) else "")))
+            )
+            while rows := list(itertools.islice(found, BATCH_RECORDS)):
+                paths, places, records = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int32()), *(pa.array([r.get(f) for r in records], pa.string()) for f in FIELDS)], names=PARSED.names)
 
     return files.select("path", "content").mapInArrow(run, PARSED)
 
@@ -49,12 +58,12 @@ def binary_files(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def read_bibtex_files(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
-    return parse_files(text_files(spark, path), lambda t: read_bibtex(t, strip))
+    return parse_files(text_files(spark, path), lambda t: bibtex_records(t, strip))
 
 
 def read_ris_files(spark: SparkSession, path: str) -> DataFrame:
     """The character set of each file is found from its bytes."""
-    return parse_files(binary_files(spark, path), read_ris_bytes)
+    return parse_files(binary_files(spark, path), ris_byte_records)
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:

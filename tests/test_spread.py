@@ -8,7 +8,7 @@ from folioflow.plans.tables import spread, table
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["bibtex_whole_records", "ris_whole_records", "format_of_marked_texts", "legacy_format", "site_records"])
+@pytest.mark.parametrize("name", ["bibtex_whole_records", "ris_whole_records", "format_of_marked_texts", "legacy_format", "site_records", "citations_wrapped"])
 def test_rows_of_a_small_file_are_many_tasks(spark, name):
     assert table(spark, SF, "part").rdd.getNumPartitions() == 1
     assert __spark_entry__.queries()[name](spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
