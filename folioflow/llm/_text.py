@@ -27,6 +27,11 @@ def space_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def alnum_spaced(text: bytes) -> bytes:
+    """The text with blanks for all bytes that stand in no ``alnum_words``, and A-Z folded."""
+    return text.translate(_ALNUM)
+
+
 def alnum_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after folding A-Z."""
     return text.translate(_ALNUM).split()

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._store import work_dir, written
-from ._text import alnum_words, column_bytes, fields, map_arrow, settle
-from .blocks import classes, numbered, packed, squeezed, unpacked, words_of
+from ._text import alnum_spaced, column_bytes, fields, map_arrow, settle
+from .blocks import classes, numbered, packed, parted, squeezed, unpacked, word_array
 
 #: Whose n-grams are counted.
 SIDES = ("documents", "target")
@@ -70,8 +70,9 @@ def _dealt(columns: np.ndarray, digests: np.ndarray, shards: int) -> np.ndarray:
 
 def _by_shard(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of n-grams by their shards, else as they stand, and where each shard's begin."""
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    small = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # numbers of two bytes are sorted by radix
+    order = np.argsort(small, kind="stable").astype(np.int32 if len(shard) < 1 << 31 else np.int64)
+    return order, np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _crc_table() -> np.ndarray:
@@ -154,7 +155,7 @@ def _strings(known: pa.Array, columns: np.ndarray) -> pa.Array:
 
 def _read(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The vocabulary of some texts, and their words' numbers with a boundary behind every text."""
-    return numbered((b" \xff ".join(b" ".join(alnum_words(t)) for t in texts) + b" \xff").split())
+    return numbered(parted(b" \xff ".join(map(alnum_spaced, texts)) + b" \xff"))
 
 
 def _piece(texts: list[bytes], shards: int):
@@ -164,7 +165,7 @@ def _piece(texts: list[bytes], shards: int):
         return
     digests, parts = _digests(words), []
     for columns, _, _, counts in grams(ids, len(words)):
-        parts.append((columns.astype(np.int32), counts, *_by_shard(_dealt(columns, digests, shards * PARTS), shards * PARTS)))
+        parts.append((columns.astype(np.int32), counts.astype(np.int32), *_by_shard(_dealt(columns, digests, shards * PARTS), shards * PARTS)))
     del ids, digests
     place = np.empty(len(words), np.int64)
     for s in range(shards):
@@ -208,6 +209,7 @@ def _sent(texts: DataFrame, shards: int) -> DataFrame:
                 if size >= GATHER:
                     yield from out()
                     size = 0
+                    settle()
         yield from out()
         settle()
 
@@ -217,7 +219,7 @@ def _sent(texts: DataFrame, shards: int) -> DataFrame:
 def _received(blob: bytes, part: int) -> tuple[pa.Array, np.ndarray]:
     """The n-gram strings of a part of a blob, and their counts."""
     ends = 8 * (PARTS + 1) + np.cumsum(np.frombuffer(blob, np.int64, PARTS + 1))
-    known, own = pa.array(words_of(blob[8 * (PARTS + 1) : ends[0]]), pa.binary()), unpacked(blob[ends[part] : ends[part + 1]])
+    known, own = word_array(blob[8 * (PARTS + 1) : ends[0]]), unpacked(blob[ends[part] : ends[part + 1]])
     strings, counts, at = [], [], 0
     for n in range(1, MOST + 1):
         strings.append(_strings(known, np.stack([np.cumsum(own[at]), *own[at + 1 : at + n]])))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import blocks, importance, queries
 from folioflow.llm._text import alnum_words
+from folioflow.llm.blocks import parted
 
 
 def features(text):
@@ -105,3 +107,20 @@ def test_hashes_of_n_grams_from_those_of_words():
     for n, (starts, crc) in enumerate(importance.gram_hashes(words, ids), 1):
         assert crc.tolist() == [zlib.crc32(b" ".join(words[k] for k in ids[i : i + n])) for i in starts.tolist()]
     assert [b" ".join(words[k] for k in x[:-1]) for x in np.split(ids, np.flatnonzero(ids == len(words)) + 1) if len(x)] == texts
+
+
+def test_reading_words_makes_no_object_for_each():
+    texts = [b"Ab, c\xc3\xa9d\x0be  f-1 " * 20_000, b"", b"...", b"last"]
+    plain = sorted(set(alnum_words(b" ".join(texts))))
+    tracemalloc.start()
+    words, ids = importance._read(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == plain
+    assert [words[k] if k < len(words) else None for k in ids.tolist()] == [w for t in texts for w in [*alnum_words(t), None]]
+    assert peak < 20 * len(texts[0])  # 32 with a list of the words
+
+
+def test_words_between_blanks():
+    for text in (b"", b" ", b"a", b"  a b  \xff ccc ", b"x " * 9):
+        assert parted(text).to_pylist() == text.split()
