@@ -46,8 +46,8 @@ from .minhash import mixed
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 #: Tokens that a task gathers before it merges, and entries that it holds before it sends.
 GATHER, HOLD = 1 << 20, 1 << 22
-#: Words whose hashes a worker keeps, and files that it keeps mapped.
-MEMO_WORDS, MAPS = 300_000, 4096
+#: Words whose hashes a worker keeps, files that it keeps mapped, and their bytes: what it has read of them counts as its memory.
+MEMO_WORDS, MAPS, MAP_BYTES = 300_000, 4096, 128 << 20
 #: Least counts of the classes of words; the class of all others comes last.
 CLASSES = (4096, 256, 16)
 #: Entries of a bucket on average.
@@ -195,9 +195,12 @@ class Model:
     def _file(self, name: str, kind=np.uint8) -> np.ndarray:
         held = self.__dict__.setdefault("_maps", {})
         if name not in held:
-            if len(held) >= MAPS:
+            found = mapped(f"{self.uri}/{name}")
+            if len(held) >= MAPS or self.__dict__.get("_mapped", 0) + len(found) > MAP_BYTES:
                 held.clear()
-            held[name] = mapped(f"{self.uri}/{name}").view(kind)
+                self._mapped = 0
+            self._mapped = self.__dict__.get("_mapped", 0) + len(found)
+            held[name] = found.view(kind)
         return held[name]
 
     @property

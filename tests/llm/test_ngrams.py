@@ -109,3 +109,21 @@ def test_counts_beyond_32_bits(tmp_path):
     model.starts = np.zeros((len(ngrams.CLASSES) + 1, 1), np.int64)
     ids, n = model.ids(np.append(keys, np.uint64(2**64 - 5)))
     assert n.tolist() == [*times.tolist(), 0] and ids.tolist() == [*range(len(keys)), -1]
+
+
+def test_mapped_bytes_are_bounded(tmp_path, monkeypatch):
+    """A model of many files keeps some of them mapped, and finds what it finds with all of them."""
+    uri, shards = f"file://{tmp_path}/model", 16
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 4000, np.uint64))
+    model = ngrams.Model(uri, shards)
+    model.starts = np.zeros((len(ngrams.CLASSES) + 1, shards), np.int64)
+    for s in range(shards):
+        own = keys[model.shard_of(keys) == s]
+        put(f"{uri}/hash-{s}", own)
+        put(f"{uri}/rank-{s}", np.arange(len(own), dtype=np.uint32))
+        ngrams._put_counts(f"{uri}/count-{s}", np.arange(len(own)) + 1, np.uint32)
+    monkeypatch.setattr(ngrams, "MAP_BYTES", 10_000)
+    for _ in range(2):
+        ids, n = model.ids(keys)
+        assert (n == ids + 1).all() and (ids >= 0).all()
+        assert sum(a.nbytes for a in model._maps.values()) <= 10_000
