@@ -128,3 +128,21 @@ def test_an_unfinished_segment_does_not_count(spark, tmp_path):
 def test_size_classes():
     assert [termindex._size_class(n) for n in (0, 3, 4, 15, 16, 64)] == [0, 0, 1, 1, 2, 3]
     assert termindex._last_run([2, 1, 1, 1, 1]) == 4 and termindex._last_run([1, 1, 1, 2]) == 0
+
+
+def test_ranges_are_bounded_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(termindex, "RANGES", 5)
+    df = spark.createDataFrame([(k, f"w{k:05d}", None) for k in range(1000)], "id long, title string, text string")
+    index = TermIndex(spark, str(tmp_path / "i"), range_rows=10)
+    index.apply(df, "id", fields())
+    assert index._ranges(index.segments()).count() <= 6  # 102 of ten rows
+    assert [r["key"] for r in index.keys(index.matches(("title", "w00042", False))).collect()] == [42]
+
+
+def test_words_are_grouped_where_the_texts_are(spark):
+    """Only texts are dealt between tasks, not their words."""
+    df = spark.createDataFrame([(k, "the title", f"the text {k} the") for k in range(300)], "id long, title string, text string")
+    words = termindex._words(df, "id", fields())
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert words.where("token = 'the'").agg(F.sum(F.bit_count("bits"))).first()[0] == 600
